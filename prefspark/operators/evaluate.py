@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 WIN_DECIMALS = 9
 
 
+def round_clean(x: Column | str, decimals: int) -> Column:
+    """Half-up rounding that first drops float noise below 1e-12, so that a
+    value that is a tie up to summation order rounds the same way everywhere."""
+    c = F.col(x) if isinstance(x, str) else x
+    return F.round(F.round(c, 12), decimals)
+
+
 def win(chosen: Column | str, rejected: Column | str) -> Column:
     """V1: 1 iff chosen scores strictly higher (ties count 0)."""
     c = F.col(chosen) if isinstance(chosen, str) else chosen
@@ -85,7 +92,7 @@ def leaderboard(acc: DataFrame, section_map: Mapping, counts: Mapping,
     long = sec.select(*keys, F.col("section").alias("metric"), F.col("score").alias("value")) \
         .unionByName(ov.select(*keys, F.lit("overall").alias("metric"), F.col("overall").alias("value")))
     if decimals is not None:
-        long = long.withColumn("value", F.round("value", decimals))
+        long = long.withColumn("value", round_clean("value", decimals))
     return long
 
 
@@ -109,5 +116,5 @@ def task_accuracy(scored: DataFrame, n_tasks: int, keys: list[str] | None = None
     long = tasks.unionByName(overall.select(*keys, F.lit("overall").alias("metric"),
                                             F.col("_a").alias("value")))
     if decimals is not None:
-        long = long.withColumn("value", F.round("value", decimals))
+        long = long.withColumn("value", round_clean("value", decimals))
     return long

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prefspark.plans.registry import QUERIES, load_all
 
-FLAGSHIP = "v3_v4_leaderboard"
+FLAGSHIP = "a17_seed_statistics_sections"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prefspark.operators import evaluate as ev
 from prefspark.plans import fixtures as fx
-from prefspark.plans.registry import query
+from prefspark.plans.registry import query, rnd
 
 WIN_SQL = "CASE WHEN round(s_chosen - s_rejected, 9) > 0 THEN 1 ELSE 0 END"
 
@@ -61,9 +61,10 @@ def v4_overall_score(spark, sf):
 
 
 @query("v3_v4_leaderboard", SECTION_SQL + """
-SELECT head_id, section AS metric, round(score, 3) AS value FROM sec
+SELECT head_id, section AS metric, {r_score} AS value FROM sec
 UNION ALL
-SELECT head_id, 'overall' AS metric, round(avg(score), 3) AS value FROM sec GROUP BY head_id""")
+SELECT head_id, 'overall' AS metric, {r_avg} AS value FROM sec GROUP BY head_id""".format(
+    r_score=rnd("score", 3), r_avg=rnd("avg(score)", 3)))
 def v3_v4_leaderboard(spark, sf):
     acc = ev.subset_accuracy(_scored(spark, sf))
     return ev.leaderboard(acc, fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
@@ -82,9 +83,9 @@ def v5_pref_set_accuracy(spark, sf):
 WITH per AS (SELECT head_id, task_id, avg(CAST({WIN_SQL} AS DOUBLE)) AS a
              FROM fx_scores GROUP BY head_id, task_id),
 heads AS (SELECT head_id, avg(CAST({WIN_SQL} AS DOUBLE)) AS a FROM fx_scores GROUP BY head_id)
-SELECT h.head_id, 'task_' || CAST(t.task_id AS VARCHAR) AS metric, round(p.a, 3) AS value
+SELECT h.head_id, 'task_' || CAST(t.task_id AS VARCHAR) AS metric, {rnd('p.a', 3)} AS value
 FROM heads h CROSS JOIN fx_tasks t LEFT JOIN per p ON p.head_id = h.head_id AND p.task_id = t.task_id
 UNION ALL
-SELECT head_id, 'overall' AS metric, round(a, 3) AS value FROM heads""")
+SELECT head_id, 'overall' AS metric, {rnd('a', 3)} AS value FROM heads""")
 def v6_task_accuracy(spark, sf):
     return ev.task_accuracy(_scored(spark, sf), fx.N_TASKS)

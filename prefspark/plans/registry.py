@@ -54,6 +54,12 @@ FIXTURE_SQL: dict[str, str] = {
 }
 
 
+def rnd(expr: str, decimals: int) -> str:
+    """DuckDB rounding matching ``round_clean``: noise below 1e-12 dropped,
+    then half away from zero on the decimal value."""
+    return f"CAST(round(CAST(({expr}) AS DECIMAL(38, 12)), {decimals}) AS DOUBLE)"
+
+
 def _needed(sql: str) -> list[str]:
     """Fixture CTEs referenced by ``sql``, dependencies first."""
     order: list[str] = []
