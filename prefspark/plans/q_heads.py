@@ -1 +1,178 @@
-"""Registered queries."""
+"""Registered queries: difference vectors, PCA and head construction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prefspark.functions.vectors import l2_normalise
+from prefspark.operators import heads as hd
+from prefspark.operators.scoring import score_heads
+from prefspark.plans import fixtures as fx
+from prefspark.plans.registry import query
+
+N_PCA = 8
+N_RANDOM = 4
+
+
+def _diffs(spark, sf):
+    return hd.pair_diff(fx.vec_pairs(spark, sf))
+
+
+def _r(arr: str, d: int):
+    return F.transform(arr, lambda x: F.round(x, d))
+
+
+DIFF_SQL = """
+SELECT pair_id, list_transform(range(1, len(chosen) + 1),
+       lambda i: CAST(chosen[i] AS DOUBLE) - CAST(rejected[i] AS DOUBLE)) AS diff
+FROM fx_vec_pairs"""
+
+
+@query("h1_pair_diff", f"""
+SELECT pair_id, list_transform(diff, lambda x: round(x, 9) + 0.0) AS diff FROM ({DIFF_SQL}) d""")
+def h1_pair_diff(spark, sf):
+    return _diffs(spark, sf).select("pair_id", _r("diff", 9).alias("diff"))
+
+
+def _pca_frame(spark, sf, k):
+    res = hd.fit_pca(_diffs(spark, sf), k)
+    comp = res.components_frame(spark)
+    return comp.select("component", _r("w", 6).alias("w"),
+                       F.round("explained_variance_ratio", 9).alias("explained_variance_ratio"),
+                       F.round("explained_variance", 9).alias("explained_variance"))
+
+
+@query("h2_pca_components")
+def h2_pca_components(spark, sf):
+    return _pca_frame(spark, sf, N_PCA)
+
+
+@query("h3_pca_full")
+def h3_pca_full(spark, sf):
+    return _pca_frame(spark, sf, None)
+
+
+@query("h4_explained_variance_ratio")
+def h4_explained_variance_ratio(spark, sf):
+    return _pca_frame(spark, sf, N_PCA).select("component", "explained_variance_ratio")
+
+
+@query("h5_explained_variance")
+def h5_explained_variance(spark, sf):
+    return _pca_frame(spark, sf, N_PCA).select("component", "explained_variance")
+
+
+ELEMS_SQL = f"""
+e AS (SELECT d.pair_id, CAST(generate_subscripts(d.diff, 1) - 1 AS INTEGER) AS i, unnest(d.diff) AS x
+      FROM ({DIFF_SQL}) d)"""
+
+
+@query("h6_covariance", f"""
+WITH {ELEMS_SQL}
+SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 9) + 0.0 AS cov
+FROM e a JOIN e b ON a.pair_id = b.pair_id AND b.i >= a.i GROUP BY a.i, b.i""")
+def h6_covariance(spark, sf):
+    c = hd.covariance(_diffs(spark, sf))
+    return c.select("i", "j", F.round("cov", 9).alias("cov"))
+
+
+@query("h7_total_variance", f"""
+WITH {ELEMS_SQL}
+SELECT round(sum(v), 9) AS total_variance FROM (SELECT i, var_samp(x) AS v FROM e GROUP BY i) t""")
+def h7_total_variance(spark, sf):
+    return hd.total_variance(_diffs(spark, sf)).select(F.round("total_variance", 9).alias("total_variance"))
+
+
+@query("h8_project")
+def h8_project(spark, sf):
+    diffs = _diffs(spark, sf)
+    res = hd.fit_pca(diffs, N_PCA)
+    return hd.project(diffs, res).select("pair_id", _r("proj", 6).alias("proj"))
+
+
+HEADS_SQL = "SELECT head_id, component, sign, w FROM fx_heads"
+
+
+@query("h9_signed_heads", HEADS_SQL)
+def h9_signed_heads(spark, sf):
+    return fx.heads(spark, sf)
+
+
+@query("h10_original_head", HEADS_SQL + """
+UNION ALL SELECT CAST(-1 AS BIGINT) AS head_id, CAST(-1 AS INTEGER) AS component, CAST(1 AS INTEGER) AS sign, w
+FROM fx_original""")
+def h10_original_head(spark, sf):
+    return hd.with_original(fx.heads(spark, sf), fx.original_head(spark, sf))
+
+
+@query("h11_select_heads", """
+WITH h AS (SELECT head_id, component, sign, row_number() OVER (ORDER BY head_id) - 1 AS r,
+                  count(*) OVER () AS n FROM fx_heads)
+SELECT CAST(CASE WHEN r < n // 2 THEN r ELSE r - n // 2 + 3 END AS BIGINT) AS head_id, component, sign,
+       head_id AS source_head_id
+FROM h WHERE n >= 6 AND ((r < n // 2 AND r < 3) OR (r >= n // 2 AND r - n // 2 < 3))""")
+def h11_select_heads(spark, sf):
+    return hd.select_heads(fx.heads(spark, sf), 6).drop("w")
+
+
+def _rand_sql(d_expr: str) -> str:
+    u = ("((CAST('0x' || substring(md5('0|u|' || CAST(h.head_id AS VARCHAR) || '|' || CAST(j AS VARCHAR)), 1, 8)"
+         " AS BIGINT) + 0.5) / 4294967296.0)")
+    return f"""
+rh AS (SELECT h.head_id, list_transform(range(0, {d_expr}), lambda j: ({u} * 2 - 1) * (1.0 / sqrt({d_expr}))) AS w
+       FROM range({N_RANDOM}) h(head_id), dim)"""
+
+
+@query("h12_random_head_scores", f"""
+WITH dim AS (SELECT max(len(embedding)) AS d FROM embeddings),
+{_rand_sql('dim.d')}
+SELECT p.pair_id, CAST(h.head_id AS BIGINT) AS head_id,
+       round(list_dot_product(list_transform(p.chosen, lambda x: CAST(x AS DOUBLE)), h.w), 6) + 0.0 AS s_chosen,
+       round(list_dot_product(list_transform(p.rejected, lambda x: CAST(x AS DOUBLE)), h.w), 6) + 0.0 AS s_rejected
+FROM fx_vec_pairs p, rh h""")
+def h12_random_head_scores(spark, sf):
+    pairs = fx.vec_pairs(spark, sf)
+    d = pairs.agg(F.max(F.size("chosen"))).first()[0]
+    heads = hd.random_heads(spark, N_RANDOM, d, "uniform", seed=0)
+    s = score_heads(pairs, heads, keep=["pair_id"])
+    return s.select("pair_id", "head_id", F.round("s_chosen", 6).alias("s_chosen"),
+                    F.round("s_rejected", 6).alias("s_rejected"))
+
+
+@query("h12_random_heads_gaussian_l2")
+def h12_random_heads_gaussian_l2(spark, sf):
+    pairs = fx.vec_pairs(spark, sf)
+    d = pairs.agg(F.max(F.size("chosen"))).first()[0]
+    heads = hd.random_heads(spark, N_RANDOM, d, "gaussian_l2", seed=0)
+    s = score_heads(pairs, heads, keep=["pair_id"])
+    return s.select("pair_id", "head_id", F.round("s_chosen", 6).alias("s_chosen"))
+
+
+@query("h13_l2_normalise", f"""
+WITH d AS ({DIFF_SQL}),
+n AS (SELECT pair_id, diff, sqrt(list_sum(list_transform(diff, lambda x: x * x))) AS nrm FROM d)
+SELECT pair_id, list_transform(diff, lambda x: round(CASE WHEN nrm > 0 THEN x / nrm ELSE x END, 9) + 0.0) AS diff
+FROM n""")
+def h13_l2_normalise(spark, sf):
+    return _diffs(spark, sf).select("pair_id", _r(l2_normalise("diff"), 9).alias("diff"))
+
+
+@query("h13_unit_norm_check", """
+SELECT coalesce(bool_and(abs(sqrt(list_sum(list_transform(w, lambda x: x * x))) - 1) <= 1e-6), true) AS all_unit
+FROM fx_heads""")
+def h13_unit_norm_check(spark, sf):
+    return hd.unit_norm_check(fx.heads(spark, sf))
+
+
+@query("h14_normalise_scores", """
+WITH st AS (SELECT head_id, avg(s_chosen) AS mean, stddev_samp(s_chosen) AS std FROM fx_scores GROUP BY head_id)
+SELECT x.pair_id, x.head_id, round((x.s_chosen - st.mean) / st.std, 6) + 0.0 AS s_chosen,
+       round((x.s_rejected - st.mean) / st.std, 6) + 0.0 AS s_rejected
+FROM fx_scores x JOIN st USING (head_id)""")
+def h14_normalise_scores(spark, sf):
+    s = fx.scores(spark, sf)
+    st = s.groupBy("head_id").agg(F.avg("s_chosen").alias("mean"), F.stddev_samp("s_chosen").alias("std"))
+    n = hd.normalise_scores(s, st)
+    return n.select("pair_id", "head_id", F.round("s_chosen", 6).alias("s_chosen"),
+                    F.round("s_rejected", 6).alias("s_rejected"))
+
