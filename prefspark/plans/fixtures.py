@@ -84,3 +84,90 @@ def section_map(spark: SparkSession) -> DataFrame:
 
 def counts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(EXAMPLE_COUNTS.items()), "subset int, n bigint")
+
+
+# ---------------------------------------------------------------- message fixtures
+def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per dialogue: messages ordered by turn (bounded by its turns)."""
+    c = table(spark, sf_dir, "conversations")
+    t = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    return c.groupBy("conv_id").agg(t.alias("_t")).select(
+        "conv_id", F.transform("_t", lambda x: F.struct(x["role"].alias("role"),
+                                                         x["text"].alias("content"))).alias("m"))
+
+
+def msg_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_msg_pairs: chosen = the dialogue; rejected = the same with the last
+    content taken from the next dialogue (the last wraps to the first); for
+    conv_id % 5 = 4 the first rejected turn also gains an ``x``."""
+    d = _dialogues(spark, sf_dir)
+    b = d.agg(F.min("conv_id").alias("mn"), F.max("conv_id").alias("mx")).first()
+    nxt = d.select(F.col("conv_id").alias("_nk"),
+                   F.try_element_at("m", F.lit(-1))["content"].alias("_next_last"))
+    nk = F.when(F.col("conv_id") == F.lit(b["mx"]), F.lit(b["mn"])).otherwise(F.col("conv_id") + 1)
+    j = d.withColumn("_nk", nk).join(nxt, "_nk")
+    n = F.size("m")
+    last = F.struct(F.try_element_at("m", F.lit(-1))["role"].alias("role"), F.col("_next_last").alias("content"))
+    rej = F.concat(F.slice("m", 1, F.greatest(n - 1, F.lit(0))), F.array(last))
+    rej = F.transform(rej, lambda t, i: F.when((i == 0) & (F.col("conv_id") % 5 == 4), F.struct(
+        t["role"].alias("role"), F.concat(t["content"], F.lit("x")).alias("content"))).otherwise(t))
+    return j.select(F.col("conv_id").alias("pair_id"), F.col("m").alias("chosen"), rej.alias("rejected"))
+
+
+def winner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_winner: two-model judgement records from fx_msg_pairs."""
+    p = msg_pairs(spark, sf_dir)
+    w = (F.when(F.col("pair_id") % 3 == 0, F.lit("model_a"))
+         .when(F.col("pair_id") % 3 == 1, F.lit("model_b")).otherwise(F.lit("tie")))
+    return p.select("pair_id", w.alias("winner"), F.col("chosen").alias("conversation_a"),
+                    F.col("rejected").alias("conversation_b"))
+
+
+def choice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_choice: labelled documents (2i, 2i+1) paired; choices = their texts,
+    labels = their quality labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    j = docs.join(lab, "doc_id")
+    g = (j.groupBy((F.col("doc_id") / 2).cast("bigint").alias("pair_id"))
+         .agg(F.count(F.lit(1)).alias("_n"),
+              F.sort_array(F.collect_list(F.struct("doc_id", "text", "quality", "lang"))).alias("_d")))
+    return g.filter(F.col("_n") == 2).select(
+        "pair_id",
+        F.concat(F.lit("Which text is better? ("), F.col("_d")[0]["lang"], F.lit(")")).alias("input"),
+        F.struct(F.col("_d.text").alias("choices"), F.col("_d.quality").alias("labels")).alias("targets"))
+
+
+def indexed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_indexed: prompt, response_0/1, better_response_id = pair % 2."""
+    c = choice_records(spark, sf_dir)
+    return c.select("pair_id", F.col("input").alias("prompt"),
+                    F.col("targets.choices")[0].alias("response_0"),
+                    F.col("targets.choices")[1].alias("response_1"),
+                    (F.col("pair_id") % 2).cast("int").alias("better_response_id"))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_transcript: a dialogue flattened with turn markers (user and system
+    turns as Human, assistant turns as Assistant); the first marker is kept
+    only for conv_id % 3 = 2.  Targets: two answers, labels by conv_id % 2."""
+    from prefspark.functions.messages import ASSISTANT_MARKER, HUMAN_MARKER
+    d = _dialogues(spark, sf_dir)
+    marked = F.transform("m", lambda t, i: F.concat(
+        F.when((i == 0) & (F.col("conv_id") % 3 != 2), F.lit(""))
+        .when(t["role"] == "assistant", F.lit(ASSISTANT_MARKER + " "))
+        .otherwise(F.lit(HUMAN_MARKER + " ")), t["content"]))
+    a = (F.col("conv_id") % 2).cast("int")
+    return d.select(F.col("conv_id").alias("pair_id"), F.array_join(marked, "").alias("input"),
+                    F.struct(F.array(F.concat(F.lit("answer A "), F.col("conv_id").cast("string")),
+                                     F.concat(F.lit("answer B "), F.col("conv_id").cast("string"))).alias("choices"),
+                             F.array(a, 1 - a).alias("labels")).alias("targets"))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_tokens: ids = lengths of the first 12 space-separated words; mask
+    has ``doc_id % 3`` leading zeros (left padding)."""
+    docs = table(spark, sf_dir, "documents")
+    ids = F.transform(F.slice(F.split("text", " "), 1, TOKEN_WORDS), lambda w: F.length(w).cast("int"))
+    return docs.select("doc_id", ids.alias("ids")).withColumn(
+        "mask", F.transform("ids", lambda x, i: F.when(i < F.col("doc_id") % 3, F.lit(0)).otherwise(F.lit(1))))

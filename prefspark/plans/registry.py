@@ -51,6 +51,45 @@ FIXTURE_SQL: dict[str, str] = {
         SELECT CAST(t AS INTEGER) AS task_id FROM range(5) r(t)""",
     "fx_seeds": """
         SELECT CAST(s AS INTEGER) AS seed FROM range(20) r(s)""",
+    "fx_dialogues": """
+        SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m
+        FROM conversations GROUP BY conv_id""",
+    "fx_msg_pairs": """
+        SELECT n.conv_id AS pair_id, n.m AS chosen,
+               list_transform(list_concat(n.m[1:len(n.m) - 1],
+                                          [{'role': n.m[len(n.m)].role, 'content': x.m[len(x.m)].content}]),
+                              lambda t, i: CASE WHEN i = 1 AND n.conv_id % 5 = 4
+                                                THEN {'role': t.role, 'content': t.content || 'x'} ELSE t END)
+                   AS rejected
+        FROM (SELECT d.conv_id, d.m, CASE WHEN d.conv_id = b.mx THEN b.mn ELSE d.conv_id + 1 END AS nk
+              FROM fx_dialogues d, (SELECT min(conv_id) AS mn, max(conv_id) AS mx FROM fx_dialogues) b) n
+        JOIN fx_dialogues x ON x.conv_id = n.nk""",
+    "fx_winner": """
+        SELECT pair_id, CASE pair_id % 3 WHEN 0 THEN 'model_a' WHEN 1 THEN 'model_b' ELSE 'tie' END AS winner,
+               chosen AS conversation_a, rejected AS conversation_b
+        FROM fx_msg_pairs""",
+    "fx_choice": """
+        SELECT d.doc_id // 2 AS pair_id,
+               'Which text is better? (' || arg_min(d.lang, d.doc_id) || ')' AS input,
+               {'choices': list(d.text ORDER BY d.doc_id), 'labels': list(l.quality ORDER BY d.doc_id)} AS targets
+        FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+        GROUP BY d.doc_id // 2 HAVING count(*) = 2""",
+    "fx_indexed": """
+        SELECT pair_id, input AS prompt, targets.choices[1] AS response_0, targets.choices[2] AS response_1,
+               CAST(pair_id % 2 AS INTEGER) AS better_response_id
+        FROM fx_choice""",
+    "fx_transcript": """
+        SELECT conv_id AS pair_id,
+               array_to_string(list_transform(m, lambda t, i: CASE WHEN i = 1 AND conv_id % 3 != 2 THEN ''
+                    WHEN t.role = 'assistant' THEN chr(10) || chr(10) || 'Assistant: '
+                    ELSE chr(10) || chr(10) || 'Human: ' END || t.content), '') AS input,
+               {'choices': ['answer A ' || CAST(conv_id AS VARCHAR), 'answer B ' || CAST(conv_id AS VARCHAR)],
+                'labels': [CAST(conv_id % 2 AS INTEGER), CAST(1 - conv_id % 2 AS INTEGER)]} AS targets
+        FROM fx_dialogues""",
+    "fx_tokens": """
+        SELECT doc_id, ids, list_transform(ids, lambda x, i: CASE WHEN i - 1 < doc_id % 3 THEN 0 ELSE 1 END) AS mask
+        FROM (SELECT doc_id, list_transform(string_split(text, ' ')[1:12], lambda w: CAST(length(w) AS INTEGER)) AS ids
+              FROM documents) t""",
 }
 
 
