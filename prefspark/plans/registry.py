@@ -142,5 +142,5 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load_all() -> None:
     """Import every query module so that it registers itself."""
-    from prefspark.plans import (q_adapt, q_eval, q_heads, q_io, q_pairs,  # noqa: F401
-                                 q_scoring, q_tokens)
+    from prefspark.plans import (q_adapt, q_encode, q_eval, q_heads, q_io,  # noqa: F401
+                                 q_pairs, q_scoring, q_tokens)
