@@ -98,8 +98,10 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
             .withColumn("_u", md5_uniform(F.col("pair_id"), F.col("seed")))
             .withColumn("_t", _threshold(k)))
     cand = base.filter(F.col("_u") < F.col("_t"))
-    short = (cand.groupBy("seed", "grp").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-             .filter(F.col("_c") < F.least(F.lit(k), F.col("_n"))).select("seed", "grp"))
+    got = cand.groupBy("seed", "grp").agg(F.count(F.lit(1)).alias("_c"))
+    grid = sizes.withColumnRenamed(grp, "grp").select("grp", "_n", seed_column(seeds).alias("seed"))
+    short = (grid.join(got, ["seed", "grp"], "left")
+             .filter(F.coalesce(F.col("_c"), F.lit(0)) < F.least(F.lit(k), F.col("_n"))).select("seed", "grp"))
     short = checked_broadcast(short, n_groups * len(_seeds(seeds)))
     rest = base.filter(F.col("_u") >= F.col("_t")).join(short, ["seed", "grp"], "left_semi")
     rows = cand.unionByName(rest)
