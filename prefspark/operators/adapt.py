@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.vectors import md5_uniform, softplus
 from prefspark.operators import evaluate as ev
+from prefspark.session import ensure_checkpoint_dir
 
 MAX_BROADCAST_ROWS = 2_000_000
 U_RANGE = 4294967296  # md5_uniform is in [0, 2^32)
@@ -51,6 +52,15 @@ def count_groups(meta: DataFrame, grp: str = "grp") -> int:
     return meta.filter(F.col(grp).isNotNull()).select(grp).distinct().count()
 
 
+def materialise_small(df: DataFrame) -> DataFrame:
+    """Write a small intermediate (bounded by seeds x groups x k x heads) to
+    the shared checkpoint folder and cut its lineage, so later stages read
+    it back instead of re-planning and re-running its inputs, and a lost
+    executor does not recompute it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _seeds(seeds: int | Sequence[int]) -> list[int]:
     return list(range(seeds)) if isinstance(seeds, int) else [int(s) for s in seeds]
 
@@ -81,7 +91,8 @@ def _threshold(k: int) -> Column:
 
 
 def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: str = "grp",
-                     key: str = "pair_id", n_groups: int | None = None) -> DataFrame:
+                     key: str = "pair_id", n_groups: int | None = None,
+                     sizes: DataFrame | None = None) -> DataFrame:
     """A5: exactly k rows per (seed, group) -> ``(seed, grp, slot, pair_id)``.
 
     Groups with n >= k: the k rows with the smallest ``md5(key|seed)``
@@ -89,9 +100,11 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
     replacement, slot j takes the row of rank ``md5(grp|seed|j) % n + 1``.
     Rows with a null group are never sampled.
     """
+    if sizes is None:
+        sizes = materialise_small(group_sizes(meta, grp))
     if n_groups is None:
-        n_groups = count_groups(meta, grp)
-    sizes = checked_broadcast(group_sizes(meta, grp), n_groups)
+        n_groups = sizes.count()
+    sizes = checked_broadcast(sizes, n_groups)
     base = (meta.filter(F.col(grp).isNotNull()).select(F.col(key).alias("pair_id"), F.col(grp).alias("grp"))
             .join(sizes.withColumnRenamed(grp, "grp"), "grp")
             .select("pair_id", "grp", "_n", seed_column(seeds).alias("seed"))
@@ -116,7 +129,7 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
                          .cast("int")))
     small = ranked.filter(F.col("_n") < k).select("seed", "grp", "_rk", "pair_id")
     drawn = draws.join(small, ["seed", "grp", "_rk"]).select("seed", "grp", "slot", "pair_id")
-    return plain.unionByName(drawn).withColumn("slot", F.col("slot").cast("int"))
+    return materialise_small(plain.unionByName(drawn).withColumn("slot", F.col("slot").cast("int")))
 
 
 # ---------------------------------------------------------------- A6-A8
@@ -328,16 +341,45 @@ def adapt(packed: DataFrame, head_ids: list[int], k: int, seeds: int | Sequence[
     when it is expensive, since sampling and re-scoring both read it.
     """
     meta = packed.select("pair_id", "grp")
-    n_groups = count_groups(meta)
-    sample = sample_per_group(meta, k, seeds, n_groups=n_groups)
-    sampled = sampled_values(sample, packed, head_ids, n_groups * len(_seeds(seeds)) * k)
-    stats = group_head_stats(sampled)
+    sizes = materialise_small(group_sizes(meta))
+    n_groups = sizes.count()
+    sample = sample_per_group(meta, k, seeds, n_groups=n_groups, sizes=sizes)
+    sampled = materialise_small(sampled_values(sample, packed, head_ids, n_groups * len(_seeds(seeds)) * k))
+    stats = materialise_small(group_head_stats(sampled))
     loss = group_head_loss(sampled, stats, mode)
-    weights = uniform_weights(loss) if uniform else softmax_weights(loss, temperature)
+    weights = materialise_small(uniform_weights(loss) if uniform else softmax_weights(loss, temperature))
     agg = apply_weights(packed, stats, weights, seeds, mode, keep, n_groups)
     return Adaptation(sample, sampled, stats, loss, weights, agg)
 
 
+def adapt_from_vectors(pairs: DataFrame, heads, k: int, seeds: int | Sequence[int] = 20,
+                       temperature: float = 1.0, mode: str = "normalised", keep: Sequence[str] = (),
+                       uniform: bool = False, method: str = "arrow") -> Adaptation:
+    """The adaptation straight from pair vectors (``pair_id, grp, chosen,
+    rejected``): the sample is drawn from ``(pair_id, grp)`` alone, only the
+    sampled pairs are scored for the statistics (joined to the broadcast
+    sample *before* scoring), and every pair is scored once for the final
+    weighted sum.  No intermediate table is cached."""
+    from prefspark.operators.scoring import collect_heads, score_heads_packed
+    hm = collect_heads(heads) if isinstance(heads, DataFrame) else heads
+    seed_list = _seeds(seeds)
+    meta = pairs.select("pair_id", "grp")
+    sizes = materialise_small(group_sizes(meta))
+    n_groups = sizes.count()
+    sample = sample_per_group(meta, k, seed_list, n_groups=n_groups, sizes=sizes)
+    bound = n_groups * len(seed_list) * k
+    ids_needed = checked_broadcast(sample.select("pair_id").distinct(), bound)
+    few = pairs.join(ids_needed, "pair_id", "left_semi")
+    few_packed, ids = score_heads_packed(few, hm, method=method)
+    sampled = materialise_small(sampled_values(sample, few_packed, ids, bound))
+    stats = materialise_small(group_head_stats(sampled))
+    loss = group_head_loss(sampled, stats, mode)
+    weights = materialise_small(uniform_weights(loss) if uniform else softmax_weights(loss, temperature))
+    packed, _ = score_heads_packed(pairs, hm, method=method)
+    agg = apply_weights(packed, stats, weights, seed_list, mode, keep, n_groups)
+    return Adaptation(sample, sampled, stats, loss, weights, agg)
+
+
 def config_grid(run, head_counts: Sequence[int], ks: Sequence[int],
                 temperatures: Sequence[float]) -> DataFrame:
     """Union of ``run(n_heads, k, T)`` over the configuration grid, each

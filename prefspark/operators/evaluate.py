@@ -53,27 +53,31 @@ def subset_accuracy(scored: DataFrame, keys: list[str] | None = None,
 
 def _lookup_frame(spark, section_map: Mapping, counts: Mapping, subset_type: str):
     rows = [(k, v, int(counts.get(k, 0))) for k, v in section_map.items()]
-    return F.broadcast(spark.createDataFrame(rows, f"subset {subset_type}, section string, weight bigint"))
+    return F.broadcast(spark.createDataFrame(rows, f"_sub {subset_type}, section string, weight bigint"))
 
 
 def section_scores(acc: DataFrame, section_map: Mapping, counts: Mapping,
                    keys: list[str] | None = None, subset: str = "subset") -> DataFrame:
     """V3: per section, sum(acc * n) / sum(n) over the present subsets, with n
     from the fixed count table (not the observed rows); a section with no
-    present subset scores 0.  Output ``(keys..., section, score)``."""
+    present subset scores 0.  Output ``(keys..., section, score)``.
+
+    One pass: each accuracy row is offered to every section and weighted
+    only where its subset belongs, so every key gets every section without
+    a second read of ``acc``.
+    """
     keys = keys if keys is not None else ["head_id"]
     subset_type = dict(acc.dtypes)[subset]
     lk = _lookup_frame(acc.sparkSession, section_map, counts, subset_type)
-    j = acc.join(lk, acc[subset] == lk["subset"], "inner").drop(lk["subset"])
-    per = (j.groupBy(*keys, "section")
-           .agg((F.sum(F.col("accuracy") * F.col("weight")) / F.sum("weight")).alias("_s"),
-                F.sum("weight").alias("_w")))
     sections = sorted(set(section_map.values()))
-    grid = (acc.select(*keys).distinct()
-            .select(*keys, F.explode(F.array(*[F.lit(s) for s in sections])).alias("section")))
-    out = grid.join(per, [*keys, "section"], "left")
-    score = F.when(F.col("_w") > 0, F.col("_s")).otherwise(F.lit(0.0))
-    return out.select(*keys, "section", score.alias("score"))
+    offered = acc.select(*keys, subset, "accuracy",
+                         F.explode(F.array(*[F.lit(x) for x in sections])).alias("section"))
+    j = offered.join(lk, (offered[subset] == lk["_sub"]) & (offered["section"] == lk["section"]), "left") \
+        .drop(lk["section"]).drop("_sub")
+    per = j.groupBy(*keys, "section").agg(
+        F.sum(F.col("accuracy") * F.col("weight")).alias("_aw"), F.sum("weight").alias("_w"))
+    score = F.when(F.col("_w") > 0, F.col("_aw") / F.col("_w")).otherwise(F.lit(0.0))
+    return per.select(*keys, "section", score.alias("score"))
 
 
 def overall_score(sections: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -85,12 +89,16 @@ def overall_score(sections: DataFrame, keys: list[str] | None = None) -> DataFra
 def leaderboard(acc: DataFrame, section_map: Mapping, counts: Mapping,
                 keys: list[str] | None = None, decimals: int | None = 3) -> DataFrame:
     """V3 + V4 as one long table ``(keys..., metric, value)``: every section
-    and ``overall`` (mean of the unrounded section scores), then rounded."""
+    and ``overall`` (mean of the unrounded section scores), then rounded.
+    The section rows of a key are gathered once (bounded by the number of
+    sections) so the overall needs no second pass."""
     keys = keys if keys is not None else ["head_id"]
     sec = section_scores(acc, section_map, counts, keys)
-    ov = overall_score(sec, keys)
-    long = sec.select(*keys, F.col("section").alias("metric"), F.col("score").alias("value")) \
-        .unionByName(ov.select(*keys, F.lit("overall").alias("metric"), F.col("overall").alias("value")))
+    g = sec.groupBy(*keys).agg(
+        F.collect_list(F.struct(F.col("section").alias("metric"), F.col("score").alias("value"))).alias("_s"),
+        F.avg("score").alias("_o"))
+    rows = F.concat("_s", F.array(F.struct(F.lit("overall").alias("metric"), F.col("_o").alias("value"))))
+    long = g.select(*keys, F.inline(rows))
     if decimals is not None:
         long = long.withColumn("value", round_clean("value", decimals))
     return long
@@ -105,16 +113,15 @@ def task_accuracy(scored: DataFrame, n_tasks: int, keys: list[str] | None = None
                   task: str = "task_id", decimals: int | None = 3) -> DataFrame:
     """V6: accuracy for each task id in 0..n_tasks-1 (null when a task has no
     rows) and the overall accuracy over all rows (not the mean of tasks).
-    Output ``(keys..., metric, value)`` with metric ``task_<t>`` / ``overall``."""
+    Output ``(keys..., metric, value)`` with metric ``task_<t>`` / ``overall``.
+    One conditional aggregation per key."""
     keys = keys if keys is not None else ["head_id"]
-    per = scored.groupBy(*keys, task).agg(F.avg(F.col("win").cast("double")).alias("_a"))
-    overall = scored.groupBy(*keys).agg(F.avg(F.col("win").cast("double")).alias("_a"))
-    grid = overall.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_tasks - 1))).alias(task))
-    tasks = grid.join(per, [*keys, task], "left").select(
-        *keys, F.concat(F.lit("task_"), F.col(task).cast("string")).alias("metric"),
-        F.col("_a").alias("value"))
-    long = tasks.unionByName(overall.select(*keys, F.lit("overall").alias("metric"),
-                                            F.col("_a").alias("value")))
+    w = F.col("win").cast("double")
+    aggs = [F.avg(F.when(F.col(task) == t, w)).alias(f"task_{t}") for t in range(n_tasks)]
+    g = scored.groupBy(*keys).agg(*aggs, F.avg(w).alias("overall"))
+    names = [f"task_{t}" for t in range(n_tasks)] + ["overall"]
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])
+    long = g.select(*keys, F.inline(rows))
     if decimals is not None:
         long = long.withColumn("value", round_clean("value", decimals))
     return long

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefspark.operators import adapt as ad
-from prefspark.operators.evaluate import round_clean
-from prefspark.operators.scoring import score_heads_packed
 from prefspark.plans import fixtures as fx
 from prefspark.plans.registry import query, rnd
 
@@ -22,26 +20,24 @@ SMALL_GROUPS = 40
 
 
 # ------------------------------------------------------------------ Spark side
-def packed(spark, sf, grouping: str, head_ids: list[int] | None = None):
+def grouped_pairs(spark, sf, grouping: str):
     pairs = fx.vec_pairs(spark, sf)
     if grouping == "section":
-        pairs = ad.attach_category(pairs, fx.SECTION_MAP)
-    elif grouping == "task":
-        pairs = pairs.withColumn("grp", F.col("task_id"))
-    elif grouping == "small":
-        pairs = pairs.withColumn("grp", F.col("pair_id") % SMALL_GROUPS)
-    else:
-        raise ValueError(grouping)
-    heads = fx.heads(spark, sf)
-    if head_ids is not None:
-        heads = heads.filter(F.col("head_id").isin(head_ids))
-    return score_heads_packed(pairs, heads)
+        return ad.attach_category(pairs, fx.SECTION_MAP)
+    if grouping == "task":
+        return pairs.withColumn("grp", F.col("task_id"))
+    if grouping == "small":
+        return pairs.withColumn("grp", F.col("pair_id") % SMALL_GROUPS)
+    raise ValueError(grouping)
 
 
 def run(spark, sf, grouping="section", k=K_SECTION, mode="normalised", temperature=1.0,
         uniform=False, head_ids=None):
-    p, ids = packed(spark, sf, grouping, head_ids)
-    return ad.adapt(p, ids, k, SEEDS, temperature, mode, keep=("subset", "task_id"), uniform=uniform)
+    heads = fx.heads(spark, sf)
+    if head_ids is not None:
+        heads = heads.filter(F.col("head_id").isin(head_ids))
+    return ad.adapt_from_vectors(grouped_pairs(spark, sf, grouping), heads, k, SEEDS, temperature, mode,
+                                 keep=("subset", "task_id"), uniform=uniform)
 
 
 # ------------------------------------------------------------------ SQL side
