@@ -237,6 +237,89 @@ def apply_weights(packed: DataFrame, stats: DataFrame, weights: DataFrame,
                     F.coalesce(_weighted("sr", mode), zero).alias("agg_rejected"))
 
 
+MAX_COEF_BYTES = 512 * 1024 * 1024
+
+
+def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], max_bytes: int):
+    """Per-group (S, H) mean / std / weight tensors on the driver, after a
+    size check (groups x seeds x heads x 3 doubles)."""
+    import numpy as np
+    rows = coefficients(stats, weights).collect()
+    if not rows:
+        return {}, 0
+    h = len(rows[0]["_w"])
+    if len(rows) * h * 3 * 8 > max_bytes:
+        raise ValueError("coefficient tensors exceed the broadcast limit; use method='native'")
+    pos = {sd: i for i, sd in enumerate(seeds)}
+    out: dict = {}
+    for r in rows:
+        m, sdv, w = out.setdefault(r["grp"], (np.zeros((len(seeds), h)), np.ones((len(seeds), h)),
+                                              np.zeros((len(seeds), h))))
+        i = pos[r["seed"]]
+        m[i], sdv[i], w[i] = r["_m"], r["_s"], r["_w"]
+    return out, h
+
+
+def _apply_batches(bc, seeds: list[int], keep: list[str], mode: str):
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        coef = bc.value
+        n_s = len(seeds)
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            sc_ = np.stack(pdf["sc"].to_numpy()) if n else None
+            sr_ = np.stack(pdf["sr"].to_numpy()) if n else None
+            agg_c = np.zeros((n, n_s))
+            agg_r = np.zeros((n, n_s))
+            grp = pdf["grp"].to_numpy()
+            for g in pd.unique(grp):
+                if g is None or (isinstance(g, float) and np.isnan(g)) or g not in coef:
+                    continue
+                idx = np.nonzero(grp == g)[0]
+                m, sd, w = coef[g]
+                if mode == "normalised":
+                    agg_c[idx] = ((sc_[idx, None, :] - m) / sd * w).sum(-1)
+                    agg_r[idx] = ((sr_[idx, None, :] - m) / sd * w).sum(-1)
+                elif mode == "raw":
+                    agg_c[idx] = (sc_[idx, None, :] * w).sum(-1)
+                    agg_r[idx] = (sr_[idx, None, :] * w).sum(-1)
+                else:
+                    agg_c[idx] = ((sc_[idx, None, :] - sr_[idx, None, :]) * w).sum(-1)
+            out = {"seed": np.tile(np.array(seeds, dtype=np.int32), n),
+                   "pair_id": np.repeat(pdf["pair_id"].to_numpy(), n_s)}
+            for c in keep:
+                out[c] = np.repeat(pdf[c].to_numpy(), n_s)
+            if mode == "delta":
+                out["agg_delta"] = agg_c.reshape(-1)
+            else:
+                out["agg_chosen"] = agg_c.reshape(-1)
+                out["agg_rejected"] = agg_r.reshape(-1)
+            yield pd.DataFrame(out)
+    return run
+
+
+def apply_weights_arrow(packed: DataFrame, stats: DataFrame, weights: DataFrame,
+                        seeds: int | Sequence[int], mode: str = "normalised",
+                        keep: Sequence[str] = (), max_bytes: int = MAX_COEF_BYTES) -> DataFrame:
+    """A11/A12/A13 on Arrow batches: the per-group coefficient tensors are
+    broadcast once (size-checked) and every pair is re-scored for all seeds
+    with one vectorised numpy expression per group present in the batch.
+    Same rule and output as ``apply_weights``."""
+    seed_list = _seeds(seeds)
+    coef, _ = _coef_tensors(stats, weights, seed_list, max_bytes)
+    bc = packed.sparkSession.sparkContext.broadcast(coef)
+    keep = list(keep)
+    types = dict(packed.dtypes)
+    fields = ["seed int", "pair_id bigint"] + [f"{c} {types[c]}" for c in keep]
+    fields += ["agg_delta double"] if mode == "delta" else ["agg_chosen double", "agg_rejected double"]
+    src = packed.select("pair_id", "grp", *keep, "sc", "sr")
+    return src.mapInPandas(_apply_batches(bc, seed_list, keep, mode), ", ".join(fields))
+
+
 def with_agg_win(agg: DataFrame) -> DataFrame:
     if "agg_delta" in agg.columns:
         return agg.withColumn("win", ev.win_delta("agg_delta"))
@@ -244,10 +327,19 @@ def with_agg_win(agg: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A14-A17
+def exclude_sampled(agg: DataFrame, sample: DataFrame) -> DataFrame:
+    """Drop, per seed, the pairs that were drawn for that seed's weights
+    (left anti join with the broadcast sample)."""
+    return agg.join(F.broadcast(sample.select("seed", "pair_id").distinct()), ["seed", "pair_id"], "left_anti")
+
+
 def tta_section_scores(agg: DataFrame, section_map: Mapping, counts: Mapping,
-                       decimals: int | None = 3) -> DataFrame:
-    """Subset accuracy -> section scores -> overall, per seed (all
-    pairs, the sampled ones included), rounded per seed."""
+                       decimals: int | None = 3, sample: DataFrame | None = None) -> DataFrame:
+    """Subset accuracy -> section scores -> overall, per seed, rounded
+    per seed.  All pairs count, the sampled ones included, as in the
+    reference; pass ``sample`` to evaluate on the unsampled pairs only."""
+    if sample is not None:
+        agg = exclude_sampled(agg, sample)
     acc = ev.subset_accuracy(with_agg_win(agg), keys=["seed"])
     return ev.leaderboard(acc, section_map, counts, keys=["seed"], decimals=decimals)
 
@@ -334,7 +426,7 @@ class Adaptation:
 
 def adapt(packed: DataFrame, head_ids: list[int], k: int, seeds: int | Sequence[int] = 20,
           temperature: float = 1.0, mode: str = "normalised", keep: Sequence[str] = (),
-          uniform: bool = False) -> Adaptation:
+          uniform: bool = False, apply_method: str = "arrow") -> Adaptation:
     """The whole adaptation as one lazy plan.
 
     ``packed`` has ``pair_id, grp, sc, sr`` (+ ``keep`` columns); persist it
@@ -348,13 +440,20 @@ def adapt(packed: DataFrame, head_ids: list[int], k: int, seeds: int | Sequence[
     stats = materialise_small(group_head_stats(sampled))
     loss = group_head_loss(sampled, stats, mode)
     weights = materialise_small(uniform_weights(loss) if uniform else softmax_weights(loss, temperature))
-    agg = apply_weights(packed, stats, weights, seeds, mode, keep, n_groups)
+    agg = _apply(packed, stats, weights, seeds, mode, keep, n_groups, apply_method)
     return Adaptation(sample, sampled, stats, loss, weights, agg)
 
 
+def _apply(packed, stats, weights, seeds, mode, keep, n_groups, method):
+    if method == "arrow":
+        return apply_weights_arrow(packed, stats, weights, seeds, mode, keep)
+    return apply_weights(packed, stats, weights, seeds, mode, keep, n_groups)
+
+
 def adapt_from_vectors(pairs: DataFrame, heads, k: int, seeds: int | Sequence[int] = 20,
                        temperature: float = 1.0, mode: str = "normalised", keep: Sequence[str] = (),
-                       uniform: bool = False, method: str = "arrow") -> Adaptation:
+                       uniform: bool = False, method: str = "arrow",
+                       apply_method: str = "arrow") -> Adaptation:
     """The adaptation straight from pair vectors (``pair_id, grp, chosen,
     rejected``): the sample is drawn from ``(pair_id, grp)`` alone, only the
     sampled pairs are scored for the statistics (joined to the broadcast
@@ -376,7 +475,7 @@ def adapt_from_vectors(pairs: DataFrame, heads, k: int, seeds: int | Sequence[in
     loss = group_head_loss(sampled, stats, mode)
     weights = materialise_small(uniform_weights(loss) if uniform else softmax_weights(loss, temperature))
     packed, _ = score_heads_packed(pairs, hm, method=method)
-    agg = apply_weights(packed, stats, weights, seed_list, mode, keep, n_groups)
+    agg = _apply(packed, stats, weights, seed_list, mode, keep, n_groups, apply_method)
     return Adaptation(sample, sampled, stats, loss, weights, agg)
 
 

@@ -255,6 +255,15 @@ def a14_tta_section_scores(spark, sf):
     return ad.tta_section_scores(run(spark, sf).agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
 
 
+@query("a14_tta_section_scores_exclude_sample",
+       W(adapt_sql(), board_sql().replace("FROM agg)", "FROM agg a WHERE NOT EXISTS (SELECT 1 FROM sample x "
+                                          "WHERE x.seed = a.seed AND x.pair_id = a.pair_id))"))
+       + "\nSELECT seed, metric, value FROM board")
+def a14_tta_section_scores_exclude_sample(spark, sf):
+    a = run(spark, sf)
+    return ad.tta_section_scores(a.agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS, sample=a.sample)
+
+
 @query("a15_tta_task_scores", W(adapt_sql("task", K_TASK), task_board_sql())
        + "\nSELECT seed, metric, value FROM board")
 def a15_tta_task_scores(spark, sf):

@@ -22,6 +22,8 @@ CLUSTER_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # vectors of width 2048 are 8 KB a side: keep Arrow batches near 32 MB
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }
 
 

@@ -327,3 +327,34 @@ def test_with_pair_id_is_dense_across_partitions(spark):
     out = pr.with_pair_id(df, ["k"]).collect()
     got = sorted((r.k, r.pair_id) for r in out)
     assert [p for _, p in got] == list(range(5000))
+
+
+def test_apply_weights_native_equals_arrow(spark):
+    pairs = ad.attach_category(fx.vec_pairs(spark, SF_MID), fx.SECTION_MAP)
+    for mode in ("normalised", "raw", "delta"):
+        a = ad.adapt_from_vectors(pairs, fx.heads(spark, SF_MID), 15, [0, 3], mode=mode, keep=("subset",))
+        b = ad.apply_weights(sc.score_heads_packed(pairs, fx.heads(spark, SF_MID))[0], a.stats, a.weights,
+                             [0, 3], mode, ("subset",))
+        cols = ["agg_delta"] if mode == "delta" else ["agg_chosen", "agg_rejected"]
+        ga = {(r.seed, r.pair_id): tuple(r[c] for c in cols) + (r.subset,) for r in a.agg.collect()}
+        gb = {(r.seed, r.pair_id): tuple(r[c] for c in cols) + (r.subset,) for r in b.collect()}
+        assert ga.keys() == gb.keys() and len(ga) == 500
+        for key, va in ga.items():
+            assert va[-1] == gb[key][-1]
+            np.testing.assert_allclose(va[:-1], gb[key][:-1], atol=1e-12)
+
+
+def test_bundle_from_aligned(spark):
+    from prefspark.sources import readers as rd
+    df = spark.createDataFrame([(["a", "b"], ["s1", "s2"], [[[1.0, 2.0], [3.0, 4.0]], [[5.0, 6.0], [7.0, 8.0]]])],
+                               "ids array<string>, subsets array<string>, embs array<array<array<float>>>")
+    got = [(r.id, r.subset, r.chosen, r.rejected) for r in rd.bundle_from_aligned(df).collect()]
+    assert got == [("a", "s1", [1.0, 2.0], [3.0, 4.0]), ("b", "s2", [5.0, 6.0], [7.0, 8.0])]
+
+
+def test_exclude_sampled_drops_exactly_the_sample(spark):
+    pairs = ad.attach_category(fx.vec_pairs(spark, SF_MID), fx.SECTION_MAP)
+    a = ad.adapt_from_vectors(pairs, fx.heads(spark, SF_MID), 15, [0, 1])
+    kept = ad.exclude_sampled(a.agg, a.sample)
+    n_sampled = a.sample.select("seed", "pair_id").distinct().count()
+    assert kept.count() == a.agg.count() - n_sampled
