@@ -134,26 +134,25 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
 
 # ---------------------------------------------------------------- A6-A8
 def sampled_values(sample: DataFrame, packed: DataFrame, head_ids: list[int],
-                   bound: int | None = None) -> DataFrame:
+                   bound: int | None = None, cfg: Sequence[str] = ()) -> DataFrame:
     """Sampled rows joined to their packed scores, exploded per head:
-    ``(seed, grp, slot, pair_id, head_id, c, r)``.  ``bound`` = seeds x
-    groups x k rows."""
+    ``(cfg..., seed, grp, slot, pair_id, head_id, c, r)``.  ``bound`` =
+    seeds x groups x k rows."""
     s = checked_broadcast(sample, bound)
     ids = F.lit([int(i) for i in head_ids]).cast("array<bigint>")
     j = packed.select("pair_id", "sc", "sr").join(s, "pair_id")
     z = F.arrays_zip(ids.alias("head_id"), F.col("sc").alias("c"), F.col("sr").alias("r"))
-    return j.select("seed", "grp", "slot", "pair_id", F.inline(z))
+    return j.select(*cfg, "seed", "grp", "slot", "pair_id", F.inline(z))
 
 
-def group_head_stats(sampled: DataFrame) -> DataFrame:
+def group_head_stats(sampled: DataFrame, cfg: Sequence[str] = ()) -> DataFrame:
     """Mean and sample std of the 2k values (chosen and rejected) per
     (seed, group, head); duplicates count; a std of 0 becomes 1."""
-    both = sampled.select("seed", "grp", "head_id",
-                          F.explode(F.array(F.col("c"), F.col("r"))).alias("v"))
-    g = both.groupBy("seed", "grp", "head_id").agg(F.avg("v").alias("mean"),
-                                                   F.stddev_samp("v").alias("_sd"))
+    keys = [*cfg, "seed", "grp", "head_id"]
+    both = sampled.select(*keys, F.explode(F.array(F.col("c"), F.col("r"))).alias("v"))
+    g = both.groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("_sd"))
     sd = F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
-    return g.select("seed", "grp", "head_id", "mean", sd.alias("std"))
+    return g.select(*keys, "mean", sd.alias("std"))
 
 
 def standardise(df: DataFrame, stats: DataFrame, cols: Sequence[str] = ("c", "r"),
@@ -165,42 +164,45 @@ def standardise(df: DataFrame, stats: DataFrame, cols: Sequence[str] = ("c", "r"
     return j.drop("mean", "std")
 
 
-def group_head_loss(sampled: DataFrame, stats: DataFrame, mode: str = "normalised") -> DataFrame:
+def group_head_loss(sampled: DataFrame, stats: DataFrame, mode: str = "normalised",
+                    cfg: Sequence[str] = ()) -> DataFrame:
     """Sum over the k sampled pairs of softplus(-(c - r)), on standardised
     scores (``normalised``), raw scores (``raw``) or raw deltas (``delta``)."""
+    keys = [*cfg, "seed", "grp", "head_id"]
     if mode == "normalised":
-        z = standardise(sampled, stats)
+        z = standardise(sampled, stats, keys=keys)
     elif mode in ("raw", "delta"):
         z = sampled
     else:
         raise ValueError(f"mode must be one of {MODES}")
-    return z.groupBy("seed", "grp", "head_id").agg(
-        F.sum(softplus(-(F.col("c") - F.col("r")))).alias("loss"))
+    return z.groupBy(*keys).agg(F.sum(softplus(-(F.col("c") - F.col("r")))).alias("loss"))
 
 
 # ---------------------------------------------------------------- A9-A10
-def softmax_weights(loss: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """Softmax over heads of -loss/T within (seed, group)."""
-    w = Window.partitionBy("seed", "grp")
-    x = -F.col("loss") / F.lit(float(temperature))
+def softmax_weights(loss: DataFrame, temperature: float | str = 1.0, cfg: Sequence[str] = ()) -> DataFrame:
+    """Softmax over heads of -loss/T within (seed, group); ``temperature``
+    is a number or the name of a column."""
+    w = Window.partitionBy(*cfg, "seed", "grp")
+    t = F.col(temperature) if isinstance(temperature, str) else F.lit(float(temperature))
+    x = -F.col("loss") / t
     e = loss.withColumn("_x", x).withColumn("_e", F.exp(F.col("_x") - F.max("_x").over(w)))
-    return e.select("seed", "grp", "head_id", (F.col("_e") / F.sum("_e").over(w)).alias("weight"))
+    return e.select(*cfg, "seed", "grp", "head_id", (F.col("_e") / F.sum("_e").over(w)).alias("weight"))
 
 
-def uniform_weights(loss: DataFrame) -> DataFrame:
+def uniform_weights(loss: DataFrame, cfg: Sequence[str] = ()) -> DataFrame:
     """A10: 1/H per head."""
-    w = Window.partitionBy("seed", "grp")
-    return loss.select("seed", "grp", "head_id", (1.0 / F.count(F.lit(1)).over(w)).alias("weight"))
+    w = Window.partitionBy(*cfg, "seed", "grp")
+    return loss.select(*cfg, "seed", "grp", "head_id", (1.0 / F.count(F.lit(1)).over(w)).alias("weight"))
 
 
 # ---------------------------------------------------------------- A11-A13
-def coefficients(stats: DataFrame, weights: DataFrame) -> DataFrame:
+def coefficients(stats: DataFrame, weights: DataFrame, cfg: Sequence[str] = ()) -> DataFrame:
     """Per (seed, group): mean / std / weight arrays in head order (H entries)."""
-    j = weights.join(stats, ["seed", "grp", "head_id"])
+    j = weights.join(stats, [*cfg, "seed", "grp", "head_id"])
     s = F.sort_array(F.collect_list(F.struct("head_id", "mean", "std", "weight")))
-    return j.groupBy("seed", "grp").agg(s.alias("_h")).select(
-        "seed", "grp", F.col("_h.mean").alias("_m"), F.col("_h.std").alias("_s"),
-        F.col("_h.weight").alias("_w"))
+    return j.groupBy(*cfg, "seed", "grp").agg(s.alias("_h")).select(
+        *cfg, "seed", "grp", F.col("_h.head_id").alias("_ids"), F.col("_h.mean").alias("_m"),
+        F.col("_h.std").alias("_s"), F.col("_h.weight").alias("_w"))
 
 
 def _weighted(vals: str, mode: str) -> Column:
@@ -240,41 +242,48 @@ def apply_weights(packed: DataFrame, stats: DataFrame, weights: DataFrame,
 MAX_COEF_BYTES = 512 * 1024 * 1024
 
 
-def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], max_bytes: int):
-    """Per-group (S, H) mean / std / weight tensors on the driver, after a
-    size check (groups x seeds x heads x 3 doubles)."""
+def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], head_ids: list[int] | None,
+                  cfg: Sequence[str], max_bytes: int):
+    """Per-group (C, S, H) mean / std / weight tensors on the driver, after a
+    size check (groups x configurations x seeds x heads x 3 doubles).  Heads
+    outside a configuration's set get weight 0."""
     import numpy as np
-    rows = coefficients(stats, weights).collect()
+    rows = coefficients(stats, weights, cfg).collect()
     if not rows:
-        return {}, 0
-    h = len(rows[0]["_w"])
-    if len(rows) * h * 3 * 8 > max_bytes:
+        return {}, []
+    ids = head_ids if head_ids is not None else [int(h) for h in rows[0]["_ids"]]
+    hpos = {h: i for i, h in enumerate(ids)}
+    configs = sorted({tuple(r[c] for c in cfg) for r in rows})
+    cpos = {c: i for i, c in enumerate(configs)}
+    spos = {sd: i for i, sd in enumerate(seeds)}
+    groups = {r["grp"] for r in rows}
+    if len(groups) * len(configs) * len(seeds) * len(ids) * 3 * 8 > max_bytes:
         raise ValueError("coefficient tensors exceed the broadcast limit; use method='native'")
-    pos = {sd: i for i, sd in enumerate(seeds)}
+    shape = (len(configs), len(seeds), len(ids))
     out: dict = {}
     for r in rows:
-        m, sdv, w = out.setdefault(r["grp"], (np.zeros((len(seeds), h)), np.ones((len(seeds), h)),
-                                              np.zeros((len(seeds), h))))
-        i = pos[r["seed"]]
-        m[i], sdv[i], w[i] = r["_m"], r["_s"], r["_w"]
-    return out, h
+        m, sdv, w = out.setdefault(r["grp"], (np.zeros(shape), np.ones(shape), np.zeros(shape)))
+        ci, si = cpos[tuple(r[c] for c in cfg)], spos[r["seed"]]
+        cols = [hpos[int(h)] for h in r["_ids"]]
+        m[ci, si, cols], sdv[ci, si, cols], w[ci, si, cols] = r["_m"], r["_s"], r["_w"]
+    return out, configs
 
 
-def _apply_batches(bc, seeds: list[int], keep: list[str], mode: str):
+def _apply_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], keep: list[str], mode: str):
     import numpy as np
     import pandas as pd
 
     def run(batches):
         coef = bc.value
-        n_s = len(seeds)
+        n_c, n_s = max(len(configs), 1), len(seeds)
         for pdf in batches:
             n = len(pdf)
             if n == 0:
                 continue
-            sc_ = np.stack(pdf["sc"].to_numpy()) if n else None
-            sr_ = np.stack(pdf["sr"].to_numpy()) if n else None
-            agg_c = np.zeros((n, n_s))
-            agg_r = np.zeros((n, n_s))
+            sc_ = np.stack(pdf["sc"].to_numpy())[:, None, None, :]
+            sr_ = np.stack(pdf["sr"].to_numpy())[:, None, None, :]
+            agg_c = np.zeros((n, n_c, n_s))
+            agg_r = np.zeros((n, n_c, n_s))
             grp = pdf["grp"].to_numpy()
             for g in pd.unique(grp):
                 if g is None or (isinstance(g, float) and np.isnan(g)) or g not in coef:
@@ -282,17 +291,21 @@ def _apply_batches(bc, seeds: list[int], keep: list[str], mode: str):
                 idx = np.nonzero(grp == g)[0]
                 m, sd, w = coef[g]
                 if mode == "normalised":
-                    agg_c[idx] = ((sc_[idx, None, :] - m) / sd * w).sum(-1)
-                    agg_r[idx] = ((sr_[idx, None, :] - m) / sd * w).sum(-1)
+                    agg_c[idx] = ((sc_[idx] - m) / sd * w).sum(-1)
+                    agg_r[idx] = ((sr_[idx] - m) / sd * w).sum(-1)
                 elif mode == "raw":
-                    agg_c[idx] = (sc_[idx, None, :] * w).sum(-1)
-                    agg_r[idx] = (sr_[idx, None, :] * w).sum(-1)
+                    agg_c[idx] = (sc_[idx] * w).sum(-1)
+                    agg_r[idx] = (sr_[idx] * w).sum(-1)
                 else:
-                    agg_c[idx] = ((sc_[idx, None, :] - sr_[idx, None, :]) * w).sum(-1)
-            out = {"seed": np.tile(np.array(seeds, dtype=np.int32), n),
-                   "pair_id": np.repeat(pdf["pair_id"].to_numpy(), n_s)}
+                    agg_c[idx] = ((sc_[idx] - sr_[idx]) * w).sum(-1)
+            reps = n_c * n_s
+            out = {}
+            for j, c in enumerate(cfg):
+                out[c] = np.tile(np.repeat(np.array([cf[j] for cf in configs]), n_s), n)
+            out["seed"] = np.tile(np.array(seeds, dtype=np.int32), n * n_c)
+            out["pair_id"] = np.repeat(pdf["pair_id"].to_numpy(), reps)
             for c in keep:
-                out[c] = np.repeat(pdf[c].to_numpy(), n_s)
+                out[c] = np.repeat(pdf[c].to_numpy(), reps)
             if mode == "delta":
                 out["agg_delta"] = agg_c.reshape(-1)
             else:
@@ -304,20 +317,26 @@ def _apply_batches(bc, seeds: list[int], keep: list[str], mode: str):
 
 def apply_weights_arrow(packed: DataFrame, stats: DataFrame, weights: DataFrame,
                         seeds: int | Sequence[int], mode: str = "normalised",
-                        keep: Sequence[str] = (), max_bytes: int = MAX_COEF_BYTES) -> DataFrame:
+                        keep: Sequence[str] = (), max_bytes: int = MAX_COEF_BYTES,
+                        cfg: Sequence[str] = (), head_ids: list[int] | None = None) -> DataFrame:
     """A11/A12/A13 on Arrow batches: the per-group coefficient tensors are
-    broadcast once (size-checked) and every pair is re-scored for all seeds
-    with one vectorised numpy expression per group present in the batch.
-    Same rule and output as ``apply_weights``."""
+    broadcast once (size-checked) and every pair is re-scored for all
+    configurations and seeds with one vectorised numpy expression per group
+    present in the batch.  Same rule and output as ``apply_weights``, plus
+    the configuration columns ``cfg``."""
     seed_list = _seeds(seeds)
-    coef, _ = _coef_tensors(stats, weights, seed_list, max_bytes)
+    cfg = list(cfg)
+    coef, configs = _coef_tensors(stats, weights, seed_list, head_ids, cfg, max_bytes)
+    if not cfg:
+        configs = [()]
     bc = packed.sparkSession.sparkContext.broadcast(coef)
     keep = list(keep)
-    types = dict(packed.dtypes)
-    fields = ["seed int", "pair_id bigint"] + [f"{c} {types[c]}" for c in keep]
+    types = {**dict(packed.dtypes), **dict(weights.dtypes)}
+    fields = [f"{c} {types[c]}" for c in cfg] + ["seed int", "pair_id bigint"]
+    fields += [f"{c} {types[c]}" for c in keep]
     fields += ["agg_delta double"] if mode == "delta" else ["agg_chosen double", "agg_rejected double"]
     src = packed.select("pair_id", "grp", *keep, "sc", "sr")
-    return src.mapInPandas(_apply_batches(bc, seed_list, keep, mode), ", ".join(fields))
+    return src.mapInPandas(_apply_batches(bc, seed_list, configs, cfg, keep, mode), ", ".join(fields))
 
 
 def with_agg_win(agg: DataFrame) -> DataFrame:
@@ -334,20 +353,21 @@ def exclude_sampled(agg: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def tta_section_scores(agg: DataFrame, section_map: Mapping, counts: Mapping,
-                       decimals: int | None = 3, sample: DataFrame | None = None) -> DataFrame:
+                       decimals: int | None = 3, sample: DataFrame | None = None,
+                       keys: Sequence[str] = ("seed",)) -> DataFrame:
     """Subset accuracy -> section scores -> overall, per seed, rounded
     per seed.  All pairs count, the sampled ones included, as in the
     reference; pass ``sample`` to evaluate on the unsampled pairs only."""
     if sample is not None:
         agg = exclude_sampled(agg, sample)
-    acc = ev.subset_accuracy(with_agg_win(agg), keys=["seed"])
-    return ev.leaderboard(acc, section_map, counts, keys=["seed"], decimals=decimals)
+    acc = ev.subset_accuracy(with_agg_win(agg), keys=list(keys))
+    return ev.leaderboard(acc, section_map, counts, keys=list(keys), decimals=decimals)
 
 
 def tta_task_scores(agg: DataFrame, n_tasks: int, task: str = "task_id",
-                    decimals: int | None = 3) -> DataFrame:
+                    decimals: int | None = 3, keys: Sequence[str] = ("seed",)) -> DataFrame:
     """Per-task accuracy (null for an empty task) and overall, per seed."""
-    return ev.task_accuracy(with_agg_win(agg), n_tasks, keys=["seed"], task=task,
+    return ev.task_accuracy(with_agg_win(agg), n_tasks, keys=list(keys), task=task,
                             decimals=decimals)
 
 
@@ -452,42 +472,57 @@ def _apply(packed, stats, weights, seeds, mode, keep, n_groups, method):
 
 def adapt_from_vectors(pairs: DataFrame, heads, k: int, seeds: int | Sequence[int] = 20,
                        temperature: float = 1.0, mode: str = "normalised", keep: Sequence[str] = (),
-                       uniform: bool = False, method: str = "arrow",
-                       apply_method: str = "arrow") -> Adaptation:
+                       uniform: bool = False) -> Adaptation:
     """The adaptation straight from pair vectors (``pair_id, grp, chosen,
-    rejected``): the sample is drawn from ``(pair_id, grp)`` alone, only the
-    sampled pairs are scored for the statistics (joined to the broadcast
-    sample *before* scoring), and every pair is scored once for the final
-    weighted sum.  No intermediate table is cached."""
+    rejected``) for one configuration: ``adapt_grid`` with a single (all
+    heads, k, T) configuration, configuration columns dropped."""
+    g = adapt_grid(pairs, heads, None, [k], [temperature], seeds, mode, keep, uniform)
+    drop = lambda df: df.drop(*[c for c in CONFIG if c in df.columns])
+    return Adaptation(drop(g.sample), drop(g.sampled), drop(g.stats), drop(g.loss), drop(g.weights), drop(g.agg))
+
+
+CONFIG = ("num_heads", "k", "temperature")
+
+
+def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] | None,
+               ks: Sequence[int], temperatures: Sequence[float], seeds: int | Sequence[int] = 20,
+               mode: str = "normalised", keep: Sequence[str] = (), uniform: bool = False) -> Adaptation:
+    """A18 as one plan: every configuration (head subset x k x temperature)
+    and every seed in the same jobs, with the configuration as columns.
+
+    One sample per k (the group sizes are counted once), one scoring pass of
+    the sampled pairs under the full head set, statistics / losses / weights
+    grouped by configuration, and one Arrow pass over all pairs that
+    produces every (configuration, seed) weighted sum.  ``head_sets`` maps
+    ``num_heads`` to the head ids it uses (default: all heads)."""
     from prefspark.operators.scoring import collect_heads, score_heads_packed
     hm = collect_heads(heads) if isinstance(heads, DataFrame) else heads
+    head_sets = head_sets or {len(hm.ids): hm.ids}
     seed_list = _seeds(seeds)
+    spark = pairs.sparkSession
     meta = pairs.select("pair_id", "grp")
     sizes = materialise_small(group_sizes(meta))
     n_groups = sizes.count()
-    sample = sample_per_group(meta, k, seed_list, n_groups=n_groups, sizes=sizes)
-    bound = n_groups * len(seed_list) * k
+    sample = None
+    for k in ks:
+        part = sample_per_group(meta, k, seed_list, n_groups=n_groups, sizes=sizes) \
+            .select(F.lit(int(k)).alias("k"), "*")
+        sample = part if sample is None else sample.unionByName(part)
+    bound = n_groups * len(seed_list) * int(sum(ks))
     ids_needed = checked_broadcast(sample.select("pair_id").distinct(), bound)
-    few = pairs.join(ids_needed, "pair_id", "left_semi")
-    few_packed, ids = score_heads_packed(few, hm, method=method)
-    sampled = materialise_small(sampled_values(sample, few_packed, ids, bound))
-    stats = materialise_small(group_head_stats(sampled))
-    loss = group_head_loss(sampled, stats, mode)
-    weights = materialise_small(uniform_weights(loss) if uniform else softmax_weights(loss, temperature))
-    packed, _ = score_heads_packed(pairs, hm, method=method)
-    agg = _apply(packed, stats, weights, seed_list, mode, keep, n_groups, apply_method)
+    few_packed, ids = score_heads_packed(pairs.join(ids_needed, "pair_id", "left_semi"), hm)
+    hmap = spark.createDataFrame([(int(n), int(h)) for n, hs in head_sets.items() for h in hs],
+                                 "num_heads int, head_id bigint")
+    sampled = sampled_values(sample, few_packed, ids, bound, cfg=["k"]).join(F.broadcast(hmap), "head_id")
+    sampled = materialise_small(sampled)
+    cfg = ["num_heads", "k"]
+    stats = materialise_small(group_head_stats(sampled, cfg))
+    temps = F.explode(F.array(*[F.lit(float(t)) for t in temperatures])).alias("temperature")
+    loss = group_head_loss(sampled, stats, mode, cfg).select("*", temps)
+    cfg_t = [*cfg, "temperature"]
+    weights = materialise_small(uniform_weights(loss, cfg_t) if uniform
+                                else softmax_weights(loss, "temperature", cfg_t))
+    packed, _ = score_heads_packed(pairs, hm)
+    agg = apply_weights_arrow(packed, stats.select("*", temps), weights, seed_list, mode, keep,
+                              cfg=cfg_t, head_ids=hm.ids)
     return Adaptation(sample, sampled, stats, loss, weights, agg)
-
-
-def config_grid(run, head_counts: Sequence[int], ks: Sequence[int],
-                temperatures: Sequence[float]) -> DataFrame:
-    """Union of ``run(n_heads, k, T)`` over the configuration grid, each
-    tagged with its configuration columns."""
-    out = None
-    for n in head_counts:
-        for k in ks:
-            for t in temperatures:
-                df = run(n, k, t).select(F.lit(int(n)).alias("num_heads"), F.lit(int(k)).alias("k"),
-                                         F.lit(float(t)).alias("temperature"), "*")
-                out = df if out is None else out.unionByName(df)
-    return out

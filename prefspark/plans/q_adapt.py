@@ -315,21 +315,25 @@ def _grid_sql(select: str, extra: str = "") -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _grid(spark, sf):
+    heads = {n: _grid_heads(n) for n in GRID_HEADS}
+    return ad.adapt_grid(grouped_pairs(spark, sf, "section"), fx.heads(spark, sf), heads, GRID_KS, [1.0], SEEDS,
+                         keep=("subset", "task_id"))
+
+
 @query("a18_config_grid", _grid_sql(STATS_SELECT, extra="board"))
 def a18_config_grid(spark, sf):
-    def one(n, k, t):
-        a = run(spark, sf, "section", k, temperature=t, head_ids=_grid_heads(n))
-        return ad.seed_statistics(ad.tta_section_scores(a.agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS))
-    return ad.config_grid(one, GRID_HEADS, GRID_KS, [1.0])
+    a = _grid(spark, sf)
+    keys = list(ad.CONFIG)
+    board = ad.tta_section_scores(a.agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS, keys=[*keys, "seed"])
+    return ad.seed_statistics(board, keys=keys)
 
 
 @query("a19_weight_table", _grid_sql(
     "SELECT seed, grp, head_id, round(weight, 6) AS weight FROM weights"))
 def a19_weight_table(spark, sf):
-    def one(n, k, t):
-        a = run(spark, sf, "section", k, temperature=t, head_ids=_grid_heads(n))
-        return a.weights.select("seed", "grp", "head_id", r6("weight"))
-    return ad.config_grid(one, GRID_HEADS, GRID_KS, [1.0])
+    w = _grid(spark, sf).weights
+    return w.select(*ad.CONFIG, "seed", "grp", "head_id", r6("weight"))
 
 
 # ------------------------------------------------------------------ A1-A3
