@@ -9,7 +9,6 @@ per row), expressed as joins and array functions.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -32,19 +31,24 @@ def embed_pairs(df: DataFrame, make_encoder: Callable[[], PredictFn],
 
 def hashing_encoder(dim: int = 64, n: int = 3) -> Callable[[], PredictFn]:
     """A small deterministic stand-in encoder for tests and fixtures: signed
-    hashed character n-gram counts of the whole text, L2-normalised."""
+    hashed byte n-gram counts of the whole UTF-8 text, L2-normalised
+    (vectorised with numpy per text)."""
     def make() -> PredictFn:
         def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
+            out = np.zeros((len(texts), dim), dtype=np.float64)
             for r, t in enumerate(texts):
-                s = str(t)
-                for i in range(max(len(s) - n + 1, 0)):
-                    h = zlib.crc32(s[i:i + n].encode("utf-8"))
-                    out[r, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-                norm = float(np.linalg.norm(out[r]))
+                b = np.frombuffer(str(t).encode("utf-8"), dtype=np.uint8).astype(np.uint64)
+                if len(b) < n:
+                    continue
+                h = np.zeros(len(b) - n + 1, dtype=np.uint64)
+                for j in range(n):
+                    h = (h * np.uint64(1000003) + b[j:len(b) - n + 1 + j]) & np.uint64(0xFFFFFFFF)
+                sign = np.where((h >> np.uint64(16)) & np.uint64(1), 1.0, -1.0)
+                np.add.at(out[r], (h % np.uint64(dim)).astype(np.int64), sign)
+                norm = np.linalg.norm(out[r])
                 if norm > 0:
                     out[r] /= norm
-            return out
+            return out.astype(np.float32)
         return predict
     return make
 
