@@ -516,13 +516,17 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
     sampled = sampled_values(sample, few_packed, ids, bound, cfg=["k"]).join(F.broadcast(hmap), "head_id")
     sampled = materialise_small(sampled)
     cfg = ["num_heads", "k"]
-    stats = materialise_small(group_head_stats(sampled, cfg))
+    stats = group_head_stats(sampled, cfg)
     temps = F.explode(F.array(*[F.lit(float(t)) for t in temperatures])).alias("temperature")
     loss = group_head_loss(sampled, stats, mode, cfg).select("*", temps)
     cfg_t = [*cfg, "temperature"]
-    weights = materialise_small(uniform_weights(loss, cfg_t) if uniform
-                                else softmax_weights(loss, "temperature", cfg_t))
+    weights = uniform_weights(loss, cfg_t) if uniform else softmax_weights(loss, "temperature", cfg_t)
+    # statistics and weights side by side in one small materialised table
+    keys = [*cfg, "seed", "grp", "head_id"]
+    both = materialise_small(weights.join(stats, keys))
+    stats = both.filter(F.col("temperature") == F.lit(float(temperatures[0]))).select(*keys, "mean", "std")
+    weights = both.select(*cfg_t, "seed", "grp", "head_id", "weight")
     packed, _ = score_heads_packed(pairs, hm)
-    agg = apply_weights_arrow(packed, stats.select("*", temps), weights, seed_list, mode, keep,
-                              cfg=cfg_t, head_ids=hm.ids)
+    agg = apply_weights_arrow(packed, both.select(*cfg_t, "seed", "grp", "head_id", "mean", "std"), weights,
+                              seed_list, mode, keep, cfg=cfg_t, head_ids=hm.ids)
     return Adaptation(sample, sampled, stats, loss, weights, agg)
