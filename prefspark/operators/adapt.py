@@ -13,8 +13,9 @@ Scale notes
 * Sampling never ranks a whole group in one task.  A seeded md5 value ``u``
   orders the rows; rows above a per-group threshold (expected
   ``k + 8 sqrt(k) + 16`` survivors) are dropped before the window, and any
-  (seed, group) left with fewer than ``min(k, n)`` survivors is ranked again
-  over all its rows, so the result is exactly the k smallest ``u``.
+  (seed, group) left with fewer than ``min(k, n)`` survivors has its
+  threshold widened and is checked again, so the result is exactly the k
+  smallest ``u``.
 * The small tables (group sizes, sample, per-(seed, group) coefficients)
   are broadcast only after their row count is checked.
 """
@@ -90,6 +91,20 @@ def _threshold(k: int) -> Column:
         F.ceil(F.lit(keep * U_RANGE) / F.col("_n")).cast("bigint"))
 
 
+WIDEN = 16
+MAX_ROUNDS = 10
+
+
+def _candidates(base: DataFrame, widen: DataFrame | None) -> DataFrame:
+    """Rows under their (seed, group) threshold, widened where ``widen``
+    holds a multiplier."""
+    if widen is None:
+        return base.filter(F.col("_u") < F.col("_t"))
+    j = base.join(F.broadcast(widen), ["seed", "grp"], "left")
+    t = F.least(F.col("_t").cast("double") * F.coalesce(F.col("_m"), F.lit(1.0)), F.lit(float(U_RANGE)))
+    return j.filter(F.col("_u").cast("double") < t).drop("_m")
+
+
 def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: str = "grp",
                      key: str = "pair_id", n_groups: int | None = None,
                      sizes: DataFrame | None = None) -> DataFrame:
@@ -99,31 +114,46 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
     (ties by key), slot = rank.  Groups with n < k: k draws with
     replacement, slot j takes the row of rank ``md5(grp|seed|j) % n + 1``.
     Rows with a null group are never sampled.
+
+    Only rows under a per-group threshold reach the ranking window.  A
+    (seed, group) left with fewer than min(k, n) candidates gets its
+    threshold multiplied by 16 and is checked again (a small driver loop on
+    the short keys only), so the result is exactly the k smallest while no
+    window ever holds more than a bounded candidate set.
     """
     if sizes is None:
         sizes = materialise_small(group_sizes(meta, grp))
     if n_groups is None:
         n_groups = sizes.count()
-    sizes = checked_broadcast(sizes, n_groups)
+    seed_list = _seeds(seeds)
+    sizes = checked_broadcast(sizes.withColumnRenamed(grp, "grp"), n_groups)
     base = (meta.filter(F.col(grp).isNotNull()).select(F.col(key).alias("pair_id"), F.col(grp).alias("grp"))
-            .join(sizes.withColumnRenamed(grp, "grp"), "grp")
-            .select("pair_id", "grp", "_n", seed_column(seeds).alias("seed"))
+            .join(sizes, "grp")
+            .select("pair_id", "grp", "_n", seed_column(seed_list).alias("seed"))
             .withColumn("_u", md5_uniform(F.col("pair_id"), F.col("seed")))
             .withColumn("_t", _threshold(k)))
-    cand = base.filter(F.col("_u") < F.col("_t"))
-    got = cand.groupBy("seed", "grp").agg(F.count(F.lit(1)).alias("_c"))
-    grid = sizes.withColumnRenamed(grp, "grp").select("grp", "_n", seed_column(seeds).alias("seed"))
-    short = (grid.join(got, ["seed", "grp"], "left")
-             .filter(F.coalesce(F.col("_c"), F.lit(0)) < F.least(F.lit(k), F.col("_n"))).select("seed", "grp"))
-    short = checked_broadcast(short, n_groups * len(_seeds(seeds)))
-    rest = base.filter(F.col("_u") >= F.col("_t")).join(short, ["seed", "grp"], "left_semi")
-    rows = cand.unionByName(rest)
+    grid = sizes.select("grp", "_n", seed_column(seed_list).alias("seed"))
+    widen = None
+    for _ in range(MAX_ROUNDS):
+        got = _candidates(base, widen).groupBy("seed", "grp").agg(F.count(F.lit(1)).alias("_c"))
+        short = materialise_small(
+            grid.join(got, ["seed", "grp"], "left")
+            .filter(F.coalesce(F.col("_c"), F.lit(0)) < F.least(F.lit(k), F.col("_n"))).select("seed", "grp"))
+        if short.isEmpty():
+            break
+        grown = short.select("seed", "grp", F.lit(float(WIDEN)).alias("_g"))
+        if widen is None:
+            widen = materialise_small(grown.withColumnRenamed("_g", "_m"))
+        else:
+            widen = materialise_small(
+                widen.join(grown, ["seed", "grp"], "full")
+                .select("seed", "grp", (F.coalesce("_m", F.lit(1.0)) * F.coalesce("_g", F.lit(1.0))).alias("_m")))
+    rows = _candidates(base, widen)
     w = Window.partitionBy("seed", "grp").orderBy("_u", "pair_id")
     ranked = rows.withColumn("_rk", F.row_number().over(w)).filter(
         (F.col("_rk") <= k) | (F.col("_n") < k))
     plain = ranked.filter(F.col("_n") >= k).select("seed", "grp", F.col("_rk").alias("slot"), "pair_id")
-    draws = (sizes.withColumnRenamed(grp, "grp").filter(F.col("_n") < k)
-             .select("grp", "_n", seed_column(seeds).alias("seed"))
+    draws = (grid.filter(F.col("_n") < k)
              .select("grp", "_n", "seed", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot"))
              .withColumn("_rk", (md5_uniform(F.col("grp"), F.col("seed"), F.col("slot")) % F.col("_n") + 1)
                          .cast("int")))
