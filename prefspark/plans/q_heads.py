@@ -139,7 +139,23 @@ def h12_random_head_scores(spark, sf):
                     F.round("s_rejected", 6).alias("s_rejected"))
 
 
-@query("h12_random_heads_gaussian_l2")
+def _gauss_sql() -> str:
+    def u(tag):
+        return (f"((CAST('0x' || substring(md5('0|{tag}|' || CAST(h.head_id AS VARCHAR) || '|' || CAST(j AS VARCHAR)),"
+                f" 1, 8) AS BIGINT) + 0.5) / 4294967296.0)")
+    return f"""
+WITH dim AS (SELECT max(len(embedding)) AS d FROM embeddings),
+g AS (SELECT h.head_id, list_transform(range(0, dim.d),
+                 lambda j: sqrt(-2 * ln({u('g1')})) * cos(2 * pi() * {u('g2')})) AS w
+      FROM range({N_RANDOM}) h(head_id), dim),
+rh AS (SELECT head_id, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) AS w
+       FROM g)
+SELECT p.pair_id, CAST(h.head_id AS BIGINT) AS head_id,
+       round(list_dot_product(list_transform(p.chosen, lambda x: CAST(x AS DOUBLE)), h.w), 6) + 0.0 AS s_chosen
+FROM fx_vec_pairs p, rh h"""
+
+
+@query("h12_random_heads_gaussian_l2", _gauss_sql())
 def h12_random_heads_gaussian_l2(spark, sf):
     pairs = fx.vec_pairs(spark, sf)
     d = pairs.agg(F.max(F.size("chosen"))).first()[0]

@@ -151,6 +151,9 @@ def test_pca_matches_numpy(spark):
     np.testing.assert_allclose(np.array([r.proj for r in proj]), xc @ res.components.T, atol=1e-9)
     full = hd.fit_pca(diffs, None)
     assert full.explained_variance_ratio.sum() == pytest.approx(1.0, abs=1e-9)
+    ml = hd.fit_pca(diffs, 8, method="ml")
+    np.testing.assert_allclose(ml.explained_variance_ratio, res.explained_variance_ratio, atol=1e-9)
+    np.testing.assert_allclose(np.abs(ml.components @ res.components.T), np.eye(8), atol=1e-6)
 
 
 def test_select_heads_rules(spark):
