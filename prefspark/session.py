@@ -40,6 +40,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_library(spark)
     return spark
 
 
@@ -68,3 +69,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, as ``--py-files``
+    would: a zip of the package is added with ``addPyFile`` once per
+    context (its name carries a content hash, so an edited package is
+    shipped again)."""
+    import hashlib
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha1()
+    for f in files:
+        digest.update(f.encode())
+        with open(f, "rb") as fh:
+            digest.update(fh.read())
+    tag = digest.hexdigest()[:16]
+    if getattr(sc, "_prefspark_shipped", None) == tag:
+        return
+    out = os.path.join(tempfile.gettempdir(), f"prefspark-{tag}.zip")
+    if not os.path.exists(out):
+        tmp = out + f".{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.relpath(f, os.path.dirname(root)))
+        os.replace(tmp, out)
+    sc.addPyFile(out)
+    sc._prefspark_shipped = tag

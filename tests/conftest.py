@@ -13,7 +13,7 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from prefspark.session import ensure_checkpoint_dir
+    from prefspark.session import ensure_checkpoint_dir, ship_library
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
@@ -23,5 +23,6 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship_library(s)
     yield s
     s.stop()
