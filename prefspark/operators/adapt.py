@@ -48,11 +48,6 @@ def checked_broadcast(df: DataFrame, bound: int | None = None,
     return F.broadcast(df) if n <= max_rows else df
 
 
-def count_groups(meta: DataFrame, grp: str = "grp") -> int:
-    """Number of non-null groups (one small aggregation job)."""
-    return meta.filter(F.col(grp).isNotNull()).select(grp).distinct().count()
-
-
 def materialise_small(df: DataFrame) -> DataFrame:
     """Write a small intermediate (bounded by seeds x groups x k x heads) to
     the shared checkpoint folder and cut its lineage, so later stages read
@@ -274,21 +269,23 @@ MAX_COEF_BYTES = 512 * 1024 * 1024
 
 def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], head_ids: list[int] | None,
                   cfg: Sequence[str], max_bytes: int):
-    """Per-group (C, S, H) mean / std / weight tensors on the driver, after a
-    size check (groups x configurations x seeds x heads x 3 doubles).  Heads
-    outside a configuration's set get weight 0."""
+    """Per-group (C, S, H) mean / std / weight tensors on the driver.  The
+    size (rows x heads x 3 doubles) is checked *before* the rows are pulled.
+    Heads outside a configuration's set get weight 0."""
     import numpy as np
-    rows = coefficients(stats, weights, cfg).collect()
+    coef = coefficients(stats, weights, cfg)
+    n_rows = coef.count()
+    n_heads = len(head_ids) if head_ids is not None else stats.select("head_id").distinct().count()
+    if n_rows * max(n_heads, 1) * 3 * 8 > max_bytes:
+        raise ValueError("coefficient tensors exceed the broadcast limit; use apply_weights (native)")
+    rows = coef.collect()
     if not rows:
         return {}, []
-    ids = head_ids if head_ids is not None else [int(h) for h in rows[0]["_ids"]]
+    ids = head_ids if head_ids is not None else sorted({int(h) for r in rows for h in r["_ids"]})
     hpos = {h: i for i, h in enumerate(ids)}
     configs = sorted({tuple(r[c] for c in cfg) for r in rows})
     cpos = {c: i for i, c in enumerate(configs)}
     spos = {sd: i for i, sd in enumerate(seeds)}
-    groups = {r["grp"] for r in rows}
-    if len(groups) * len(configs) * len(seeds) * len(ids) * 3 * 8 > max_bytes:
-        raise ValueError("coefficient tensors exceed the broadcast limit; use method='native'")
     shape = (len(configs), len(seeds), len(ids))
     out: dict = {}
     for r in rows:
