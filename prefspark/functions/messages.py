@@ -112,8 +112,8 @@ def transcript_messages(text: ColumnOrName, candidate: ColumnOrName,
     """
     segs = F.split(_c(text), _quote(HUMAN_MARKER), -1)
     if skip_empty_leading:
-        segs = F.filter(segs, lambda s, i: ~((i == 0) & (py_strip(s) == F.lit(""))
-                                              & (F.size(segs) > 1)))
+        lead_empty = (F.size(segs) > 1) & (py_strip(F.try_element_at(segs, F.lit(1))) == F.lit(""))
+        segs = F.when(lead_empty, F.slice(segs, 2, F.size(segs) - 1)).otherwise(segs)
 
     def turns(seg: Column) -> Column:
         parts = F.split(seg, _quote(ASSISTANT_MARKER), -1)

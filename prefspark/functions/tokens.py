@@ -52,13 +52,25 @@ def last_token_index(ids: ColumnOrName, pad_id: int) -> Column:
 
 
 def find_last(ids: ColumnOrName, pattern: list[int]) -> Column:
-    """T4: 0-based start of the last occurrence of ``pattern``; null if absent."""
+    """T4: 0-based start of the last occurrence of ``pattern``; null if absent.
+
+    The m shifted copies of the array are zipped once, so the lambda only
+    looks at its own element: O(m * length) per row.
+    """
     a = _c(ids)
     m = len(pattern)
-    pat = F.array(*[F.lit(int(x)) for x in pattern])
-    starts = F.sequence(F.lit(0), F.size(a) - m)
-    hits = F.filter(starts, lambda j: F.slice(a, j + 1, m) == pat)
-    return F.when(F.size(a) >= m, F.array_max(hits)).cast("int")
+    n = F.size(a)
+    shifted = [F.slice(a, i + 1, F.greatest(n - i, F.lit(0))).alias(f"s{i}") for i in range(m)]
+    z = F.arrays_zip(*shifted)
+
+    def hit(t, j):
+        cond = None
+        for i, v in enumerate(pattern):
+            c = t[f"s{i}"] == F.lit(int(v))
+            cond = c if cond is None else cond & c
+        return F.when(F.coalesce(cond, F.lit(False)), j)
+
+    return F.when(n >= m, F.array_max(F.transform(z, hit))).cast("int")
 
 
 def prompt_length(ids: ColumnOrName, family: str) -> Column:
@@ -68,10 +80,13 @@ def prompt_length(ids: ColumnOrName, family: str) -> Column:
 
 def mask_double_bos(ids: ColumnOrName, mask: ColumnOrName, bos_id: int) -> Column:
     """T5: if the first unmasked token and the next one (clamped to the end)
-    are both BOS, mask out the first of them."""
+    are both BOS, mask out the first of them (rebuilt with slices, no
+    per-element lambda)."""
     a, m = _c(ids), _c(mask)
-    start = F.greatest(F.array_position(m, 1) - 1, F.lit(0))
+    start = F.greatest(F.array_position(m, 1) - 1, F.lit(0)).cast("int")
     second = F.greatest(F.least(start + 1, F.size(a) - 1), F.lit(0))
     double = (F.size(a) > 0) & (F.try_element_at(a, (start + 1).cast("int")) == F.lit(bos_id)) & (
         F.try_element_at(a, (second + 1).cast("int")) == F.lit(bos_id))
-    return F.transform(m, lambda x, i: F.when(double & (i == start), F.lit(0)).otherwise(x))
+    rebuilt = F.concat(F.slice(m, 1, start), F.array(F.lit(0)),
+                       F.slice(m, start + 2, F.greatest(F.size(m) - start - 1, F.lit(0))))
+    return F.when(F.coalesce(double, F.lit(False)), rebuilt).otherwise(m)

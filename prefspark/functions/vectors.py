@@ -43,10 +43,17 @@ def l2_norm(vec: ColumnOrName) -> Column:
 
 
 def l2_normalise(vec: ColumnOrName) -> Column:
-    """Row L2 normalisation (H13); a zero vector stays zero."""
-    n = l2_norm(vec)
-    return F.transform(_c(vec), lambda x: F.when(n > 0, x.cast("double") / n)
-                       .otherwise(x.cast("double")))
+    """Row L2 normalisation (H13); a zero vector stays zero.  The norm is
+    the ``aggregate`` accumulator handed to its finish function, so it is
+    computed once per row, not once per element."""
+    v = _c(vec)
+
+    def finish(acc: Column) -> Column:
+        n = F.sqrt(acc)
+        return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+
+    return F.aggregate(v, F.lit(0.0).cast("double"),
+                       lambda acc, x: acc + x.cast("double") * x.cast("double"), finish)
 
 
 def softplus(x: ColumnOrName) -> Column:

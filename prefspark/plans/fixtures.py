@@ -18,7 +18,6 @@ EXAMPLE_COUNTS = {s: 10 * (s + 1) for s in range(N_SUBSETS)}
 N_TASKS = 5
 N_COMPONENTS = 8
 ORIGINAL_VEC_ID = 100
-TOKEN_WORDS = 12
 TOKEN_TARGET = 16
 PAD_ID = 2
 BOS_ID = 3
@@ -165,9 +164,9 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_tokens: ids = lengths of the first 12 space-separated words; mask
-    has ``doc_id % 3`` leading zeros (left padding)."""
+    """fx_tokens: ids = lengths of every space-separated word of the whole
+    text; mask has ``doc_id % 3`` leading zeros (left padding)."""
     docs = table(spark, sf_dir, "documents")
-    ids = F.transform(F.slice(F.split("text", " "), 1, TOKEN_WORDS), lambda w: F.length(w).cast("int"))
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w).cast("int"))
     return docs.select("doc_id", ids.alias("ids")).withColumn(
         "mask", F.transform("ids", lambda x, i: F.when(i < F.col("doc_id") % 3, F.lit(0)).otherwise(F.lit(1))))

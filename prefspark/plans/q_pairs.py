@@ -190,12 +190,15 @@ MAX_LEN = 3000
 
 @query("p14_filter_max_len", f"""
 SELECT t.doc_id FROM fx_tokens t JOIN documents d ON d.doc_id = t.doc_id
-WHERE len(t.ids) <= {MAX_LEN} AND len(list_transform(string_split(d.text, ' '), lambda w: length(w))) <= {MAX_LEN}""")
+WHERE len(t.ids) <= {MAX_LEN}
+  AND len(list_transform(string_split(d.text, chr(10)), lambda w: length(w))) <= {MAX_LEN // 100}""")
 def p14_filter_max_len(spark, sf):
+    # the two sides: word lengths and line lengths of the whole text
     d = fx.table(spark, sf, "documents").select(
-        "doc_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids_all"))
+        "doc_id", F.transform(F.split("text", "\n"), lambda w: F.length(w)).alias("line_ids"))
     t = fx.tokens(spark, sf).join(d, "doc_id")
-    return pr.filter_max_len(t, "ids", "ids_all", MAX_LEN).select("doc_id")
+    kept = pr.filter_max_len(t, "ids", "line_ids", MAX_LEN)
+    return kept.filter(F.size("line_ids") <= MAX_LEN // 100).select("doc_id")
 
 
 PATTERN_SQL = "list_max(list_filter(range(0, len(ids) - 1), lambda j: ids[j + 1:j + 2] = [3, 2]))"

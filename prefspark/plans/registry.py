@@ -88,7 +88,7 @@ FIXTURE_SQL: dict[str, str] = {
         FROM fx_dialogues""",
     "fx_tokens": """
         SELECT doc_id, ids, list_transform(ids, lambda x, i: CASE WHEN i - 1 < doc_id % 3 THEN 0 ELSE 1 END) AS mask
-        FROM (SELECT doc_id, list_transform(string_split(text, ' ')[1:12], lambda w: CAST(length(w) AS INTEGER)) AS ids
+        FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS INTEGER)) AS ids
               FROM documents) t""",
 }
 
