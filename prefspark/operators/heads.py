@@ -123,10 +123,12 @@ def project(diffs: DataFrame, pca: PCAResult, col: str = "diff",
     """H8: centred projection onto the components (MLlib's transform does
     not centre, so the mean is subtracted first)."""
     keep = keep if keep is not None else ["pair_id"]
-    mean = F.lit([float(x) for x in pca.mean]).cast("array<double>")
-    centred = F.zip_with(F.col(col), mean, lambda x, m: x.cast("double") - m)
-    comps = F.lit(pca.components.tolist()).cast("array<array<double>>")
-    return diffs.select(*keep, F.transform(comps, lambda w: dot(centred, w)).alias("proj"))
+    # (x - mean) . w = x . w - mean . w; the k offsets mean . w are constants
+    offsets = (pca.components @ pca.mean).tolist()
+    comps = F.arrays_zip(F.lit(pca.components.tolist()).cast("array<array<double>>").alias("w"),
+                         F.lit(offsets).cast("array<double>").alias("b"))
+    x = F.col(col)
+    return diffs.select(*keep, F.transform(comps, lambda t: dot(x, t["w"]) - t["b"]).alias("proj"))
 
 
 def signed_heads(components: DataFrame, k: int) -> DataFrame:
