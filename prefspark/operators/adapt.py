@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.vectors import md5_uniform, softplus
 from prefspark.operators import evaluate as ev
-from prefspark.session import ensure_checkpoint_dir
+from prefspark.session import scratch_path
 
 MAX_BROADCAST_ROWS = 2_000_000
 U_RANGE = 4294967296  # md5_uniform is in [0, 2^32)
@@ -49,12 +49,15 @@ def checked_broadcast(df: DataFrame, bound: int | None = None,
 
 
 def materialise_small(df: DataFrame) -> DataFrame:
-    """Write a small intermediate (bounded by seeds x groups x k x heads) to
-    the shared checkpoint folder and cut its lineage, so later stages read
-    it back instead of re-planning and re-running its inputs, and a lost
-    executor does not recompute it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate as a parquet table under the shared checkpoint
+    folder and read it back: lineage is cut, later stages re-plan nothing
+    and a lost executor recomputes nothing.  Used for the small tables
+    (bounded by seeds x groups x k x heads) and for the packed scores that
+    several stages read."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "small")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _seeds(seeds: int | Sequence[int]) -> list[int]:
@@ -128,14 +131,16 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
             .withColumn("_u", md5_uniform(F.col("pair_id"), F.col("seed")))
             .withColumn("_t", _threshold(k)))
     grid = sizes.select("grp", "_n", seed_column(seed_list).alias("seed"))
+    # one pass over pairs x seeds; the candidates are a bounded set
+    rows = materialise_small(_candidates(base, None))
     widen = None
     for _ in range(MAX_ROUNDS):
-        got = _candidates(base, widen).groupBy("seed", "grp").agg(F.count(F.lit(1)).alias("_c"))
-        short = materialise_small(
-            grid.join(got, ["seed", "grp"], "left")
-            .filter(F.coalesce(F.col("_c"), F.lit(0)) < F.least(F.lit(k), F.col("_n"))).select("seed", "grp"))
+        got = rows.groupBy("seed", "grp").agg(F.count(F.lit(1)).alias("_c"))
+        short = (grid.join(got, ["seed", "grp"], "left")
+                 .filter(F.coalesce(F.col("_c"), F.lit(0)) < F.least(F.lit(k), F.col("_n"))).select("seed", "grp"))
         if short.isEmpty():
             break
+        short = materialise_small(short)
         grown = short.select("seed", "grp", F.lit(float(WIDEN)).alias("_g"))
         if widen is None:
             widen = materialise_small(grown.withColumnRenamed("_g", "_m"))
@@ -143,7 +148,9 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
             widen = materialise_small(
                 widen.join(grown, ["seed", "grp"], "full")
                 .select("seed", "grp", (F.coalesce("_m", F.lit(1.0)) * F.coalesce("_g", F.lit(1.0))).alias("_m")))
-    rows = _candidates(base, widen)
+        # only the short keys are scanned again, with their widened thresholds
+        more = _candidates(base.join(F.broadcast(short), ["seed", "grp"], "left_semi"), widen)
+        rows = materialise_small(rows.join(F.broadcast(short), ["seed", "grp"], "left_anti").unionByName(more))
     w = Window.partitionBy("seed", "grp").orderBy("_u", "pair_id")
     ranked = rows.withColumn("_rk", F.row_number().over(w)).filter(
         (F.col("_rk") <= k) | (F.col("_n") < k))
@@ -517,17 +524,21 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
     """A18 as one plan: every configuration (head subset x k x temperature)
     and every seed in the same jobs, with the configuration as columns.
 
-    One sample per k (the group sizes are counted once), one scoring pass of
-    the sampled pairs under the full head set, statistics / losses / weights
-    grouped by configuration, and one Arrow pass over all pairs that
-    produces every (configuration, seed) weighted sum.  ``head_sets`` maps
+    Every pair is scored once under the full head set and the packed scores
+    are written; from them: one sample per k (the group sizes are counted
+    once), statistics / losses / weights grouped by configuration, and one
+    Arrow pass that produces every (configuration, seed) weighted sum.  ``head_sets`` maps
     ``num_heads`` to the head ids it uses (default: all heads)."""
     from prefspark.operators.scoring import collect_heads, score_heads_packed
     hm = collect_heads(heads) if isinstance(heads, DataFrame) else heads
     head_sets = head_sets or {len(hm.ids): hm.ids}
     seed_list = _seeds(seeds)
     spark = pairs.sparkSession
-    meta = pairs.select("pair_id", "grp")
+    # every pair is scored once; sampling, statistics and re-scoring read the
+    # packed scores (2H doubles a pair) instead of the vectors (2d floats)
+    packed, ids = score_heads_packed(pairs, hm)
+    packed = materialise_small(packed.select("pair_id", "grp", *keep, "sc", "sr"))
+    meta = packed.select("pair_id", "grp")
     sizes = materialise_small(group_sizes(meta))
     n_groups = sizes.count()
     sample = None
@@ -536,11 +547,9 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
             .select(F.lit(int(k)).alias("k"), "*")
         sample = part if sample is None else sample.unionByName(part)
     bound = n_groups * len(seed_list) * int(sum(ks))
-    ids_needed = checked_broadcast(sample.select("pair_id").distinct(), bound)
-    few_packed, ids = score_heads_packed(pairs.join(ids_needed, "pair_id", "left_semi"), hm)
     hmap = spark.createDataFrame([(int(n), int(h)) for n, hs in head_sets.items() for h in hs],
                                  "num_heads int, head_id bigint")
-    sampled = sampled_values(sample, few_packed, ids, bound, cfg=["k"]).join(F.broadcast(hmap), "head_id")
+    sampled = sampled_values(sample, packed, ids, bound, cfg=["k"]).join(F.broadcast(hmap), "head_id")
     sampled = materialise_small(sampled)
     cfg = ["num_heads", "k"]
     stats = group_head_stats(sampled, cfg)
@@ -553,7 +562,6 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
     both = materialise_small(weights.join(stats, keys))
     stats = both.filter(F.col("temperature") == F.lit(float(temperatures[0]))).select(*keys, "mean", "std")
     weights = both.select(*cfg_t, "seed", "grp", "head_id", "weight")
-    packed, _ = score_heads_packed(pairs, hm)
     agg = apply_weights_arrow(packed, both.select(*cfg_t, "seed", "grp", "head_id", "mean", "std"), weights,
                               seed_list, mode, keep, cfg=cfg_t, head_ids=hm.ids)
     return Adaptation(sample, sampled, stats, loss, weights, agg)
