@@ -26,12 +26,13 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.functions.vectors import md5_uniform, softplus
 from prefspark.operators import evaluate as ev
-from prefspark.session import scratch_path
+from prefspark.session import ensure_checkpoint_dir, scratch_path
 
 MAX_BROADCAST_ROWS = 2_000_000
 U_RANGE = 4294967296  # md5_uniform is in [0, 2^32)
@@ -49,13 +50,24 @@ def checked_broadcast(df: DataFrame, bound: int | None = None,
 
 
 def materialise_small(df: DataFrame) -> DataFrame:
-    """Write an intermediate as a parquet table under the shared checkpoint
-    folder and read it back: lineage is cut, later stages re-plan nothing
-    and a lost executor recomputes nothing.  Used for the small tables
-    (bounded by seeds x groups x k x heads) and for the packed scores that
-    several stages read."""
+    """Checkpoint a small intermediate (bounded by seeds x groups x k x
+    heads) to the shared checkpoint folder: lineage is cut, later stages
+    re-plan nothing and a lost executor recomputes nothing.  The rows are
+    held for the moment of the write, so the pass that produces them (over
+    pairs x seeds, for the candidates) runs once, not twice."""
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
+
+
+def materialise_table(df: DataFrame) -> DataFrame:
+    """Write a large intermediate that several stages read (the packed
+    scores) as parquet under the shared checkpoint folder and read it back,
+    so each reader prunes the columns it does not need."""
     spark = df.sparkSession
-    path = scratch_path(spark, "small")
+    path = scratch_path(spark, "packed")
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -537,7 +549,7 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
     # every pair is scored once; sampling, statistics and re-scoring read the
     # packed scores (2H doubles a pair) instead of the vectors (2d floats)
     packed, ids = score_heads_packed(pairs, hm)
-    packed = materialise_small(packed.select("pair_id", "grp", *keep, "sc", "sr"))
+    packed = materialise_table(packed.select("pair_id", "grp", *keep, "sc", "sr"))
     meta = packed.select("pair_id", "grp")
     sizes = materialise_small(group_sizes(meta))
     n_groups = sizes.count()
