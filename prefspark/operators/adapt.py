@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from prefspark.functions.vectors import md5_uniform, softplus
 from prefspark.operators import evaluate as ev
-from prefspark.session import ensure_checkpoint_dir, scratch_path
+from prefspark.session import ensure_checkpoint_dir, write_and_read
 
 MAX_BROADCAST_ROWS = 2_000_000
 U_RANGE = 4294967296  # md5_uniform is in [0, 2^32)
@@ -66,10 +66,7 @@ def materialise_table(df: DataFrame) -> DataFrame:
     """Write a large intermediate that several stages read (the packed
     scores) as parquet under the shared checkpoint folder and read it back,
     so each reader prunes the columns it does not need."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "packed")
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return write_and_read(df, "packed")
 
 
 def _seeds(seeds: int | Sequence[int]) -> list[int]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark.functions import messages as msg
-from prefspark.session import ensure_checkpoint_dir
+from prefspark.session import write_and_read
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row index
 
@@ -26,18 +26,16 @@ def with_pair_id(df: DataFrame, order_cols: Sequence[str], id_col: str = "pair_i
 
     A range-partitioned sort numbers rows inside each partition; the
     partition sizes (one row per partition) give the offsets.  The sorted,
-    numbered rows are checkpointed to the shared checkpoint folder so that
-    the counts and the final numbering see the same rows even after a lost
-    executor.
+    numbered rows are written once under the shared checkpoint folder, so
+    the counts and the final numbering see the same rows (the number is
+    stored with the row) even after a lost executor.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    s = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    s = write_and_read(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()), "dense-ids")
     part = F.shiftrightunsigned("_mid", _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     counts = s.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_off"))
-    n_parts = s.rdd.getNumPartitions()
-    off = F.broadcast(offsets) if n_parts <= 1_000_000 else offsets
+    off = F.broadcast(offsets)  # one row per sort partition
     return (s.withColumn("_p", part).withColumn("_l", local).join(off, "_p")
             .withColumn(id_col, (F.col("_off") + F.col("_l")).cast("bigint"))
             .drop("_p", "_l", "_off", "_mid"))

@@ -100,3 +100,13 @@ def ship_library(spark: SparkSession) -> None:
         os.replace(tmp, out)
     sc.addPyFile(out)
     sc._prefspark_shipped = tag
+
+
+def write_and_read(df, name: str):
+    """Cut lineage with a written table: ``df`` is written once as parquet
+    under the shared checkpoint folder and read back (readers prune columns;
+    a lost executor recomputes nothing upstream)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
