@@ -44,11 +44,12 @@ def pad_mask(ids: ColumnOrName, n: int) -> Column:
 def last_token_index(ids: ColumnOrName, pad_id: int) -> Column:
     """(index of the first pad) - 1, modulo the length.
 
-    No pad gives the last index; a pad in front gives length - 1.
+    No pad gives the last index; a pad in front gives length - 1; an empty
+    array gives null.
     """
     a = _c(ids)
     first = F.greatest(F.array_position(a, pad_id), F.lit(1)) - 2
-    return F.pmod(first, F.size(a)).cast("int")
+    return F.when(F.size(a) > 0, F.pmod(first, F.size(a))).cast("int")
 
 
 def find_last(ids: ColumnOrName, pattern: list[int]) -> Column:
