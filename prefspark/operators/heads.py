@@ -62,6 +62,23 @@ def fix_signs(components: np.ndarray) -> np.ndarray:
     return out
 
 
+def _features(diffs: DataFrame, col: str):
+    """Vector column plus mean and sample variance from one Summarizer pass."""
+    feats = diffs.select(array_to_vector(F.col(col)).alias("features"))
+    summ = feats.select(Summarizer.metrics("mean", "variance", "count")
+                        .summary(F.col("features")).alias("s")).first()["s"]
+    return feats, summ["mean"].toArray(), summ["variance"].toArray()
+
+
+def _covariance_matrix(feats: DataFrame, var: np.ndarray) -> np.ndarray:
+    """d x d sample covariance from the distributed correlation pass
+    (tree-aggregated Gramian), rescaled with the sample std deviations."""
+    corr = Correlation.corr(feats, "features").first()[0].toArray()
+    sd = np.sqrt(np.maximum(var, 0.0))
+    cov = np.nan_to_num(corr, nan=0.0) * np.outer(sd, sd)
+    return (cov + cov.T) / 2
+
+
 def fit_pca(diffs: DataFrame, k: int | None = None, col: str = "diff", method: str = "eigh") -> PCAResult:
     """H2/H3/H4: centred PCA of the difference vectors.
 
@@ -75,11 +92,7 @@ def fit_pca(diffs: DataFrame, k: int | None = None, col: str = "diff", method: s
     seconds).  ``method="ml"``: the ``pyspark.ml.feature.PCA`` estimator
     (same covariance pass, full SVD of the d x d matrix on the driver).
     """
-    feats = diffs.select(array_to_vector(F.col(col)).alias("features"))
-    summ = feats.select(Summarizer.metrics("mean", "variance", "count")
-                        .summary(F.col("features")).alias("s")).first()["s"]
-    mean = summ["mean"].toArray()
-    var = summ["variance"].toArray()
+    feats, mean, var = _features(diffs, col)
     total_var = float(np.sum(var))
     d = mean.shape[0]
     k = d if k is None else int(k)
@@ -90,22 +103,29 @@ def fit_pca(diffs: DataFrame, k: int | None = None, col: str = "diff", method: s
         return PCAResult(fix_signs(model.pc.toArray().T), model.explainedVariance.toArray(), mean, total_var)
     if method != "eigh":
         raise ValueError(f"unknown method {method!r}")
-    corr = Correlation.corr(feats, "features").first()[0].toArray()
-    sd = np.sqrt(np.maximum(var, 0.0))
-    cov = np.nan_to_num(corr, nan=0.0) * np.outer(sd, sd)
-    lam, vec = np.linalg.eigh((cov + cov.T) / 2)
+    cov = _covariance_matrix(feats, var)
+    lam, vec = np.linalg.eigh(cov)
     order = np.argsort(lam)[::-1][:k]
     ratio = lam[order] / total_var if total_var > 0 else np.zeros(k)
     return PCAResult(fix_signs(vec[:, order].T), ratio, mean, total_var)
 
 
-def covariance(diffs: DataFrame, col: str = "diff") -> DataFrame:
+def covariance(diffs: DataFrame, col: str = "diff", method: str = "relational") -> DataFrame:
     """H6: ``covar_samp`` for every dimension pair (i <= j), long form.
 
-    Each row contributes d(d+1)/2 products that are combined map-side by the
-    partial aggregate, so a task emits at most one partial state per (i, j).
-    Cost is O(n d^2): for wide vectors use ``fit_pca``.
+    ``relational``: each row contributes d(d+1)/2 products that are combined
+    map-side by the partial aggregate, so a task emits at most one partial
+    state per (i, j); O(n d^2) rows generated, exact ``covar_samp``.
+    ``gram``: the same matrix from the tree-aggregated correlation pass used
+    by ``fit_pca`` (BLAS per partition, d x d on the driver), returned as
+    d(d+1)/2 rows; the choice for wide vectors.
     """
+    if method == "gram":
+        feats, _, var = _features(diffs, col)
+        cov = _covariance_matrix(feats, var)
+        iu, ju = np.triu_indices(cov.shape[0])
+        rows = list(zip(iu.tolist(), ju.tolist(), cov[iu, ju].tolist()))
+        return diffs.sparkSession.createDataFrame(rows, "i int, j int, cov double")
     x = diffs.select(F.posexplode(col).alias("i", "xi"), F.col(col).alias("_v"))
     xy = x.select("i", "xi", F.posexplode("_v").alias("j", "xj")).filter(F.col("j") >= F.col("i"))
     return xy.groupBy("i", "j").agg(F.covar_samp("xi", "xj").alias("cov"))

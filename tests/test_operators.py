@@ -156,6 +156,14 @@ def test_pca_matches_numpy(spark):
     np.testing.assert_allclose(np.abs(ml.components @ res.components.T), np.eye(8), atol=1e-6)
 
 
+def test_covariance_methods_agree(spark):
+    diffs = hd.pair_diff(fx.vec_pairs(spark, SF_MID))
+    a = {(r.i, r.j): r.cov for r in hd.covariance(diffs).collect()}
+    b = {(r.i, r.j): r.cov for r in hd.covariance(diffs, method="gram").collect()}
+    assert a.keys() == b.keys() and len(a) == 64 * 65 // 2
+    np.testing.assert_allclose([a[k] for k in sorted(a)], [b[k] for k in sorted(a)], atol=1e-12)
+
+
 def test_select_heads_rules(spark):
     h = fx.heads(spark, SF_SMALL)
     got = [(r.head_id, r.source_head_id) for r in hd.select_heads(h, 4).orderBy("head_id").collect()]
