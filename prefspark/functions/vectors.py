@@ -16,9 +16,6 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def as_double(vec: ColumnOrName) -> Column:
-    return F.transform(_c(vec), lambda x: x.cast("double"))
-
 
 def dot(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Dot product summed in index order, in double."""
@@ -31,10 +28,6 @@ def diff(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") - y.cast("double"))
 
 
-def scale(vec: ColumnOrName, factor: ColumnOrName | float) -> Column:
-    f = factor if isinstance(factor, Column) else F.lit(float(factor)) if not isinstance(factor, str) else F.col(factor)
-    return F.transform(_c(vec), lambda x: x.cast("double") * f)
-
 
 def l2_norm(vec: ColumnOrName) -> Column:
     sq = F.aggregate(_c(vec), F.lit(0.0).cast("double"),
@@ -62,10 +55,6 @@ def softplus(x: ColumnOrName) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def neg_log_sigmoid(x: ColumnOrName) -> Column:
-    """-log(sigmoid(x)) = softplus(-x)."""
-    return softplus(-_c(x))
-
 
 def md5_uniform(*parts: ColumnOrName) -> Column:
     """Seeded uniform integer in [0, 2^32) from md5 of '|'-joined parts.

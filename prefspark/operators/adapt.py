@@ -487,66 +487,33 @@ class Adaptation:
     agg: DataFrame
 
 
-def adapt(packed: DataFrame, head_ids: list[int], k: int, seeds: int | Sequence[int] = 20,
-          temperature: float = 1.0, mode: str = "normalised", keep: Sequence[str] = (),
-          uniform: bool = False, apply_method: str = "arrow") -> Adaptation:
-    """The whole adaptation as one lazy plan.
-
-    ``packed`` has ``pair_id, grp, sc, sr`` (+ ``keep`` columns); persist it
-    when it is expensive, since sampling and re-scoring both read it.
-    """
-    meta = packed.select("pair_id", "grp")
-    sizes = materialise_small(group_sizes(meta))
-    n_groups = sizes.count()
-    sample = sample_per_group(meta, k, seeds, n_groups=n_groups, sizes=sizes)
-    sampled = materialise_small(sampled_values(sample, packed, head_ids, n_groups * len(_seeds(seeds)) * k))
-    stats = materialise_small(group_head_stats(sampled))
-    loss = group_head_loss(sampled, stats, mode)
-    weights = materialise_small(uniform_weights(loss) if uniform else softmax_weights(loss, temperature))
-    agg = _apply(packed, stats, weights, seeds, mode, keep, n_groups, apply_method)
-    return Adaptation(sample, sampled, stats, loss, weights, agg)
-
-
-def _apply(packed, stats, weights, seeds, mode, keep, n_groups, method):
-    if method == "arrow":
-        return apply_weights_arrow(packed, stats, weights, seeds, mode, keep)
-    return apply_weights(packed, stats, weights, seeds, mode, keep, n_groups)
-
-
 def adapt_from_vectors(pairs: DataFrame, heads, k: int, seeds: int | Sequence[int] = 20,
                        temperature: float = 1.0, mode: str = "normalised", keep: Sequence[str] = (),
                        uniform: bool = False) -> Adaptation:
-    """The adaptation straight from pair vectors (``pair_id, grp, chosen,
-    rejected``) for one configuration: ``adapt_grid`` with a single (all
-    heads, k, T) configuration, configuration columns dropped."""
-    g = adapt_grid(pairs, heads, None, [k], [temperature], seeds, mode, keep, uniform)
-    drop = lambda df: df.drop(*[c for c in CONFIG if c in df.columns])
-    return Adaptation(drop(g.sample), drop(g.sampled), drop(g.stats), drop(g.loss), drop(g.weights), drop(g.agg))
+    """The adaptation for one configuration straight from pair vectors
+    (``pair_id, grp, chosen, rejected``)."""
+    return _single(adapt_grid(pairs, heads, None, [k], [temperature], seeds, mode, keep, uniform))
 
 
 CONFIG = ("num_heads", "k", "temperature")
 
 
-def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] | None,
-               ks: Sequence[int], temperatures: Sequence[float], seeds: int | Sequence[int] = 20,
-               mode: str = "normalised", keep: Sequence[str] = (), uniform: bool = False) -> Adaptation:
-    """A18 as one plan: every configuration (head subset x k x temperature)
-    and every seed in the same jobs, with the configuration as columns.
-
-    Every pair is scored once under the full head set and the packed scores
-    are written; from them: one sample per k (the group sizes are counted
-    once), statistics / losses / weights grouped by configuration, and one
-    Arrow pass that produces every (configuration, seed) weighted sum.  ``head_sets`` maps
-    ``num_heads`` to the head ids it uses (default: all heads)."""
-    from prefspark.operators.scoring import collect_heads, score_heads_packed
-    hm = collect_heads(heads) if isinstance(heads, DataFrame) else heads
-    head_sets = head_sets or {len(hm.ids): hm.ids}
+def adapt_grid_packed(packed: DataFrame, head_ids: list[int], head_sets: Mapping[int, Sequence[int]] | None,
+                      ks: Sequence[int], temperatures: Sequence[float], seeds: int | Sequence[int] = 20,
+                      mode: str = "normalised", keep: Sequence[str] = (), uniform: bool = False) -> Adaptation:
+    """A18 on packed scores: every configuration (head subset x k x
+    temperature) and every seed in the same jobs, with the configuration as
+    columns.
+
+    ``packed`` has ``pair_id, grp, keep..., sc, sr`` with the scores in the
+    order of ``head_ids`` (a written table: it is read by three stages).
+    One sample per k (group sizes counted once), statistics / losses /
+    weights grouped by configuration, and one Arrow pass that produces every
+    (configuration, seed) weighted sum.  ``head_sets`` maps ``num_heads`` to
+    the head ids it uses (default: all heads)."""
+    head_sets = head_sets or {len(head_ids): list(head_ids)}
     seed_list = _seeds(seeds)
-    spark = pairs.sparkSession
-    # every pair is scored once; sampling, statistics and re-scoring read the
-    # packed scores (2H doubles a pair) instead of the vectors (2d floats)
-    packed, ids = score_heads_packed(pairs, hm)
-    packed = materialise_table(packed.select("pair_id", "grp", *keep, "sc", "sr"))
+    spark = packed.sparkSession
     meta = packed.select("pair_id", "grp")
     sizes = materialise_small(group_sizes(meta))
     n_groups = sizes.count()
@@ -558,7 +525,7 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
     bound = n_groups * len(seed_list) * int(sum(ks))
     hmap = spark.createDataFrame([(int(n), int(h)) for n, hs in head_sets.items() for h in hs],
                                  "num_heads int, head_id bigint")
-    sampled = sampled_values(sample, packed, ids, bound, cfg=["k"]).join(F.broadcast(hmap), "head_id")
+    sampled = sampled_values(sample, packed, head_ids, bound, cfg=["k"]).join(F.broadcast(hmap), "head_id")
     sampled = materialise_small(sampled)
     cfg = ["num_heads", "k"]
     stats = group_head_stats(sampled, cfg)
@@ -572,5 +539,33 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
     stats = both.filter(F.col("temperature") == F.lit(float(temperatures[0]))).select(*keys, "mean", "std")
     weights = both.select(*cfg_t, "seed", "grp", "head_id", "weight")
     agg = apply_weights_arrow(packed, both.select(*cfg_t, "seed", "grp", "head_id", "mean", "std"), weights,
-                              seed_list, mode, keep, cfg=cfg_t, head_ids=hm.ids)
+                              seed_list, mode, keep, cfg=cfg_t, head_ids=list(head_ids))
     return Adaptation(sample, sampled, stats, loss, weights, agg)
+
+
+def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] | None,
+               ks: Sequence[int], temperatures: Sequence[float], seeds: int | Sequence[int] = 20,
+               mode: str = "normalised", keep: Sequence[str] = (), uniform: bool = False) -> Adaptation:
+    """A18 from pair vectors (``pair_id, grp, chosen, rejected``): every pair
+    is scored once under the full head set in one Arrow pass and the packed
+    scores (2H doubles a pair instead of 2d floats) are written, then
+    ``adapt_grid_packed`` runs on them."""
+    from prefspark.operators.scoring import collect_heads, score_heads_packed
+    hm = collect_heads(heads) if isinstance(heads, DataFrame) else heads
+    packed, ids = score_heads_packed(pairs, hm)
+    packed = materialise_table(packed.select("pair_id", "grp", *keep, "sc", "sr"))
+    return adapt_grid_packed(packed, ids, head_sets, ks, temperatures, seeds, mode, keep, uniform)
+
+
+def _single(g: Adaptation) -> Adaptation:
+    drop = lambda df: df.drop(*[c for c in CONFIG if c in df.columns])
+    return Adaptation(drop(g.sample), drop(g.sampled), drop(g.stats), drop(g.loss), drop(g.weights), drop(g.agg))
+
+
+def adapt(packed: DataFrame, head_ids: list[int], k: int, seeds: int | Sequence[int] = 20,
+          temperature: float = 1.0, mode: str = "normalised", keep: Sequence[str] = (),
+          uniform: bool = False) -> Adaptation:
+    """The adaptation for one configuration on packed scores (e.g. scores
+    read back from files): ``adapt_grid_packed`` with a single (all heads, k,
+    T) configuration, configuration columns dropped."""
+    return _single(adapt_grid_packed(packed, head_ids, None, [k], [temperature], seeds, mode, keep, uniform))

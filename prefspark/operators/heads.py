@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 from prefspark.functions.vectors import diff as diff_expr
 from prefspark.functions.vectors import dot, l2_norm, l2_normalise, md5_uniform
 
-HEAD_SCHEMA = "head_id bigint, component int, sign int, w array<double>"
-
-
 def pair_diff(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected",
               keep: list[str] | None = None) -> DataFrame:
     """H1: ``diff = chosen - rejected`` element-wise in double."""

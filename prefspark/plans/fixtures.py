@@ -77,14 +77,6 @@ def scores(spark: SparkSession, sf_dir: str, method: str = "arrow") -> DataFrame
                        keep=["pair_id", "subset", "task_id"], method=method)
 
 
-def section_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(SECTION_MAP.items()), "subset int, section string")
-
-
-def counts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(EXAMPLE_COUNTS.items()), "subset int, n bigint")
-
-
 # ---------------------------------------------------------------- message fixtures
 def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per dialogue: messages ordered by turn (bounded by its turns)."""

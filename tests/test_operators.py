@@ -369,3 +369,18 @@ def test_exclude_sampled_drops_exactly_the_sample(spark):
     kept = ad.exclude_sampled(a.agg, a.sample)
     n_sampled = a.sample.select("seed", "pair_id").distinct().count()
     assert kept.count() == a.agg.count() - n_sampled
+
+
+def test_adapt_on_packed_scores_equals_from_vectors(spark):
+    pairs = ad.attach_category(fx.vec_pairs(spark, SF_MID), fx.SECTION_MAP)
+    heads = fx.heads(spark, SF_MID)
+    direct = ad.adapt_from_vectors(pairs, heads, 15, [0, 1])
+    long = sc.score_heads(pairs, heads, keep=["pair_id"])
+    packed = sc.pack_scores(long).join(pairs.select("pair_id", "grp"), "pair_id")
+    ids = packed.first().head_ids
+    via = ad.adapt(packed, ids, 15, [0, 1])
+    a = {(r.seed, r.pair_id): (r.agg_chosen, r.agg_rejected) for r in direct.agg.collect()}
+    b = {(r.seed, r.pair_id): (r.agg_chosen, r.agg_rejected) for r in via.agg.collect()}
+    assert a.keys() == b.keys()
+    for key in a:
+        np.testing.assert_allclose(a[key], b[key], atol=1e-12)
