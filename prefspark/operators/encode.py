@@ -29,26 +29,22 @@ def embed_pairs(df: DataFrame, make_encoder: Callable[[], PredictFn],
     return df.withColumn(out[0], enc(F.col(texts[0]))).withColumn(out[1], enc(F.col(texts[1])))
 
 
-def hashing_encoder(dim: int = 64, n: int = 3) -> Callable[[], PredictFn]:
+def hashing_encoder(dim: int = 64) -> Callable[[], PredictFn]:
     """A small deterministic stand-in encoder for tests and fixtures: signed
-    hashed byte n-gram counts of the whole UTF-8 text, L2-normalised
-    (vectorised with numpy per text)."""
+    hashed counts of every space-separated token of the whole text.  Token t
+    adds +1 or -1 (bit 16 of h) to bucket ``h % dim`` with
+    ``h = int(md5(t)[:8], 16)``.  Values are small integers, exact in
+    float32; normalise with ``l2_normalise`` when unit vectors are needed."""
     def make() -> PredictFn:
+        import hashlib
+
         def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float64)
+            out = np.zeros((len(texts), dim), dtype=np.float32)
             for r, t in enumerate(texts):
-                b = np.frombuffer(str(t).encode("utf-8"), dtype=np.uint8).astype(np.uint64)
-                if len(b) < n:
-                    continue
-                h = np.zeros(len(b) - n + 1, dtype=np.uint64)
-                for j in range(n):
-                    h = (h * np.uint64(1000003) + b[j:len(b) - n + 1 + j]) & np.uint64(0xFFFFFFFF)
-                sign = np.where((h >> np.uint64(16)) & np.uint64(1), 1.0, -1.0)
-                np.add.at(out[r], (h % np.uint64(dim)).astype(np.int64), sign)
-                norm = np.linalg.norm(out[r])
-                if norm > 0:
-                    out[r] /= norm
-            return out.astype(np.float32)
+                for tok in str(t).split(" "):
+                    h = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16)
+                    out[r, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+            return out
         return predict
     return make
 

@@ -38,7 +38,30 @@ FROM (SELECT doc_id, list_concat(ids[1:8], list_transform(range(greatest(8 - len
       FROM fx_tokens) t"""
 
 
-@query("e1_embed_pairs")
+def _encoder_sql() -> str:
+    from prefspark.plans.q_pairs import _render_sql
+    return f"""
+WITH texts AS (
+  SELECT pair_id, 0 AS side, {_render_sql('chosen', 'gemma2', False)} AS text FROM fx_msg_pairs
+  UNION ALL
+  SELECT pair_id, 1 AS side, {_render_sql('rejected', 'gemma2', False)} AS text FROM fx_msg_pairs),
+tok AS (SELECT pair_id, side, unnest(string_split(text, ' ')) AS t FROM texts),
+h AS (SELECT pair_id, side, CAST('0x' || substring(md5(t), 1, 8) AS BIGINT) AS h FROM tok),
+b AS (SELECT pair_id, side, h % {DIM} AS bucket,
+             sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS v
+      FROM h GROUP BY pair_id, side, h % {DIM}),
+grid AS (SELECT t.pair_id, t.side, r.bucket FROM texts t, range({DIM}) r(bucket)),
+vec AS (SELECT g.pair_id, g.side, list(CAST(coalesce(b.v, 0.0) AS FLOAT) ORDER BY g.bucket) AS v
+        FROM grid g LEFT JOIN b ON b.pair_id = g.pair_id AND b.side = g.side AND b.bucket = g.bucket
+        GROUP BY g.pair_id, g.side)
+SELECT c.pair_id, c.v AS chosen, r.v AS rejected
+FROM vec c JOIN vec r ON r.pair_id = c.pair_id AND r.side = 1 WHERE c.side = 0"""
+
+
+DIM = 64
+
+
+@query("e1_embed_pairs", _encoder_sql())
 def e1_embed_pairs(spark, sf):
     p = fx.msg_pairs(spark, sf)
     texts = p.select("pair_id", msg.render_chat("chosen").alias("chosen_text"),
