@@ -84,6 +84,7 @@ def attach_category(pairs: DataFrame, section_map: Mapping, subset: str = "subse
     subset_type = dict(pairs.dtypes)[subset]
     lk = pairs.sparkSession.createDataFrame(
         [(k, v) for k, v in section_map.items()], f"_k {subset_type}, {out} string")
+    # the section map is a constant of the call (one row per mapped subset)
     return pairs.join(F.broadcast(lk), pairs[subset] == lk["_k"], "left").drop("_k")
 
 
@@ -102,12 +103,12 @@ WIDEN = 16
 MAX_ROUNDS = 10
 
 
-def _candidates(base: DataFrame, widen: DataFrame | None) -> DataFrame:
+def _candidates(base: DataFrame, widen: DataFrame | None, bound: int | None = None) -> DataFrame:
     """Rows under their (seed, group) threshold, widened where ``widen``
-    holds a multiplier."""
+    (at most seeds x groups rows) holds a multiplier."""
     if widen is None:
         return base.filter(F.col("_u") < F.col("_t"))
-    j = base.join(F.broadcast(widen), ["seed", "grp"], "left")
+    j = base.join(checked_broadcast(widen, bound), ["seed", "grp"], "left")
     t = F.least(F.col("_t").cast("double") * F.coalesce(F.col("_m"), F.lit(1.0)), F.lit(float(U_RANGE)))
     return j.filter(F.col("_u").cast("double") < t).drop("_m")
 
@@ -142,6 +143,7 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
     grid = sizes.select("grp", "_n", seed_column(seed_list).alias("seed"))
     # one pass over pairs x seeds; the candidates are a bounded set
     rows = materialise_small(_candidates(base, None))
+    keys_bound = n_groups * len(seed_list)      # short / widen tables hold at most this many keys
     widen = None
     for _ in range(MAX_ROUNDS):
         got = rows.groupBy("seed", "grp").agg(F.count(F.lit(1)).alias("_c"))
@@ -158,8 +160,9 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
                 widen.join(grown, ["seed", "grp"], "full")
                 .select("seed", "grp", (F.coalesce("_m", F.lit(1.0)) * F.coalesce("_g", F.lit(1.0))).alias("_m")))
         # only the short keys are scanned again, with their widened thresholds
-        more = _candidates(base.join(F.broadcast(short), ["seed", "grp"], "left_semi"), widen)
-        rows = materialise_small(rows.join(F.broadcast(short), ["seed", "grp"], "left_anti").unionByName(more))
+        short_b = checked_broadcast(short, keys_bound)
+        more = _candidates(base.join(short_b, ["seed", "grp"], "left_semi"), widen, keys_bound)
+        rows = materialise_small(rows.join(short_b, ["seed", "grp"], "left_anti").unionByName(more))
     w = Window.partitionBy("seed", "grp").orderBy("_u", "pair_id")
     ranked = rows.withColumn("_rk", F.row_number().over(w)).filter(
         (F.col("_rk") <= k) | (F.col("_n") < k))
@@ -392,7 +395,7 @@ def with_agg_win(agg: DataFrame) -> DataFrame:
 def exclude_sampled(agg: DataFrame, sample: DataFrame) -> DataFrame:
     """Drop, per seed, the pairs that were drawn for that seed's weights
     (left anti join with the broadcast sample)."""
-    return agg.join(F.broadcast(sample.select("seed", "pair_id").distinct()), ["seed", "pair_id"], "left_anti")
+    return agg.join(checked_broadcast(sample.select("seed", "pair_id").distinct()), ["seed", "pair_id"], "left_anti")
 
 
 def tta_section_scores(agg: DataFrame, section_map: Mapping, counts: Mapping,
@@ -525,6 +528,7 @@ def adapt_grid_packed(packed: DataFrame, head_ids: list[int], head_sets: Mapping
     bound = n_groups * len(seed_list) * int(sum(ks))
     hmap = spark.createDataFrame([(int(n), int(h)) for n, hs in head_sets.items() for h in hs],
                                  "num_heads int, head_id bigint")
+    # head-set map: configurations x heads rows, a constant of the call
     sampled = sampled_values(sample, packed, head_ids, bound, cfg=["k"]).join(F.broadcast(hmap), "head_id")
     sampled = materialise_small(sampled)
     cfg = ["num_heads", "k"]

@@ -225,7 +225,8 @@ def unit_norm_check(heads: DataFrame, tol: float = 1e-6) -> DataFrame:
 
 def normalise_scores(scores: DataFrame, stats: DataFrame) -> DataFrame:
     """``(s - mean) / std`` with per-head statistics (broadcast join on head_id)."""
-    st = F.broadcast(stats.select("head_id", F.col("mean").alias("_m"), F.col("std").alias("_sd")))
+    from prefspark.operators.adapt import checked_broadcast
+    st = checked_broadcast(stats.select("head_id", F.col("mean").alias("_m"), F.col("std").alias("_sd")))
     j = scores.join(st, "head_id", "left")
     return (j.withColumn("s_chosen", (F.col("s_chosen") - F.col("_m")) / F.col("_sd"))
             .withColumn("s_rejected", (F.col("s_rejected") - F.col("_m")) / F.col("_sd"))

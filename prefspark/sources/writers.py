@@ -19,9 +19,11 @@ N_BUCKETS_DEFAULT = 64
 def write_embeddings(df: DataFrame, path: str, n_buckets: int = N_BUCKETS_DEFAULT,
                      mode: str = "overwrite") -> None:
     """K1: pair vectors keyed by ``pair_id``, split into ``pmod(pair_id, n)``
-    bucket folders so a reader can prune by key."""
+    bucket folders so a reader can prune by key.  No shuffle: each task
+    sorts its rows by bucket and writes one file per bucket it holds, so no
+    task ever receives a whole bucket."""
     (df.withColumn("bucket", F.pmod(F.col("pair_id"), F.lit(n_buckets)).cast("int"))
-     .repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path))
+     .sortWithinPartitions("bucket").write.mode(mode).partitionBy("bucket").parquet(path))
 
 
 def write_manifest(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -42,9 +44,11 @@ def write_heads(heads: DataFrame, path: str, original: DataFrame | None = None,
 
 
 def write_head_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K4: per-head scores, one folder per head, JSON lines (replaces old output)."""
+    """K4: per-head scores, one folder per head, JSON lines (replaces old
+    output).  No shuffle by head: every task writes its rows of each head,
+    so a head's N rows are spread over all tasks."""
     (scores.select("head_id", "pair_id", "subset", "s_chosen", "s_rejected")
-     .repartition("head_id").write.mode(mode).partitionBy("head_id").json(path))
+     .sortWithinPartitions("head_id").write.mode(mode).partitionBy("head_id").json(path))
 
 
 def write_combined_scores(scores: DataFrame, accuracy: DataFrame, path: str, mode: str = "overwrite") -> None:
