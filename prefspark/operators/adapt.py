@@ -3,21 +3,25 @@
 Per seed and group: sample k pairs, standardise every head's scores with the
 sample's mean and sample std (both sides together), weight heads by a softmax
 of their summed pairwise loss, then re-score *every* pair of the group with
-the weighted sum of standardised scores and evaluate.  Seeds are a column,
-so all seeds run in one job.
+the weighted sum of standardised scores and evaluate.  Seeds and
+configurations (head subset, k, temperature) are columns, so every run is
+part of the same jobs.
 
 Scale notes
 -----------
 * Scores are packed per pair (``sc``/``sr`` arrays in head order), so the
-  pair table is never multiplied by the number of heads.
+  pair table is never multiplied by the number of heads; every pair is
+  scored once and the packed scores are written for the three readers.
 * Sampling never ranks a whole group in one task.  A seeded md5 value ``u``
   orders the rows; rows above a per-group threshold (expected
   ``k + 8 sqrt(k) + 16`` survivors) are dropped before the window, and any
   (seed, group) left with fewer than ``min(k, n)`` survivors has its
   threshold widened and is checked again, so the result is exactly the k
   smallest ``u``.
-* The small tables (group sizes, sample, per-(seed, group) coefficients)
-  are broadcast only after their row count is checked.
+* Small tables (group sizes, candidates, sample, statistics, weights) are
+  checkpointed and broadcast only behind a bound derived from counted
+  inputs; the final re-scoring is one Arrow pass with size-checked
+  per-group coefficient tensors.
 """
 
 from __future__ import annotations
