@@ -447,9 +447,15 @@ def choose_heads(heads: DataFrame, n: int, with_original: bool = False,
     second.  Without an original head: first n/2 of each half.  With one:
     ``file`` form puts it first and takes n/2 - 1 minus heads; ``map`` form
     keeps it first and drops the last minus head only when n is even.
+    ``first`` form (head sets that are not +/- pairs, e.g. random heads):
+    the first n heads in id order.
     Output ``(head_id, source_head_id)``; the original head gets ``0``.
     """
     base = heads.filter(F.col("head_id") != F.lit(original_id)) if original_id is not None else heads
+    if form == "first":
+        w = Window.orderBy("source_head_id")  # the head table: H rows
+        r = base.select(F.col("head_id").alias("source_head_id")).withColumn("_r", F.row_number().over(w) - 1)
+        return r.filter(F.col("_r") < n).select(F.col("_r").cast("bigint").alias("head_id"), "source_head_id")
     w = Window.orderBy("head_id")
     r = (base.select("head_id").withColumn("_r", F.row_number().over(w) - 1)
          .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())))

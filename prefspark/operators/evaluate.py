@@ -110,17 +110,23 @@ def pref_set_accuracy(scored: DataFrame, keys: list[str] | None = None) -> DataF
 
 
 def task_accuracy(scored: DataFrame, n_tasks: int, keys: list[str] | None = None,
-                  task: str = "task_id", decimals: int | None = 3) -> DataFrame:
+                  task: str = "task_id", decimals: int | None = 3,
+                  names: list[str] | None = None) -> DataFrame:
     """V6: accuracy for each task id in 0..n_tasks-1 (null when a task has no
     rows) and the overall accuracy over all rows (not the mean of tasks).
-    Output ``(keys..., metric, value)`` with metric ``task_<t>`` / ``overall``.
-    One conditional aggregation per key."""
+    Output ``(keys..., metric, value)`` with metric ``task_<t>`` (or
+    ``names[t]``) / ``overall``.  One conditional aggregation per key."""
     keys = keys if keys is not None else ["head_id"]
+    labels = list(names) if names is not None else [f"task_{t}" for t in range(n_tasks)]
+    if len(labels) != n_tasks:
+        raise ValueError("one name per task is needed")
     w = F.col("win").cast("double")
     aggs = [F.avg(F.when(F.col(task) == t, w)).alias(f"task_{t}") for t in range(n_tasks)]
     g = scored.groupBy(*keys).agg(*aggs, F.avg(w).alias("overall"))
-    names = [f"task_{t}" for t in range(n_tasks)] + ["overall"]
-    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])
+    cols = [f"task_{t}" for t in range(n_tasks)] + ["overall"]
+    labels = labels + ["overall"]
+    rows = F.array(*[F.struct(F.lit(lab).alias("metric"), F.col(c).alias("value"))
+                     for lab, c in zip(labels, cols)])
     long = g.select(*keys, F.inline(rows))
     if decimals is not None:
         long = long.withColumn("value", round_clean("value", decimals))

@@ -360,6 +360,13 @@ def a1_choose_heads_no_original(spark, sf):
     return ad.choose_heads(fx.heads(spark, sf), 10)
 
 
+@query("a1_choose_heads_first", """
+SELECT CAST(row_number() OVER (ORDER BY head_id) - 1 AS BIGINT) AS head_id, head_id AS source_head_id
+FROM fx_heads QUALIFY row_number() OVER (ORDER BY head_id) <= 5""")
+def a1_choose_heads_first(spark, sf):
+    return ad.choose_heads(fx.heads(spark, sf), 5, form="first")
+
+
 @query("a2_choose_heads_map", _choose_sql(7, True, "map"))
 def a2_choose_heads_map(spark, sf):
     return ad.choose_heads(fx.heads(spark, sf), 7, with_original=True, original_id=-1, form="map")

@@ -385,3 +385,10 @@ def test_adapt_on_packed_scores_equals_from_vectors(spark):
     assert a.keys() == b.keys()
     for key in a:
         np.testing.assert_allclose(a[key], b[key], atol=1e-12)
+
+
+def test_task_accuracy_names_and_null_task(spark):
+    from prefspark.operators import evaluate as ev
+    df = spark.createDataFrame([(0, 0, 1), (0, 0, 0), (0, 2, 1)], "head_id bigint, task_id int, win int")
+    got = {r.metric: r.value for r in ev.task_accuracy(df, 3, names=["A", "B", "C"]).collect()}
+    assert got == {"A": 0.5, "B": None, "C": 1.0, "overall": round(2 / 3, 3)}
