@@ -564,8 +564,16 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
     is scored once under the full head set in one Arrow pass and the packed
     scores (2H doubles a pair instead of 2d floats) are written, then
     ``adapt_grid_packed`` runs on them."""
-    from prefspark.operators.scoring import collect_heads, score_heads_packed
+    from prefspark.operators.scoring import HeadMatrix, collect_heads, score_heads_packed
+    if isinstance(heads, DataFrame) and head_sets:
+        # score only the heads some configuration uses (e.g. 100 of 4096)
+        used = sorted({int(h) for hs in head_sets.values() for h in hs})
+        heads = heads.filter(F.col("head_id").isin(used))
     hm = collect_heads(heads) if isinstance(heads, DataFrame) else heads
+    if head_sets and not isinstance(heads, DataFrame):
+        used = sorted({int(h) for hs in head_sets.values() for h in hs})
+        pos = {h: i for i, h in enumerate(hm.ids)}
+        hm = HeadMatrix(used, hm.w[[pos[h] for h in used]])
     packed, ids = score_heads_packed(pairs, hm)
     packed = materialise_table(packed.select("pair_id", "grp", *keep, "sc", "sr"))
     return adapt_grid_packed(packed, ids, head_sets, ks, temperatures, seeds, mode, keep, uniform)
