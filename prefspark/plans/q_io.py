@@ -64,6 +64,15 @@ def s3_read_embeddings(spark, sf):
     return rd.read_embeddings(spark, path).select("pair_id", "subset", "chosen", "rejected")
 
 
+@query("s3_lookup_pairs", "SELECT pair_id, subset, chosen, rejected FROM fx_vec_pairs WHERE subset = 3")
+def s3_lookup_pairs(spark, sf):
+    path = scratch_path(spark, "embeddings-lookup")
+    p = fx.vec_pairs(spark, sf)
+    wr.write_embeddings(p, path, n_buckets=8)
+    wanted = p.filter(F.col("subset") == 3).select("pair_id")
+    return rd.lookup_pairs(spark, path, wanted, 8).select("pair_id", "subset", "chosen", "rejected")
+
+
 def _emb_path(pid: str, home: str) -> str:
     return f"CASE WHEN {pid} % 3 = 0 THEN '{home}' ELSE '/srv/local' END || '/emb/emb_' || CAST({pid} AS VARCHAR) || '.npy'"
 

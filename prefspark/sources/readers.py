@@ -188,3 +188,13 @@ def read_heads(spark: SparkSession, path: str, name_col: str = "name") -> DataFr
     w = Window.orderBy(F.col("_k").asc_nulls_last(), F.col(name_col))
     return (df.withColumn("_k", k).withColumn("head_id", (F.row_number().over(w) - 1).cast("bigint"))
             .drop("_k"))
+
+
+def lookup_pairs(spark: SparkSession, path: str, ids: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows of a bucketed pair-vector table (written by ``write_embeddings``
+    with ``n_buckets``) for the pairs in ``ids``: joining on the bucket
+    column lets dynamic partition pruning skip the folders of buckets no id
+    falls in."""
+    keys = ids.select("pair_id").distinct().withColumn(
+        "bucket", F.pmod(F.col("pair_id"), F.lit(n_buckets)).cast("int"))
+    return read_embeddings(spark, path).join(keys, ["bucket", "pair_id"])

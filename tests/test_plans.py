@@ -58,3 +58,14 @@ def test_adaptation_final_plan_broadcasts_small_sides(spark):
     # aggregates per seed are shuffled
     assert plan.count("FileScan parquet") == 1
     assert plan.count("Exchange") == 1 and "hashpartitioning(seed" in plan
+
+
+def test_lookup_pairs_prunes_bucket_folders(spark):
+    path = scratch_path(spark, "plan-lookup")
+    wr.write_embeddings(fx.vec_pairs(spark, SF_MID), path, n_buckets=8)
+    ids = spark.range(0, 250).select((F.col("id") * 8 + 3).alias("pair_id")).filter(F.col("pair_id") < 250)
+    df = rd.lookup_pairs(spark, path, ids, 8)
+    plan = _plan(df)
+    assert "dynamicpruningexpression" in plan.lower()
+    got = sorted(r.pair_id for r in df.select("pair_id").collect())
+    assert got == list(range(3, 250, 8))
