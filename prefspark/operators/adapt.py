@@ -291,10 +291,14 @@ MAX_COEF_BYTES = 512 * 1024 * 1024
 
 
 def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], head_ids: list[int] | None,
-                  cfg: Sequence[str], max_bytes: int):
-    """Per-group (C, S, H) mean / std / weight tensors on the driver.  The
-    size (rows x heads x 3 doubles) is checked *before* the rows are pulled.
-    Heads outside a configuration's set get weight 0."""
+                  cfg: Sequence[str], max_bytes: int, mode: str):
+    """Per group, the weights folded into one linear map: ``A`` (C*S, H) and
+    ``b`` (C*S,) with ``agg = s @ A.T - b``.  For the normalised form
+    ``A = w / std`` and ``b = sum_h mean * w / std``, which is
+    ``sum_h (s - mean) / std * w`` rearranged; for raw scores and deltas
+    ``A = w`` and ``b = 0``.  Heads outside a configuration's set get weight
+    0.  The size (rows x heads x 3 doubles) is checked *before* the rows are
+    pulled to the driver."""
     import numpy as np
     coef = coefficients(stats, weights, cfg)
     n_rows = coef.count()
@@ -309,13 +313,19 @@ def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], head_i
     configs = sorted({tuple(r[c] for c in cfg) for r in rows})
     cpos = {c: i for i, c in enumerate(configs)}
     spos = {sd: i for i, sd in enumerate(seeds)}
-    shape = (len(configs), len(seeds), len(ids))
+    n_cs = len(configs) * len(seeds)
     out: dict = {}
     for r in rows:
-        m, sdv, w = out.setdefault(r["grp"], (np.zeros(shape), np.ones(shape), np.zeros(shape)))
-        ci, si = cpos[tuple(r[c] for c in cfg)], spos[r["seed"]]
+        a, b = out.setdefault(r["grp"], (np.zeros((n_cs, len(ids))), np.zeros(n_cs)))
+        row = cpos[tuple(r[c] for c in cfg)] * len(seeds) + spos[r["seed"]]
         cols = [hpos[int(h)] for h in r["_ids"]]
-        m[ci, si, cols], sdv[ci, si, cols], w[ci, si, cols] = r["_m"], r["_s"], r["_w"]
+        w = np.asarray(r["_w"], dtype=np.float64)
+        if mode == "normalised":
+            sd = np.asarray(r["_s"], dtype=np.float64)
+            a[row, cols] = w / sd
+            b[row] = float(np.sum(np.asarray(r["_m"], dtype=np.float64) * w / sd))
+        else:
+            a[row, cols] = w
     return out, configs
 
 
@@ -330,24 +340,21 @@ def _apply_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], k
             n = len(pdf)
             if n == 0:
                 continue
-            sc_ = np.stack(pdf["sc"].to_numpy())[:, None, None, :]
-            sr_ = np.stack(pdf["sr"].to_numpy())[:, None, None, :]
-            agg_c = np.zeros((n, n_c, n_s))
-            agg_r = np.zeros((n, n_c, n_s))
+            sc_ = np.stack(pdf["sc"].to_numpy())
+            sr_ = np.stack(pdf["sr"].to_numpy())
+            agg_c = np.zeros((n, n_c * n_s))
+            agg_r = np.zeros((n, n_c * n_s))
             grp = pdf["grp"].to_numpy()
             for g in pd.unique(grp):
                 if g is None or (isinstance(g, float) and np.isnan(g)) or g not in coef:
                     continue
                 idx = np.nonzero(grp == g)[0]
-                m, sd, w = coef[g]
-                if mode == "normalised":
-                    agg_c[idx] = ((sc_[idx] - m) / sd * w).sum(-1)
-                    agg_r[idx] = ((sr_[idx] - m) / sd * w).sum(-1)
-                elif mode == "raw":
-                    agg_c[idx] = (sc_[idx] * w).sum(-1)
-                    agg_r[idx] = (sr_[idx] * w).sum(-1)
+                a, b = coef[g]
+                if mode == "delta":
+                    agg_c[idx] = (sc_[idx] - sr_[idx]) @ a.T
                 else:
-                    agg_c[idx] = ((sc_[idx] - sr_[idx]) * w).sum(-1)
+                    agg_c[idx] = sc_[idx] @ a.T - b
+                    agg_r[idx] = sr_[idx] @ a.T - b
             reps = n_c * n_s
             out = {}
             for j, c in enumerate(cfg):
@@ -369,14 +376,15 @@ def apply_weights_arrow(packed: DataFrame, stats: DataFrame, weights: DataFrame,
                         seeds: int | Sequence[int], mode: str = "normalised",
                         keep: Sequence[str] = (), max_bytes: int = MAX_COEF_BYTES,
                         cfg: Sequence[str] = (), head_ids: list[int] | None = None) -> DataFrame:
-    """A11/A12/A13 on Arrow batches: the per-group coefficient tensors are
-    broadcast once (size-checked) and every pair is re-scored for all
-    configurations and seeds with one vectorised numpy expression per group
-    present in the batch.  Same rule and output as ``apply_weights``, plus
-    the configuration columns ``cfg``."""
+    """A11/A12/A13 on Arrow batches: per group the weights are folded into a
+    (configurations x seeds, heads) matrix, broadcast once (size-checked),
+    and every pair is re-scored for all configurations and seeds with one
+    BLAS matrix product per group present in the batch (memory per batch:
+    rows x configurations x seeds).  Same rule and output as
+    ``apply_weights``, plus the configuration columns ``cfg``."""
     seed_list = _seeds(seeds)
     cfg = list(cfg)
-    coef, configs = _coef_tensors(stats, weights, seed_list, head_ids, cfg, max_bytes)
+    coef, configs = _coef_tensors(stats, weights, seed_list, head_ids, cfg, max_bytes, mode)
     if not cfg:
         configs = [()]
     bc = packed.sparkSession.sparkContext.broadcast(coef)
