@@ -291,7 +291,7 @@ MAX_COEF_BYTES = 512 * 1024 * 1024
 
 
 def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], head_ids: list[int] | None,
-                  cfg: Sequence[str], max_bytes: int, mode: str):
+                  cfg: Sequence[str], max_bytes: int, mode: str, rows_bound: int | None = None):
     """Per group, the weights folded into one linear map: ``A`` (C*S, H) and
     ``b`` (C*S,) with ``agg = s @ A.T - b``.  For the normalised form
     ``A = w / std`` and ``b = sum_h mean * w / std``, which is
@@ -301,7 +301,7 @@ def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], head_i
     pulled to the driver."""
     import numpy as np
     coef = coefficients(stats, weights, cfg)
-    n_rows = coef.count()
+    n_rows = coef.count() if rows_bound is None else rows_bound
     n_heads = len(head_ids) if head_ids is not None else stats.select("head_id").distinct().count()
     if n_rows * max(n_heads, 1) * 3 * 8 > max_bytes:
         raise ValueError("coefficient tensors exceed the broadcast limit; use apply_weights (native)")
@@ -375,7 +375,8 @@ def _apply_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], k
 def apply_weights_arrow(packed: DataFrame, stats: DataFrame, weights: DataFrame,
                         seeds: int | Sequence[int], mode: str = "normalised",
                         keep: Sequence[str] = (), max_bytes: int = MAX_COEF_BYTES,
-                        cfg: Sequence[str] = (), head_ids: list[int] | None = None) -> DataFrame:
+                        cfg: Sequence[str] = (), head_ids: list[int] | None = None,
+                        rows_bound: int | None = None) -> DataFrame:
     """A11/A12/A13 on Arrow batches: per group the weights are folded into a
     (configurations x seeds, heads) matrix, broadcast once (size-checked),
     and every pair is re-scored for all configurations and seeds with one
@@ -384,7 +385,7 @@ def apply_weights_arrow(packed: DataFrame, stats: DataFrame, weights: DataFrame,
     ``apply_weights``, plus the configuration columns ``cfg``."""
     seed_list = _seeds(seeds)
     cfg = list(cfg)
-    coef, configs = _coef_tensors(stats, weights, seed_list, head_ids, cfg, max_bytes, mode)
+    coef, configs = _coef_tensors(stats, weights, seed_list, head_ids, cfg, max_bytes, mode, rows_bound)
     if not cfg:
         configs = [()]
     bc = packed.sparkSession.sparkContext.broadcast(coef)
@@ -560,8 +561,10 @@ def adapt_grid_packed(packed: DataFrame, head_ids: list[int], head_sets: Mapping
     both = materialise_small(weights.join(stats, keys))
     stats = both.filter(F.col("temperature") == F.lit(float(temperatures[0]))).select(*keys, "mean", "std")
     weights = both.select(*cfg_t, "seed", "grp", "head_id", "weight")
+    n_configs = len(head_sets) * len(ks) * len(temperatures)
     agg = apply_weights_arrow(packed, both.select(*cfg_t, "seed", "grp", "head_id", "mean", "std"), weights,
-                              seed_list, mode, keep, cfg=cfg_t, head_ids=list(head_ids))
+                              seed_list, mode, keep, cfg=cfg_t, head_ids=list(head_ids),
+                              rows_bound=n_groups * n_configs * len(seed_list))
     return Adaptation(sample, sampled, stats, loss, weights, agg)
 
 
