@@ -151,6 +151,64 @@ def s8_read_heads(spark, sf):
     return h.select("name", "head_id", "component", "sign")
 
 
+@query("k1_write_embeddings", """
+SELECT pair_id, subset, CAST(pair_id % 4 AS INTEGER) AS bucket, chosen, rejected FROM fx_vec_pairs""")
+def k1_write_embeddings(spark, sf):
+    path = scratch_path(spark, "k1")
+    wr.write_embeddings(fx.vec_pairs(spark, sf), path, n_buckets=4)
+    # plain reader: the bucket comes back from the folder names
+    return spark.read.parquet(path).select("pair_id", "subset", "bucket", "chosen", "rejected")
+
+
+@query("k2_write_manifest", """
+SELECT CAST(pair_id AS VARCHAR) AS pair_id, 'prompt ' || CAST(pair_id AS VARCHAR) AS prompts,
+       CAST(task_id AS VARCHAR) AS task_ids FROM fx_vec_pairs""")
+def k2_write_manifest(spark, sf):
+    path = scratch_path(spark, "k2")
+    man = fx.vec_pairs(spark, sf).select(
+        "pair_id", F.concat(F.lit("prompt "), F.col("pair_id").cast("string")).alias("prompts"),
+        F.col("task_id").alias("task_ids"))
+    wr.write_manifest(man, path)
+    return spark.read.option("header", True).csv(path).select("pair_id", "prompts", "task_ids")
+
+
+@query("k3_write_heads", """
+SELECT 'head-PCA-component' || CAST(head_id AS VARCHAR) AS name, head_id, component, sign, w, 'heads' AS part
+FROM fx_heads
+UNION ALL SELECT 'original-head' AS name, CAST(-1 AS BIGINT), CAST(-1 AS INTEGER), CAST(1 AS INTEGER), w,
+       'original' AS part FROM fx_original""")
+def k3_write_heads(spark, sf):
+    root = scratch_path(spark, "k3")
+    orig = fx.original_head(spark, sf).select(
+        F.lit(-1).cast("bigint").alias("head_id"), F.lit(-1).cast("int").alias("component"),
+        F.lit(1).cast("int").alias("sign"), "w")
+    wr.write_heads(fx.heads(spark, sf), root, original=orig)
+    h = spark.read.parquet(f"{root}/heads").withColumn("part", F.lit("heads"))
+    o = spark.read.parquet(f"{root}/original").withColumn("part", F.lit("original"))
+    return h.unionByName(o).select("name", "head_id", "component", "sign", "w", "part")
+
+
+@query("k4_write_head_scores", """
+SELECT head_id, pair_id, subset, round(s_chosen - s_rejected, 6) + 0.0 AS s_delta FROM fx_scores""")
+def k4_write_head_scores(spark, sf):
+    path = scratch_path(spark, "k4")
+    wr.write_head_scores(fx.scores(spark, sf), path)
+    # plain reader: one folder per head, head_id from the folder name
+    back = spark.read.json(path)
+    return back.select(F.col("head_id").cast("bigint").alias("head_id"), F.col("pair_id").cast("bigint"),
+                       F.col("subset").cast("int"), F.round(F.col("s_chosen") - F.col("s_rejected"), 6).alias("s_delta"))
+
+
+@query("k5_write_combined_scores", f"""
+SELECT head_id, pair_id, task_id, {WIN_SQL} AS win FROM fx_scores""")
+def k5_write_combined_scores(spark, sf):
+    path = scratch_path(spark, "k5")
+    s = ev.with_win(fx.scores(spark, sf))
+    wr.write_combined_scores(s, ev.task_accuracy(s, fx.N_TASKS), path)
+    scores, _ = rd.read_combined_scores(spark, path)
+    return scores.select("head_id", "pair_id", "task_id", "win")
+
+
 @query("k6_write_metrics", "SELECT 16 AS num_heads, 15 AS k, CAST(1.0 AS DOUBLE) AS temperature, q.* FROM ("
        + W(adapt_sql("section", K_SECTION), board_sql()) + STATS_SELECT + ") q")
 def k6_write_metrics(spark, sf):
