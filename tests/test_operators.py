@@ -213,7 +213,7 @@ def _brute_sample(meta_rows, k, seeds):
 
 
 def test_sampling_is_exact_topk_with_threshold_and_fallback(spark, monkeypatch):
-    meta = _meta(spark, {"hot": 3000, "mid": 40, "small": 3})
+    meta = _meta(spark, {"hot": 3000, "mid": 40, "small": 3, "one": 1})
     rows = [(r.pair_id, r.grp) for r in meta.collect()]
     want = _brute_sample(rows, 5, [0, 1, 2])
     got = {(r.seed, r.grp, r.slot, r.pair_id) for r in ad.sample_per_group(meta, 5, [0, 1, 2]).collect()}
@@ -392,3 +392,25 @@ def test_task_accuracy_names_and_null_task(spark):
     df = spark.createDataFrame([(0, 0, 1), (0, 0, 0), (0, 2, 1)], "head_id bigint, task_id int, win int")
     got = {r.metric: r.value for r in ev.task_accuracy(df, 3, names=["A", "B", "C"]).collect()}
     assert got == {"A": 0.5, "B": None, "C": 1.0, "overall": round(2 / 3, 3)}
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    base = ad.attach_category(fx.vec_pairs(spark, SF_MID), fx.SECTION_MAP)
+    heads = fx.heads(spark, SF_MID)
+    outs = []
+    for n in (1, 7):
+        a = ad.adapt_from_vectors(base.repartition(n), heads, 15, [0, 2], keep=("subset",))
+        board = ad.tta_section_scores(a.agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
+        outs.append(({(r.seed, r.grp, r.slot, r.pair_id) for r in a.sample.collect()},
+                     sorted((r.seed, r.metric, r.value) for r in board.collect())))
+    assert outs[0] == outs[1]
+
+
+def test_equal_heads_get_uniform_weights(spark):
+    pairs = ad.attach_category(fx.vec_pairs(spark, SF_MID), fx.SECTION_MAP)
+    w0 = fx.heads(spark, SF_MID).filter(F.col("head_id") == 0).first().w
+    heads = fx.heads(spark, SF_MID).filter(F.col("head_id") < 4).select(
+        "head_id", F.lit(w0).cast("array<double>").alias("w"))
+    a = ad.adapt_from_vectors(pairs, heads, 15, [0])
+    ws = [r.weight for r in a.weights.collect()]
+    assert ws and all(abs(w - 0.25) < 1e-12 for w in ws)
