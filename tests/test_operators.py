@@ -414,3 +414,27 @@ def test_equal_heads_get_uniform_weights(spark):
     a = ad.adapt_from_vectors(pairs, heads, 15, [0])
     ws = [r.weight for r in a.weights.collect()]
     assert ws and all(abs(w - 0.25) < 1e-12 for w in ws)
+
+
+def test_adaptation_with_a_hot_group_matches_tensor_formula(spark):
+    # a third of the pairs in one group, the rest in 40 small groups
+    grp = F.when(F.col("pair_id") % 3 == 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("g"), (F.col("pair_id") % 40).cast("string")))
+    pairs = fx.vec_pairs(spark, SF_MID).withColumn("grp", grp)
+    a = ad.adapt_from_vectors(pairs, fx.heads(spark, SF_MID), 5, [0, 1])
+    packed, _ = sc.score_heads_packed(pairs, fx.heads(spark, SF_MID))
+    p = sorted(packed.select("pair_id", "grp", "sc", "sr").collect(), key=lambda r: r.pair_id)
+    pos = {r.pair_id: i for i, r in enumerate(p)}
+    sc_c, sc_r = np.array([r.sc for r in p]), np.array([r.sr for r in p])
+    g = np.array([r.grp for r in p], dtype=object)
+    sample = a.sample.collect()
+    agg = {(r.seed, r.pair_id): (r.agg_chosen, r.agg_rejected) for r in a.agg.collect()}
+    for seed in (0, 1):
+        idx = {}
+        for r in sorted(sample, key=lambda r: r.slot):
+            if r.seed == seed:
+                idx.setdefault(r.grp, []).append(pos[r.pair_id])
+        assert all(len(v) == 5 for v in idx.values()) and len(idx) == len(set(g))
+        want_c, want_r = _reference_adaptation(sc_c, sc_r, g, {k: np.array(v) for k, v in idx.items()}, 5)
+        np.testing.assert_allclose([agg[(seed, r.pair_id)][0] for r in p], want_c, atol=1e-9)
+        np.testing.assert_allclose([agg[(seed, r.pair_id)][1] for r in p], want_r, atol=1e-9)
