@@ -192,3 +192,15 @@ def h14_normalise_scores(spark, sf):
     return n.select("pair_id", "head_id", F.round("s_chosen", 6).alias("s_chosen"),
                     F.round("s_rejected", 6).alias("s_rejected"))
 
+
+
+@query("h9_pca_heads_subset_accuracy")
+def h9_pca_heads_subset_accuracy(spark, sf):
+    """PCA of the pair differences -> signed heads -> accuracy per (head, subset)."""
+    from prefspark.operators import evaluate as ev
+    pairs = fx.vec_pairs(spark, sf)
+    res = hd.fit_pca(hd.pair_diff(pairs), N_PCA)
+    heads = hd.signed_heads(res.components_frame(spark).select("component", "w"), N_PCA)
+    scored = ev.with_win(score_heads(pairs, heads, keep=["pair_id", "subset"]))
+    acc = ev.subset_accuracy(scored)
+    return acc.select("head_id", "subset", F.round("accuracy", 6).alias("accuracy"), "n")

@@ -438,3 +438,14 @@ def test_adaptation_with_a_hot_group_matches_tensor_formula(spark):
         want_c, want_r = _reference_adaptation(sc_c, sc_r, g, {k: np.array(v) for k, v in idx.items()}, 5)
         np.testing.assert_allclose([agg[(seed, r.pair_id)][0] for r in p], want_c, atol=1e-9)
         np.testing.assert_allclose([agg[(seed, r.pair_id)][1] for r in p], want_r, atol=1e-9)
+
+
+def test_pca_heads_plus_minus_accuracies_complement(spark):
+    from __spark_entry__ import queries
+    rows = queries()["h9_pca_heads_subset_accuracy"](spark, SF_MID).collect()
+    acc = {(r.head_id, r.subset): (r.accuracy, r.n) for r in rows}
+    # head i+k is -head i: a pair won by one is lost by the other unless tied
+    for (h, sub), (a, n) in acc.items():
+        if h < 8:
+            b, n2 = acc[(h + 8, sub)]
+            assert n == n2 and a + b <= 1.0 + 1e-9

@@ -65,7 +65,7 @@ def test_every_query_has_oracle_or_is_declared_rows_only():
     from __spark_entry__ import oracle_sql, queries
     rows_only = set(queries()) - set(oracle_sql())
     assert rows_only == {"h2_pca_components", "h3_pca_full", "h4_explained_variance_ratio",
-                         "h5_explained_variance", "h8_project"}
+                         "h5_explained_variance", "h8_project", "h9_pca_heads_subset_accuracy"}
 
 
 def test_entry_runs(spark):
