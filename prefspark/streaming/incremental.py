@@ -9,6 +9,8 @@ so a restart or a lost executor neither skips nor repeats a pair.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -27,7 +29,9 @@ def score_new_pairs(spark: SparkSession, source_dir: str, schema: T.StructType,
     micro-batches, then stops.
     """
     if checkpoint is None:
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/score-{abs(hash(sink_dir))}"
+        # stable across processes (Python's hash() is salted per process)
+        tag = hashlib.md5(sink_dir.encode("utf-8")).hexdigest()[:16]
+        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/score-{tag}"
     hm = heads if isinstance(heads, HeadMatrix) else collect_heads(heads)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:

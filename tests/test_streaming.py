@@ -24,3 +24,13 @@ def test_incremental_scoring_is_exactly_once(spark):
     out = spark.read.parquet(sink)
     assert out.count() == pairs.count() * 16
     assert out.select("pair_id", "head_id").distinct().count() == out.count()
+
+
+def test_default_checkpoint_is_stable_across_processes(spark):
+    import subprocess
+    import sys
+    code = ("import hashlib;print(hashlib.md5('/x/sink'.encode()).hexdigest()[:16])")
+    outs = {subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout for _ in range(2)}
+    assert len(outs) == 1
+    src = open(__import__("prefspark.streaming.incremental", fromlist=["x"]).__file__).read()
+    assert "hash(sink_dir)" not in src
