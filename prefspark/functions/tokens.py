@@ -34,6 +34,13 @@ def pad(ids: ColumnOrName, n: int, pad_id: int) -> Column:
     return F.concat(a, F.array_repeat(F.lit(pad_id), missing))
 
 
+def pad_to(ids: ColumnOrName, n: ColumnOrName, pad_id: int) -> Column:
+    """T2 with a length column: right-pad to ``n`` (a column) with pad_id."""
+    a = _c(ids)
+    missing = F.greatest(_c(n) - F.size(a), F.lit(0))
+    return F.concat(a, F.array_repeat(F.lit(pad_id), missing))
+
+
 def pad_mask(ids: ColumnOrName, n: int) -> Column:
     """T2 mask: 1 for every original id, 0 for every padded slot."""
     a = _c(ids)

@@ -104,6 +104,18 @@ def passthrough(df: DataFrame, id_col: str = "pair_id") -> DataFrame:
     return df.select(id_col, "chosen", "rejected")
 
 
+def pad_to_batch(df: DataFrame, ids: str, batch: str, pad_id: int, multiple: int = 1,
+                 out: str = "padded") -> DataFrame:
+    """T2 (batch mode): pad every sequence to the longest one of its batch,
+    rounded up to a multiple.  The batch maxima come from a partial
+    aggregate joined back, so no batch is gathered into one task."""
+    from prefspark.functions.tokens import pad_to
+    longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_len"))
+    target = (F.ceil(F.col("_len") / F.lit(multiple)) * F.lit(multiple)).cast("int")
+    j = df.join(longest.withColumn("_len", target), batch)
+    return j.withColumn(out, pad_to(ids, "_len", pad_id)).drop("_len")
+
+
 def filter_max_len(df: DataFrame, ids_c: str, ids_r: str, n: int) -> DataFrame:
     """Keep pairs whose both sides have at most n ids."""
     return df.filter((F.size(ids_c) <= n) & (F.size(ids_r) <= n))

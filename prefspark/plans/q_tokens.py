@@ -66,3 +66,17 @@ def t5_mask_double_bos(spark, sf):
     t = fx.tokens(spark, sf)
     return t.select("doc_id", tok.mask_double_bos("ids", "mask", fx.BOS_ID).alias("mask"))
 
+
+
+@query("t2_pad_to_batch", f"""
+WITH b AS (SELECT doc_id // 8 AS batch, CAST(ceil(max(len(ids)) / 16) * 16 AS INTEGER) AS target
+           FROM fx_tokens GROUP BY doc_id // 8)
+SELECT t.doc_id, list_concat(t.ids, list_transform(range(greatest(b.target - len(t.ids), 0)),
+                                                   lambda x: {fx.PAD_ID})) AS padded
+FROM fx_tokens t JOIN b ON b.batch = t.doc_id // 8""")
+def t2_pad_to_batch(spark, sf):
+    from pyspark.sql import functions as F
+
+    from prefspark.operators.pairs import pad_to_batch
+    t = fx.tokens(spark, sf).withColumn("batch", (F.col("doc_id") / 8).cast("bigint"))
+    return pad_to_batch(t, "ids", "batch", fx.PAD_ID, multiple=16).select("doc_id", "padded")
