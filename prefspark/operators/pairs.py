@@ -129,7 +129,11 @@ def filter_prompt_len(df: DataFrame, col: str, n: int) -> tuple[DataFrame, DataF
     return kept, dropped
 
 
-def keep_columns(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
+# Name fragments of the columns kept for the encoder stage.
+KEEP_PATTERNS = ("input_ids", "attention", "task_id", "data_idx")
+
+
+def keep_columns(df: DataFrame, patterns: Sequence[str] = KEEP_PATTERNS) -> DataFrame:
     """Keep the columns whose name contains any of ``patterns``."""
     return df.select([c for c in df.columns if any(p in c for p in patterns)])
 

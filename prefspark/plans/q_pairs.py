@@ -230,6 +230,15 @@ def p16_keep_columns(spark, sf):
     return pr.keep_columns(fx.table(spark, sf, "documents"), ["doc", "lang"])
 
 
+@query("p16_keep_columns_default", """
+SELECT ids AS input_ids, mask AS attention_mask, doc_id AS data_idx FROM fx_tokens""")
+def p16_keep_columns_default(spark, sf):
+    t = fx.tokens(spark, sf).join(fx.table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
+    named = t.select(F.col("doc_id").alias("data_idx"), F.col("ids").alias("input_ids"),
+                     F.col("mask").alias("attention_mask"), "text", "lang")
+    return pr.keep_columns(named)
+
+
 @query("p17_source_or_blank", """
 SELECT doc_id AS id, coalesce(source, ' ') AS source FROM documents
 UNION ALL SELECT pair_id AS id, ' ' AS source FROM fx_msg_pairs""")
