@@ -88,16 +88,22 @@ def read_npy_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 def resolve_paths(manifest: DataFrame, vectors: DataFrame, path_col: str = "cls_emb",
                   key: str = "path", old_prefix: str = "/home", new_prefix: str = "/srv/local") -> DataFrame:
-    """S4 lookup: join manifest rows to vectors on their path; rows whose path
-    is unknown retry with the prefix rewritten (the reference's fallback)."""
+    """S4 lookup: each manifest row tries its path, then the path with the
+    prefix rewritten (the reference's fallback); the first that exists wins.
+
+    One join on both candidate keys (two rows per manifest row), then the
+    best candidate per manifest path (a window over at most two rows).
+    Manifest paths are unique (one vector file per pair).
+    """
+    from pyspark.sql import Window
     v = vectors.withColumnRenamed(key, "_vk")
-    first = manifest.join(v, manifest[path_col] == v["_vk"], "left")
-    vcols = [c for c in v.columns if c != "_vk"]
-    hit = first.filter(F.col("_vk").isNotNull()).drop("_vk")
-    miss = first.filter(F.col("_vk").isNull()).drop("_vk", *vcols)
     alt = F.regexp_replace(F.col(path_col), "^" + old_prefix, new_prefix)
-    retry = miss.join(v, alt == v["_vk"], "left").drop("_vk")
-    return hit.unionByName(retry)
+    tries = F.explode(F.array(F.struct(F.lit(0).alias("p"), F.col(path_col).alias("k")),
+                              F.struct(F.lit(1).alias("p"), alt.alias("k")))).alias("_t")
+    cand = manifest.select("*", tries).select("*", F.col("_t.p").alias("_p"), F.col("_t.k").alias("_k")).drop("_t")
+    j = cand.join(v, cand["_k"] == v["_vk"], "left")
+    w = Window.partitionBy(path_col).orderBy(F.col("_vk").isNull(), F.col("_p"))
+    return j.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_p", "_k", "_vk", "_r")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -449,3 +449,12 @@ def test_pca_heads_plus_minus_accuracies_complement(spark):
         if h < 8:
             b, n2 = acc[(h + 8, sub)]
             assert n == n2 and a + b <= 1.0 + 1e-9
+
+
+def test_resolve_paths_prefers_primary_then_rewritten(spark):
+    from prefspark.sources import readers as rd
+    man = spark.createDataFrame([("/home/a",), ("/srv/local/b",), ("/home/c",), ("/home/x",)], "cls_emb string")
+    vec = spark.createDataFrame([("/home/a", 1), ("/srv/local/a", 2), ("/srv/local/b", 3), ("/srv/local/c", 4)],
+                                "path string, v int")
+    got = {r.cls_emb: r.v for r in rd.resolve_paths(man, vec).collect()}
+    assert got == {"/home/a": 1, "/srv/local/b": 3, "/home/c": 4, "/home/x": None}
