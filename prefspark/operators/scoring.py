@@ -65,9 +65,10 @@ def collect_heads(heads: DataFrame, id_col: str = "head_id", w_col: str = "w",
 
 
 def _as_matrix(series: pd.Series, d: int) -> np.ndarray:
+    """An Arrow batch of equal-length vectors as one (n, d) float64 matrix."""
     if len(series) == 0:
         return np.zeros((0, d))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+    return np.vstack(series.to_numpy()).astype(np.float64, copy=False)
 
 
 def _block_udf(bc):
