@@ -458,3 +458,15 @@ def test_resolve_paths_prefers_primary_then_rewritten(spark):
                                 "path string, v int")
     got = {r.cls_emb: r.v for r in rd.resolve_paths(man, vec).collect()}
     assert got == {"/home/a": 1, "/srv/local/b": 3, "/home/c": 4, "/home/x": None}
+
+
+def test_grid_equals_separate_runs(spark):
+    pairs = ad.attach_category(fx.vec_pairs(spark, SF_MID), fx.SECTION_MAP)
+    heads = fx.heads(spark, SF_MID)
+    grid = ad.adapt_grid(pairs, heads, None, [5, 15], [0.5, 1.0], [0, 1])
+    g = {(r.k, r.temperature, r.seed, r.pair_id): (r.agg_chosen, r.agg_rejected) for r in grid.agg.collect()}
+    for k in (5, 15):
+        for t in (0.5, 1.0):
+            one = ad.adapt_from_vectors(pairs, heads, k, [0, 1], temperature=t)
+            for r in one.agg.collect():
+                np.testing.assert_allclose(g[(k, t, r.seed, r.pair_id)], (r.agg_chosen, r.agg_rejected), atol=1e-12)
