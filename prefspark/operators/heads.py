@@ -136,15 +136,23 @@ def total_variance(diffs: DataFrame, col: str = "diff") -> DataFrame:
 
 
 def project(diffs: DataFrame, pca: PCAResult, col: str = "diff",
-            keep: list[str] | None = None) -> DataFrame:
+            keep: list[str] | None = None, method: str = "native") -> DataFrame:
     """H8: centred projection onto the components (MLlib's transform does
-    not centre, so the mean is subtracted first)."""
+    not centre, so the mean is subtracted first): ``(x - mean) . w`` computed
+    as ``x . w - mean . w`` with the k offsets ``mean . w`` as constants.
+    ``method="arrow"`` runs the k dot products as one BLAS product per Arrow
+    batch (for large k x d)."""
     keep = keep if keep is not None else ["pair_id"]
-    # (x - mean) . w = x . w - mean . w; the k offsets mean . w are constants
     offsets = (pca.components @ pca.mean).tolist()
+    x = F.col(col)
+    if method == "arrow":
+        from prefspark.operators.scoring import HeadMatrix, score_column
+        hm = HeadMatrix(list(range(pca.components.shape[0])), pca.components)
+        raw = score_column(x, hm, diffs.sparkSession, "arrow")
+        proj = F.zip_with(raw, F.lit(offsets).cast("array<double>"), lambda a, b: a - b)
+        return diffs.select(*keep, proj.alias("proj"))
     comps = F.arrays_zip(F.lit(pca.components.tolist()).cast("array<array<double>>").alias("w"),
                          F.lit(offsets).cast("array<double>").alias("b"))
-    x = F.col(col)
     return diffs.select(*keep, F.transform(comps, lambda t: dot(x, t["w"]) - t["b"]).alias("proj"))
 
 

@@ -94,6 +94,14 @@ def _arrow_scores(vec: Column, hm: HeadMatrix, spark, max_bytes: int) -> Column:
     return blocks[0] if len(blocks) == 1 else F.concat(*blocks)
 
 
+def score_column(vec: Column, hm: HeadMatrix, spark, method: str = "arrow",
+                 max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> Column:
+    """Packed ``w . v`` of one vector column under every row of ``hm``."""
+    if method == "native" and hm.nbytes <= DEFAULT_MAX_LITERAL_BYTES:
+        return _native_scores(vec, hm)
+    return _arrow_scores(vec, hm, spark, max_broadcast_bytes)
+
+
 def _native_scores(vec: Column, hm: HeadMatrix) -> Column:
     w_lit = F.lit(hm.w.tolist()).cast("array<array<double>>")
     return F.transform(w_lit, lambda w: dot(vec, w))

@@ -149,6 +149,8 @@ def test_pca_matches_numpy(spark):
     np.testing.assert_allclose(res.components @ res.components.T, np.eye(8), atol=1e-9)
     proj = hd.project(diffs, res).orderBy("pair_id").collect()
     np.testing.assert_allclose(np.array([r.proj for r in proj]), xc @ res.components.T, atol=1e-9)
+    proj_a = hd.project(diffs, res, method="arrow").orderBy("pair_id").collect()
+    np.testing.assert_allclose(np.array([r.proj for r in proj_a]), xc @ res.components.T, atol=1e-9)
     full = hd.fit_pca(diffs, None)
     assert full.explained_variance_ratio.sum() == pytest.approx(1.0, abs=1e-9)
     ml = hd.fit_pca(diffs, 8, method="ml")
