@@ -126,13 +126,25 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
     (ties by key), slot = rank.  Groups with n < k: k draws with
     replacement, slot j takes the row of rank ``md5(grp|seed|j) % n + 1``.
     Rows with a null group are never sampled.
+    """
+    return sample_per_group_multi(meta, [k], seeds, grp, key, n_groups, sizes).drop("k")
+
+
+def sample_per_group_multi(meta: DataFrame, ks: Sequence[int], seeds: int | Sequence[int],
+                           grp: str = "grp", key: str = "pair_id", n_groups: int | None = None,
+                           sizes: DataFrame | None = None) -> DataFrame:
+    """A5 for several k at once -> ``(k, seed, grp, slot, pair_id)``.
 
-    Only rows under a per-group threshold reach the ranking window.  A
+    Only rows under a per-group threshold (set for the largest k; the
+    thresholds grow with k, so its candidates hold the k smallest for every
+    smaller k) reach the ranking window, in one pass over pairs x seeds.  A
     (seed, group) left with fewer than min(k, n) candidates gets its
     threshold multiplied by 16 and is checked again (a small driver loop on
-    the short keys only), so the result is exactly the k smallest while no
+    the short keys only), so every sample is exactly the k smallest while no
     window ever holds more than a bounded candidate set.
     """
+    ks = sorted({int(k) for k in ks})
+    k_max = ks[-1]
     if sizes is None:
         sizes = materialise_small(group_sizes(meta, grp))
     if n_groups is None:
@@ -143,7 +155,7 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
             .join(sizes, "grp")
             .select("pair_id", "grp", "_n", seed_column(seed_list).alias("seed"))
             .withColumn("_u", md5_uniform(F.col("pair_id"), F.col("seed")))
-            .withColumn("_t", _threshold(k)))
+            .withColumn("_t", _threshold(k_max)))
     grid = sizes.select("grp", "_n", seed_column(seed_list).alias("seed"))
     # one pass over pairs x seeds; the candidates are a bounded set
     rows = materialise_small(_candidates(base, None))
@@ -152,7 +164,8 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
     for _ in range(MAX_ROUNDS):
         got = rows.groupBy("seed", "grp").agg(F.count(F.lit(1)).alias("_c"))
         short = (grid.join(got, ["seed", "grp"], "left")
-                 .filter(F.coalesce(F.col("_c"), F.lit(0)) < F.least(F.lit(k), F.col("_n"))).select("seed", "grp"))
+                 .filter(F.coalesce(F.col("_c"), F.lit(0)) < F.least(F.lit(k_max), F.col("_n")))
+                 .select("seed", "grp"))
         if short.isEmpty():
             break
         short = materialise_small(short)
@@ -169,15 +182,21 @@ def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: s
         rows = materialise_small(rows.join(short_b, ["seed", "grp"], "left_anti").unionByName(more))
     w = Window.partitionBy("seed", "grp").orderBy("_u", "pair_id")
     ranked = rows.withColumn("_rk", F.row_number().over(w)).filter(
-        (F.col("_rk") <= k) | (F.col("_n") < k))
-    plain = ranked.filter(F.col("_n") >= k).select("seed", "grp", F.col("_rk").alias("slot"), "pair_id")
-    draws = (grid.filter(F.col("_n") < k)
-             .select("grp", "_n", "seed", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot"))
-             .withColumn("_rk", (md5_uniform(F.col("grp"), F.col("seed"), F.col("slot")) % F.col("_n") + 1)
-                         .cast("int")))
-    small = ranked.filter(F.col("_n") < k).select("seed", "grp", "_rk", "pair_id")
-    drawn = draws.join(small, ["seed", "grp", "_rk"]).select("seed", "grp", "slot", "pair_id")
-    return materialise_small(plain.unionByName(drawn).withColumn("slot", F.col("slot").cast("int")))
+        (F.col("_rk") <= k_max) | (F.col("_n") < k_max))
+    out = None
+    for k in ks:
+        plain = ranked.filter((F.col("_n") >= k) & (F.col("_rk") <= k)).select(
+            F.lit(k).alias("k"), "seed", "grp", F.col("_rk").alias("slot"), "pair_id")
+        draws = (grid.filter(F.col("_n") < k)
+                 .select("grp", "_n", "seed", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot"))
+                 .withColumn("_rk", (md5_uniform(F.col("grp"), F.col("seed"), F.col("slot")) % F.col("_n") + 1)
+                             .cast("int")))
+        small = ranked.filter(F.col("_n") < k).select("seed", "grp", "_rk", "pair_id")
+        drawn = draws.join(small, ["seed", "grp", "_rk"]).select(F.lit(k).alias("k"), "seed", "grp", "slot",
+                                                                  "pair_id")
+        part = plain.unionByName(drawn)
+        out = part if out is None else out.unionByName(part)
+    return materialise_small(out.withColumn("k", F.col("k").cast("int")).withColumn("slot", F.col("slot").cast("int")))
 
 
 # ---------------------------------------------------------------- A6-A8
@@ -539,11 +558,7 @@ def adapt_grid_packed(packed: DataFrame, head_ids: list[int], head_sets: Mapping
     meta = packed.select("pair_id", "grp")
     sizes = materialise_small(group_sizes(meta))
     n_groups = sizes.count()
-    sample = None
-    for k in ks:
-        part = sample_per_group(meta, k, seed_list, n_groups=n_groups, sizes=sizes) \
-            .select(F.lit(int(k)).alias("k"), "*")
-        sample = part if sample is None else sample.unionByName(part)
+    sample = sample_per_group_multi(meta, ks, seed_list, n_groups=n_groups, sizes=sizes)
     bound = n_groups * len(seed_list) * int(sum(ks))
     hmap = spark.createDataFrame([(int(n), int(h)) for n, hs in head_sets.items() for h in hs],
                                  "num_heads int, head_id bigint")

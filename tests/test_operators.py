@@ -472,3 +472,12 @@ def test_grid_equals_separate_runs(spark):
             one = ad.adapt_from_vectors(pairs, heads, k, [0, 1], temperature=t)
             for r in one.agg.collect():
                 np.testing.assert_allclose(g[(k, t, r.seed, r.pair_id)], (r.agg_chosen, r.agg_rejected), atol=1e-12)
+
+
+def test_multi_k_sampling_matches_brute_force(spark):
+    meta = _meta(spark, {"hot": 2000, "mid": 40, "small": 3, "one": 1})
+    rows = [(r.pair_id, r.grp) for r in meta.collect()]
+    got = ad.sample_per_group_multi(meta, [3, 5, 50], [0, 1]).collect()
+    for k in (3, 5, 50):
+        want = _brute_sample(rows, k, [0, 1])
+        assert {(r.seed, r.grp, r.slot, r.pair_id) for r in got if r.k == k} == want
