@@ -140,3 +140,43 @@ def test_pick_by_label_matches_argmax(spark, labels):
                     msg.pick_by_label("choices", "labels", False).alias("worst")).collect()
     for (ch, lab), g in zip(data, got):
         assert g.best == ch[int(np.argmax(lab))] and g.worst == ch[int(np.argmin(lab))]
+
+
+text_piece = st.sampled_from(["A", "M", "D", "[", "]", "P", "x", " ", "[PAD]", "é"])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(text_piece, max_size=10).map("".join), min_size=1, max_size=40))
+def test_strip_pad_matches_python(spark, texts):
+    import re
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = df.select(msg.strip_pad_chars("s").alias("c"), msg.strip_pad_suffix("s").alias("x")).collect()
+    for t, g in zip(texts, got):
+        assert g.c == t.rstrip("[PAD]")
+        assert g.x == re.sub(r"(\[PAD\])+$", "", t)
+
+
+def py_render_gemma(m):
+    body = "".join(f"<start_of_turn>{'model' if t['role'] == 'assistant' else t['role']}\n{t['content']}"
+                   f"<end_of_turn>\n" for t in m)
+    return "<bos>" + body
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(msgs, min_size=1, max_size=30))
+def test_render_chat_matches_python(spark, rows):
+    df = spark.createDataFrame([(m,) for m in rows], "m array<struct<role:string,content:string>>")
+    got = df.select(msg.render_chat("m", "gemma2").alias("t")).collect()
+    for m, g in zip(rows, got):
+        assert g.t == py_render_gemma(m)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 10**12), st.integers(0, 50)), min_size=1, max_size=50))
+def test_md5_uniform_matches_hashlib(spark, rows):
+    import hashlib
+
+    from prefspark.functions.vectors import md5_uniform
+    df = spark.createDataFrame(rows, "a bigint, b int")
+    got = [r.u for r in df.select(md5_uniform("a", "b").alias("u")).collect()]
+    assert got == [int(hashlib.md5(f"{a}|{b}".encode()).hexdigest()[:8], 16) for a, b in rows]
