@@ -46,7 +46,7 @@ class HeadMatrix:
 
 
 def collect_heads(heads: DataFrame, id_col: str = "head_id", w_col: str = "w",
-                  max_bytes: int = 1 << 31) -> HeadMatrix:
+                  max_bytes: int = 512 * 1024 * 1024) -> HeadMatrix:
     """Bring a head table to the driver after checking its size.
 
     The head table is a model (H x d), not data: it does not grow with the
