@@ -133,6 +133,16 @@ def filter_prompt_len(df: DataFrame, col: str, n: int) -> tuple[DataFrame, DataF
 KEEP_PATTERNS = ("input_ids", "attention", "task_id", "data_idx")
 
 
+def filter_prompt_len_observed(df: DataFrame, col: str, n: int):
+    """P15 without a second pass: the dropped count is an ``Observation``
+    filled in by whatever job consumes the kept rows (read it with
+    ``obs.get["dropped"]`` after that action)."""
+    from pyspark.sql import Observation
+    obs = Observation("prompt_len")
+    kept = df.observe(obs, F.count_if(~(F.col(col) < F.lit(n))).alias("dropped")).filter(F.col(col) < F.lit(n))
+    return kept, obs
+
+
 def keep_columns(df: DataFrame, patterns: Sequence[str] = KEEP_PATTERNS) -> DataFrame:
     """Keep the columns whose name contains any of ``patterns``."""
     return df.select([c for c in df.columns if any(p in c for p in patterns)])

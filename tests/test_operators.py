@@ -481,3 +481,14 @@ def test_multi_k_sampling_matches_brute_force(spark):
     for k in (3, 5, 50):
         want = _brute_sample(rows, k, [0, 1])
         assert {(r.seed, r.grp, r.slot, r.pair_id) for r in got if r.k == k} == want
+
+
+def test_prompt_len_dropped_count_by_observation(spark):
+    from prefspark.functions import tokens as tk
+    t = fx.tokens(spark, SF_SMALL).select(
+        "doc_id", F.coalesce(tk.find_last("ids", fx.TOKEN_PATTERN), F.lit(tk.NOT_FOUND)).alias("pl"))
+    kept, obs = pr.filter_prompt_len_observed(t, "pl", 8)
+    n_kept = kept.count()
+    _, dropped = pr.filter_prompt_len(t, "pl", 8)
+    assert obs.get["dropped"] == dropped.first().dropped
+    assert n_kept + obs.get["dropped"] == t.count()
