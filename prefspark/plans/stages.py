@@ -26,6 +26,7 @@ from prefspark.operators import adapt as ad
 from prefspark.operators import encode as en
 from prefspark.operators import evaluate as ev
 from prefspark.operators import heads as hd
+from prefspark.operators import pairs as pr
 from prefspark.operators.scoring import score_heads
 from prefspark.sources import readers as rd
 from prefspark.sources import writers as wr
@@ -33,26 +34,37 @@ from prefspark.sources import writers as wr
 
 def extract(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_path: str,
             family: str = "gemma2", max_len: int | None = None, n_buckets: int = 64,
-            batch_size: int = 64) -> DataFrame:
+            batch_size: int = 64, manifest_path: str | None = None) -> DataFrame:
     """Stage 1.  ``pairs`` has ``pair_id``, ``chosen``, ``rejected`` message
     arrays (plus optional ``subset``/``task_id``/``source``/``margin``).
-    Inconsistent pairs are kept out of the encoder; with ``max_len`` pairs
-    whose rendered text has more than ``max_len`` characters are dropped
-    (the encoder's tokens are the user's).  Writes (appends) the pair-vector
-    table and returns it as read back."""
-    ok = pairs.filter(msg.is_consistent_pair("chosen", "rejected"))
+    Every pair is encoded, inconsistent ones included (their prompt and
+    answer texts are empty, as P5 defines); with ``max_len`` pairs whose
+    rendered text is longer than ``max_len`` characters are left out (the
+    encoder's tokens are the user's).  Pairs already in ``out_path`` are
+    skipped, so a rerun resumes.  With ``manifest_path`` the prompt / answer
+    texts and the vector key are written as the manifest (K2).  Returns the
+    pair-vector table as read back."""
+    todo = pairs
     try:
         done = rd.read_embeddings(spark, out_path).select("pair_id")
-        ok = wr.missing_pairs(ok, done)
+        todo = wr.missing_pairs(todo, done)
     except AnalysisException:  # nothing written yet
         pass
-    texts = ok.select("*", msg.render_chat("chosen", family).alias("chosen_text"),
-                      msg.render_chat("rejected", family).alias("rejected_text"))
+    texts = todo.select("*", msg.render_chat("chosen", family).alias("chosen_text"),
+                        msg.render_chat("rejected", family).alias("rejected_text"))
     if max_len is not None:
         texts = texts.filter((F.length("chosen_text") <= max_len) & (F.length("rejected_text") <= max_len))
     vecs = en.embed_pairs(texts, make_encoder, batch_size=batch_size)
     keep = [c for c in ("subset", "task_id", "source", "margin") if c in pairs.columns]
     wr.write_embeddings(vecs.select("pair_id", *keep, "chosen", "rejected"), out_path, n_buckets, mode="append")
+    if manifest_path is not None:
+        split = pr.split_pair(texts.select("pair_id", *[c for c in ("task_id",) if c in pairs.columns],
+                                           "chosen", "rejected"))
+        man = split.select("pair_id", F.col("prompt").alias("prompts"), F.col("chosen").alias("chosen_responses"),
+                           F.col("rejected").alias("rejected_responses"),
+                           F.concat(F.lit(out_path.rstrip("/") + "#"), F.col("pair_id").cast("string")).alias("cls_emb"),
+                           *[F.col("task_id").alias("task_ids")] * ("task_id" in pairs.columns))
+        wr.write_manifest(man, manifest_path, mode="append")
     return rd.read_embeddings(spark, out_path).drop("bucket")
 
 

@@ -13,9 +13,15 @@ def test_extract_decompose_evaluate_adapt(spark):
     pairs = fx.msg_pairs(spark, SF_SMALL).withColumn("subset", (F.col("pair_id") % 3).cast("int")) \
         .withColumn("task_id", (F.col("pair_id") % 2).cast("int"))
     out = scratch_path(spark, "stage-vectors")
-    vecs = stages.extract(spark, pairs, en.hashing_encoder(32), out, n_buckets=4)
+    man = scratch_path(spark, "stage-manifest")
+    vecs = stages.extract(spark, pairs, en.hashing_encoder(32), out, n_buckets=4, manifest_path=man)
     n = vecs.count()
-    assert n > 0 and n == vecs.select("pair_id").distinct().count()
+    assert n == pairs.count() == vecs.select("pair_id").distinct().count()   # every pair, none twice
+    m = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(man)
+    assert m.count() == n
+    blank = m.filter(F.col("prompts").isNull() & F.col("chosen_responses").isNull()).count()
+    from prefspark.functions import messages as msg
+    assert blank == pairs.filter(~msg.is_consistent_pair("chosen", "rejected")).count()
     again = stages.extract(spark, pairs, en.hashing_encoder(32), out, n_buckets=4)
     assert again.count() == n                       # resume: nothing written twice
 
