@@ -36,8 +36,9 @@ def run(spark, sf, grouping="section", k=K_SECTION, mode="normalised", temperatu
     heads = fx.heads(spark, sf)
     if head_ids is not None:
         heads = heads.filter(F.col("head_id").isin(head_ids))
+    keep = ("task_id",) if grouping == "task" else ("subset",)   # the column its report needs
     return ad.adapt_from_vectors(grouped_pairs(spark, sf, grouping), heads, k, SEEDS, temperature, mode,
-                                 keep=("subset", "task_id"), uniform=uniform)
+                                 keep=keep, uniform=uniform)
 
 
 # ------------------------------------------------------------------ SQL side
@@ -318,7 +319,7 @@ def _grid_sql(select: str, extra: str = "") -> str:
 def _grid(spark, sf):
     heads = {n: _grid_heads(n) for n in GRID_HEADS}
     return ad.adapt_grid(grouped_pairs(spark, sf, "section"), fx.heads(spark, sf), heads, GRID_KS, [1.0], SEEDS,
-                         keep=("subset", "task_id"))
+                         keep=("subset",))
 
 
 @query("a18_config_grid", _grid_sql(STATS_SELECT, extra="board"))
