@@ -196,11 +196,22 @@ def read_heads(spark: SparkSession, path: str, name_col: str = "name") -> DataFr
             .drop("_k"))
 
 
-def lookup_pairs(spark: SparkSession, path: str, ids: DataFrame, n_buckets: int) -> DataFrame:
+def lookup_pairs(spark: SparkSession, path: str, ids: DataFrame, n_buckets: int,
+                 max_inlist: int = 10_000) -> DataFrame:
     """Rows of a bucketed pair-vector table (written by ``write_embeddings``
-    with ``n_buckets``) for the pairs in ``ids``: joining on the bucket
-    column lets dynamic partition pruning skip the folders of buckets no id
-    falls in."""
-    keys = ids.select("pair_id").distinct().withColumn(
-        "bucket", F.pmod(F.col("pair_id"), F.lit(n_buckets)).cast("int"))
-    return read_embeddings(spark, path).join(keys, ["bucket", "pair_id"])
+    with ``n_buckets``) for the pairs in ``ids``.
+
+    A small id set (counted, at most ``max_inlist``) is pushed to the scan
+    as ``bucket IN (...)`` (folder pruning) and ``pair_id IN (...)``
+    (row-group statistics; the files are sorted by ``pair_id``).  A larger
+    set is joined on (bucket, pair_id), so dynamic partition pruning skips
+    the folders of buckets no id falls in."""
+    keys = ids.select("pair_id").distinct()
+    n = keys.count()
+    table = read_embeddings(spark, path)
+    if n <= max_inlist:
+        wanted = [int(r.pair_id) for r in keys.collect()]
+        buckets = sorted({w % n_buckets for w in wanted})
+        return table.filter(F.col("bucket").isin(buckets) & F.col("pair_id").isin(wanted))
+    keyed = keys.withColumn("bucket", F.pmod(F.col("pair_id"), F.lit(n_buckets)).cast("int"))
+    return table.join(keyed, ["bucket", "pair_id"])
