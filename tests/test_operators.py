@@ -492,3 +492,19 @@ def test_prompt_len_dropped_count_by_observation(spark):
     _, dropped = pr.filter_prompt_len(t, "pl", 8)
     assert obs.get["dropped"] == dropped.first().dropped
     assert n_kept + obs.get["dropped"] == t.count()
+
+
+def test_manifest_round_trip_with_awkward_text(spark):
+    from prefspark.session import scratch_path
+    from prefspark.sources import readers as rd
+    from prefspark.sources import writers as wr
+    rows = [(0, 'say "hi", then\nleave', "a,b", 'c "d"', "/home/e0.npy", 1),
+            (1, "plain", "", "x\n\ny", "/home/e1.npy", 0)]
+    df = spark.createDataFrame(rows, "pair_id bigint, prompts string, chosen_responses string, "
+                                     "rejected_responses string, cls_emb string, task_ids int")
+    path = scratch_path(spark, "manifest-awkward")
+    wr.write_manifest(df, path)
+    back = {int(r.pair_id): r for r in rd.read_manifest(spark, path).collect()}
+    assert back[0].prompts == 'say "hi", then\nleave' and back[0].chosen_responses == "a,b"
+    assert back[0].rejected_responses == 'c "d"' and back[1].rejected_responses == "x\n\ny"
+    assert back[1].chosen_responses is None          # CSV reads an empty field as null
