@@ -30,6 +30,16 @@ def _norm(v):
     return v
 
 
+def _spark_type(dt) -> str:
+    from pyspark.sql import types as T
+    if isinstance(dt, T.ArrayType):
+        return _spark_type(dt.elementType) + "[]"
+    if isinstance(dt, T.StructType):
+        return "STRUCT(" + ", ".join(f"{f.name.upper()} {_spark_type(f.dataType)}" for f in dt.fields) + ")"
+    return {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "FloatType": "FLOAT",
+            "StringType": "VARCHAR", "BooleanType": "BOOLEAN"}.get(type(dt).__name__, type(dt).__name__)
+
+
 def _rows(pdf):
     cols = sorted(pdf.columns)
     return cols, sorted((tuple(_norm(x) for x in r) for r in pdf[cols].itertuples(index=False, name=None)),
@@ -52,13 +62,18 @@ def duck():
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, duck, name):
     from __spark_entry__ import oracle_sql, queries
-    got = queries()[name](spark, SF_SMALL).toPandas()
+    df = queries()[name](spark, SF_SMALL)
+    got = df.toPandas()
     sql = oracle_sql().get(name)
     if sql is None:
         assert len(got) > 0
         return
-    want = duck.execute(sql).fetchdf()
+    rel = duck.sql(sql)
+    want_types = {c: str(t).upper().replace('"', "") for c, t in zip(rel.columns, rel.types)}
+    want = rel.fetchdf()
     assert _rows(got) == _rows(want)
+    got_types = {f.name: _spark_type(f.dataType) for f in df.schema.fields}
+    assert got_types == want_types
 
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
