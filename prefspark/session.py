@@ -7,6 +7,7 @@ bench and the driver, and resolve the shared checkpoint folder.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,18 +45,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+def ensure_checkpoint_dir(spark: SparkSession, work_dir: str | None = None) -> str:
+    """Return the folder for checkpoints and scratch tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) a private scratch folder is
-    created and registered.
+    ``spark.checkpoint.dir`` names the cluster's shared folder and is used as
+    is; ``work_dir`` is for sessions that do not set it.  With neither, a
+    ``local[...]`` master gets a private temporary folder; any other master
+    raises, because a machine-local folder would scatter the tables over
+    node disks.  The setting itself is never written.
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or work_dir or sc.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[[^]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir (or pass work_dir): a cluster needs a shared folder")
         current = tempfile.mkdtemp(prefix="prefspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
@@ -65,10 +69,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table.
 
     Nothing is created here: Spark's writer creates the folder on whatever
-    file system the checkpoint folder lives on.
+    file system the checkpoint folder lives on.  ``clear_scratch`` removes
+    the tables of this application.
     """
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{sc.applicationId}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table this application has written.
+
+    Call it when no DataFrame built on them is needed any more (results are
+    lazy, so an operator cannot do it by itself).
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_library(spark: SparkSession) -> None:

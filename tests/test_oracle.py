@@ -47,8 +47,9 @@ def _rows(pdf):
 
 
 def _names():
-    from __spark_entry__ import queries
-    return sorted(queries())
+    from prefspark.plans.registry import QUERIES, load_all
+    load_all()
+    return sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -77,8 +78,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
-    from __spark_entry__ import oracle_sql, queries
-    rows_only = set(queries()) - set(oracle_sql())
+    from prefspark.plans.registry import ORACLE
+    rows_only = set(_names()) - set(ORACLE)
     assert rows_only == {"h2_pca_components", "h3_pca_full", "h4_explained_variance_ratio",
                          "h5_explained_variance", "h8_project", "h9_pca_heads_subset_accuracy"}
 

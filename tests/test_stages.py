@@ -40,3 +40,32 @@ def test_extract_decompose_evaluate_adapt(spark):
     assert {(r.num_heads, r.metric) for r in st} == {(h, m) for h in (4, 8) for m in ("a", "b", "overall")}
     w = rep["weights"].groupBy("num_heads", "seed", "grp").agg(F.sum("weight").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in w)
+
+
+def test_scratch_folder_without_the_setting(tmp_path):
+    """With ``spark.checkpoint.dir`` unset a local session gets a private
+    folder, an explicit one is used, and a cluster master raises."""
+    from prefspark.session import ensure_checkpoint_dir
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+            self.conf = type("Conf", (), {"get": lambda self, key, default: default})()
+
+    local = Session("local[2]")
+    assert ensure_checkpoint_dir(local) == local.sparkContext.dir
+    given = Session("spark://host:7077")
+    assert ensure_checkpoint_dir(given, str(tmp_path)) == str(tmp_path) == given.sparkContext.dir
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(Session(master))
