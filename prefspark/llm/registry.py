@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from prefspark.llm import sharding, urls
+from prefspark.llm import quality, sharding, urls
 
 QUERIES = {
+    "op2_quality_rules": quality.query,
     "op3_sharding": sharding.query,
     "op9_url_filters": urls.query,
 }
 
 ORACLE = {
+    "op2_quality_rules": quality.ORACLE,
     "op9_url_filters": urls.ORACLE,
 }
