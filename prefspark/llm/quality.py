@@ -2,8 +2,9 @@
 
 Every rule votes good, bad or abstains.  Expectation-maximisation over the
 counts of vote patterns (at most 3 ** rules rows, whatever the corpus size)
-estimates each rule's accuracy on good and on bad documents, and a document
-is kept when its posterior probability of being good reaches one half.
+estimates how often each rule votes which way on good and on bad documents
+(from which its accuracy follows), and a document is kept when its posterior
+probability of being good reaches one half.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ STOP_WORDS = ("the of and to in is that for de la que el en los del las le les d
 
 RULES = ("length", "word_length", "symbols", "capitals", "lines", "repeats", "sentences", "stop_words")
 
-#: Prior of the accuracies and of the share of good documents: 8 hits in 10.
-PRIOR_HITS, PRIOR_ALL = 8.0, 10.0
+#: Prior rates of the answers (bad, abstain, good) on good and on bad
+#: documents, each worth PRIOR_WEIGHT documents, and of the share of good ones.
+PRIOR_GOOD = (0.05, 0.35, 0.60)
+PRIOR_BAD = (0.40, 0.40, 0.20)
+PRIOR_SHARE = 0.8
+PRIOR_WEIGHT = 10.0
 ROUNDS = 20
-LOW, HIGH = 0.5, 0.999
+ANSWERS = (-1, 0, 1)
 
 
 def repeat_words(ws: Column) -> Column:
@@ -90,15 +95,16 @@ def votes() -> list[Column]:
 
     def vote(good, bad):
         return F.when(bad, -1).when(good, 1).otherwise(0)
+    never = F.lit(False)
     return [v.alias(f"v_{r}") for r, v in zip(RULES, [
-        vote(n >= 50, n < 20),
-        vote((chars >= 3 * n) & (chars <= 10 * n), (chars < 2 * n) | (chars > 15 * n)),
-        vote(sym * 50 <= n, sym * 10 > n),
-        vote(up * 10 <= chars, up * 10 > 3 * chars),
-        vote(dup * 10 <= lines, dup * 10 > 3 * lines),
-        vote(rep * 20 <= n, rep * 5 > n),
-        vote((ends * 40 >= n) & (ends * 4 <= n), (ends * 2 > n) | (ends * 200 < n)),
-        vote(stop >= 2, stop == 0),
+        vote(never, n < 20),
+        vote(never, (chars < 2 * n) | (chars > 15 * n)),
+        vote(never, sym * 4 > n),
+        vote(never, up * 10 > 3 * chars),
+        vote(never, dup * 10 > 4 * lines),
+        vote(never, rep * 100 > 27 * n),
+        vote((ends * 60 >= n) & (ends * 4 <= n), (ends * 3 > n) | (ends * 200 < n)),
+        vote(stop >= 1, stop == 0),
     ])]
 
 
@@ -108,23 +114,27 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Share of good documents, and per rule the probability that a vote is
-    right on a good and on a bad document."""
-    share: float = PRIOR_HITS / PRIOR_ALL
-    on_good: tuple = (PRIOR_HITS / PRIOR_ALL,) * len(RULES)
-    on_bad: tuple = (PRIOR_HITS / PRIOR_ALL,) * len(RULES)
+    """Share of good documents, and per rule the rates of its answers (bad,
+    abstain, good) on good and on bad documents."""
+    share: float = PRIOR_SHARE
+    on_good: tuple = (PRIOR_GOOD,) * len(RULES)
+    on_bad: tuple = (PRIOR_BAD,) * len(RULES)
 
     def posterior(self) -> Column:
         """Probability that a row with columns v_* is good."""
         odds = F.lit(math.log(self.share / (1 - self.share)))
         for r, g, b in zip(RULES, self.on_good, self.on_bad):
-            v = F.col(f"v_{r}")
-            odds = odds + F.when(v == 1, math.log(g / (1 - b))).when(v == -1, math.log((1 - g) / b)).otherwise(0.0)
+            bad, none, good = (math.log(x / y) for x, y in zip(g, b))
+            odds = odds + F.when(F.col(f"v_{r}") == 1, good).when(F.col(f"v_{r}") == -1, bad).otherwise(none)
         return 1 / (1 + F.exp(-odds))
 
-
-def _clip(x: float) -> float:
-    return min(max(x, LOW), HIGH)
+    def accuracies(self) -> dict[str, float]:
+        """Per rule the probability that a vote it casts is right."""
+        out = {}
+        for r, g, b in zip(RULES, self.on_good, self.on_bad):
+            right = self.share * g[2] + (1 - self.share) * b[0]
+            out[r] = right / (right + self.share * g[0] + (1 - self.share) * b[2])
+        return out
 
 
 def fit(voted: DataFrame, rounds: int = ROUNDS) -> QualityModel:
@@ -141,20 +151,15 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> QualityModel:
     for _ in range(rounds):
         good = F.col("n") * model.posterior()
         weighed = patterns.select(*names, "n", good.alias("g"), (F.col("n") - good).alias("b"))
-
-        def total(expr):
-            return F.coalesce(F.sum(expr), F.lit(0.0))
-        row = weighed.agg(total(F.col("g")).alias("g"), total(F.col("n")).alias("n"),
-                          *[total(F.when(F.col(v) == 1, F.col("g"))).alias(f"gg_{v}") for v in names],
-                          *[total(F.when(F.col(v) != 0, F.col("g"))).alias(f"g_{v}") for v in names],
-                          *[total(F.when(F.col(v) == -1, F.col("b"))).alias(f"bb_{v}") for v in names],
-                          *[total(F.when(F.col(v) != 0, F.col("b"))).alias(f"b_{v}") for v in names]).first()
-
-        def rate(hits, of):
-            return _clip((hits + PRIOR_HITS) / (of + PRIOR_ALL))
-        model = QualityModel(rate(row["g"], row["n"]),
-                             tuple(rate(row[f"gg_{v}"], row[f"g_{v}"]) for v in names),
-                             tuple(rate(row[f"bb_{v}"], row[f"b_{v}"]) for v in names))
+        sums = [F.sum(F.when(F.col(v) == a, F.col(y))).alias(f"{y}{v}{a}") for y in "gb" for v in names for a in ANSWERS]
+        row = {k: x or 0.0 for k, x in
+               weighed.agg(F.sum("g").alias("g"), F.sum("b").alias("b"), *sums).first().asDict().items()}
+
+        def rates(y, prior):
+            return tuple(tuple((row[f"{y}{v}{a}"] + PRIOR_WEIGHT * p) / (row[y] + PRIOR_WEIGHT)
+                               for a, p in zip(ANSWERS, prior)) for v in names)
+        model = QualityModel((row["g"] + PRIOR_WEIGHT * PRIOR_SHARE) / (row["g"] + row["b"] + PRIOR_WEIGHT),
+                             rates("g", PRIOR_GOOD), rates("b", PRIOR_BAD))
     return model
 
 
@@ -203,18 +208,18 @@ def _oracle(documents: str = "documents") -> str:
     def vote(good, bad):
         return f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
     rules = [
-        vote("n_words >= 50", "n_words < 20"),
-        vote("word_chars >= 3 * n_words AND word_chars <= 10 * n_words",
-             "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-        vote("n_symbols * 50 <= n_words", "n_symbols * 10 > n_words"),
-        vote("n_upper * 10 <= word_chars", "n_upper * 10 > 3 * word_chars"),
-        vote("n_dup_lines * 10 <= n_lines", "n_dup_lines * 10 > 3 * n_lines"),
-        vote("n_repeat_words * 20 <= n_words", "n_repeat_words * 5 > n_words"),
-        vote("n_ends * 40 >= n_words AND n_ends * 4 <= n_words", "n_ends * 2 > n_words OR n_ends * 200 < n_words"),
-        vote("n_stop >= 2", "n_stop = 0"),
+        vote("false", "n_words < 20"),
+        vote("false", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
+        vote("false", "n_symbols * 4 > n_words"),
+        vote("false", "n_upper * 10 > 3 * word_chars"),
+        vote("false", "n_dup_lines * 10 > 4 * n_lines"),
+        vote("false", "n_repeat_words * 100 > 27 * n_words"),
+        vote("n_ends * 60 >= n_words AND n_ends * 4 <= n_words", "n_ends * 3 > n_words OR n_ends * 200 < n_words"),
+        vote("n_stop >= 1", "n_stop = 0"),
     ]
     stop = ", ".join(f"'{s}'" for s in STOP_WORDS)
-    start = PRIOR_HITS / PRIOR_ALL
+    cells = [(i, y, a) for i in range(len(names)) for y in "gb" for a in (0, 1, 2)]
+    prior = {"g": PRIOR_GOOD, "b": PRIOR_BAD}
     sql = f"""
 WITH src AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
                     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}),
@@ -237,23 +242,22 @@ cnt AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
         FROM src LEFT JOIN rep ON rep.rid = src.rid LEFT JOIN lc ON lc.rid = src.rid),
 voted AS MATERIALIZED (SELECT *, {", ".join(f"{r} AS {v}" for r, v in zip(rules, names))} FROM cnt),
 pat AS MATERIALIZED (SELECT {", ".join(names)}, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY ALL),
-m0 AS (SELECT CAST({start} AS DOUBLE) AS s,
-              {", ".join(f"CAST({start} AS DOUBLE) AS g{i}, CAST({start} AS DOUBLE) AS b{i}" for i in range(len(names)))})"""
+m0 AS (SELECT CAST({PRIOR_SHARE} AS DOUBLE) AS s,
+              {", ".join(f"CAST({prior[y][a]} AS DOUBLE) AS {y}{i}_{a}" for i, y, a in cells)})"""
 
     def odds(m):
         return f"ln({m}.s / (1 - {m}.s))" + "".join(
-            f" + CASE {v} WHEN 1 THEN ln({m}.g{i} / (1 - {m}.b{i})) WHEN -1 THEN ln((1 - {m}.g{i}) / {m}.b{i}) ELSE 0 END"
-            for i, v in enumerate(names))
+            f" + CASE {v} WHEN 1 THEN ln({m}.g{i}_2 / {m}.b{i}_2) WHEN -1 THEN ln({m}.g{i}_0 / {m}.b{i}_0) "
+            f"ELSE ln({m}.g{i}_1 / {m}.b{i}_1) END" for i, v in enumerate(names))
 
-    def rate(hits, of):
-        return f"least(greatest((coalesce(sum({hits}), 0) + {PRIOR_HITS}) / (coalesce(sum({of}), 0) + {PRIOR_ALL}), {LOW}), {HIGH})"
+    w = PRIOR_WEIGHT
+    mass = {"g": "q", "b": "n - q"}
     for k in range(ROUNDS):
         sql += f""",
 e{k} AS (SELECT pat.*, n / (1 + exp(-({odds(f'm{k}')}))) AS q FROM pat, m{k}),
-m{k + 1} AS MATERIALIZED (SELECT {rate('q', 'n')} AS s, """ + ", ".join(
-            f"{rate(f'CASE WHEN {v} = 1 THEN q END', f'CASE WHEN {v} <> 0 THEN q END')} AS g{i}, "
-            f"{rate(f'CASE WHEN {v} = -1 THEN n - q END', f'CASE WHEN {v} <> 0 THEN n - q END')} AS b{i}"
-            for i, v in enumerate(names)) + f" FROM e{k})"
+m{k + 1} AS MATERIALIZED (SELECT (coalesce(sum(q), 0) + {w * PRIOR_SHARE}) / (coalesce(sum(n), 0) + {w}) AS s, """ + (
+            ", ".join(f"(coalesce(sum(CASE WHEN {names[i]} = {ANSWERS[a]} THEN {mass[y]} END), 0) + {w * prior[y][a]})"
+                      f" / (coalesce(sum({mass[y]}), 0) + {w}) AS {y}{i}_{a}" for i, y, a in cells)) + f" FROM e{k})"
     return sql + f""",
 done AS (SELECT voted.*, round(1 / (1 + exp(-({odds(f'm{ROUNDS}')}))), 6) AS p_good,
                 n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM voted, m{ROUNDS})
