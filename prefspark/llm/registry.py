@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from prefspark.llm import quality, sharding, urls
+from prefspark.llm import quality, secrets, sharding, urls
 
 QUERIES = {
     "op2_quality_rules": quality.query,
     "op3_sharding": sharding.query,
+    "op7_secret_scans": secrets.query,
     "op9_url_filters": urls.query,
 }
 
 ORACLE = {
     "op2_quality_rules": quality.ORACLE,
+    "op7_secret_scans": secrets.ORACLE,
     "op9_url_filters": urls.ORACLE,
 }
