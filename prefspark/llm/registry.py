@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from prefspark.llm import quality, secrets, sharding, urls
+from prefspark.llm import quality, secrets, sharding, token_counts, urls
 
 QUERIES = {
     "op2_quality_rules": quality.query,
     "op3_sharding": sharding.query,
+    "op6_token_counts": token_counts.query,
     "op7_secret_scans": secrets.query,
     "op9_url_filters": urls.query,
 }
