@@ -137,30 +137,53 @@ class QualityModel:
         return out
 
 
+def _numbers(values) -> Column:
+    return F.array(*[_numbers(v) if isinstance(v, tuple) else F.lit(float(v)) for v in values])
+
+
+def _round(patterns: Column, state: Column) -> Column:
+    """One round: expected shares of every pattern, then the new rates."""
+    def total(rows, part):
+        return F.aggregate(rows, F.lit(0.0), lambda acc, q: acc + part(q))
+
+    def expected(ratios):
+        def split(p):
+            odds = F.aggregate(F.zip_with(p["v"], ratios, lambda v, r: F.get(r, v + 1)),
+                               F.log(state["share"] / (1 - state["share"])), lambda acc, x: acc + x)
+            return bind(p["n"] / (1 + F.exp(-odds)), lambda g: F.struct(
+                p["v"].alias("v"), g.alias("g"), (p["n"] - g).alias("b")))
+        return F.transform(patterns, split)
+
+    def rates(rows, y, prior):
+        def answer(j, at):
+            return (total(rows, lambda q: F.when(F.get(q["v"], j) + 1 == at, q[y]).otherwise(0.0))
+                    + PRIOR_WEIGHT * F.get(_numbers(prior), at)) / (total(rows, lambda q: q[y]) + PRIOR_WEIGHT)
+        return F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), lambda j: F.transform(
+            F.array(F.lit(0), F.lit(1), F.lit(2)), lambda at: answer(j, at)))
+
+    ratios = F.zip_with(state["good"], state["bad"], lambda g, b: F.zip_with(g, b, lambda x, y: F.log(x / y)))
+    return bind(bind(ratios, expected), lambda rows: F.struct(
+        ((total(rows, lambda q: q["g"]) + PRIOR_WEIGHT * PRIOR_SHARE)
+         / (total(rows, lambda q: q["g"] + q["b"]) + PRIOR_WEIGHT)).alias("share"),
+        rates(rows, "g", PRIOR_GOOD).alias("good"), rates(rows, "b", PRIOR_BAD).alias("bad")))
+
+
 def fit(voted: DataFrame, rounds: int = ROUNDS) -> QualityModel:
     """Estimate the model from all rows with vote columns.
 
-    One aggregation counts the vote patterns; each round then reads only
-    those (at most 3 ** 8 rows) and returns one row of sums.  An empty table
-    gives the prior.
+    One aggregation counts the vote patterns; their table (at most 3 ** 8
+    entries) becomes one row, over which the rounds are one expression.  An
+    empty table gives the prior.
     """
     names = [f"v_{r}" for r in RULES]
-    patterns = write_and_read(voted.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")).coalesce(1),
-                              "patterns")
-    model = QualityModel()
-    for _ in range(rounds):
-        good = F.col("n") * model.posterior()
-        weighed = patterns.select(*names, "n", good.alias("g"), (F.col("n") - good).alias("b"))
-        sums = [F.sum(F.when(F.col(v) == a, F.col(y))).alias(f"{y}{v}{a}") for y in "gb" for v in names for a in ANSWERS]
-        row = {k: x or 0.0 for k, x in
-               weighed.agg(F.sum("g").alias("g"), F.sum("b").alias("b"), *sums).first().asDict().items()}
-
-        def rates(y, prior):
-            return tuple(tuple((row[f"{y}{v}{a}"] + PRIOR_WEIGHT * p) / (row[y] + PRIOR_WEIGHT)
-                               for a, p in zip(ANSWERS, prior)) for v in names)
-        model = QualityModel((row["g"] + PRIOR_WEIGHT * PRIOR_SHARE) / (row["g"] + row["b"] + PRIOR_WEIGHT),
-                             rates("g", PRIOR_GOOD), rates("b", PRIOR_BAD))
-    return model
+    counts = voted.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    row = counts.agg(F.sort_array(F.collect_list(F.struct(F.array(*names).alias("v"), "n"))).alias("patterns"))
+    start = QualityModel()
+    first = F.struct(F.lit(start.share).alias("share"), _numbers(start.on_good).alias("good"),
+                     _numbers(start.on_bad).alias("bad"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, lambda s, _: _round(F.col("patterns"), s))
+    m = row.select(last.alias("m")).first()["m"]
+    return QualityModel(m["share"], tuple(map(tuple, m["good"])), tuple(map(tuple, m["bad"])))
 
 
 def judged(counted: DataFrame, model: QualityModel) -> DataFrame:
