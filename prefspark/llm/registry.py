@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from prefspark.llm import html_text, quality, secrets, sharding, token_counts, urls
+from prefspark.llm import html_text, mixing, quality, secrets, sharding, token_counts, urls
 
 QUERIES = {
     "op2_quality_rules": quality.query,
     "op3_sharding": sharding.query,
     "op6_token_counts": token_counts.query,
     "op7_secret_scans": secrets.query,
+    "op8_mixing": mixing.query,
     "op9_url_filters": urls.query,
     "op10_html_extraction": html_text.query,
 }
