@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from prefspark.llm import html_text, mixing, quality, secrets, sharding, token_counts, urls
+from prefspark.llm import decontaminate, html_text, mixing, quality, secrets, sharding, token_counts, urls
 
 QUERIES = {
     "op2_quality_rules": quality.query,
     "op3_sharding": sharding.query,
+    "op4_benchmark_decontamination": decontaminate.query,
     "op6_token_counts": token_counts.query,
     "op7_secret_scans": secrets.query,
     "op8_mixing": mixing.query,
