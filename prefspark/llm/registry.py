@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontaminate, html_text, mixing, quality, secrets, sharding, token_counts, urls
+from prefspark.llm import decontaminate, html_text, mixing, near_dedup, quality, secrets, sharding, token_counts, urls
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op2_quality_rules": quality.query,
     "op3_sharding": sharding.query,
     "op4_benchmark_decontamination": decontaminate.query,
