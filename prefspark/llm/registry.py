@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontaminate, html_text, mixing, near_dedup, quality, secrets, sharding, token_counts, urls
+from prefspark.llm import decontaminate, html_text, mixing, near_dedup, quality, secrets, sharding, token_counts, token_files, urls
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_quality_rules": quality.query,
     "op3_sharding": sharding.query,
     "op4_benchmark_decontamination": decontaminate.query,
+    "op5_token_output": token_files.query,
     "op6_token_counts": token_counts.query,
     "op7_secret_scans": secrets.query,
     "op8_mixing": mixing.query,
