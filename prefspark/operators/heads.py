@@ -1,8 +1,8 @@
 """Heads: difference vectors, PCA, signed heads and head selection.
 
-PCA runs on Spark ML: the covariance is a tree-aggregated distributed pass
-over the difference vectors (d x d partial sums, independent of the number
-of pairs); only the d x d eigen step runs on the driver.
+PCA reads the difference vectors once: tasks reduce them to d x d partial
+sums, which are added in a shuffle; only the d x d eigen step runs on the
+driver.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefspark.functions.vectors import diff as diff_expr
 from prefspark.functions.vectors import dot, l2_norm, l2_normalise, md5_uniform
+from prefspark.session import write_and_read
 
 def pair_diff(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected",
               keep: list[str] | None = None) -> DataFrame:
@@ -59,80 +60,111 @@ def fix_signs(components: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(diffs: DataFrame, col: str):
-    """Vector column plus mean and sample variance from one Summarizer pass."""
-    feats = diffs.select(array_to_vector(F.col(col)).alias("features"))
-    summ = feats.select(Summarizer.metrics("mean", "variance", "count")
-                        .summary(F.col("features")).alias("s")).first()["s"]
-    return feats, summ["mean"].toArray(), summ["variance"].toArray()
+def moment_rows(diffs: DataFrame, col: str = "diff") -> DataFrame:
+    """Sums of the vectors in one pass: ``(i, v)`` with row -1 = the count
+    followed by the sum vector, and row i >= 0 = row i of ``X'X``.
 
-
-def _covariance_matrix(feats: DataFrame, var: np.ndarray) -> np.ndarray:
-    """d x d sample covariance from the distributed correlation pass
-    (tree-aggregated Gramian), rescaled with the sample std deviations."""
-    corr = Correlation.corr(feats, "features").first()[0].toArray()
-    sd = np.sqrt(np.maximum(var, 0.0))
-    cov = np.nan_to_num(corr, nan=0.0) * np.outer(sd, sd)
-    return (cov + cov.T) / 2
+    Each task reduces its vectors with one BLAS product per Arrow batch and
+    emits d + 1 rows; tasks are first merged to at most four per core, so the
+    shuffle holds that many d x d partial sums whatever the number of pairs.
+    """
+    sc = diffs.sparkSession.sparkContext
+
+    def partial(batches):
+        import pyarrow as pa
+        n, total, gram = 0, None, None
+        for batch in batches:
+            x = batch_matrix(batch.column(0))
+            if not len(x):
+                continue
+            if gram is None:
+                total, gram = np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
+            n += len(x)
+            total += x.sum(axis=0)
+            gram += x.T @ x
+        if n:
+            rows = [np.concatenate(([float(n)], total)), *gram]
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(-1, len(gram)), pa.int32()),
+                                              "v": pa.array(rows, pa.list_(pa.float64()))})
+    vectors = diffs.select(F.col(col).cast("array<double>").alias("x")).where("x is not null")
+    parts = vectors.coalesce(4 * sc.defaultParallelism).mapInArrow(partial, "i int, v array<double>")
+    sums = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    return write_and_read(sums.select("i", vector_to_array("v").alias("v")), "moments")
+
+
+def batch_matrix(column) -> np.ndarray:
+    """An Arrow list column of equal lengths as an (n, d) double array,
+    without a Python object per row."""
+    n = len(column)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, -1).astype(np.float64, copy=False) if n else np.empty((0, 0))
+
+
+def _moments(diffs: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and d x d sample covariance (d x d numbers reach the driver)."""
+    rows = {r.i: np.array(r.v) for r in moment_rows(diffs, col).toLocalIterator()}
+    if not rows:
+        raise ValueError("no vectors")
+    n, total = rows[-1][0], rows[-1][1:]
+    mean = total / n
+    gram = np.stack([rows[i] for i in range(len(total))])
+    cov = (gram - n * np.outer(mean, mean)) / max(n - 1, 1)
+    return mean, (cov + cov.T) / 2
 
 
 def fit_pca(diffs: DataFrame, k: int | None = None, col: str = "diff", method: str = "eigh") -> PCAResult:
     """H2/H3/H4: centred PCA of the difference vectors.
 
-    ``k=None`` is the full decomposition (k = d).  Mean and per-dimension
-    sample variances come from one distributed ``Summarizer`` pass.
+    ``k=None`` is the full decomposition (k = d).  Mean, covariance and total
+    variance come from one pass over the vectors (``moment_rows``).
 
-    ``method="eigh"`` (default): the d x d correlation matrix is a
-    tree-aggregated distributed pass (``pyspark.ml.stat.Correlation``); it
-    is rescaled to the covariance with the sample standard deviations and
-    decomposed with ``numpy.linalg.eigh`` on the driver (d = 2048: 34 MB,
-    seconds).  ``method="ml"``: the ``pyspark.ml.feature.PCA`` estimator
-    (same covariance pass, full SVD of the d x d matrix on the driver).
+    ``method="eigh"`` (default) decomposes the d x d covariance with
+    ``numpy.linalg.eigh`` on the driver (d = 2048: 34 MB, seconds).
+    ``method="ml"`` takes the directions of the ``pyspark.ml.feature.PCA``
+    estimator instead, which reads the vectors again.
     """
-    feats, mean, var = _features(diffs, col)
-    total_var = float(np.sum(var))
+    mean, cov = _moments(diffs, col)
+    total_var = float(np.trace(cov))
     d = mean.shape[0]
     k = d if k is None else int(k)
     if not 1 <= k <= d:
         raise ValueError(f"k must be in [1, {d}], got {k}")
     if method == "ml":
+        feats = diffs.select(array_to_vector(F.col(col)).alias("features"))
         model = PCA(k=k, inputCol="features", outputCol="pca").fit(feats)
         return PCAResult(fix_signs(model.pc.toArray().T), model.explainedVariance.toArray(), mean, total_var)
     if method != "eigh":
         raise ValueError(f"unknown method {method!r}")
-    cov = _covariance_matrix(feats, var)
     lam, vec = np.linalg.eigh(cov)
     order = np.argsort(lam)[::-1][:k]
     ratio = lam[order] / total_var if total_var > 0 else np.zeros(k)
     return PCAResult(fix_signs(vec[:, order].T), ratio, mean, total_var)
 
 
-def covariance(diffs: DataFrame, col: str = "diff", method: str = "relational") -> DataFrame:
+def covariance(diffs: DataFrame, col: str = "diff", method: str = "gram") -> DataFrame:
     """H6: ``covar_samp`` for every dimension pair (i <= j), long form.
 
-    ``relational``: each row contributes d(d+1)/2 products that are combined
-    map-side by the partial aggregate, so a task emits at most one partial
-    state per (i, j); O(n d^2) rows generated, exact ``covar_samp``.
-    ``gram``: the same matrix from the tree-aggregated correlation pass used
-    by ``fit_pca`` (BLAS per partition, d x d on the driver), returned as
-    d(d+1)/2 rows; the choice for wide vectors.
+    ``gram`` (default): from the one-pass sums; the d(d+1)/2 cells are made
+    in the executors.  ``relational``: d(d+1)/2 products per row under the
+    built-in ``covar_samp``, for checks on narrow vectors only.
     """
     if method == "gram":
-        feats, _, var = _features(diffs, col)
-        cov = _covariance_matrix(feats, var)
-        iu, ju = np.triu_indices(cov.shape[0])
-        rows = list(zip(iu.tolist(), ju.tolist(), cov[iu, ju].tolist()))
-        return diffs.sparkSession.createDataFrame(rows, "i int, j int, cov double")
+        rows = moment_rows(diffs, col)
+        total = rows.where("i = -1").select(F.col("v").alias("_t"))  # one row of d + 1 numbers
+        cells = rows.where("i >= 0").join(F.broadcast(total)).select(
+            "i", "_t", F.posexplode("v").alias("j", "g")).where("j >= i")
+        n = F.get("_t", F.lit(0))
+        cov = (F.col("g") - F.get("_t", F.col("i") + 1) * F.get("_t", F.col("j") + 1) / n) / (n - 1)
+        return cells.select("i", "j", cov.alias("cov"))
     x = diffs.select(F.posexplode(col).alias("i", "xi"), F.col(col).alias("_v"))
     xy = x.select("i", "xi", F.posexplode("_v").alias("j", "xj")).filter(F.col("j") >= F.col("i"))
     return xy.groupBy("i", "j").agg(F.covar_samp("xi", "xj").alias("cov"))
 
 
 def total_variance(diffs: DataFrame, col: str = "diff") -> DataFrame:
-    """H7: sum over dimensions of the sample variance (= trace = sum of eigenvalues)."""
-    per_dim = (diffs.select(F.posexplode(col).alias("j", "x"))
-               .groupBy("j").agg(F.var_samp(F.col("x").cast("double")).alias("v")))
-    return per_dim.agg(F.sum("v").alias("total_variance"))
+    """H7: sum over dimensions of the sample variance (= trace = sum of
+    eigenvalues), from the same pass as H6."""
+    return covariance(diffs, col).where("i = j").agg(F.sum("cov").alias("total_variance"))
 
 
 def project(diffs: DataFrame, pca: PCAResult, col: str = "diff",
@@ -180,17 +212,21 @@ def select_heads(heads: DataFrame, n: int) -> DataFrame:
     """First n/2 plus heads then first n/2 minus heads, renumbered 0..n-1.
 
     The plus half is the first half of the id order, the minus half the
-    second.  The window spans the head table only (H rows, bounded).
+    second.  The window spans the head table only (H rows, bounded).  Raises
+    when there are fewer than ``n`` heads.
     """
     if n % 2:
         raise ValueError("the number of heads must be even")
+    have = heads.count()
+    if have < n:
+        raise ValueError(f"{n} heads asked for, {have} given")
     w = Window.orderBy("head_id")
     r = (heads.withColumn("_r", F.row_number().over(w) - 1)
          .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())))
     half = F.floor(F.col("_n") / 2)
     plus = F.col("_r") < half
     pos = F.when(plus, F.col("_r")).otherwise(F.col("_r") - half)
-    keep = (pos < n // 2) & (F.col("_n") >= n)
+    keep = pos < n // 2
     new_id = F.when(plus, pos).otherwise(pos + n // 2).cast("bigint")
     return r.filter(keep).select(new_id.alias("head_id"), "component", "sign", "w",
                                  F.col("head_id").alias("source_head_id"))

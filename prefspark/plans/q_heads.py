@@ -34,37 +34,83 @@ def h1_pair_diff(spark, sf):
     return _diffs(spark, sf).select("pair_id", _r("diff", 9).alias("diff"))
 
 
-def _pca_frame(spark, sf, k):
-    res = hd.fit_pca(_diffs(spark, sf), k)
-    comp = res.components_frame(spark)
+ELEMS_SQL = f"""
+e AS (SELECT d.pair_id, CAST(generate_subscripts(d.diff, 1) - 1 AS INTEGER) AS i, unnest(d.diff) AS x
+      FROM ({DIFF_SQL}) d)"""
+
+
+SQUARINGS = 14
+
+
+def _pca_sql(select: str) -> str:
+    """The first N_PCA directions by repeated squaring: the covariance scaled
+    to trace 1 and squared 14 times is dominated by its first direction;
+    the column of its largest diagonal, normalised and with its largest
+    loading positive, is that direction; it is deflated and the next follows."""
+    parts = [f"""WITH {ELEMS_SQL},
+c0 AS MATERIALIZED (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS v FROM e a JOIN e b ON a.pair_id = b.pair_id
+                    GROUP BY a.i, b.i),
+tv AS MATERIALIZED (SELECT sum(v) AS t FROM c0 WHERE i = j)"""]
+    for t in range(N_PCA):
+        parts.append(f"m{t}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM c{t} WHERE i = j) AS v FROM c{t})")
+        for k in range(SQUARINGS):
+            parts.append(f"""s{t}_{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v
+                         FROM m{t}_{k} a JOIN m{t}_{k} b ON a.j = b.i GROUP BY a.i, b.j)""")
+            parts.append(f"m{t}_{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM s{t}_{k} WHERE i = j) AS v "
+                         f"FROM s{t}_{k})")
+        m = f"m{t}_{SQUARINGS}"
+        parts.append(f"r{t} AS MATERIALIZED (SELECT i, v FROM {m} "
+                     f"WHERE j = (SELECT i FROM {m} WHERE i = j ORDER BY v DESC, i LIMIT 1))")
+        parts.append(f"""u{t} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) FROM r{t})
+                         * (SELECT sign(v) FROM r{t} ORDER BY abs(v) DESC, i LIMIT 1) AS v FROM r{t})""")
+        parts.append(f"""l{t} AS MATERIALIZED (SELECT sum(a.v * c.v * b.v) AS l FROM u{t} a JOIN c{t} c ON c.i = a.i
+                         JOIN u{t} b ON b.i = c.j)""")
+        parts.append(f"""c{t + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - l * a.v * b.v AS v FROM c{t} c
+                         JOIN u{t} a ON a.i = c.i JOIN u{t} b ON b.i = c.j, l{t})""")
+    pca = " UNION ALL ".join(f"SELECT CAST({t} AS INTEGER) AS component, i, v, l FROM u{t}, l{t}" for t in range(N_PCA))
+    return ",\n".join([*parts, f"pca AS MATERIALIZED ({pca})"]) + "\n" + select
+
+
+def _pca_frame(spark, sf):
+    comp = hd.fit_pca(_diffs(spark, sf), N_PCA).components_frame(spark)
     return comp.select("component", _r("w", 6).alias("w"),
                        F.round("explained_variance_ratio", 9).alias("explained_variance_ratio"),
                        F.round("explained_variance", 9).alias("explained_variance"))
 
 
-@query("h2_pca_components")
+W_SQL = "list(round(v, 6) + 0.0 ORDER BY i) AS w"
+RATIO_SQL = "round(any_value(l) / (SELECT t FROM tv), 9) AS explained_variance_ratio"
+VARIANCE_SQL = "round(any_value(l), 9) AS explained_variance"
+
+
+@query("h2_pca_components", _pca_sql(
+    f"SELECT component, {W_SQL}, {RATIO_SQL}, {VARIANCE_SQL} FROM pca GROUP BY component"))
 def h2_pca_components(spark, sf):
-    return _pca_frame(spark, sf, N_PCA)
+    return _pca_frame(spark, sf)
 
 
-@query("h3_pca_full")
+@query("h3_pca_full", f"""
+WITH {ELEMS_SQL}
+SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 9) + 0.0 AS rebuilt
+FROM e a JOIN e b ON a.pair_id = b.pair_id AND b.i >= a.i GROUP BY a.i, b.i""")
 def h3_pca_full(spark, sf):
-    return _pca_frame(spark, sf, None)
+    """All directions, in the form that does not depend on their signs: the
+    sum over k of variance_k * w_ki * w_kj."""
+    comp = hd.fit_pca(_diffs(spark, sf)).components_frame(spark)
+    left = comp.select("explained_variance", "w", F.posexplode("w").alias("i", "wi"))
+    cells = left.select("explained_variance", "i", "wi", F.posexplode("w").alias("j", "wj")).where("j >= i")
+    return cells.groupBy("i", "j").agg(
+        F.round(F.sum(F.col("explained_variance") * F.col("wi") * F.col("wj")), 9).alias("rebuilt"))
 
 
-@query("h4_explained_variance_ratio")
+@query("h4_explained_variance_ratio", _pca_sql(f"SELECT component, {RATIO_SQL} FROM pca GROUP BY component"))
 def h4_explained_variance_ratio(spark, sf):
-    return _pca_frame(spark, sf, N_PCA).select("component", "explained_variance_ratio")
+    return _pca_frame(spark, sf).select("component", "explained_variance_ratio")
 
 
-@query("h5_explained_variance")
+@query("h5_explained_variance", _pca_sql(f"SELECT component, {VARIANCE_SQL} FROM pca GROUP BY component"))
 def h5_explained_variance(spark, sf):
-    return _pca_frame(spark, sf, N_PCA).select("component", "explained_variance")
-
-
-ELEMS_SQL = f"""
-e AS (SELECT d.pair_id, CAST(generate_subscripts(d.diff, 1) - 1 AS INTEGER) AS i, unnest(d.diff) AS x
-      FROM ({DIFF_SQL}) d)"""
+    return _pca_frame(spark, sf).select("component", "explained_variance")
 
 
 @query("h6_covariance", f"""
@@ -83,13 +129,29 @@ def h7_total_variance(spark, sf):
     return hd.total_variance(_diffs(spark, sf)).select(F.round("total_variance", 9).alias("total_variance"))
 
 
-@query("h8_project")
+@query("h8_project", _pca_sql("""
+SELECT pair_id, list(round(p, 6) + 0.0 ORDER BY component) AS proj
+FROM (SELECT e.pair_id, pca.component, sum((e.x - mu.m) * pca.v) AS p
+      FROM e JOIN (SELECT i, avg(x) AS m FROM e GROUP BY i) mu ON mu.i = e.i JOIN pca ON pca.i = e.i
+      GROUP BY e.pair_id, pca.component) t GROUP BY pair_id"""))
 def h8_project(spark, sf):
     diffs = _diffs(spark, sf)
     res = hd.fit_pca(diffs, N_PCA)
     return hd.project(diffs, res).select("pair_id", _r("proj", 6).alias("proj"))
 
 
+@query("h8_full_projection_length", f"""
+WITH {ELEMS_SQL}
+SELECT e.pair_id, round(sum((e.x - mu.m) * (e.x - mu.m)), 6) AS length2
+FROM e JOIN (SELECT i, avg(x) AS m FROM e GROUP BY i) mu ON mu.i = e.i GROUP BY e.pair_id""")
+def h8_full_projection_length(spark, sf):
+    """Squared length of the projection onto all directions, which is that of
+    the centred difference."""
+    diffs = _diffs(spark, sf)
+    proj = hd.project(diffs, hd.fit_pca(diffs))
+    return proj.select("pair_id", F.round(F.aggregate("proj", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length2"))
+
+
 HEADS_SQL = "SELECT head_id, component, sign, w FROM fx_heads"
 
 
@@ -155,6 +217,21 @@ SELECT p.pair_id, CAST(h.head_id AS BIGINT) AS head_id,
 FROM fx_vec_pairs p, rh h"""
 
 
+@query("h12_random_heads_uniform_l2", f"""
+WITH dim AS (SELECT max(len(embedding)) AS d FROM embeddings),
+{_rand_sql('dim.d')},
+nh AS (SELECT head_id, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) AS w FROM rh)
+SELECT p.pair_id, CAST(h.head_id AS BIGINT) AS head_id,
+       round(list_dot_product(list_transform(p.chosen, lambda x: CAST(x AS DOUBLE)), h.w), 6) + 0.0 AS s_chosen
+FROM fx_vec_pairs p, nh h""")
+def h12_random_heads_uniform_l2(spark, sf):
+    pairs = fx.vec_pairs(spark, sf)
+    d = pairs.agg(F.max(F.size("chosen"))).first()[0]
+    heads = hd.random_heads(spark, N_RANDOM, d, "uniform_l2", seed=0)
+    s = score_heads(pairs, heads, keep=["pair_id"])
+    return s.select("pair_id", "head_id", F.round("s_chosen", 6).alias("s_chosen"))
+
+
 @query("h12_random_heads_gaussian_l2", _gauss_sql())
 def h12_random_heads_gaussian_l2(spark, sf):
     pairs = fx.vec_pairs(spark, sf)
@@ -193,8 +270,12 @@ def h14_normalise_scores(spark, sf):
                     F.round("s_rejected", 6).alias("s_rejected"))
 
 
-
-@query("h9_pca_heads_subset_accuracy")
+@query("h9_pca_heads_subset_accuracy", _pca_sql(f"""
+SELECT head_id, subset, round(avg(CASE WHEN sign * delta > 5e-10 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n
+FROM (SELECT CAST(pca.component + CASE WHEN s.sign = 1 THEN 0 ELSE {N_PCA} END AS BIGINT) AS head_id, s.sign,
+             e.pair_id, any_value(p.subset) AS subset, sum(e.x * pca.v) AS delta
+      FROM e JOIN pca ON pca.i = e.i JOIN fx_vec_pairs p ON p.pair_id = e.pair_id, (VALUES (1), (-1)) s(sign)
+      GROUP BY pca.component, s.sign, e.pair_id) t GROUP BY head_id, subset"""))
 def h9_pca_heads_subset_accuracy(spark, sf):
     """PCA of the pair differences -> signed heads -> accuracy per (head, subset)."""
     from prefspark.operators import evaluate as ev

@@ -77,11 +77,9 @@ def test_query_matches_oracle(spark, duck, name):
     assert got_types == want_types
 
 
-def test_every_query_has_oracle_or_is_declared_rows_only():
+def test_every_query_has_an_oracle():
     from prefspark.plans.registry import ORACLE
-    rows_only = set(_names()) - set(ORACLE)
-    assert rows_only == {"h2_pca_components", "h3_pca_full", "h4_explained_variance_ratio",
-                         "h5_explained_variance", "h8_project", "h9_pca_heads_subset_accuracy"}
+    assert set(_names()) == set(ORACLE)
 
 
 def test_entry_runs(spark):
