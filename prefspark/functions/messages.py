@@ -60,12 +60,17 @@ def is_consistent_pair(chosen: ColumnOrName, rejected: ColumnOrName) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def _text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
 def prompt_text(messages: ColumnOrName) -> Column:
-    """Every turn but the last as ``role: content\\n``, concatenated."""
+    """Every turn but the last as ``role: content\\n``, concatenated; a
+    null role or content counts as empty, so no turn vanishes."""
     m = _c(messages)
     head = F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0)))
-    return F.array_join(F.transform(head, lambda t: F.concat(t["role"], F.lit(": "),
-                                                             t["content"], F.lit("\n"))), "")
+    return F.array_join(F.transform(head, lambda t: F.concat(_text(t["role"]), F.lit(": "),
+                                                             _text(t["content"]), F.lit("\n"))), "")
 
 
 def last_content(messages: ColumnOrName) -> Column:
@@ -138,7 +143,8 @@ def template_for(model_name: ColumnOrName) -> Column:
 
 def render_chat(messages: ColumnOrName, family: str = "gemma2",
                 add_generation_prompt: bool = False, add_bos: bool = True) -> Column:
-    """Render a message array with a family's chat template."""
+    """Render a message array with a family's chat template; a null role
+    or content counts as empty."""
     tpl = TEMPLATES[family]
     before, after = tpl["turn"].split("{content}")
     pre, post = before.split("{role}")
@@ -150,7 +156,7 @@ def render_chat(messages: ColumnOrName, family: str = "gemma2",
         return expr
 
     body = F.array_join(F.transform(_c(messages), lambda t: F.concat(
-        F.lit(pre), role_name(t["role"]), F.lit(post), t["content"], F.lit(after))), "")
+        F.lit(pre), role_name(_text(t["role"])), F.lit(post), _text(t["content"]), F.lit(after))), "")
     parts = ([F.lit(tpl["bos"])] if add_bos else []) + [body]
     if add_generation_prompt:
         parts.append(F.lit(tpl["generation"]))

@@ -38,19 +38,19 @@ from prefspark.functions.vectors import md5_uniform, softplus
 from prefspark.operators import evaluate as ev
 from prefspark.session import ensure_checkpoint_dir, write_and_read
 
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 U_RANGE = 4294967296  # md5_uniform is in [0, 2^32)
 MODES = ("normalised", "raw", "delta")
 
 
-def checked_broadcast(df: DataFrame, bound: int | None = None,
-                      max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is known to be within
-    ``max_rows``: ``bound`` is an upper bound derived from counted inputs;
-    without one the rows are counted.  Otherwise the planner's shuffle join
-    is kept."""
+def checked_broadcast(df: DataFrame, bound: int | None = None, row_bytes: int = 128,
+                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when rows times ``row_bytes`` (the width of a
+    row, arrays included) is within ``max_bytes``: ``bound`` is an upper bound
+    of the rows derived from counted inputs; without one they are counted.
+    Otherwise the planner's shuffle join is kept."""
     n = df.count() if bound is None else bound
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if n * row_bytes <= max_bytes else df
 
 
 def materialise_small(df: DataFrame) -> DataFrame:
@@ -293,7 +293,8 @@ def apply_weights(packed: DataFrame, stats: DataFrame, weights: DataFrame,
     agg_chosen, agg_rejected[, agg_delta])``.
     """
     bound = None if n_groups is None else n_groups * len(_seeds(seeds))
-    coef = checked_broadcast(coefficients(stats, weights), bound)
+    wide = 128 + 32 * stats.select("head_id").distinct().count()  # four arrays of one entry per head
+    coef = checked_broadcast(coefficients(stats, weights), bound, wide)
     p = packed.select("pair_id", "grp", *keep, "sc", "sr", seed_column(seeds).alias("seed"))
     j = p.join(coef, ["seed", "grp"], "left")
     zero = F.lit(0.0)
@@ -478,9 +479,15 @@ def choose_heads(heads: DataFrame, n: int, with_original: bool = False,
     ``first`` form (head sets that are not +/- pairs, e.g. random heads):
     the first n heads in id order.
     Output ``(head_id, source_head_id)``; the original head gets ``0``.
+    Raises when the set has fewer heads than asked for.
     """
     base = heads.filter(F.col("head_id") != F.lit(original_id)) if original_id is not None else heads
+    have = base.count() + bool(with_original)
+    if have < n:
+        raise ValueError(f"{n} heads asked for, {have} given")
     if form == "first":
+        if with_original:
+            raise ValueError("the form 'first' has no place for an original head")
         w = Window.orderBy("source_head_id")  # the head table: H rows
         r = base.select(F.col("head_id").alias("source_head_id")).withColumn("_r", F.row_number().over(w) - 1)
         return r.filter(F.col("_r") < n).select(F.col("_r").cast("bigint").alias("head_id"), "source_head_id")

@@ -50,14 +50,11 @@ def hashing_encoder(dim: int = 64) -> Callable[[], PredictFn]:
 
 
 def pool_last(hidden: DataFrame, idx: DataFrame, row: str = "row") -> DataFrame:
-    """Per row, the vector at that row's last-token index (equi-join on
-    (row, pos))."""
-    return hidden.join(idx.withColumnRenamed("idx", "pos"), [row, "pos"]).select(row, "vec")
-
-
-def pool_last_packed(hidden: str, idx: str) -> F.Column:
-    """E2 on a packed ``array<array<float>>`` column."""
-    return F.try_element_at(F.col(hidden), (F.col(idx) + 1).cast("int"))
+    """Per row of ``hidden``, the vector at that row's last-token index.
+    A row without an index, or with one outside its positions, keeps its
+    place with a null vector."""
+    at = F.when(F.col("pos") == F.col("idx"), F.col("vec"))
+    return hidden.join(idx, row, "left").groupBy(row).agg(F.first(at, ignorenulls=True).alias("vec"))
 
 
 def pool_prompt_boundary(hidden: DataFrame, p: DataFrame, row: str = "row") -> DataFrame:
@@ -69,9 +66,10 @@ def pool_prompt_boundary(hidden: DataFrame, p: DataFrame, row: str = "row") -> D
 
 def assemble_pair_vectors(chosen: DataFrame, rejected: DataFrame, boundary: DataFrame | None = None,
                           key: str = "pair_id") -> DataFrame:
-    """One row per pair, slots in the order chosen, rejected, prev, last."""
+    """One row per pair, slots in the order chosen, rejected, prev, last;
+    a pair with one side only keeps its row with a null on the other."""
     out = chosen.select(key, F.col("vec").alias("chosen")).join(
-        rejected.select(key, F.col("vec").alias("rejected")), key)
+        rejected.select(key, F.col("vec").alias("rejected")), key, "full")
     if boundary is not None:
         b = boundary.groupBy(key).agg(
             F.first(F.when(F.col("slot") == 0, F.col("vec")), ignorenulls=True).alias("prompt_prev"),
@@ -89,7 +87,6 @@ def pack_hidden(hidden: DataFrame, row: str = "row") -> DataFrame:
 
 def dump_hidden(packed: DataFrame, row: str = "row") -> DataFrame:
     """E5: hidden states and token ids per row as a long table
-    ``(row, pos, vec, id)``."""
-    z = F.arrays_zip(F.col("hidden").alias("vec"), F.col("ids").alias("id"))
-    return packed.select(row, F.posexplode(z).alias("pos", "t")).select(
-        row, F.col("pos").cast("int").alias("pos"), F.col("t.vec").alias("vec"), F.col("t.id").alias("id"))
+    ``(row, pos, vec, id)``, one row per hidden position."""
+    return packed.select(row, "ids", F.posexplode("hidden").alias("pos", "vec")).select(
+        row, F.col("pos").cast("int").alias("pos"), "vec", F.get("ids", F.col("pos")).alias("id"))

@@ -13,9 +13,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Differences are compared after rounding to this many decimals, so that a
-# tie up to summation order counts as a tie in every engine.
-WIN_DECIMALS = 9
+# A difference below half a unit of the ninth decimal counts as a tie, so that
+# a tie up to summation order is one in every engine; 0 compares exactly.
+WIN_MARGIN = 5e-10
 
 
 def round_clean(x: Column | str, decimals: int) -> Column:
@@ -25,17 +25,18 @@ def round_clean(x: Column | str, decimals: int) -> Column:
     return F.round(F.round(c, 12), decimals)
 
 
-def win(chosen: Column | str, rejected: Column | str) -> Column:
-    """V1: 1 iff chosen scores strictly higher (ties count 0)."""
+def win(chosen: Column | str, rejected: Column | str, margin: float = WIN_MARGIN) -> Column:
+    """V1: 1 iff chosen scores higher by at least ``margin`` (strictly higher
+    for 0; ties count 0)."""
     c = F.col(chosen) if isinstance(chosen, str) else chosen
     r = F.col(rejected) if isinstance(rejected, str) else rejected
-    return F.when(F.round(c - r, WIN_DECIMALS) > 0, 1).otherwise(0)
+    return win_delta(c - r, margin)
 
 
-def win_delta(delta: Column | str) -> Column:
-    """V1 (delta form): 1 iff delta > 0."""
+def win_delta(delta: Column | str, margin: float = WIN_MARGIN) -> Column:
+    """V1 (delta form): 1 iff delta is positive and at least ``margin``."""
     d = F.col(delta) if isinstance(delta, str) else delta
-    return F.when(F.round(d, WIN_DECIMALS) > 0, 1).otherwise(0)
+    return F.when((d > 0) & (d >= margin), 1).otherwise(0)
 
 
 def with_win(scores: DataFrame, chosen: str = "s_chosen", rejected: str = "s_rejected") -> DataFrame:
@@ -52,7 +53,10 @@ def subset_accuracy(scored: DataFrame, keys: list[str] | None = None,
 
 
 def _lookup_frame(spark, section_map: Mapping, counts: Mapping, subset_type: str):
-    rows = [(k, v, int(counts.get(k, 0))) for k, v in section_map.items()]
+    lacking = sorted((k for k in section_map if k not in counts), key=str)
+    if lacking:
+        raise ValueError(f"no example count for subsets {lacking}")
+    rows = [(k, v, int(counts[k])) for k, v in section_map.items()]
     return F.broadcast(spark.createDataFrame(rows, f"_sub {subset_type}, section string, weight bigint"))
 
 

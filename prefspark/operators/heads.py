@@ -72,9 +72,11 @@ def moment_rows(diffs: DataFrame, col: str = "diff") -> DataFrame:
 
     def partial(batches):
         import pyarrow as pa
+
+        from prefspark.operators.scoring import list_matrix
         n, total, gram = 0, None, None
         for batch in batches:
-            x = batch_matrix(batch.column(0))
+            x = list_matrix(batch.column(0))
             if not len(x):
                 continue
             if gram is None:
@@ -92,14 +94,6 @@ def moment_rows(diffs: DataFrame, col: str = "diff") -> DataFrame:
     return write_and_read(sums.select("i", vector_to_array("v").alias("v")), "moments")
 
 
-def batch_matrix(column) -> np.ndarray:
-    """An Arrow list column of equal lengths as an (n, d) double array,
-    without a Python object per row."""
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1).astype(np.float64, copy=False) if n else np.empty((0, 0))
-
-
 def _moments(diffs: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray]:
     """Mean and d x d sample covariance (d x d numbers reach the driver)."""
     rows = {r.i: np.array(r.v) for r in moment_rows(diffs, col).toLocalIterator()}

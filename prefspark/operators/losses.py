@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark.functions.vectors import softplus
-from prefspark.operators.evaluate import WIN_DECIMALS
+from prefspark.operators.evaluate import WIN_MARGIN
 
 LOSS_TYPES = ("origin", "margin", "labelsmooth")
 
@@ -43,13 +43,13 @@ def argmax_accuracy(scores: DataFrame, keys: list[str] | None = None,
                     c: str = "s_chosen", r: str = "s_rejected") -> DataFrame:
     """L4: share of pairs with c >= r (a tie counts as correct)."""
     keys = keys if keys is not None else ["head_id"]
-    ok = F.when(F.round(_d(c, r), WIN_DECIMALS) >= 0, 1.0).otherwise(0.0)
+    ok = F.when(_d(c, r) > -WIN_MARGIN, 1.0).otherwise(0.0)
     return scores.groupBy(*keys).agg(F.avg(ok).alias("accuracy"))
 
 
 def win_flag(c: str = "s_chosen", r: str = "s_rejected") -> Column:
     """1 iff c > r strictly (a tie is 0)."""
-    return F.when(F.round(_d(c, r), WIN_DECIMALS) > 0, 1).otherwise(0)
+    return F.when(_d(c, r) >= WIN_MARGIN, 1).otherwise(0)
 
 
 def pair_logits(c: str = "s_chosen", r: str = "s_rejected", decimals: int = 4) -> Column:

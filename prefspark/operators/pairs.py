@@ -116,16 +116,17 @@ def pad_to_batch(df: DataFrame, ids: str, batch: str, pad_id: int, multiple: int
     return j.withColumn(out, pad_to(ids, "_len", pad_id)).drop("_len")
 
 
-def filter_max_len(df: DataFrame, ids_c: str, ids_r: str, n: int) -> DataFrame:
-    """Keep pairs whose both sides have at most n ids."""
-    return df.filter((F.size(ids_c) <= n) & (F.size(ids_r) <= n))
+def filter_max_len(df: DataFrame, ids_c: str, ids_r: str, n: int, n_r: int | None = None) -> DataFrame:
+    """Keep pairs whose both sides have at most n ids (``n_r`` for the
+    rejected side, when its limit differs)."""
+    return df.filter((F.size(ids_c) <= n) & (F.size(ids_r) <= (n if n_r is None else n_r)))
 
 
 def filter_prompt_len(df: DataFrame, col: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """Keep ``col < n`` (the not-found sentinel is dropped); also return
-    the dropped count (before - after) as a one-row frame."""
+    """Keep ``col < n`` (the not-found sentinel and nulls are dropped);
+    also return the dropped count (before - after) as a one-row frame."""
     kept = df.filter(F.col(col) < F.lit(n))
-    dropped = df.agg(F.count_if(~(F.col(col) < F.lit(n))).alias("dropped"))
+    dropped = df.agg(F.count_if(~F.coalesce(F.col(col) < F.lit(n), F.lit(False))).alias("dropped"))
     return kept, dropped
 
 
@@ -139,7 +140,7 @@ def filter_prompt_len_observed(df: DataFrame, col: str, n: int):
     ``obs.get["dropped"]`` after that action)."""
     from pyspark.sql import Observation
     obs = Observation("prompt_len")
-    kept = df.observe(obs, F.count_if(~(F.col(col) < F.lit(n))).alias("dropped")).filter(F.col(col) < F.lit(n))
+    kept = df.observe(obs, F.count_if(~F.coalesce(F.col(col) < F.lit(n), F.lit(False))).alias("dropped")).filter(F.col(col) < F.lit(n))
     return kept, obs
 
 

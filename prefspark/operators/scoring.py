@@ -21,7 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,21 +64,31 @@ def collect_heads(heads: DataFrame, id_col: str = "head_id", w_col: str = "w",
     return HeadMatrix(ids, w)
 
 
-def _as_matrix(series: pd.Series, d: int) -> np.ndarray:
-    """An Arrow batch of equal-length vectors as one (n, d) float64 matrix."""
-    if len(series) == 0:
-        return np.zeros((0, d))
-    return np.vstack(series.to_numpy()).astype(np.float64, copy=False)
+def list_matrix(column) -> np.ndarray:
+    """An Arrow list column of equal-length vectors as one (n, d) double
+    matrix, from its flat buffer (no Python object per row)."""
+    n = len(column)
+    if n == 0:
+        return np.zeros((0, 0))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) % n or column.null_count:
+        raise ValueError("vectors must be present and of one length")
+    return flat.reshape(n, -1).astype(np.float64, copy=False)
+
+
+def list_column(matrix: np.ndarray):
+    """An (n, h) matrix as an Arrow list column over its flat buffer."""
+    n, h = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * h), pa.array(matrix.reshape(-1)))
 
 
 def _block_udf(bc):
-    """A pandas UDF scoring one side against one broadcast block of heads."""
+    """An Arrow UDF scoring one side against one broadcast block of heads."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def block_scores(v: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def block_scores(v: pa.Array) -> pa.Array:
         m = bc.value
-        x = _as_matrix(v, m.shape[0])
-        return pd.Series(list(x @ m))
+        return list_column(list_matrix(v) @ m if len(v) else np.zeros((0, m.shape[1])))
 
     return block_scores
 
@@ -97,7 +107,9 @@ def _arrow_scores(vec: Column, hm: HeadMatrix, spark, max_bytes: int) -> Column:
 def score_column(vec: Column, hm: HeadMatrix, spark, method: str = "arrow",
                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> Column:
     """Packed ``w . v`` of one vector column under every row of ``hm``."""
-    if method == "native" and hm.nbytes <= DEFAULT_MAX_LITERAL_BYTES:
+    if method == "native":
+        if hm.nbytes > DEFAULT_MAX_LITERAL_BYTES:
+            raise ValueError(f"method 'native' takes head sets up to {DEFAULT_MAX_LITERAL_BYTES} bytes")
         return _native_scores(vec, hm)
     return _arrow_scores(vec, hm, spark, max_broadcast_bytes)
 
@@ -116,7 +128,7 @@ def score_heads_packed(pairs: DataFrame, heads: DataFrame | HeadMatrix,
     in ascending head-id order).  Returns the frame and the head ids."""
     hm = heads if isinstance(heads, HeadMatrix) else collect_heads(heads)
     if method == "native" and hm.nbytes > DEFAULT_MAX_LITERAL_BYTES:
-        method = "arrow"
+        raise ValueError(f"method 'native' takes head sets up to {DEFAULT_MAX_LITERAL_BYTES} bytes")
     spark = pairs.sparkSession
     if method == "arrow":
         sc = _arrow_scores(F.col(chosen), hm, spark, max_broadcast_bytes)

@@ -1,7 +1,7 @@
 """Fixture views over the driver's tables, built with the library's operators.
 
 Every view reads the base tables, so its work grows with them.  The same
-views are stated independently in DuckDB SQL in ``plans/oracle.py``.
+views are stated independently in DuckDB SQL in ``plans/registry.py``.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ SECTION_MAP = {0: "s_a", 1: "s_a", 2: "s_a", 3: "s_b", 4: "s_b", 5: "s_b",
 N_SUBSETS = 10
 EXAMPLE_COUNTS = {s: 10 * (s + 1) for s in range(N_SUBSETS)}
 N_TASKS = 5
-N_COMPONENTS = 8
-ORIGINAL_VEC_ID = 100
+N_COMPONENTS = 10  # the labels 0..9
 TOKEN_TARGET = 16
 PAD_ID = 2
 BOS_ID = 3
@@ -32,29 +31,33 @@ def vec_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_vec_pairs: consecutive embeddings (2i, 2i+1) as (chosen, rejected).
 
     One aggregation on the pair key instead of a self-join: one scan, one
-    shuffle.
+    shuffle, and no sort (both rows of a pair are collected as structs).
     """
     e = table(spark, sf_dir, "embeddings")
     g = (e.groupBy((F.col("vec_id") / 2).cast("bigint").alias("pair_id"))
-         .agg(F.count(F.lit(1)).alias("_n"),
-              F.min_by("embedding", "vec_id").alias("chosen"),
-              F.max_by("embedding", "vec_id").alias("rejected"),
-              F.min_by("label", "vec_id").alias("_la"),
-              F.max_by("label", "vec_id").alias("_lb")))
-    return (g.filter(F.col("_n") == 2)
+         .agg(F.sort_array(F.collect_list(F.struct("vec_id", "label", "embedding"))).alias("_p")))
+    a, b = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
+    return (g.filter(F.size("_p") == 2)
             .select("pair_id",
-                    F.col("_la").alias("subset"),
-                    (F.col("_la") % 4).alias("task_id"),
-                    (F.abs(F.col("_la") - F.col("_lb")) / 10).alias("margin"),
-                    "chosen", "rejected"))
+                    a["label"].alias("subset"),
+                    (a["label"] % 4).alias("task_id"),
+                    (F.abs(a["label"] - b["label"]) / 10).alias("margin"),
+                    a["embedding"].alias("chosen"), b["embedding"].alias("rejected")))
+
+
+def _mean_vector(rows: DataFrame, *keys: str) -> DataFrame:
+    """Mean embedding per key, rounded to 6 decimals; one pass."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    mean = rows.groupBy(*keys).agg(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>"))).alias("m"))
+    return mean.select(*keys, F.transform(vector_to_array("m"), lambda x: F.round(
+        x.cast("decimal(38,12)"), 6).cast("double")).alias("w"))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ``N_COMPONENTS`` embeddings as stand-in principal directions."""
+    """Stand-in principal directions: the mean of all embeddings of a label."""
     e = table(spark, sf_dir, "embeddings")
-    return e.filter(F.col("vec_id") < N_COMPONENTS).select(
-        F.col("vec_id").cast("int").alias("component"),
-        F.col("embedding").cast("array<double>").alias("w"))
+    return _mean_vector(e, "label").select(F.col("label").cast("int").alias("component"), "w")
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +67,8 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def original_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_original: one embedding kept as the base model's head."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.filter(F.col("vec_id") == ORIGINAL_VEC_ID).select(
-        F.col("embedding").cast("array<double>").alias("w"))
+    """fx_original: the mean of all embeddings as the base model's head."""
+    return _mean_vector(table(spark, sf_dir, "embeddings"))
 
 
 def scores(spark: SparkSession, sf_dir: str, method: str = "arrow") -> DataFrame:
@@ -89,14 +90,15 @@ def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def msg_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_msg_pairs: chosen = the dialogue; rejected = the same with the last
-    content taken from the next dialogue (the last wraps to the first); for
-    conv_id % 5 = 4 the first rejected turn also gains an ``x``."""
-    d = _dialogues(spark, sf_dir)
-    b = d.agg(F.min("conv_id").alias("mn"), F.max("conv_id").alias("mx")).first()
-    nxt = d.select(F.col("conv_id").alias("_nk"),
-                   F.try_element_at("m", F.lit(-1))["content"].alias("_next_last"))
-    nk = F.when(F.col("conv_id") == F.lit(b["mx"]), F.lit(b["mn"])).otherwise(F.col("conv_id") + 1)
-    j = d.withColumn("_nk", nk).join(nxt, "_nk")
+    content taken from the next dialogue that exists (the last wraps to the
+    first); for conv_id % 5 = 4 the first rejected turn also gains an ``x``."""
+    from prefspark.operators.pairs import with_pair_id
+    d = with_pair_id(_dialogues(spark, sf_dir), ["conv_id"], "_n")
+    last = F.try_element_at("m", F.lit(-1))["content"]
+    nxt = d.select((F.col("_n") - 1).alias("_n"), last.alias("_after"), F.lit(True).alias("_has"))
+    first = d.filter(F.col("_n") == 0).select(F.lit(0).alias("_one"), last.alias("_first"))  # one row
+    j = d.join(nxt, "_n", "left").withColumn("_one", F.lit(0)).join(F.broadcast(first), "_one")
+    j = j.withColumn("_next_last", F.when(F.col("_has"), F.col("_after")).otherwise(F.col("_first")))
     n = F.size("m")
     last = F.struct(F.try_element_at("m", F.lit(-1))["role"].alias("role"), F.col("_next_last").alias("content"))
     rej = F.concat(F.slice("m", 1, F.greatest(n - 1, F.lit(0))), F.array(last))
@@ -115,12 +117,14 @@ def winner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_choice: labelled documents (2i, 2i+1) paired; choices = their texts,
-    labels = their quality labels."""
+    """fx_choice: consecutive labelled documents paired (the labelled
+    documents are numbered densely; an odd last one has no partner); choices
+    = their texts, labels = their quality labels."""
+    from prefspark.operators.pairs import with_pair_id
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    j = docs.join(lab, "doc_id")
-    g = (j.groupBy((F.col("doc_id") / 2).cast("bigint").alias("pair_id"))
+    j = with_pair_id(docs.join(lab, "doc_id"), ["doc_id"], "_k")
+    g = (j.groupBy(F.floor(F.col("_k") / 2).cast("bigint").alias("pair_id"))
          .agg(F.count(F.lit(1)).alias("_n"),
               F.sort_array(F.collect_list(F.struct("doc_id", "text", "quality", "lang"))).alias("_d")))
     return g.filter(F.col("_n") == 2).select(

@@ -1,8 +1,8 @@
 """Registered queries: encoding and pooling.
 
 Hidden states come from ``embeddings``: row = vec_id div 8, pos = vec_id
-mod 8.  The last-token index of a row is T1 -> T2 -> T3 on the token ids of
-the document with the same id.
+mod 8.  The last-token index of a row is T2 -> T3 on all token ids of the
+document with the same id, taken modulo the row's own number of positions.
 """
 
 from __future__ import annotations
@@ -26,16 +26,17 @@ def hidden(spark, sf):
 
 def last_index(spark, sf):
     t = fx.tokens(spark, sf)
-    padded = tok.pad(tok.truncate("ids", POS), POS, fx.PAD_ID)
-    return t.select(F.col("doc_id").alias("row"), tok.last_token_index(padded, fx.PAD_ID).alias("idx"))
+    idx = t.select(F.col("doc_id").alias("row"), tok.last_token_index(tok.pad("ids", POS, fx.PAD_ID), fx.PAD_ID).alias("i"))
+    n = hidden(spark, sf).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    return idx.join(n, "row").select("row", F.pmod("i", "n").cast("int").alias("idx"))
 
 
 HIDDEN_SQL = "SELECT vec_id // 8 AS row, CAST(vec_id % 8 AS INTEGER) AS pos, embedding AS vec FROM embeddings"
 IDX_SQL = """
 SELECT doc_id AS row,
-       CAST((((greatest(coalesce(list_position(p, 2), 0), 1) - 2) % len(p)) + len(p)) % len(p) AS INTEGER) AS idx
-FROM (SELECT doc_id, list_concat(ids[1:8], list_transform(range(greatest(8 - len(ids[1:8]), 0)), lambda x: 2)) AS p
-      FROM fx_tokens) t"""
+       CAST(((((greatest(coalesce(list_position(p, 2), 0), 1) - 2) % len(p)) + len(p)) % len(p)) % n.n AS INTEGER) AS idx
+FROM (SELECT doc_id, list_concat(ids, list_transform(range(greatest(8 - len(ids), 0)), lambda x: 2)) AS p
+      FROM fx_tokens) t JOIN (SELECT vec_id // 8 AS row, count(*) AS n FROM embeddings GROUP BY 1) n ON n.row = doc_id"""
 
 
 def _encoder_sql() -> str:
@@ -71,7 +72,8 @@ def e1_embed_pairs(spark, sf):
 
 @query("e2_pool_last", f"""
 WITH h AS ({HIDDEN_SQL}), t AS ({IDX_SQL})
-SELECT h.row, h.vec FROM h JOIN t ON t.row = h.row AND t.idx = h.pos""")
+SELECT r.row, h.vec FROM (SELECT DISTINCT row FROM h) r LEFT JOIN t ON t.row = r.row
+LEFT JOIN h ON h.row = t.row AND t.idx = h.pos""")
 def e2_pool_last(spark, sf):
     return en.pool_last(hidden(spark, sf), last_index(spark, sf))
 
@@ -91,10 +93,10 @@ WITH h AS ({HIDDEN_SQL}), t AS ({IDX_SQL}),
 pooled AS (SELECT h.row, h.vec FROM h JOIN t ON t.row = h.row AND t.idx = h.pos),
 b AS (SELECT row // 2 AS pair_id, pos - row % 8 + 1 AS slot, vec FROM h
       WHERE row % 2 = 0 AND row % 8 >= 1 AND pos BETWEEN row % 8 - 1 AND row % 8)
-SELECT c.row // 2 AS pair_id, c.vec AS chosen, r.vec AS rejected,
+SELECT coalesce(c.row, r.row) // 2 AS pair_id, c.vec AS chosen, r.vec AS rejected,
        (SELECT vec FROM b WHERE b.pair_id = c.row // 2 AND slot = 0) AS prompt_prev,
        (SELECT vec FROM b WHERE b.pair_id = c.row // 2 AND slot = 1) AS prompt_last
-FROM pooled c JOIN pooled r ON r.row = c.row + 1 WHERE c.row % 2 = 0""")
+FROM (SELECT * FROM pooled WHERE row % 2 = 0) c FULL JOIN (SELECT * FROM pooled WHERE row % 2 = 1) r ON r.row = c.row + 1""")
 def e4_assemble_pair_vectors(spark, sf):
     h = hidden(spark, sf)
     pooled = en.pool_last(h, last_index(spark, sf)).withColumn("pair_id", (F.col("row") / 2).cast("bigint"))
@@ -115,6 +117,6 @@ FROM h JOIN n ON n.row = h.row LEFT JOIN fx_tokens t ON t.doc_id = h.row""")
 def e5_dump_hidden(spark, sf):
     packed = en.pack_hidden(hidden(spark, sf))
     ids = fx.tokens(spark, sf).select(F.col("doc_id").alias("row"), "ids")
-    j = packed.join(ids, "row", "left").withColumn("ids", F.slice("ids", 1, F.size("hidden")))
+    j = packed.join(ids, "row", "left")
     return en.dump_hidden(j)
 

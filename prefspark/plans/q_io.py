@@ -73,27 +73,32 @@ def s3_lookup_pairs(spark, sf):
     return rd.lookup_pairs(spark, path, wanted, 8).select("pair_id", "subset", "chosen", "rejected")
 
 
-def _emb_path(pid: str, home: str) -> str:
-    return f"CASE WHEN {pid} % 3 = 0 THEN '{home}' ELSE '/srv/local' END || '/emb/emb_' || CAST({pid} AS VARCHAR) || '.npy'"
+# Three of seven rows have no path or share one, one of seven names a missing file.
+PATH_SQL = """CASE pair_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '/new/emb_1.npy' WHEN 2 THEN '/old/none.npy'
+  ELSE CASE WHEN pair_id % 3 = 0 THEN '/old' ELSE '/new' END || '/emb_' || CAST(pair_id AS VARCHAR) || '.npy' END"""
 
 
 @query("s4_read_manifest", f"""
-SELECT pair_id, {_emb_path('pair_id', '/home')} AS cls_emb, task_id AS task_ids,
-       'prompt ' || CAST(pair_id AS VARCHAR) AS prompts, chosen, rejected
-FROM fx_vec_pairs""")
+SELECT m.pair_id, m.cls_emb, m.task_id AS task_ids, 'prompt ' || CAST(m.pair_id AS VARCHAR) AS prompts,
+       v.chosen, v.rejected
+FROM (SELECT pair_id, task_id, {PATH_SQL} AS cls_emb FROM fx_vec_pairs) m
+LEFT JOIN fx_vec_pairs v ON replace(m.cls_emb, '/old/', '/new/') = '/new/emb_' || CAST(v.pair_id AS VARCHAR) || '.npy'""")
 def s4_read_manifest(spark, sf):
     root = scratch_path(spark, "manifest")
     p = fx.vec_pairs(spark, sf)
-    home = F.when(F.col("pair_id") % 3 == 0, F.lit("/home")).otherwise(F.lit("/srv/local"))
+    own = F.concat(F.when(F.col("pair_id") % 3 == 0, F.lit("/old")).otherwise(F.lit("/new")), F.lit("/emb_"),
+                   F.col("pair_id").cast("string"), F.lit(".npy"))
+    seventh = F.col("pair_id") % 7
+    path = (F.when(seventh == 1, "/new/emb_1.npy").when(seventh == 2, "/old/none.npy").when(seventh > 2, own))
     man = p.select("pair_id", F.concat(F.lit("prompt "), F.col("pair_id").cast("string")).alias("prompts"),
                    F.lit("a").alias("chosen_responses"), F.lit("b").alias("rejected_responses"),
-                   F.concat(home, F.lit("/emb/emb_"), F.col("pair_id").cast("string"), F.lit(".npy")).alias("cls_emb"),
+                   path.alias("cls_emb"),
                    F.col("task_id").alias("task_ids"))
     wr.write_manifest(man, f"{root}/csv")
-    vectors = p.select(F.concat(F.lit("/srv/local/emb/emb_"), F.col("pair_id").cast("string"),
+    vectors = p.select(F.concat(F.lit("/new/emb_"), F.col("pair_id").cast("string"),
                                 F.lit(".npy")).alias("path"), "chosen", "rejected")
     m = rd.read_manifest(spark, f"{root}/csv")
-    r = rd.resolve_paths(m, vectors)
+    r = rd.resolve_paths(m, vectors, "/old/", "/new/")
     return r.select(F.col("pair_id").cast("bigint").alias("pair_id"), "cls_emb",
                     F.col("task_ids").cast("int").alias("task_ids"), "prompts", "chosen", "rejected")
 
@@ -107,11 +112,13 @@ def s5_read_bundle(spark, sf):
 
 
 @query("s6_read_head_scores", """
-SELECT head_id, pair_id, subset, round(s_chosen, 6) + 0.0 AS s_chosen, round(s_rejected, 6) + 0.0 AS s_rejected
+SELECT head_id, pair_id, 'set-' || CAST(subset AS VARCHAR) AS subset, round(s_chosen, 6) + 0.0 AS s_chosen,
+       round(s_rejected, 6) + 0.0 AS s_rejected
 FROM fx_scores""")
 def s6_read_head_scores(spark, sf):
     path = scratch_path(spark, "head-scores")
-    wr.write_head_scores(fx.scores(spark, sf), path)
+    named = fx.scores(spark, sf).withColumn("subset", F.concat(F.lit("set-"), F.col("subset").cast("string")))
+    wr.write_head_scores(named, path)
     s = rd.read_head_scores(spark, path)
     return s.select("head_id", "pair_id", "subset", F.round("s_chosen", 6).alias("s_chosen"),
                     F.round("s_rejected", 6).alias("s_rejected"))
@@ -134,6 +141,24 @@ def s7_read_combined_scores(spark, sf):
     return acc
 
 
+@query("s7_combined_score_positions", """
+SELECT head_id, CAST(row_number() OVER (PARTITION BY head_id ORDER BY pair_id) - 1 AS BIGINT) AS pair_index,
+       task_id AS subset, round(s_chosen, 6) + 0.0 AS s_chosen, round(s_rejected, 6) + 0.0 AS s_rejected
+FROM fx_scores""")
+def s7_combined_score_positions(spark, sf):
+    """The single-object form: position in the arrays, ``task_ids`` as subset."""
+    path = scratch_path(spark, "combined-object")
+    one = F.sort_array(F.collect_list(F.struct("pair_id", "s_chosen", "s_rejected", "task_id")))
+    per = fx.scores(spark, sf).groupBy("head_id").agg(one.alias("x"))
+    entry = F.struct(F.col("x.s_chosen").alias("scores_chosen"), F.col("x.s_rejected").alias("scores_rejected"),
+                     F.col("x.task_id").alias("task_ids"))
+    named = per.select(F.struct(F.concat(F.lit("head_"), F.col("head_id").cast("string")).alias("key"), entry.alias("value")).alias("e"))
+    named.agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).write.text(path)
+    back = rd.read_combined_scores_object(spark, path)
+    return back.select("head_id", "pair_index", "subset", F.round("s_chosen", 6).alias("s_chosen"),
+                       F.round("s_rejected", 6).alias("s_rejected"))
+
+
 @query("s8_read_heads", """
 SELECT name, CAST(row_number() OVER (ORDER BY CASE WHEN name = 'extra-head' THEN 1 ELSE 0 END, head_id) - 1 AS BIGINT)
        AS head_id, component, sign
@@ -161,15 +186,21 @@ def k1_write_embeddings(spark, sf):
 
 
 @query("k2_write_manifest", """
-SELECT CAST(pair_id AS VARCHAR) AS pair_id, 'prompt ' || CAST(pair_id AS VARCHAR) AS prompts,
-       CAST(task_id AS VARCHAR) AS task_ids FROM fx_vec_pairs""")
+SELECT CAST(doc_id AS VARCHAR) AS pair_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE text || chr(10) END AS prompts,
+       '  ' || text || chr(9) AS chosen_responses, 'a,"b" ' || lang || chr(13) || chr(10) || ' c' AS rejected_responses,
+       source AS task_ids
+FROM documents""")
 def k2_write_manifest(spark, sf):
     path = scratch_path(spark, "k2")
-    man = fx.vec_pairs(spark, sf).select(
-        "pair_id", F.concat(F.lit("prompt "), F.col("pair_id").cast("string")).alias("prompts"),
-        F.col("task_id").alias("task_ids"))
+    fifth = F.col("doc_id") % 5
+    man = fx.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("pair_id"),
+        F.when(fifth == 0, "").when(fifth > 1, F.concat("text", F.lit("\n"))).alias("prompts"),
+        F.concat(F.lit("  "), "text", F.lit("\t")).alias("chosen_responses"),
+        F.concat(F.lit('a,"b" '), "lang", F.lit("\r\n c")).alias("rejected_responses"),
+        F.col("source").alias("task_ids"))
     wr.write_manifest(man, path)
-    return spark.read.option("header", True).csv(path).select("pair_id", "prompts", "task_ids")
+    return rd.read_manifest(spark, path).select("pair_id", "prompts", "chosen_responses", "rejected_responses", "task_ids")
 
 
 @query("k3_write_heads", """
@@ -209,12 +240,12 @@ def k5_write_combined_scores(spark, sf):
     return scores.select("head_id", "pair_id", "task_id", "win")
 
 
-@query("k6_write_metrics", "SELECT 16 AS num_heads, 15 AS k, CAST(1.0 AS DOUBLE) AS temperature, q.* FROM ("
+@query("k6_write_metrics", "SELECT 20 AS num_heads, 15 AS k, CAST(1.0 AS DOUBLE) AS temperature, q.* FROM ("
        + W(adapt_sql("section", K_SECTION), board_sql()) + STATS_SELECT + ") q")
 def k6_write_metrics(spark, sf):
     from prefspark.plans.q_adapt import run
     a = run(spark, sf)
-    tag = [F.lit(16).alias("num_heads"), F.lit(15).alias("k"), F.lit(1.0).alias("temperature")]
+    tag = [F.lit(2 * fx.N_COMPONENTS).alias("num_heads"), F.lit(15).alias("k"), F.lit(1.0).alias("temperature")]
     metrics = ad.seed_statistics(ad.tta_section_scores(a.agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS))
     path = scratch_path(spark, "metrics")
     wr.write_metrics(metrics.select(*tag, "*"), a.weights.select(*tag, "*"), path)
@@ -222,6 +253,18 @@ def k6_write_metrics(spark, sf):
     return m.select("num_heads", "k", "temperature", "metric", "mean", "std")
 
 
+@query("k6_write_weights", "SELECT 20 AS num_heads, 15 AS k, CAST(1.0 AS DOUBLE) AS temperature, q.* FROM ("
+       + W(adapt_sql("section", K_SECTION)) + "SELECT seed, grp, head_id, round(weight, 6) AS weight FROM weights) q")
+def k6_write_weights(spark, sf):
+    from prefspark.plans.q_adapt import run
+    a = run(spark, sf)
+    tag = [F.lit(2 * fx.N_COMPONENTS).alias("num_heads"), F.lit(15).alias("k"), F.lit(1.0).alias("temperature")]
+    path = scratch_path(spark, "weights")
+    wr.write_metrics(a.stats.select(*tag, "*"), a.weights.select(*tag, "*"), path)
+    w = spark.read.parquet(f"{path}/weights")
+    return w.select("num_heads", "k", "temperature", "seed", "grp", "head_id", F.round("weight", 6).alias("weight"))
+
+
 @query("k7_missing_pairs", "SELECT pair_id FROM fx_vec_pairs WHERE pair_id % 3 <> 0")
 def k7_missing_pairs(spark, sf):
     path = scratch_path(spark, "done")
@@ -258,6 +301,15 @@ def k8_materialise_once(spark, sf):
     return again.select("pair_id", "head_id", F.round("s_chosen", 6).alias("s_chosen"))
 
 
+@query("k9_write_subset_accuracy_lines", f"""
+SELECT head_id, subset, avg(CAST({WIN_SQL} AS DOUBLE)) AS accuracy, count(*) AS n
+FROM fx_scores GROUP BY head_id, subset""")
+def k9_write_subset_accuracy_lines(spark, sf):
+    path = scratch_path(spark, "subset-acc-lines")
+    wr.write_subset_accuracy(ev.subset_accuracy(ev.with_win(fx.scores(spark, sf))), path)
+    return spark.read.json(path, schema="head_id bigint, subset int, accuracy double, n bigint")
+
+
 @query("k9_write_subset_accuracy", f"""
 SELECT head_id, CAST(subset AS VARCHAR) AS subset, avg(CAST({WIN_SQL} AS DOUBLE)) AS accuracy
 FROM fx_scores GROUP BY head_id, subset""")

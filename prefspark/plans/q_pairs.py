@@ -197,8 +197,7 @@ def p14_filter_max_len(spark, sf):
     d = fx.table(spark, sf, "documents").select(
         "doc_id", F.transform(F.split("text", "\n"), lambda w: F.length(w)).alias("line_ids"))
     t = fx.tokens(spark, sf).join(d, "doc_id")
-    kept = pr.filter_max_len(t, "ids", "line_ids", MAX_LEN)
-    return kept.filter(F.size("line_ids") <= MAX_LEN // 100).select("doc_id")
+    return pr.filter_max_len(t, "ids", "line_ids", MAX_LEN, MAX_LEN // 100).select("doc_id")
 
 
 PATTERN_SQL = "list_max(list_filter(range(0, len(ids) - 1), lambda j: ids[j + 1:j + 2] = [3, 2]))"

@@ -27,16 +27,19 @@ FIXTURE_SQL: dict[str, str] = {
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
         WHERE a.vec_id % 2 = 0""",
     "fx_components": """
-        SELECT CAST(vec_id AS INTEGER) AS component,
-               list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w
-        FROM embeddings WHERE vec_id < 8""",
+        SELECT label AS component, list(m ORDER BY i) AS w
+        FROM (SELECT CAST(label AS INTEGER) AS label, i, CAST(round(CAST(avg(x) AS DECIMAL(38, 12)), 6) AS DOUBLE) AS m
+              FROM fx_elements GROUP BY label, i) t GROUP BY label""",
+    "fx_elements": """
+        SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings""",
     "fx_heads": """
-        SELECT CAST(CASE WHEN s.sign = 1 THEN c.component ELSE c.component + 8 END AS BIGINT) AS head_id,
+        SELECT CAST(CASE WHEN s.sign = 1 THEN c.component ELSE c.component + 10 END AS BIGINT) AS head_id,
                c.component, s.sign, list_transform(c.w, lambda x: x * s.sign) AS w
         FROM fx_components c, (VALUES (1), (-1)) s(sign)""",
     "fx_original": """
-        SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w
-        FROM embeddings WHERE vec_id = 100""",
+        SELECT list(m ORDER BY i) AS w
+        FROM (SELECT i, CAST(round(CAST(avg(x) AS DECIMAL(38, 12)), 6) AS DOUBLE) AS m
+              FROM fx_elements GROUP BY i) t""",
     "fx_scores": """
         SELECT p.pair_id, p.subset, p.task_id, h.head_id,
                list_dot_product(list_transform(p.chosen, lambda x: CAST(x AS DOUBLE)), h.w) AS s_chosen,
@@ -61,19 +64,20 @@ FIXTURE_SQL: dict[str, str] = {
                               lambda t, i: CASE WHEN i = 1 AND n.conv_id % 5 = 4
                                                 THEN {'role': t.role, 'content': t.content || 'x'} ELSE t END)
                    AS rejected
-        FROM (SELECT d.conv_id, d.m, CASE WHEN d.conv_id = b.mx THEN b.mn ELSE d.conv_id + 1 END AS nk
-              FROM fx_dialogues d, (SELECT min(conv_id) AS mn, max(conv_id) AS mx FROM fx_dialogues) b) n
+        FROM (SELECT conv_id, m, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS nk
+              FROM fx_dialogues) n
         JOIN fx_dialogues x ON x.conv_id = n.nk""",
     "fx_winner": """
         SELECT pair_id, CASE pair_id % 3 WHEN 0 THEN 'model_a' WHEN 1 THEN 'model_b' ELSE 'tie' END AS winner,
                chosen AS conversation_a, rejected AS conversation_b
         FROM fx_msg_pairs""",
     "fx_choice": """
-        SELECT d.doc_id // 2 AS pair_id,
-               'Which text is better? (' || arg_min(d.lang, d.doc_id) || ')' AS input,
-               {'choices': list(d.text ORDER BY d.doc_id), 'labels': list(l.quality ORDER BY d.doc_id)} AS targets
-        FROM documents d JOIN labels l ON l.doc_id = d.doc_id
-        GROUP BY d.doc_id // 2 HAVING count(*) = 2""",
+        SELECT k // 2 AS pair_id,
+               'Which text is better? (' || arg_min(lang, doc_id) || ')' AS input,
+               {'choices': list(text ORDER BY doc_id), 'labels': list(quality ORDER BY doc_id)} AS targets
+        FROM (SELECT d.doc_id, d.lang, d.text, l.quality, row_number() OVER (ORDER BY d.doc_id) - 1 AS k
+              FROM documents d JOIN labels l ON l.doc_id = d.doc_id) t
+        GROUP BY k // 2 HAVING count(*) = 2""",
     "fx_indexed": """
         SELECT pair_id, input AS prompt, targets.choices[1] AS response_0, targets.choices[2] AS response_1,
                CAST(pair_id % 2 AS INTEGER) AS better_response_id

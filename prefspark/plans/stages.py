@@ -32,6 +32,16 @@ from prefspark.sources import readers as rd
 from prefspark.sources import writers as wr
 
 
+def _missing(pairs: DataFrame, read_done: Callable[[], DataFrame]) -> DataFrame:
+    """The pairs that a sink does not hold yet (all, before its first write).
+    Every sink is asked for its own, so a run that stopped between two sinks
+    completes the second."""
+    try:
+        return wr.missing_pairs(pairs, read_done())
+    except AnalysisException:  # nothing written yet
+        return pairs
+
+
 def extract(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_path: str,
             family: str = "gemma2", max_len: int | None = None, n_buckets: int = 64,
             batch_size: int = 64, manifest_path: str | None = None) -> DataFrame:
@@ -44,13 +54,7 @@ def extract(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_p
     skipped, so a rerun resumes.  With ``manifest_path`` the prompt / answer
     texts and the vector key are written as the manifest (K2).  Returns the
     pair-vector table as read back."""
-    todo = pairs
-    try:
-        done = rd.read_embeddings(spark, out_path).select("pair_id")
-        todo = wr.missing_pairs(todo, done)
-    except AnalysisException:  # nothing written yet
-        pass
-    texts = todo.select("*", msg.render_chat("chosen", family).alias("chosen_text"),
+    texts = _missing(pairs, lambda: rd.read_embeddings(spark, out_path)).select("*", msg.render_chat("chosen", family).alias("chosen_text"),
                         msg.render_chat("rejected", family).alias("rejected_text"))
     if max_len is not None:
         texts = texts.filter((F.length("chosen_text") <= max_len) & (F.length("rejected_text") <= max_len))
@@ -58,7 +62,11 @@ def extract(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_p
     keep = [c for c in ("subset", "task_id", "source", "margin") if c in pairs.columns]
     wr.write_embeddings(vecs.select("pair_id", *keep, "chosen", "rejected"), out_path, n_buckets, mode="append")
     if manifest_path is not None:
-        split = pr.split_pair(texts.select("pair_id", *[c for c in ("task_id",) if c in pairs.columns],
+        rest = _missing(pairs, lambda: rd.read_manifest(spark, manifest_path).select(
+            F.col("pair_id").cast("bigint").alias("pair_id")))
+        if max_len is not None:  # the pairs that have vectors, as written
+            rest = rest.join(rd.read_embeddings(spark, out_path).select("pair_id"), "pair_id", "left_semi")
+        split = pr.split_pair(rest.select("pair_id", *[c for c in ("task_id",) if c in pairs.columns],
                                            "chosen", "rejected"))
         man = split.select("pair_id", F.col("prompt").alias("prompts"), F.col("chosen").alias("chosen_responses"),
                            F.col("rejected").alias("rejected_responses"),
@@ -94,7 +102,9 @@ def evaluate(vectors: DataFrame, heads: DataFrame, section_map: Mapping | None =
     scored = ev.with_win(score_heads(vectors, heads, keep=keep))
     out = {"subset_accuracy": ev.subset_accuracy(scored)}
     if section_map is not None:
-        out["leaderboard"] = ev.leaderboard(out["subset_accuracy"], section_map, counts or {})
+        if counts is None:
+            raise ValueError("section scores need the example counts of the subsets")
+        out["leaderboard"] = ev.leaderboard(out["subset_accuracy"], section_map, counts)
     if n_tasks is not None:
         out["task_accuracy"] = ev.task_accuracy(scored, n_tasks)
     return out
@@ -104,23 +114,31 @@ def adapt_and_report(vectors: DataFrame, heads: DataFrame, head_sets: Mapping[in
                      ks: Sequence[int], temperatures: Sequence[float] = (1.0,), seeds: int = 20,
                      section_map: Mapping | None = None, counts: Mapping | None = None,
                      n_tasks: int | None = None, mode: str = "normalised",
-                     out_path: str | None = None) -> dict[str, DataFrame]:
+                     out_path: str | None = None, group_by: str | None = None) -> dict[str, DataFrame]:
     """Stage 3b.  Few-shot reweighting for every configuration and seed.
-    With a section map, groups are sections and the report is per section;
-    otherwise groups are ``task_id`` and the report is per task.  Returns the
-    per-seed metrics, their mean/std and the weight table (written as the
-    metric and weight tables when ``out_path`` is given)."""
+    With a section map the report is per section, otherwise per task.
+    ``group_by`` names what is sampled and weighted on its own: ``section``
+    (default with a section map), ``subset``, or ``task`` (default without).
+    Returns the per-seed metrics, their mean/std and the weight table
+    (written as the metric and weight tables when ``out_path`` is given)."""
     keys = list(ad.CONFIG)
-    if section_map is not None:
+    if section_map is not None and counts is None:
+        raise ValueError("section scores need the example counts of the subsets")
+    if section_map is None and n_tasks is None:
+        raise ValueError("give a section map and counts, or the number of tasks")
+    group_by = group_by or ("section" if section_map is not None else "task")
+    if group_by == "section":
         pairs = ad.attach_category(vectors, section_map)
+    elif group_by in ("subset", "task"):
+        pairs = vectors.withColumn("grp", F.col("subset" if group_by == "subset" else "task_id"))
     else:
-        pairs = vectors.withColumn("grp", F.col("task_id"))
+        raise ValueError(f"unknown grouping {group_by!r}")
     keep = [c for c in ("subset", "task_id") if c in vectors.columns]
     a = ad.adapt_grid(pairs, heads, head_sets, ks, temperatures, seeds, mode, keep)
     if section_map is not None:
-        board = ad.tta_section_scores(a.agg, section_map, counts or {}, keys=[*keys, "seed"])
+        board = ad.tta_section_scores(a.agg, section_map, counts, keys=[*keys, "seed"])
     else:
-        board = ad.tta_task_scores(a.agg, n_tasks or 0, keys=[*keys, "seed"])
+        board = ad.tta_task_scores(a.agg, n_tasks, keys=[*keys, "seed"])
     stats = ad.seed_statistics(board, keys=keys)
     if out_path is not None:
         wr.write_metrics(stats, a.weights, out_path)

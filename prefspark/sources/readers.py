@@ -86,30 +86,38 @@ def read_npy_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(_npy_rows, schema)
 
 
-def resolve_paths(manifest: DataFrame, vectors: DataFrame, path_col: str = "cls_emb",
-                  key: str = "path", old_prefix: str = "/home", new_prefix: str = "/srv/local") -> DataFrame:
+def resolve_paths(manifest: DataFrame, vectors: DataFrame, old_prefix: str, new_prefix: str,
+                  path_col: str = "cls_emb", key: str = "path") -> DataFrame:
     """S4 lookup: each manifest row tries its path, then the path with the
     prefix rewritten (the reference's fallback); the first that exists wins.
 
-    One join on both candidate keys (two rows per manifest row), then the
-    best candidate per manifest path (a window over at most two rows).
-    Manifest paths are unique (one vector file per pair).
+    Two left joins, so every manifest row stays (repeated and null paths
+    too), with nulls where neither path has a vector.  ``vectors`` has one
+    row per ``key``.
     """
-    from pyspark.sql import Window
-    v = vectors.withColumnRenamed(key, "_vk")
-    alt = F.regexp_replace(F.col(path_col), "^" + old_prefix, new_prefix)
-    tries = F.explode(F.array(F.struct(F.lit(0).alias("p"), F.col(path_col).alias("k")),
-                              F.struct(F.lit(1).alias("p"), alt.alias("k")))).alias("_t")
-    cand = manifest.select("*", tries).select("*", F.col("_t.p").alias("_p"), F.col("_t.k").alias("_k")).drop("_t")
-    j = cand.join(v, cand["_k"] == v["_vk"], "left")
-    w = Window.partitionBy(path_col).orderBy(F.col("_vk").isNull(), F.col("_p"))
-    return j.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_p", "_k", "_vk", "_r")
+    cols = [c for c in vectors.columns if c != key]
+
+    def side(n: int) -> DataFrame:
+        return vectors.select(F.col(key).alias(f"_k{n}"), *[F.col(c).alias(f"_{c}_{n}") for c in cols])
+    path = F.col(path_col)
+    alt = F.when(path.startswith(old_prefix), F.concat(F.lit(new_prefix), F.substring(
+        path, len(old_prefix) + 1, F.length(path))))
+    j = manifest.join(side(0), path == F.col("_k0"), "left").withColumn("_alt", F.when(F.col("_k0").isNull(), alt))
+    j = j.join(side(1), F.col("_alt") == F.col("_k1"), "left")
+    found = [F.when(F.col("_k0").isNotNull(), F.col(f"_{c}_0")).otherwise(F.col(f"_{c}_1")).alias(c) for c in cols]
+    return j.select(*manifest.columns, *found)
+
+
+#: How the manifest CSV tells null from the empty string and keeps blanks and
+#: line ends of texts (fixed values of the format).
+MANIFEST_OPTIONS = {"header": True, "quote": '"', "escape": '"', "nullValue": "\\N",
+                    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest CSV (prompts, chosen/rejected responses, vector path,
-    optional task id)."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    optional task id).  Texts come back as they were written; ``\\N`` is null."""
+    return spark.read.options(**MANIFEST_OPTIONS).option("multiLine", True).csv(path)
 
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:
@@ -154,9 +162,10 @@ def read_head_scores_files(spark: SparkSession, folder: str) -> DataFrame:
                      F.try_element_at("t.r", F.lit(1)).alias("s_rejected"))
 
 
-def read_head_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """S6 (row-per-pair layout written by ``write_head_scores``)."""
-    return spark.read.json(folder, schema="pair_id bigint, subset int, s_chosen double, "
+def read_head_scores(spark: SparkSession, folder: str, subset_type: str = "string") -> DataFrame:
+    """S6 (row-per-pair layout written by ``write_head_scores``); subsets are
+    names unless the caller gives another type."""
+    return spark.read.json(folder, schema=f"pair_id bigint, subset {subset_type}, s_chosen double, "
                                           "s_rejected double, head_id bigint")
 
 
@@ -196,22 +205,14 @@ def read_heads(spark: SparkSession, path: str, name_col: str = "name") -> DataFr
             .drop("_k"))
 
 
-def lookup_pairs(spark: SparkSession, path: str, ids: DataFrame, n_buckets: int,
-                 max_inlist: int = 10_000) -> DataFrame:
+def lookup_pairs(spark: SparkSession, path: str, ids: DataFrame, n_buckets: int) -> DataFrame:
     """Rows of a bucketed pair-vector table (written by ``write_embeddings``
-    with ``n_buckets``) for the pairs in ``ids``.
-
-    A small id set (counted, at most ``max_inlist``) is pushed to the scan
-    as ``bucket IN (...)`` (folder pruning) and ``pair_id IN (...)``
-    (row-group statistics; the files are sorted by ``pair_id``).  A larger
-    set is joined on (bucket, pair_id), so dynamic partition pruning skips
-    the folders of buckets no id falls in."""
-    keys = ids.select("pair_id").distinct()
-    n = keys.count()
+    with ``n_buckets``) for the pairs in ``ids``, in the table's columns.
+
+    A join on (bucket, pair_id): dynamic partition pruning skips the folders
+    of buckets that no id falls in, whatever the number of ids."""
     table = read_embeddings(spark, path)
-    if n <= max_inlist:
-        wanted = [int(r.pair_id) for r in keys.collect()]
-        buckets = sorted({w % n_buckets for w in wanted})
-        return table.filter(F.col("bucket").isin(buckets) & F.col("pair_id").isin(wanted))
-    keyed = keys.withColumn("bucket", F.pmod(F.col("pair_id"), F.lit(n_buckets)).cast("int"))
-    return table.join(keyed, ["bucket", "pair_id"])
+    keys = ids.select(F.col("pair_id").alias("_id")).distinct()
+    keys = keys.withColumn("_bucket", F.pmod(F.col("_id"), F.lit(n_buckets)).cast("int"))
+    hit = (table["bucket"] == keys["_bucket"]) & (table["pair_id"] == keys["_id"])
+    return table.join(keys, hit).select(*[table[c] for c in table.columns])

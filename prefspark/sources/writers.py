@@ -11,27 +11,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+
+from prefspark.sources.readers import MANIFEST_OPTIONS
 
 N_BUCKETS_DEFAULT = 64
 
 
+def _dealt(df: DataFrame, folder: str, files: int, groups: int) -> DataFrame:
+    """Rows of a folder in ``files`` tasks, whatever the number of input
+    tasks: at most ``files`` files per folder."""
+    salt = F.pmod(F.xxhash64("pair_id"), F.lit(files))
+    return df.repartition(groups * files, F.col(folder), salt).sortWithinPartitions(folder, "pair_id")
+
+
 def write_embeddings(df: DataFrame, path: str, n_buckets: int = N_BUCKETS_DEFAULT,
-                     mode: str = "overwrite") -> None:
+                     mode: str = "overwrite", files_per_bucket: int = 1) -> None:
     """K1: pair vectors keyed by ``pair_id``, split into ``pmod(pair_id, n)``
-    bucket folders so a reader can prune by key.  No shuffle: each task
-    sorts its rows by (bucket, pair_id) and writes one file per bucket it
-    holds, so no task ever receives a whole bucket, and parquet row-group
-    statistics on ``pair_id`` let filters skip data inside a file."""
-    (df.withColumn("bucket", F.pmod(F.col("pair_id"), F.lit(n_buckets)).cast("int"))
-     .sortWithinPartitions("bucket", "pair_id").write.mode(mode).partitionBy("bucket").parquet(path))
+    bucket folders so a reader can prune by key.  One shuffle deals each
+    bucket to ``files_per_bucket`` tasks (choose it as the bucket's size over
+    the file size wanted), so the number of files does not depend on the
+    number of input tasks; files are sorted by ``pair_id``, so row-group
+    statistics let filters skip data inside a file."""
+    keyed = df.withColumn("bucket", F.pmod(F.col("pair_id"), F.lit(n_buckets)).cast("int"))
+    _dealt(keyed, "bucket", files_per_bucket, n_buckets).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def write_manifest(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K2: prompt, answers, key of the vector and task id (if any), as CSV."""
     cols = [c for c in ("pair_id", "prompts", "chosen_responses", "rejected_responses", "cls_emb", "task_ids")
             if c in df.columns]
-    df.select(*cols).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.select(*cols).write.mode(mode).options(**MANIFEST_OPTIONS).csv(path)
 
 
 def write_heads(heads: DataFrame, path: str, original: DataFrame | None = None,
@@ -44,12 +53,14 @@ def write_heads(heads: DataFrame, path: str, original: DataFrame | None = None,
         original.withColumn("name", F.lit("original-head")).write.mode(mode).parquet(f"{path}/original")
 
 
-def write_head_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_head_scores(scores: DataFrame, path: str, mode: str = "overwrite", n_heads: int = 64,
+                      files_per_head: int = 1) -> None:
     """K4: per-head scores, one folder per head, JSON lines (replaces old
-    output).  No shuffle by head: every task writes its rows of each head,
-    so a head's N rows are spread over all tasks."""
-    (scores.select("head_id", "pair_id", "subset", "s_chosen", "s_rejected")
-     .sortWithinPartitions("head_id").write.mode(mode).partitionBy("head_id").json(path))
+    output).  One shuffle deals a head's rows to ``files_per_head`` tasks, so
+    there are at most that many files per head; ``n_heads`` sizes the
+    shuffle."""
+    rows = scores.select("head_id", "pair_id", "subset", "s_chosen", "s_rejected")
+    _dealt(rows, "head_id", files_per_head, n_heads).write.mode(mode).partitionBy("head_id").json(path)
 
 
 def write_combined_scores(scores: DataFrame, accuracy: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -85,11 +96,10 @@ def missing_pairs(all_pairs: DataFrame, done: DataFrame, key: str = "pair_id") -
 
 
 def materialise_once(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
-    """K8: reuse the finished table at ``path``; build and write it only when
-    it is missing (an aborted write leaves no readable table, so it is
-    rebuilt)."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """K8: reuse the finished table at ``path``; build and write it when it is
+    missing or lacks the success mark that Spark's committer leaves last (an
+    aborted write, or one whose parts were removed with its mark)."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
         builder().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)

@@ -18,6 +18,14 @@ from prefspark.operators.scoring import HeadMatrix, collect_heads, explode_score
 from prefspark.session import ensure_checkpoint_dir
 
 
+def stream_key(source_dir: str, sink_dir: str, heads: HeadMatrix) -> str:
+    """Name of a stream's checkpoint, the same in every process: other heads
+    or another source start a stream of their own."""
+    tag = hashlib.md5(f"{source_dir}\n{sink_dir}\n{list(heads.ids)}\n".encode())
+    tag.update(heads.w.tobytes())
+    return tag.hexdigest()[:16]
+
+
 def score_new_pairs(spark: SparkSession, source_dir: str, schema: T.StructType,
                     heads: DataFrame | HeadMatrix, sink_dir: str, checkpoint: str | None = None,
                     keep: tuple[str, ...] = ("pair_id", "subset"),
@@ -28,11 +36,9 @@ def score_new_pairs(spark: SparkSession, source_dir: str, schema: T.StructType,
     Runs with ``availableNow``: processes what is there now, in bounded
     micro-batches, then stops.
     """
-    if checkpoint is None:
-        # stable across processes (Python's hash() is salted per process)
-        tag = hashlib.md5(sink_dir.encode("utf-8")).hexdigest()[:16]
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/score-{tag}"
     hm = heads if isinstance(heads, HeadMatrix) else collect_heads(heads)
+    if checkpoint is None:
+        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/score-{stream_key(source_dir, sink_dir, hm)}"
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
