@@ -107,12 +107,14 @@ def test_score_paths_agree_with_numpy(spark):
     ra = {r.pair_id: (np.array(r.sc), np.array(r.sr), np.array(r.chosen, dtype=np.float64)) for r in a.collect()}
     rb = {r.pair_id: (np.array(r.sc), np.array(r.sr)) for r in b.collect()}
     rc = {r.pair_id: (np.array(r.sc), np.array(r.sr)) for r in c.collect()}
-    assert ids == list(range(16))
+    assert ids == list(range(2 * fx.N_COMPONENTS))
+    with pytest.raises(ValueError):
+        sc.score_heads_packed(pairs, sc.HeadMatrix([0], np.zeros((1, 1 << 20))), method="native")
     for k, (sca, sra, x) in ra.items():
         np.testing.assert_allclose(sca, hm.w @ x, atol=1e-12)
         np.testing.assert_allclose(sca, rb[k][0], atol=1e-12)
         np.testing.assert_allclose(sra, rc[k][1], atol=1e-12)
-        np.testing.assert_allclose(sca[:8], -sca[8:], atol=1e-12)   # +/- heads are negatives
+        np.testing.assert_allclose(sca[:10], -sca[10:], atol=1e-12)   # +/- heads are negatives
 
 
 def test_head_size_check(spark):
@@ -169,12 +171,16 @@ def test_covariance_methods_agree(spark):
 def test_select_heads_rules(spark):
     h = fx.heads(spark, SF_SMALL)
     got = [(r.head_id, r.source_head_id) for r in hd.select_heads(h, 4).orderBy("head_id").collect()]
-    assert got == [(0, 0), (1, 1), (2, 8), (3, 9)]
+    assert got == [(0, 0), (1, 1), (2, 10), (3, 11)]
     with pytest.raises(ValueError):
         hd.select_heads(h, 3)
+    for ask in (lambda: hd.select_heads(h, 40), lambda: ad.choose_heads(h, 40),
+                lambda: ad.choose_heads(h, 3, with_original=True, original_id=-1, form="first")):
+        with pytest.raises(ValueError):
+            ask()
     ch = ad.choose_heads(h, 5, with_original=True, original_id=-1, form="map")
     assert [(r.head_id, r.source_head_id) for r in ch.orderBy("head_id").collect()] == [
-        (0, -1), (1, 0), (2, 1), (3, 8), (4, 9)]
+        (0, -1), (1, 0), (2, 1), (3, 10), (4, 11)]
 
 
 def test_random_heads_unit_norm(spark):
@@ -449,17 +455,18 @@ def test_pca_heads_plus_minus_accuracies_complement(spark):
     # head i+k is -head i: a pair won by one is lost by the other unless tied
     for (h, sub), (a, n) in acc.items():
         if h < 8:
-            b, n2 = acc[(h + 8, sub)]
+            b, n2 = acc[(h + fx.N_COMPONENTS, sub)]
             assert n == n2 and a + b <= 1.0 + 1e-9
 
 
 def test_resolve_paths_prefers_primary_then_rewritten(spark):
     from prefspark.sources import readers as rd
-    man = spark.createDataFrame([("/home/a",), ("/srv/local/b",), ("/home/c",), ("/home/x",)], "cls_emb string")
-    vec = spark.createDataFrame([("/home/a", 1), ("/srv/local/a", 2), ("/srv/local/b", 3), ("/srv/local/c", 4)],
+    paths = ["/old/a", "/new/b", "/old/c", "/old/x", None, None, "/old/a", "/older/a"]
+    man = spark.createDataFrame(list(enumerate(paths)), "i int, cls_emb string")
+    vec = spark.createDataFrame([("/old/a", 1), ("/new/a", 2), ("/new/b", 3), ("/new/c", 4), (None, 5)],
                                 "path string, v int")
-    got = {r.cls_emb: r.v for r in rd.resolve_paths(man, vec).collect()}
-    assert got == {"/home/a": 1, "/srv/local/b": 3, "/home/c": 4, "/home/x": None}
+    got = {r.i: r.v for r in rd.resolve_paths(man, vec, "/old/", "/new/").collect()}
+    assert got == dict(enumerate([1, 3, 4, None, None, None, 1, None]))   # every row stays
 
 
 def test_grid_equals_separate_runs(spark):
@@ -498,13 +505,73 @@ def test_manifest_round_trip_with_awkward_text(spark):
     from prefspark.session import scratch_path
     from prefspark.sources import readers as rd
     from prefspark.sources import writers as wr
-    rows = [(0, 'say "hi", then\nleave', "a,b", 'c "d"', "/home/e0.npy", 1),
-            (1, "plain", "", "x\n\ny", "/home/e1.npy", 0)]
+    rows = [(0, 'say "hi", then\nleave', "a,b", 'c "d"', "/v/e0.npy", 1),
+            (1, "plain", "", "x\n\ny", "/v/e1.npy", 0), (2, "user: hi\n", "  lead", "trail \t", None, 1),
+            (3, None, "a\r\nb", " ", "/v/e3.npy", None)]
     df = spark.createDataFrame(rows, "pair_id bigint, prompts string, chosen_responses string, "
                                      "rejected_responses string, cls_emb string, task_ids int")
     path = scratch_path(spark, "manifest-awkward")
     wr.write_manifest(df, path)
-    back = {int(r.pair_id): r for r in rd.read_manifest(spark, path).collect()}
-    assert back[0].prompts == 'say "hi", then\nleave' and back[0].chosen_responses == "a,b"
-    assert back[0].rejected_responses == 'c "d"' and back[1].rejected_responses == "x\n\ny"
-    assert back[1].chosen_responses is None          # CSV reads an empty field as null
+    back = sorted((int(r[0]), *r[1:5], r[5] and int(r[5])) for r in rd.read_manifest(spark, path).collect())
+    assert back == rows
+
+
+def test_writers_bound_the_number_of_files(spark):
+    import glob
+
+    from prefspark.session import scratch_path
+    from prefspark.sources import writers as wr
+    df = spark.range(4000).select(F.col("id").alias("pair_id"), (F.col("id") % 3).cast("int").alias("subset"),
+                                  F.array(F.lit(1.0)).alias("chosen"), F.array(F.lit(2.0)).alias("rejected")).repartition(16)
+    path = scratch_path(spark, "files")
+    wr.write_embeddings(df, path, n_buckets=4, files_per_bucket=2)
+    folder = path.removeprefix("file:")
+    assert 4 <= len(glob.glob(f"{folder}/bucket=*/part-*")) <= 8 and spark.read.parquet(path).count() == 4000
+    scores = df.select("pair_id", "subset", F.lit(1.0).alias("s_chosen"), F.lit(2.0).alias("s_rejected"),
+                       F.explode(F.sequence(F.lit(0), F.lit(4))).alias("head_id"))
+    path = scratch_path(spark, "score-files")
+    wr.write_head_scores(scores, path, n_heads=5, files_per_head=2)
+    assert 5 <= len(glob.glob(f"{path.removeprefix('file:')}/head_id=*/part-*")) <= 10
+
+
+def test_materialise_once_wants_the_success_mark(spark):
+    import os
+
+    from prefspark.session import scratch_path
+    from prefspark.sources import writers as wr
+    path = scratch_path(spark, "half")
+    spark.range(10).write.parquet(path)
+    os.remove(path.removeprefix("file:") + "/_SUCCESS")
+    assert wr.materialise_once(spark, path, lambda: spark.range(20)).count() == 20
+    assert wr.materialise_once(spark, path, lambda: spark.range(30)).count() == 20
+
+
+def test_null_turns_null_lengths_and_missing_counts(spark):
+    from prefspark.functions import messages as msg
+    from prefspark.operators import evaluate as ev
+    m = spark.createDataFrame([([("user", None), (None, "x"), ("assistant", "y")],)],
+                              "m array<struct<role:string,content:string>>")
+    assert m.select(msg.prompt_text("m")).first()[0] == "user: \n: x\n"
+    assert m.select(msg.render_chat("m")).first()[0].count("<start_of_turn>") == 3
+    kept, dropped = pr.filter_prompt_len(spark.createDataFrame([(1,), (None,), (99,)], "n int"), "n", 10)
+    assert kept.count() == 1 and dropped.first().dropped == 2
+    acc = spark.createDataFrame([(0, 1, 0.5, 4)], "head_id int, subset int, accuracy double, n bigint")
+    with pytest.raises(ValueError):
+        ev.section_scores(acc, {1: "s"}, {})
+
+
+def test_moments_read_the_vectors_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 12)) + 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "pair_id long, diff array<double>").repartition(5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    res = hd.fit_pca(df.mapInPandas(count, "pair_id long, diff array<double>"), 3)
+    assert seen.value == 500
+    lam = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    np.testing.assert_allclose(res.explained_variance, lam[:3], rtol=1e-10)
+    np.testing.assert_allclose(res.total_variance, lam.sum(), rtol=1e-10)

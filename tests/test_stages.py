@@ -1,5 +1,6 @@
 """The three stages end to end on sf0.001, with the stand-in encoder."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
