@@ -27,8 +27,9 @@ Scale notes
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -405,6 +406,11 @@ def apply_weights_arrow(packed: DataFrame, stats: DataFrame, weights: DataFrame,
     ``apply_weights``, plus the configuration columns ``cfg``."""
     seed_list = _seeds(seeds)
     cfg = list(cfg)
+    blocks = _seed_blocks(stats, weights, seed_list, head_ids, max_bytes, rows_bound)
+    if len(blocks) > 1:
+        return reduce(DataFrame.unionByName, [apply_weights_arrow(
+            packed, stats.where(F.col("seed").isin(b)), weights.where(F.col("seed").isin(b)), b, mode, keep, max_bytes,
+            cfg, head_ids, rows_bound and -(-rows_bound * len(b) // len(seed_list))) for b in blocks])
     coef, configs = _coef_tensors(stats, weights, seed_list, head_ids, cfg, max_bytes, mode, rows_bound)
     if not cfg:
         configs = [()]
@@ -418,6 +424,74 @@ def apply_weights_arrow(packed: DataFrame, stats: DataFrame, weights: DataFrame,
     return src.mapInPandas(_apply_batches(bc, seed_list, configs, cfg, keep, mode), ", ".join(fields))
 
 
+def _seed_blocks(stats, weights, seeds: list[int], head_ids, max_bytes: int, rows_bound: int | None) -> list[list[int]]:
+    """The seeds in blocks whose coefficient tensors stay within
+    ``max_bytes``; each block is a pass of its own over the packed scores."""
+    rows = weights.select("seed", "grp", *[c for c in CONFIG if c in weights.columns]).distinct().count() \
+        if rows_bound is None else rows_bound
+    heads = len(head_ids) if head_ids is not None else stats.select("head_id").distinct().count()
+    n = min(len(seeds), -(-rows * max(heads, 1) * 24 // max_bytes)) or 1
+    size = -(-len(seeds) // n)
+    return [seeds[i:i + size] for i in range(0, len(seeds), size)]
+
+
+def _count_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], by: str, mode: str):
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        coef, width = bc.value, max(len(configs), 1) * len(seeds)
+        seen: dict = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            sc_, sr_ = np.stack(pdf["sc"].to_numpy()), np.stack(pdf["sr"].to_numpy())
+            won = np.zeros((len(pdf), width), dtype=bool)
+            codes, groups = pd.factorize(pdf["grp"])
+            for i, g in enumerate(groups):
+                if g in coef:
+                    idx = np.flatnonzero(codes == i)
+                    a, b = coef[g]
+                    if mode == "delta":
+                        won[idx] = (sc_[idx] - sr_[idx]) @ a.T >= ev.WIN_MARGIN
+                    else:
+                        won[idx] = (sc_[idx] @ a.T - b) - (sr_[idx] @ a.T - b) >= ev.WIN_MARGIN
+            codes, values = pd.factorize(pdf[by])
+            for i, value in [*enumerate(values), (-1, None)]:
+                idx = np.flatnonzero(codes == i)
+                if len(idx):
+                    wins, n = seen.get(value, (0, 0))
+                    seen[value] = wins + won[idx].sum(axis=0), n + len(idx)
+        reps = len(seeds)
+        for value, (wins, n) in seen.items():
+            out = {c: np.repeat([cf[j] for cf in configs], reps) for j, c in enumerate(cfg)}
+            out["seed"] = np.tile(np.array(seeds, dtype=np.int32), max(len(configs), 1))
+            yield pd.DataFrame({**out, by: [value] * width, "wins": np.asarray(wins, dtype=np.int64), "n": n})
+    return run
+
+
+def win_counts(packed: DataFrame, stats: DataFrame, weights: DataFrame, seeds: int | Sequence[int], by: str,
+               mode: str = "normalised", max_bytes: int = MAX_COEF_BYTES, cfg: Sequence[str] = (),
+               head_ids: list[int] | None = None, rows_bound: int | None = None) -> DataFrame:
+    """Wins and pairs per (configuration, seed, ``by``): the metrics' form of
+    A11-A13.  Pairs are re-scored and compared inside the Arrow batch; a task
+    emits one row per configuration, seed and value of ``by``, whatever the
+    number of its pairs."""
+    seed_list, cfg = _seeds(seeds), list(cfg)
+    blocks = _seed_blocks(stats, weights, seed_list, head_ids, max_bytes, rows_bound)
+    if len(blocks) > 1:
+        return reduce(DataFrame.unionByName, [win_counts(
+            packed, stats.where(F.col("seed").isin(b)), weights.where(F.col("seed").isin(b)), b, by, mode, max_bytes,
+            cfg, head_ids, rows_bound and -(-rows_bound * len(b) // len(seed_list))) for b in blocks])
+    coef, configs = _coef_tensors(stats, weights, seed_list, head_ids, cfg, max_bytes, mode, rows_bound)
+    bc = packed.sparkSession.sparkContext.broadcast(coef)
+    types = {**dict(packed.dtypes), **dict(weights.dtypes)}
+    fields = [*[f"{c} {types[c]}" for c in cfg], "seed int", f"{by} {types[by]}", "wins bigint", "n bigint"]
+    src = packed.select("grp", *([by] if by != "grp" else []), "sc", "sr")
+    part = src.mapInPandas(_count_batches(bc, seed_list, configs if cfg else [()], cfg, by, mode), ", ".join(fields))
+    return part.groupBy(*cfg, "seed", by).agg(F.sum("wins").alias("wins"), F.sum("n").alias("n"))
+
+
 def with_agg_win(agg: DataFrame) -> DataFrame:
     if "agg_delta" in agg.columns:
         return agg.withColumn("win", ev.win_delta("agg_delta"))
@@ -435,8 +509,13 @@ def tta_section_scores(agg: DataFrame, section_map: Mapping, counts: Mapping,
                        decimals: int | None = 3, sample: DataFrame | None = None,
                        keys: Sequence[str] = ("seed",)) -> DataFrame:
     """Subset accuracy -> section scores -> overall, per seed, rounded
-    per seed.  All pairs count, the sampled ones included, as in the
-    reference; pass ``sample`` to evaluate on the unsampled pairs only."""
+    per seed.  ``agg`` is a row per pair and seed, or the counts of
+    ``win_counts``.  All pairs count, the sampled ones included, as in the
+    reference; pass ``sample`` (with rows per pair) to evaluate on the
+    unsampled pairs only."""
+    if "wins" in agg.columns:
+        acc = agg.select(*keys, "subset", (F.col("wins") / F.col("n")).alias("accuracy"), "n")
+        return ev.leaderboard(acc, section_map, counts, keys=list(keys), decimals=decimals)
     if sample is not None:
         agg = exclude_sampled(agg, sample)
     acc = ev.subset_accuracy(with_agg_win(agg), keys=list(keys))
@@ -446,7 +525,8 @@ def tta_section_scores(agg: DataFrame, section_map: Mapping, counts: Mapping,
 def tta_task_scores(agg: DataFrame, n_tasks: int, task: str = "task_id",
                     decimals: int | None = 3, keys: Sequence[str] = ("seed",)) -> DataFrame:
     """Per-task accuracy (null for an empty task) and overall, per seed."""
-    return ev.task_accuracy(with_agg_win(agg), n_tasks, keys=list(keys), task=task,
+    rows = agg if "wins" in agg.columns else with_agg_win(agg)
+    return ev.task_accuracy(rows, n_tasks, keys=list(keys), task=task,
                             decimals=decimals)
 
 
@@ -533,6 +613,7 @@ class Adaptation:
     loss: DataFrame
     weights: DataFrame
     agg: DataFrame
+    wins: Callable[[str], DataFrame]
 
 
 def adapt_from_vectors(pairs: DataFrame, heads, k: int, seeds: int | Sequence[int] = 20,
@@ -587,7 +668,10 @@ def adapt_grid_packed(packed: DataFrame, head_ids: list[int], head_sets: Mapping
     agg = apply_weights_arrow(packed, both.select(*cfg_t, "seed", "grp", "head_id", "mean", "std"), weights,
                               seed_list, mode, keep, cfg=cfg_t, head_ids=list(head_ids),
                               rows_bound=n_groups * n_configs * len(seed_list))
-    return Adaptation(sample, sampled, stats, loss, weights, agg)
+    def wins(by: str) -> DataFrame:
+        return win_counts(packed, both.select(*cfg_t, "seed", "grp", "head_id", "mean", "std"), weights, seed_list, by,
+                          mode, cfg=cfg_t, head_ids=list(head_ids), rows_bound=n_groups * n_configs * len(seed_list))
+    return Adaptation(sample, sampled, stats, loss, weights, agg, wins)
 
 
 def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] | None,
@@ -614,7 +698,8 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
 
 def _single(g: Adaptation) -> Adaptation:
     drop = lambda df: df.drop(*[c for c in CONFIG if c in df.columns])
-    return Adaptation(drop(g.sample), drop(g.sampled), drop(g.stats), drop(g.loss), drop(g.weights), drop(g.agg))
+    return Adaptation(drop(g.sample), drop(g.sampled), drop(g.stats), drop(g.loss), drop(g.weights), drop(g.agg),
+                      lambda by: drop(g.wins(by)))
 
 
 def adapt(packed: DataFrame, head_ids: list[int], k: int, seeds: int | Sequence[int] = 20,

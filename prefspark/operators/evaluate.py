@@ -124,9 +124,15 @@ def task_accuracy(scored: DataFrame, n_tasks: int, keys: list[str] | None = None
     labels = list(names) if names is not None else [f"task_{t}" for t in range(n_tasks)]
     if len(labels) != n_tasks:
         raise ValueError("one name per task is needed")
-    w = F.col("win").cast("double")
-    aggs = [F.avg(F.when(F.col(task) == t, w)).alias(f"task_{t}") for t in range(n_tasks)]
-    g = scored.groupBy(*keys).agg(*aggs, F.avg(w).alias("overall"))
+    if "wins" in scored.columns:  # counts per task instead of rows per pair
+        def rate(cond):
+            return F.try_divide(F.sum(F.when(cond, F.col("wins"))), F.sum(F.when(cond, F.col("n"))))
+        aggs = [rate(F.col(task) == t).alias(f"task_{t}") for t in range(n_tasks)]
+        g = scored.groupBy(*keys).agg(*aggs, rate(F.lit(True)).alias("overall"))
+    else:
+        w = F.col("win").cast("double")
+        aggs = [F.avg(F.when(F.col(task) == t, w)).alias(f"task_{t}") for t in range(n_tasks)]
+        g = scored.groupBy(*keys).agg(*aggs, F.avg(w).alias("overall"))
     cols = [f"task_{t}" for t in range(n_tasks)] + ["overall"]
     labels = labels + ["overall"]
     rows = F.array(*[F.struct(F.lit(lab).alias("metric"), F.col(c).alias("value"))

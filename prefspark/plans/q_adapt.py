@@ -26,6 +26,8 @@ def grouped_pairs(spark, sf, grouping: str):
         return ad.attach_category(pairs, fx.SECTION_MAP)
     if grouping == "task":
         return pairs.withColumn("grp", F.col("task_id"))
+    if grouping == "subset":
+        return pairs.withColumn("grp", F.col("subset"))
     if grouping == "small":
         return pairs.withColumn("grp", F.col("pair_id") % SMALL_GROUPS)
     raise ValueError(grouping)
@@ -46,6 +48,7 @@ META = {
     "section": "SELECT p.pair_id, p.subset, p.task_id, m.section AS grp "
                "FROM fx_vec_pairs p LEFT JOIN fx_section_map m ON m.subset = p.subset",
     "task": "SELECT pair_id, subset, task_id, task_id AS grp FROM fx_vec_pairs",
+    "subset": "SELECT pair_id, subset, task_id, subset AS grp FROM fx_vec_pairs",
     "small": f"SELECT pair_id, subset, task_id, pair_id % {SMALL_GROUPS} AS grp FROM fx_vec_pairs",
 }
 
@@ -253,7 +256,7 @@ def a13_apply_weights_delta(spark, sf):
 # ------------------------------------------------------------------ A14-A17
 @query("a14_tta_section_scores", W(adapt_sql(), board_sql()) + "\nSELECT seed, metric, value FROM board")
 def a14_tta_section_scores(spark, sf):
-    return ad.tta_section_scores(run(spark, sf).agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
+    return ad.tta_section_scores(run(spark, sf).wins("subset"), fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
 
 
 @query("a14_tta_section_scores_exclude_sample",
@@ -265,34 +268,49 @@ def a14_tta_section_scores_exclude_sample(spark, sf):
     return ad.tta_section_scores(a.agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS, sample=a.sample)
 
 
+@query("a14_subset_groups", W(adapt_sql("subset"), board_sql()) + "\nSELECT seed, metric, value FROM board")
+def a14_subset_groups(spark, sf):
+    """Sampled and weighted per subset, reported per section."""
+    return ad.tta_section_scores(run(spark, sf, "subset").wins("subset"), fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
+
+
+K_LARGE = 40
+
+
+@query("a14_subset_groups_with_replacement", W(adapt_sql("subset", K_LARGE), board_sql())
+       + "\nSELECT seed, metric, value FROM board")
+def a14_subset_groups_with_replacement(spark, sf):
+    return ad.tta_section_scores(run(spark, sf, "subset", K_LARGE).wins("subset"), fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
+
+
 @query("a15_tta_task_scores", W(adapt_sql("task", K_TASK), task_board_sql())
        + "\nSELECT seed, metric, value FROM board")
 def a15_tta_task_scores(spark, sf):
-    return ad.tta_task_scores(run(spark, sf, "task", K_TASK).agg, fx.N_TASKS)
+    return ad.tta_task_scores(run(spark, sf, "task", K_TASK).wins("task_id"), fx.N_TASKS)
 
 
 @query("a15_tta_task_scores_delta", W(adapt_sql("task", K_TASK, mode="delta"), task_board_sql(True))
        + "\nSELECT seed, metric, value FROM board")
 def a15_tta_task_scores_delta(spark, sf):
-    return ad.tta_task_scores(run(spark, sf, "task", K_TASK, mode="delta").agg, fx.N_TASKS)
+    return ad.tta_task_scores(run(spark, sf, "task", K_TASK, mode="delta").wins("task_id"), fx.N_TASKS)
 
 
 @query("a16_seed_sweep_overall", W(adapt_sql(), board_sql())
        + "\nSELECT seed, value AS overall FROM board WHERE metric = 'overall'")
 def a16_seed_sweep_overall(spark, sf):
-    b = ad.tta_section_scores(run(spark, sf).agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
+    b = ad.tta_section_scores(run(spark, sf).wins("subset"), fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
     return b.filter(F.col("metric") == "overall").select("seed", F.col("value").alias("overall"))
 
 
 @query("a17_seed_statistics_sections", W(adapt_sql(), board_sql()) + STATS_SELECT)
 def a17_seed_statistics_sections(spark, sf):
-    b = ad.tta_section_scores(run(spark, sf).agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
+    b = ad.tta_section_scores(run(spark, sf).wins("subset"), fx.SECTION_MAP, fx.EXAMPLE_COUNTS)
     return ad.seed_statistics(b)
 
 
 @query("a17_seed_statistics_tasks", W(adapt_sql("task", K_TASK), task_board_sql()) + STATS_SELECT)
 def a17_seed_statistics_tasks(spark, sf):
-    return ad.seed_statistics(ad.tta_task_scores(run(spark, sf, "task", K_TASK).agg, fx.N_TASKS))
+    return ad.seed_statistics(ad.tta_task_scores(run(spark, sf, "task", K_TASK).wins("task_id"), fx.N_TASKS))
 
 
 # ------------------------------------------------------------------ A18, A19
@@ -326,7 +344,31 @@ def _grid(spark, sf):
 def a18_config_grid(spark, sf):
     a = _grid(spark, sf)
     keys = list(ad.CONFIG)
-    board = ad.tta_section_scores(a.agg, fx.SECTION_MAP, fx.EXAMPLE_COUNTS, keys=[*keys, "seed"])
+    board = ad.tta_section_scores(a.wins("subset"), fx.SECTION_MAP, fx.EXAMPLE_COUNTS, keys=[*keys, "seed"])
+    return ad.seed_statistics(board, keys=keys)
+
+
+N_WITH_ORIGINAL = 6
+WITH_ORIGINAL_SQL = """(SELECT pair_id, head_id, s_chosen, s_rejected FROM fx_scores WHERE head_id IN (0, 1, 2, 10, 11)
+  UNION ALL SELECT p.pair_id, -1 AS head_id, list_dot_product(list_transform(p.chosen, lambda x: CAST(x AS DOUBLE)), o.w),
+         list_dot_product(list_transform(p.rejected, lambda x: CAST(x AS DOUBLE)), o.w)
+  FROM fx_vec_pairs p, fx_original o)"""
+
+
+@query("a18_with_original", "\nUNION ALL\n".join(
+    f"SELECT {N_WITH_ORIGINAL} AS num_heads, {k} AS k, CAST(1.0 AS DOUBLE) AS temperature, q.* FROM ("
+    + W(adapt_sql("subset", k, heads=WITH_ORIGINAL_SQL), board_sql()) + STATS_SELECT + ") q" for k in (5, K_LARGE)))
+def a18_with_original(spark, sf):
+    """Choose heads (the original first, then plus and minus heads), score
+    under them, adapt per subset, with (k = 40) and without replacement."""
+    from prefspark.operators.heads import with_original
+    heads = with_original(fx.heads(spark, sf), fx.original_head(spark, sf))
+    chosen = ad.choose_heads(heads, N_WITH_ORIGINAL, with_original=True, original_id=-1)
+    ids = [int(r.source_head_id) for r in chosen.orderBy("head_id").collect()]  # N_WITH_ORIGINAL rows
+    a = ad.adapt_grid(grouped_pairs(spark, sf, "subset"), heads, {N_WITH_ORIGINAL: ids}, [5, K_LARGE], [1.0], SEEDS,
+                      keep=("subset",))
+    keys = list(ad.CONFIG)
+    board = ad.tta_section_scores(a.wins("subset"), fx.SECTION_MAP, fx.EXAMPLE_COUNTS, keys=[*keys, "seed"])
     return ad.seed_statistics(board, keys=keys)
 
 

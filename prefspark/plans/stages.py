@@ -136,9 +136,9 @@ def adapt_and_report(vectors: DataFrame, heads: DataFrame, head_sets: Mapping[in
     keep = [c for c in ("subset", "task_id") if c in vectors.columns]
     a = ad.adapt_grid(pairs, heads, head_sets, ks, temperatures, seeds, mode, keep)
     if section_map is not None:
-        board = ad.tta_section_scores(a.agg, section_map, counts, keys=[*keys, "seed"])
+        board = ad.tta_section_scores(a.wins("subset"), section_map, counts, keys=[*keys, "seed"])
     else:
-        board = ad.tta_task_scores(a.agg, n_tasks, keys=[*keys, "seed"])
+        board = ad.tta_task_scores(a.wins("task_id"), n_tasks, keys=[*keys, "seed"])
     stats = ad.seed_statistics(board, keys=keys)
     if out_path is not None:
         wr.write_metrics(stats, a.weights, out_path)
