@@ -181,6 +181,8 @@ def sample_per_group_multi(meta: DataFrame, ks: Sequence[int], seeds: int | Sequ
         short_b = checked_broadcast(short, keys_bound)
         more = _candidates(base.join(short_b, ["seed", "grp"], "left_semi"), widen, keys_bound)
         rows = materialise_small(rows.join(short_b, ["seed", "grp"], "left_anti").unionByName(more))
+    else:  # not reached: the threshold covers the full range before
+        raise RuntimeError("the sample of some group stayed short")
     w = Window.partitionBy("seed", "grp").orderBy("_u", "pair_id")
     ranked = rows.withColumn("_rk", F.row_number().over(w)).filter(
         (F.col("_rk") <= k_max) | (F.col("_n") < k_max))

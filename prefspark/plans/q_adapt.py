@@ -313,6 +313,18 @@ def a17_seed_statistics_tasks(spark, sf):
     return ad.seed_statistics(ad.tta_task_scores(run(spark, sf, "task", K_TASK).wins("task_id"), fx.N_TASKS))
 
 
+@query("a17_from_written_scores", W(adapt_sql(), board_sql()) + STATS_SELECT)
+def a17_from_written_scores(spark, sf):
+    """Evaluate writes the scores; the adaptation reads them back."""
+    from prefspark.plans import stages
+    from prefspark.session import scratch_path
+    path = scratch_path(spark, "evaluated")
+    stages.evaluate(fx.vec_pairs(spark, sf), fx.heads(spark, sf), out_path=path)
+    r = stages.adapt_from_scores(spark, path, None, [K_SECTION], seeds=SEEDS, section_map=fx.SECTION_MAP,
+                                 counts=fx.EXAMPLE_COUNTS)
+    return r["statistics"].select("metric", "mean", "std")
+
+
 # ------------------------------------------------------------------ A18, A19
 GRID_HEADS = (8, 16)
 GRID_KS = (5, 15)

@@ -27,7 +27,7 @@ from prefspark.operators import encode as en
 from prefspark.operators import evaluate as ev
 from prefspark.operators import heads as hd
 from prefspark.operators import pairs as pr
-from prefspark.operators.scoring import score_heads
+from prefspark.operators.scoring import pack_scores, score_heads
 from prefspark.sources import readers as rd
 from prefspark.sources import writers as wr
 
@@ -95,11 +95,17 @@ def decompose(spark: SparkSession, vectors: DataFrame, k: int | None, heads_path
 
 
 def evaluate(vectors: DataFrame, heads: DataFrame, section_map: Mapping | None = None,
-             counts: Mapping | None = None, n_tasks: int | None = None) -> dict[str, DataFrame]:
+             counts: Mapping | None = None, n_tasks: int | None = None,
+             out_path: str | None = None) -> dict[str, DataFrame]:
     """Stage 3a.  Per-head subset accuracy; with a section map the section
-    scores and overall; with ``n_tasks`` the task accuracies."""
+    scores and overall; with ``n_tasks`` the task accuracies.  With
+    ``out_path`` the scores and accuracies are written (K5, K9) and the
+    results come from the written scores; ``adapt_from_scores`` reads them."""
     keep = [c for c in ("pair_id", "subset", "task_id") if c in vectors.columns]
     scored = ev.with_win(score_heads(vectors, heads, keep=keep))
+    if out_path is not None:
+        scored.write.parquet(f"{out_path}/scores")
+        scored = vectors.sparkSession.read.parquet(f"{out_path}/scores")
     out = {"subset_accuracy": ev.subset_accuracy(scored)}
     if section_map is not None:
         if counts is None:
@@ -107,6 +113,9 @@ def evaluate(vectors: DataFrame, heads: DataFrame, section_map: Mapping | None =
         out["leaderboard"] = ev.leaderboard(out["subset_accuracy"], section_map, counts)
     if n_tasks is not None:
         out["task_accuracy"] = ev.task_accuracy(scored, n_tasks)
+    if out_path is not None:
+        out.get("task_accuracy", out["subset_accuracy"]).write.parquet(f"{out_path}/accuracy")
+        wr.write_subset_accuracy(out["subset_accuracy"], f"{out_path}/subset_accuracy")
     return out
 
 
@@ -121,20 +130,43 @@ def adapt_and_report(vectors: DataFrame, heads: DataFrame, head_sets: Mapping[in
     (default with a section map), ``subset``, or ``task`` (default without).
     Returns the per-seed metrics, their mean/std and the weight table
     (written as the metric and weight tables when ``out_path`` is given)."""
-    keys = list(ad.CONFIG)
+    pairs = _grouped(vectors, section_map, counts, n_tasks, group_by)
+    keep = [c for c in ("subset", "task_id") if c in vectors.columns]
+    a = ad.adapt_grid(pairs, heads, head_sets, ks, temperatures, seeds, mode, keep)
+    return _report(a, section_map, counts, n_tasks, out_path)
+
+
+def adapt_from_scores(spark: SparkSession, scores_path: str, head_sets: Mapping[int, Sequence[int]] | None,
+                      ks: Sequence[int], temperatures: Sequence[float] = (1.0,), seeds: int = 20,
+                      section_map: Mapping | None = None, counts: Mapping | None = None,
+                      n_tasks: int | None = None, mode: str = "normalised",
+                      out_path: str | None = None, group_by: str | None = None) -> dict[str, DataFrame]:
+    """Stage 3b on the scores that ``evaluate`` wrote, instead of vectors."""
+    scores, _ = rd.read_combined_scores(spark, scores_path)
+    keep = [c for c in ("subset", "task_id") if c in scores.columns]
+    ids = sorted(r.head_id for r in scores.select("head_id").distinct().toLocalIterator())  # one per head
+    packed = _grouped(pack_scores(scores, ["pair_id", *keep]), section_map, counts, n_tasks, group_by)
+    packed = ad.materialise_table(packed.select("pair_id", "grp", *keep, "sc", "sr"))
+    a = ad.adapt_grid_packed(packed, ids, head_sets, ks, temperatures, seeds, mode, keep)
+    return _report(a, section_map, counts, n_tasks, out_path)
+
+
+def _grouped(pairs: DataFrame, section_map, counts, n_tasks, group_by) -> DataFrame:
+    """Add ``grp``; raises when the report's constants are missing."""
     if section_map is not None and counts is None:
         raise ValueError("section scores need the example counts of the subsets")
     if section_map is None and n_tasks is None:
         raise ValueError("give a section map and counts, or the number of tasks")
     group_by = group_by or ("section" if section_map is not None else "task")
     if group_by == "section":
-        pairs = ad.attach_category(vectors, section_map)
-    elif group_by in ("subset", "task"):
-        pairs = vectors.withColumn("grp", F.col("subset" if group_by == "subset" else "task_id"))
-    else:
-        raise ValueError(f"unknown grouping {group_by!r}")
-    keep = [c for c in ("subset", "task_id") if c in vectors.columns]
-    a = ad.adapt_grid(pairs, heads, head_sets, ks, temperatures, seeds, mode, keep)
+        return ad.attach_category(pairs, section_map)
+    if group_by in ("subset", "task"):
+        return pairs.withColumn("grp", F.col("subset" if group_by == "subset" else "task_id"))
+    raise ValueError(f"unknown grouping {group_by!r}")
+
+
+def _report(a: ad.Adaptation, section_map, counts, n_tasks, out_path) -> dict[str, DataFrame]:
+    keys = list(ad.CONFIG)
     if section_map is not None:
         board = ad.tta_section_scores(a.wins("subset"), section_map, counts, keys=[*keys, "seed"])
     else:
@@ -143,4 +175,3 @@ def adapt_and_report(vectors: DataFrame, heads: DataFrame, head_sets: Mapping[in
     if out_path is not None:
         wr.write_metrics(stats, a.weights, out_path)
     return {"per_seed": board, "statistics": stats, "weights": a.weights}
-

@@ -43,6 +43,27 @@ def test_extract_decompose_evaluate_adapt(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in w)
 
 
+def test_a_sink_that_was_missed_is_completed(spark):
+    """A run that wrote vectors but no manifest: the rerun writes the manifest."""
+    from prefspark.sources import readers as rd
+    pairs = fx.msg_pairs(spark, SF_SMALL)
+    out, man = scratch_path(spark, "resume-vectors"), scratch_path(spark, "resume-manifest")
+    n = stages.extract(spark, pairs, en.hashing_encoder(8), out, n_buckets=2).count()
+    stages.extract(spark, pairs, en.hashing_encoder(8), out, n_buckets=2, manifest_path=man)
+    assert rd.read_manifest(spark, man).count() == n == pairs.count()
+    stages.extract(spark, pairs, en.hashing_encoder(8), out, n_buckets=2, manifest_path=man)
+    assert rd.read_manifest(spark, man).count() == n
+
+
+def test_missing_constants_raise(spark):
+    vecs = fx.vec_pairs(spark, SF_SMALL)
+    with pytest.raises(ValueError):
+        stages.evaluate(vecs, fx.heads(spark, SF_SMALL), fx.SECTION_MAP)
+    for kw in ({"section_map": fx.SECTION_MAP}, {}, {"n_tasks": 5, "group_by": "colour"}):
+        with pytest.raises(ValueError):
+            stages.adapt_and_report(vecs, fx.heads(spark, SF_SMALL), None, [3], **kw)
+
+
 def test_scratch_folder_without_the_setting(tmp_path):
     """With ``spark.checkpoint.dir`` unset a local session gets a private
     folder, an explicit one is used, and a cluster master raises."""
