@@ -164,7 +164,8 @@ def mix_sizes(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: fl
     """
     placed, sources = packed(docs, weights, share, passes, block)
     often = slots(sources, shard_slots, seed).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
-    parts = pieces(placed, block).join(often, ["rank", "block"], "left")
+    # the draws come from a few rows, so the planner would take their table for a small one
+    parts = pieces(placed, block).join(often.hint("merge"), ["rank", "block"], "left")
     taken = parts.groupBy("rank", "offset", "doc_id", "source", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("n") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
     cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
@@ -183,7 +184,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes
     """
     placed, sources = packed(docs, weights, share, passes, block)
     drawn = slots(sources, shard_slots, seed).select("rank", "block", "pass")
-    parts = pieces(placed, block).join(drawn, ["rank", "block"])
+    parts = pieces(placed, block).join(drawn.hint("merge"), ["rank", "block"])
     rows = parts.groupBy("rank", "offset", "doc_id", "source", "text_hash", "pass").agg(
         F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"), F.sum("n").alias("kept"))
     per_doc = rows.groupBy("rank", "offset", "doc_id", "source", "text_hash").agg(
@@ -201,7 +202,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes
     text = F.col("_row")["text"]
     some = F.array_join(F.flatten(F.transform(F.col("_take")["parts"], lambda p: F.slice(
         F.col("_words"), (p["first"] + 1).cast("int"), p["n"].cast("int")))), " ")
-    out = full.join(right, cond).withColumn("_words", words(text))
+    out = full.join(right.hint("merge"), cond).withColumn("_words", words(text))
     out = out.withColumn("_text", F.when(F.col("_take")["kept"] == F.size("_words"), text).otherwise(some))
     return out.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(t).alias(c)
                         if c == "n_chars" else F.col("_row")[c].alias(c) for c, t in docs.dtypes])
