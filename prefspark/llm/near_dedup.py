@@ -39,7 +39,7 @@ FREQUENT = 0.02
 SMOOTHING = 0.1
 SEED = 77
 #: Shingles gathered before local counts are taken.
-CHUNK_SHINGLES = 4 << 20
+CHUNK_SHINGLES = 1 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -115,9 +115,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / (total - shared))
 
 
-def _gamma_quantiles() -> np.ndarray:
-    """Quantiles of the Gamma(2, 1) distribution in 2**16 equal steps."""
-    u = (np.arange(1 << 16) + 0.5) / (1 << 16)
+def _gamma_quantiles(bits: int) -> np.ndarray:
+    """Quantiles of the Gamma(2, 1) distribution in 2 ** bits equal steps."""
+    u = (np.arange(1 << bits) + 0.5) / (1 << bits)
     lo, hi = np.zeros(len(u)), np.full(len(u), 40.0)
     for _ in range(60):
         mid = (lo + hi) / 2
@@ -126,37 +126,53 @@ def _gamma_quantiles() -> np.ndarray:
     return (lo + hi) / 2
 
 
+_BITS = 13
 _sampler: dict[str, np.ndarray] = {}
 
 
 def signature(h: np.ndarray, w: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """Improved consistent weighted sampling: per sample the shingle and step
-    that win, as one hash.  Every draw is a function of (shingle, sample)."""
+    that win, as one hash.  Every draw is a function of (shingle, sample):
+    r and c from tables of the Gamma(2, 1) quantiles, beta uniform."""
     if not _sampler:
-        q = _gamma_quantiles().astype(np.float32)
-        _sampler.update(r=q, log_c=np.log(q),
-                        key=np.random.default_rng(SEED).integers(1, 2**63, 4096, dtype=np.uint64) * _U(2) + _U(1))
+        q = _gamma_quantiles(_BITS).astype(np.float32)
+        keys = np.random.default_rng(SEED).integers(0, 2**32, (2, 4096), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        _sampler.update(r=q, log_c=np.log(q), first=keys[0], second=keys[1])
     best = np.full(n, np.inf, np.float32)
     out = np.zeros(n, np.uint64)
-    keys = _sampler["key"][:n, None]
+    first, second = _sampler["first"][:n, None], _sampler["second"][:n, None]
+    row, low = np.arange(n), np.uint32((1 << _BITS) - 1)
     for at in range(0, len(h), 2048):
-        part = h[at:at + 2048]
-        u = part[None, :] * keys
-        u ^= u >> _U(29)
-        u *= _MIX[1]
-        u ^= u >> _U(32)
-        r = _sampler["r"][(u & _U(0xFFFF)).astype(np.uint16)]
-        value = _sampler["log_c"][((u >> _U(16)) & _U(0xFFFF)).astype(np.uint16)]
-        beta = (u >> _U(40)).astype(np.float32) * np.float32(2.0**-24)
-        step = np.floor(np.log(w[at:at + 2048]).astype(np.float32)[None, :] / r + beta)
-        value = value - r * (step - beta + 1)
+        part, weight = h[at:at + 2048], w[at:at + 2048]
+        u = (part >> _U(32)).astype(np.uint32)[None, :] * first
+        u ^= u >> np.uint32(15)
+        u *= np.uint32(0x2C1B3C6D)
+        u ^= u >> np.uint32(13)
+        r = _sampler["r"].take(u >> np.uint32(32 - _BITS))
+        value = _sampler["log_c"].take(u & low)
+        u = (part & _U(0xFFFFFFFF)).astype(np.uint32)[None, :] * second
+        u ^= u >> np.uint32(16)
+        beta = u.astype(np.float32)
+        beta *= np.float32(2.0**-32)
+        other = np.flatnonzero(weight != 1)
+        step = np.zeros((n, len(other)), np.float32)
+        if len(other):  # for weight 1 the step is 0
+            step = np.floor(np.log(weight[other]).astype(np.float32) / r[:, other] + beta[:, other])
+            value[:, other] -= r[:, other] * step
+        beta -= np.float32(1)
+        r *= beta
+        value += r
         win = value.argmin(axis=1)
-        row = np.arange(n)
         least = value[row, win]
         better = least < best
+        if not better.any():
+            continue
         best = np.where(better, least, best)
-        won = mix64(part[win] ^ mix64(step[row, win].astype(np.int64).view(np.uint64)))
-        out = np.where(better, won, out)
+        steps = np.zeros(n, np.int64)
+        if len(other):
+            place = np.minimum(np.searchsorted(other, win), len(other) - 1)
+            steps = np.where(other[place] == win, step[row, place], 0).astype(np.int64)
+        out = np.where(better, mix64(part[win] ^ mix64(steps.view(np.uint64))), out)
     return out
 
 
@@ -304,7 +320,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return (members.join(roots, members["v"] == roots["u"], "left")
-            .select("key", "v", "weight", F.coalesce("root", "v").alias("label")))
+            .select("key", "band", "v", "weight", "degree", F.coalesce("root", "v").alias("label")))
 
 
 def _near(similar: float):
@@ -333,9 +349,14 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILARITY) -> Data
     reps = sketch.where("v is not null").groupBy("v").agg(
         F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
     reps = write_and_read(reps, "reps")
-    members = reps.select("v", "weight", F.explode("keys").alias("key"))
-    first = members.groupBy("key").agg(F.min(F.struct("v", "weight")).alias("lead"), F.count(F.lit(1)).alias("n"))
-    members = write_and_read(members.join(first.where("n > 1").select("key", "lead"), "key"), "members")
+    members = reps.select("v", "weight", F.posexplode("keys").alias("band", "key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = write_and_read(members.join(sizes, "key"), "members")
+    # the member that meets most others leads its buckets: the text that the others are copies of
+    degree = members.groupBy("v").agg(F.sum("n").alias("degree"))
+    members = members.drop("n").join(degree, "v")
+    lead = members.groupBy("key").agg(F.max(F.struct("degree", "v", "weight")).alias("lead"))
+    members = write_and_read(members.join(lead, "key"), "members")
     tried = write_and_read(_pairs(members.select(F.col("lead.v").alias("a"), F.col("v").alias("b"),
                                                  F.col("lead.weight").alias("wa"), F.col("weight").alias("wb")),
                                   similar), "pairs")
@@ -343,18 +364,26 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILARITY) -> Data
     roots = components(links)
     for last in (False, True):
         rows = _labelled(members, roots)
-        sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("v", "weight")).alias("lead"))
-        mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label", "lead")).alias("top"), F.count(F.lit(1)).alias("k"))
-        mixed = mixed.where("k > 1").select("key", F.col("top.label").alias("most"), F.col("top.lead").alias("lead"))
+        sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("k"))
+        mixed = mixed.where("k > 1").select("key", F.col("top.label").alias("most"))
         rows = write_and_read(rows.join(mixed, "key"), "mixed")
-        few = rows.where("label <> most")
-        if last:  # every link between classes of a bucket
-            left = few.select("key", F.col("v").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la"))
-            right = rows.select("key", F.col("v").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
-            cand = left.join(right, "key").where("la <> lb").where(_near(similar))
-        else:  # one member of the largest class against the others
-            cand = few.select(F.col("lead.v").alias("a"), F.col("v").alias("b"),
-                              F.col("lead.weight").alias("wa"), F.col("weight").alias("wb"))
+        if last:  # every link between classes of a bucket, in the first bucket that a pair shares
+            rows = write_and_read(rows.join(reps.select("v", "keys"), "v"), "mixed")
+            left = rows.where("label <> most").select("key", "band", *[F.col(x).alias(y) for x, y in (
+                ("v", "a"), ("weight", "wa"), ("label", "la"), ("keys", "ka"), ("most", "most"))])
+            right = rows.select("key", *[F.col(x).alias(y) for x, y in (
+                ("v", "b"), ("weight", "wb"), ("label", "lb"), ("keys", "kb"))])
+            same = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), F.lit(True))
+            cand = left.join(right, "key").where(
+                (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("most")) | (F.col("a") < F.col("b")))
+                & _near(similar) & (same == F.col("band") + 1))
+        else:  # the leader of the rest against the others
+            lead = rows.where("label <> most").groupBy("key").agg(
+                F.max(F.struct("degree", "v", "weight", "label")).alias("lead"))
+            cand = rows.join(lead, "key").where("label <> lead.label").select(
+                F.col("lead.v").alias("a"), F.col("v").alias("b"),
+                F.col("lead.weight").alias("wa"), F.col("weight").alias("wb"))
         cand = write_and_read(_pairs(cand, similar).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(cand)
         links = links.unionByName(write_and_read(verified(cand, docs, reps, weights, similar), "links"))
