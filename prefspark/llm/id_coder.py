@@ -25,7 +25,7 @@ _U = np.uint64
 _TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
 _ONE = np.ones(1, np.uint64)
 _W16, _LOW32 = _U(16), _U((1 << 32) - 1)
-_SLOTS = 2048           # contexts of order 1 and of order 2
+_SLOTS = 1024           # contexts of order 1 and of order 2
 _CACHE = 1024           # ids of order 0
 _CONF = 16
 _STEP, _FULL = 24, 3000  # growth and halving limit of the four-bit counts
@@ -86,7 +86,7 @@ class _Model:
         same = self.c[0] == self.c[1]
         self.inputs[1] = np.where(same, self.inputs[1], -self.inputs[1])
         dot = (self.weights[:, :n] * self.inputs).sum(axis=0) >> 16
-        self.mixed = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2048)
+        self.mixed = _SQUASH.take(np.clip(dot, -2047, 2047, out=dot) + 2048)
         a = np.minimum(np.maximum(self.mixed, 16), 4000)
         b = a + np.where(same, 0, np.maximum((4064 - a) * (self.old[1] >> 4) >> 12, 1))
         return a, b, b + 1 + ((4094 - b) * self.cached[:n] >> 12)
@@ -130,15 +130,17 @@ class _Encoder:
         self.low[lanes] += start.astype(np.uint64) * r
         self.range[lanes] = width.astype(np.uint64) * r
 
-    def shift(self, lanes: np.ndarray) -> None:
-        while len(lanes):
+    def shift(self, lanes: np.ndarray | slice) -> None:
+        while True:
             low, span = self.low[lanes], self.range[lanes]
             settled = (low ^ (low + span)) < _TOP
-            go = settled | (span < _BOTTOM)
-            if not go.any():
+            go = np.flatnonzero(settled | (span < _BOTTOM))
+            if not len(go):
                 return
-            lanes, low, span, settled = lanes[go], low[go], span[go], settled[go]
-            span = np.where(settled, span, (~low + _U(1)) & _LOW32)
+            lanes = go if isinstance(lanes, slice) else lanes[go]
+            low, span, settled = low[go], span[go], settled[go]
+            if not settled.all():
+                span = np.where(settled, span, (~low + _U(1)) & _LOW32)
             self.words[lanes, self.size[lanes]] = (low >> _U(48)).astype(np.uint16)
             self.size[lanes] += 1
             self.low[lanes], self.range[lanes] = low << _W16, span << _W16
@@ -173,15 +175,17 @@ class _Decoder:
         self.low[lanes] += start.astype(np.uint64) * r
         self.range[lanes] = width.astype(np.uint64) * r
 
-    def shift(self, lanes: np.ndarray) -> None:
-        while len(lanes):
+    def shift(self, lanes: np.ndarray | slice) -> None:
+        while True:
             low, span = self.low[lanes], self.range[lanes]
             settled = (low ^ (low + span)) < _TOP
-            go = settled | (span < _BOTTOM)
-            if not go.any():
+            go = np.flatnonzero(settled | (span < _BOTTOM))
+            if not len(go):
                 return
-            lanes, low, span, settled = lanes[go], low[go], span[go], settled[go]
-            span = np.where(settled, span, (~low + _U(1)) & _LOW32)
+            lanes = go if isinstance(lanes, slice) else lanes[go]
+            low, span, settled = low[go], span[go], settled[go]
+            if not settled.all():
+                span = np.where(settled, span, (~low + _U(1)) & _LOW32)
             at = np.minimum(self.next[lanes], self.words.shape[1] - 1)
             self.code[lanes] = (self.code[lanes] << _W16) | self.words[lanes, at].astype(np.uint64)
             self.next[lanes] += 1
@@ -199,13 +203,13 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[int]]
     if not lengths:
         return [], []
     lanes = len(lengths)
-    grid = np.zeros((lanes, block), np.int64)
-    grid.reshape(-1)[:len(ids)] = ids
+    grid = np.zeros(lanes * block, np.uint16)
+    grid[:len(ids)] = ids
+    steps = np.ascontiguousarray(grid.reshape(lanes, block).T)  # one row per step
     model, coder = _Model(lanes), _Encoder(lanes, 2 * block + 16)
-    every = np.arange(lanes)
     for step in range(max(lengths)):
         n = lanes if step < lengths[-1] else lanes - 1
-        x, all_lanes = grid[:n, step], every[:n]
+        x, all_lanes = steps[step, :n].astype(np.int64), slice(0, n)
         a, b, c = model.predict(n)
         two = x == model.c[0]
         one = (x == model.c[1]) & ~two
@@ -231,7 +235,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[int]]
                      coder.range[rest] >> np.where(known, _U(2), _U(16)))
         coder.shift(all_lanes)
         model.update(x, rest, known)
-    crcs = [zlib.crc32(grid[i, :n].astype("<u4").tobytes()) for i, n in enumerate(lengths)]
+    crcs = [zlib.crc32(grid[i * block:i * block + n].astype("<u4").tobytes()) for i, n in enumerate(lengths)]
     return coder.finish(), crcs
 
 
@@ -243,12 +247,11 @@ def decode(blocks: list[bytes], crcs: list[int], n_ids: int, block: int = BLOCK)
     if not lengths:
         return np.empty(0, np.uint16)
     lanes = len(lengths)
-    grid = np.zeros((lanes, block), np.int64)
+    steps = np.zeros((block, lanes), np.uint16)
     model, coder = _Model(lanes), _Decoder(blocks)
-    every = np.arange(lanes)
     for step in range(max(lengths)):
         n = lanes if step < lengths[-1] else lanes - 1
-        all_lanes = every[:n]
+        all_lanes = slice(0, n)
         a, b, c = model.predict(n)
         at, r = coder.value(all_lanes, _U(12))
         two, escape = at < a, at >= b
@@ -279,9 +282,10 @@ def decode(blocks: list[bytes], crcs: list[int], n_ids: int, block: int = BLOCK)
         coder.shift(all_lanes)
         x[rest] = index
         x[held] = model.cache.take(model.at_cache[held] + (place << 2 | index[known])) >> 8
-        grid[:n, step] = x
+        steps[step, :n] = x
         model.update(x, rest, known)
+    grid = np.ascontiguousarray(steps.T)
     for i, (n, crc) in enumerate(zip(lengths, crcs)):
         if zlib.crc32(grid[i, :n].astype("<u4").tobytes()) != crc:
             raise ValueError(f"checksum of block {i} does not fit")
-    return grid.reshape(-1)[:n_ids].astype(np.uint16)
+    return grid.reshape(-1)[:n_ids]

@@ -11,6 +11,7 @@ end id, and segments end between documents.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from prefspark.session import scratch_path
 
 END_ID = 0
 SEGMENT_IDS = 8 << 20
-MEMO = 500_000
+MEMO = 400_000
 
 SCHEMA = ("file int, segment int, n_ids long, doc_ids array<long>, lengths array<int>, sizes array<int>, "
           "checksums array<long>, blocks binary")
@@ -39,7 +40,8 @@ class TextEncoder:
     The library splits a text before each single space that stands between
     other characters, so such pieces are encoded once by the library and
     their ids kept; texts with other spacing or special strings are encoded
-    whole.  What is kept is bounded and does not change the ids.
+    whole.  What is kept is bounded (two generations of ``MEMO`` pieces) and
+    does not change the ids.
     """
 
     def __init__(self, path: str):
@@ -49,31 +51,37 @@ class TextEncoder:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must be below 65536")
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.uncut = re.compile("|".join([" \\s", "\\s ", "\\A ", "\\s\\Z", "\\A\\Z", *special]))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes()
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The text cut before single spaces; None where it cannot be."""
-        if "  " in text or any(s in text for s in self.special):
-            return None
-        first, *rest = text.split(" ")
-        if not first or any(not p or p[0].isspace() or p[-1].isspace() for p in rest) or first[-1].isspace():
-            return None
-        return [first, *[" " + p for p in rest]]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        new = list({p for pieces in cut if pieces for p in pieces if p not in self.memo})
-        self.memo.update(zip(new, self.whole(new)))
-        get = self.memo.__getitem__
+        cut = [None if self.uncut.search(t) else t.split(" ") for t in texts]
+        if len(self.young) >= MEMO:  # keep what was used since the last time
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        starts = iter(self.whole([pieces[0] for pieces in cut if pieces]))
+        seen: set[str] = set()
+        for pieces in cut:
+            if pieces:
+                seen.update(pieces[1:])
+        new = []
+        for p in seen:
+            if p not in young:
+                known = old.get(p)
+                if known is None:
+                    new.append(p)
+                else:
+                    young[p] = known
+        young.update(zip(new, self.whole([" " + p for p in new])))
+        get = young.__getitem__
         rest = iter(self.whole([t for t, pieces in zip(texts, cut) if pieces is None]))
-        return [next(rest) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
+        return [next(rest) if pieces is None else next(starts) + b"".join(map(get, pieces[1:])) for pieces in cut]
 
 
 _encoders: dict[str, TextEncoder] = {}
