@@ -242,7 +242,8 @@ def frequent_shingles(docs: DataFrame, frequent: float = FREQUENT) -> Weights:
 
 def sketches(docs: DataFrame, weights) -> DataFrame:
     """doc_id, v (digest of the text), weight (sum of shingle weights), keys
-    (one per band; empty without shingles)."""
+    (one per band; empty without shingles) and row (a number of its own for
+    every row, fixed once the table is written)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = weights.value.of
         for batch in batches:
@@ -256,7 +257,8 @@ def sketches(docs: DataFrame, weights) -> DataFrame:
                 ["doc_id", "v", "weight", "keys"])
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.md5("text").alias("v"), "text").mapInArrow(
-        run, f"doc_id {kind}, v string, weight double, keys array<long>")
+        run, f"doc_id {kind}, v string, weight double, keys array<long>").withColumn(
+        "row", F.monotonically_increasing_id())
 
 
 def needed_texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -333,22 +335,19 @@ def _pairs(rows: DataFrame, similar: float) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def near_duplicate_classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and kept (true for
-    one row of each class).
+def _first_row() -> F.Column:
+    """The row with the least doc_id, null last; of equal ones any."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
 
-    Equal texts, the empty text included, are one class; texts without words
-    are similar to nothing else; a null text is a class of its own.  A null
-    doc_id is never a class_id unless the class has no other; of rows that
-    repeat the kept doc_id, all count as kept.  An empty table gives no rows;
-    other columns are not read.
-    """
+
+def _classified(docs: DataFrame, similar: float) -> DataFrame:
+    """doc_id, v, class_id and kept for every row."""
     sc = docs.sparkSession.sparkContext
     weights = sc.broadcast(frequent_shingles(docs))
     sketch = write_and_read(sketches(docs, weights), "sketches")
     reps = sketch.where("v is not null").groupBy("v").agg(
-        F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
-    reps = write_and_read(reps, "reps")
+        _first_row().alias("first"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
+    reps = write_and_read(reps.withColumn("rep", F.col("first.doc_id")), "reps")
     members = reps.select("v", "weight", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = write_and_read(members.join(sizes, "key"), "members")
@@ -389,23 +388,53 @@ def near_duplicate_classes(docs: DataFrame, similar: float = SIMILARITY) -> Data
         links = links.unionByName(write_and_read(verified(cand, docs, reps, weights, similar), "links"))
         roots = components(roots.select(F.col("u").alias("a"), F.col("root").alias("b"))
                            .unionByName(links.select("a", "b")))
-    classes = reps.select("v", "rep").join(roots, F.col("v") == F.col("u"), "left")
-    classes = classes.select("v", "rep", F.coalesce("root", "v").alias("root"))
-    named = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = classes.join(named, "root").select(F.col("v").alias("__v"), "class_id")
-    out = sketch.select("doc_id", "v").join(named, F.col("v") == F.col("__v"), "left")
-    klass = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", klass.alias("class_id"), F.col("doc_id").eqNullSafe(klass).alias("kept"))
+    classes = reps.select("v", "first").join(roots, F.col("v") == F.col("u"), "left")
+    classes = classes.select("v", "first", F.coalesce("root", "v").alias("root"))
+    named = classes.groupBy("root").agg(F.min("first").alias("first"))
+    named = classes.select("v", "root").join(named, "root").select(
+        F.col("v").alias("__v"), F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("kept_row"))
+    out = sketch.select("doc_id", "v", "row").join(named, F.col("v") == F.col("__v"), "left")
+    alone = F.col("v").isNull()
+    return out.select("doc_id", "v", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+                      (alone | (F.col("row") == F.col("kept_row"))).alias("kept"))
+
+
+def near_duplicate_classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class) and kept (true for
+    exactly one row of each class).
+
+    Equal texts, the empty text included, are one class; texts without words
+    are similar to nothing else; a null text is a class of its own.  A null
+    doc_id is never a class_id unless the class has no other.  An empty table
+    gives no rows; other columns are not read.
+    """
+    return _classified(docs, similar).select("doc_id", "class_id", "kept")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
-    """One document of each near-duplicate class, with all its columns.
+    """Exactly one document of each near-duplicate class, with all its
+    columns.
 
-    Rows are matched by doc_id, so a doc_id kept for one text keeps every row
-    with that doc_id.
+    Rows are matched by doc_id and text, nulls included.  Of rows that repeat
+    both, the one with the least digest of all columns stays; every row with
+    a null text stays.
     """
-    gone = near_duplicate_classes(docs, similar).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    rows = write_and_read(_classified(docs, similar).where("v is not null").groupBy("doc_id", "v").agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 or not kept"), "gone")
+
+    def of(listed: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        listed = listed.select(F.col("doc_id").alias("__doc"), F.col("v").alias("__gone"))
+        return side.join(listed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc"))
+                         & (F.col("__v") == F.col("__gone")), how)
+    texts = docs.where("text is not null").withColumn("__v", F.md5("text"))
+    out = docs.where("text is null").unionByName(of(rows, texts, "left_anti").drop("__v"))
+    again = rows.where("kept")  # their rows are all gone so far
+    if again.isEmpty():
+        return out
+    texts = texts.select("doc_id", "__v", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
+    texts = may_be_listed(texts, "__v", bloom_blocks(again, "v")).where("maybe")
+    texts = texts.groupBy("doc_id", "__v").agg(F.min_by("__whole", F.md5(F.to_json("__whole"))).alias("__whole"))
+    return out.unionByName(of(again, texts, "left_semi").select("__whole.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,22 @@ def test_near_duplicate_edge_cases(spark, edge_docs, no_docs):
     assert near_dedup.near_duplicate_classes(no_docs).count() == 0 and near_dedup.keep_one(no_docs).count() == 0
 
 
+def test_one_row_of_every_class_stays(spark):
+    """Repeated and null ids whose other text is a copy; whole rows repeated."""
+    a, b, c, d, e = (prose(20 + i, 40) for i in range(5))
+    rows = [(5, a), (5, b), (3, b), (None, c), (7, c), (None, d), (None, None), (None, None), (9, e), (9, e), (9, e)]
+    df = spark.createDataFrame([(*r, i, {"k": i}) for i, r in enumerate(rows)],
+                               "doc_id long, text string, block int, extra map<string, int>").repartition(3)
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(5, a), (3, b), (7, c), (None, d), (None, None), (None, None), (9, e)]
+    got = kept.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(rows[r.block] == (r.doc_id, r.text) and r.extra == {"k": r.block} for r in got)
+    classes = near_dedup.near_duplicate_classes(df)
+    assert classes.count() == len(rows) and classes.where("kept").count() == len(want)
+
+
 def test_signatures_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(5)
     for share in (0.5, 0.8):
