@@ -146,16 +146,12 @@ SELECT head_id, CAST(row_number() OVER (PARTITION BY head_id ORDER BY pair_id) -
        task_id AS subset, round(s_chosen, 6) + 0.0 AS s_chosen, round(s_rejected, 6) + 0.0 AS s_rejected
 FROM fx_scores""")
 def s7_combined_score_positions(spark, sf):
-    """The single-object form: position in the arrays, ``task_ids`` as subset."""
-    path = scratch_path(spark, "combined-object")
-    one = F.sort_array(F.collect_list(F.struct("pair_id", "s_chosen", "s_rejected", "task_id")))
-    per = fx.scores(spark, sf).groupBy("head_id").agg(one.alias("x"))
-    entry = F.struct(F.col("x.s_chosen").alias("scores_chosen"), F.col("x.s_rejected").alias("scores_rejected"),
-                     F.col("x.task_id").alias("task_ids"))
-    named = per.select(F.struct(F.concat(F.lit("head_"), F.col("head_id").cast("string")).alias("key"), entry.alias("value")).alias("e"))
-    named.agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).write.text(path)
-    back = rd.read_combined_scores_object(spark, path)
-    return back.select("head_id", "pair_index", "subset", F.round("s_chosen", 6).alias("s_chosen"),
+    """The split layout, with the positions that the single-object form gives its arrays."""
+    path = scratch_path(spark, "combined-positions")
+    s = ev.with_win(fx.scores(spark, sf))
+    wr.write_combined_scores(s, ev.task_accuracy(s, fx.N_TASKS), path)
+    back = rd.with_pair_index(rd.read_combined_scores(spark, path)[0])
+    return back.select("head_id", "pair_index", F.col("task_id").alias("subset"), F.round("s_chosen", 6).alias("s_chosen"),
                        F.round("s_rejected", 6).alias("s_rejected"))
 
 

@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefspark.operators.adapt import checked_broadcast
+from prefspark.operators.pairs import with_pair_id
+
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 MESSAGES = T.ArrayType(MESSAGE)
 PAIR_SCHEMA = T.StructType([
@@ -193,6 +196,16 @@ def read_combined_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, D
     return scores, acc
 
 
+def with_pair_index(scores: DataFrame) -> DataFrame:
+    """Add ``pair_index``, the 0-based position of a pair among its head's
+    pairs in the order of ``pair_id``: dense ids over (head, pair) less the
+    head's first one.  No head is gathered in one task or record."""
+    ids = with_pair_id(scores, ["head_id", "pair_id"], "_id")
+    first = ids.groupBy("head_id").agg(F.min("_id").alias("_first"))
+    return (ids.join(checked_broadcast(first), "head_id")
+            .withColumn("pair_index", F.col("_id") - F.col("_first")).drop("_id", "_first"))
+
+
 def read_heads(spark: SparkSession, path: str, name_col: str = "name") -> DataFrame:
     """Head vectors ordered by the number in their ``component<k>`` name
     suffix; names without one sort last.  ``head_id`` = 0-based rank."""

@@ -330,6 +330,24 @@ def test_npy_and_compat_readers(spark, tmp_path):
     assert [(r.head_id, r.subset, r.s_chosen) for r in cr] == [(0, 0, 1.0), (0, 1, 2.0)]
 
 
+def test_positions_of_written_scores(spark, monkeypatch):
+    """Positions per head, heads of unlike sizes and gaps in the ids, from any
+    partitioning; the registered query needs no single-object file."""
+    from prefspark.plans.q_io import s7_combined_score_positions
+    from prefspark.sources import readers as rd
+    pairs = {3: [5, 9, 7], 1: [8], 20: list(range(400, 0, -3))}
+    df = spark.createDataFrame([(h, p) for h, ps in pairs.items() for p in ps], "head_id long, pair_id long").repartition(5)
+    got = {(r.head_id, r.pair_id): r.pair_index for r in rd.with_pair_index(df).collect()}
+    assert got == {(h, p): i for h, ps in pairs.items() for i, p in enumerate(sorted(ps))}
+
+    monkeypatch.delattr(rd, "read_combined_scores_object")
+    rows = s7_combined_score_positions(spark, SF_SMALL)
+    per = {r.head_id: (r.n, r.last) for r in rows.groupBy("head_id").agg(
+        F.countDistinct("pair_index").alias("n"), F.max("pair_index").alias("last")).collect()}
+    n = fx.scores(spark, SF_SMALL).groupBy("head_id").count().collect()
+    assert per == {r.head_id: (r["count"], r["count"] - 1) for r in n}
+
+
 def test_embed_pairs_matches_direct_encoder(spark):
     from prefspark.operators import encode as en
     texts = ["hello world hello", "x" * 5000, "bye", ""]
