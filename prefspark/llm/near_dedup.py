@@ -341,7 +341,7 @@ def _first_row() -> F.Column:
 
 
 def _classified(docs: DataFrame, similar: float) -> DataFrame:
-    """doc_id, v, class_id and kept for every row."""
+    """doc_id, v, class_id, class_key and kept for every row."""
     sc = docs.sparkSession.sparkContext
     weights = sc.broadcast(frequent_shingles(docs))
     sketch = write_and_read(sketches(docs, weights), "sketches")
@@ -392,23 +392,27 @@ def _classified(docs: DataFrame, similar: float) -> DataFrame:
     classes = classes.select("v", "first", F.coalesce("root", "v").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("first"))
     named = classes.select("v", "root").join(named, "root").select(
-        F.col("v").alias("__v"), F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("kept_row"))
+        F.col("v").alias("__v"), F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("kept_row"), "root")
     out = sketch.select("doc_id", "v", "row").join(named, F.col("v") == F.col("__v"), "left")
     alone = F.col("v").isNull()
     return out.select("doc_id", "v", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+                      F.when(alone, F.concat(F.lit("null-"), F.col("row").cast("string"))).otherwise(F.col("root")).alias("class_key"),
                       (alone | (F.col("row") == F.col("kept_row"))).alias("kept"))
 
 
 def near_duplicate_classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and kept (true for
-    exactly one row of each class).
+    """doc_id, class_id (the least doc_id of the class), class_key (one value
+    for each class) and kept (true for exactly one row of each class).
 
     Equal texts, the empty text included, are one class; texts without words
     are similar to nothing else; a null text is a class of its own.  A null
-    doc_id is never a class_id unless the class has no other.  An empty table
-    gives no rows; other columns are not read.
+    doc_id is never a class_id unless the class has no other.  Where ids repeat
+    or are null, classes share a class_id; class_key, the least text digest of
+    the class, tells them apart (a null text has "null-" and a number of its
+    row, which another run may give differently).  An empty table gives no
+    rows; other columns are not read.
     """
-    return _classified(docs, similar).select("doc_id", "class_id", "kept")
+    return _classified(docs, similar).select("doc_id", "class_id", "class_key", "kept")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:

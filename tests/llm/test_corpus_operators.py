@@ -118,6 +118,16 @@ def test_one_row_of_every_class_stays(spark):
     assert classes.count() == len(rows) and classes.where("kept").count() == len(want)
 
 
+def test_class_keys_tell_classes_apart(spark):
+    """Unlike texts under one id or under null ids share a class_id only."""
+    a, b, c, d = (prose(30 + i, 40) for i in range(4))
+    rows = [(1, a), (1, b), (None, c), (None, d), (None, None), (None, None), (2, a), (None, c)]
+    out = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.class_key for r in out}) == 6 and all(r.class_key for r in out)
+    assert sorted(r.class_key for r in out if r.kept) == sorted({r.class_key for r in out})
+    assert len({r.class_key for r in out if r.class_id == 1}) == 2
+
+
 def test_signatures_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(5)
     for share in (0.5, 0.8):
