@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from prefspark.llm import decontaminate, html_text, mixing, near_dedup, quality, secrets, sharding, token_counts, token_files, urls
+from prefspark.llm import (chat, decontaminate, html_text, lexical, mixing, near_dedup, negatives, quality, secrets, sharding,
+                           token_counts, token_files, urls)
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -15,10 +16,16 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_url_filters": urls.query,
     "op10_html_extraction": html_text.query,
+    "op11_lexical_search": lexical.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_chat_formatting": chat.query,
 }
 
 ORACLE = {
     "op2_quality_rules": quality.ORACLE,
     "op7_secret_scans": secrets.ORACLE,
     "op9_url_filters": urls.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
+    "op13_chat_formatting": chat.ORACLE,
 }
