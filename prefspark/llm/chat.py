@@ -100,30 +100,35 @@ def _linked(messages: DataFrame, tree: str, key: str, parent: str, score: str |
     return out.select("node", F.when(own, None).otherwise(F.col("up")).alias("up"), "tree", "key", "score")
 
 
-def _rounds(linked: DataFrame) -> list[DataFrame]:
-    """Tables (node, up, total, n) of the rounds.  After round k a row covers
-    n <= 2**k messages from ``node`` upwards with score ``total``; ``up`` is
-    the next one, null beyond the root.  Messages on or below a cycle never
-    get there; the rounds end when no path can be longer."""
-    out = [write_and_read(linked.select("node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("n")),
-                          "chat-round")]
-    most = out[0].count()
-    while 1 << (len(out) - 1) <= most and not out[-1].where("up is not null").isEmpty():
-        now = out[-1]
-        above = now.select(F.col("node").alias("__node"), F.col("up").alias("__up"), F.col("total").alias("__total"),
-                           F.col("n").alias("__n"))
-        out.append(write_and_read(now.join(above, F.col("up") == F.col("__node"), "left").select(
-            "node", F.col("__up").alias("up"), (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total"),
-            (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n")), "chat-round"))
-    return out
-
-
-def _chosen(linked: DataFrame, last: DataFrame, branches: int | None) -> DataFrame:
+def _rounds(linked: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (node, up, total, n) of the rounds, and of the messages that
+    have reached their root.  After round k a row covers n messages from
+    ``node`` upwards with score ``total``: 2**k, with ``up`` the next one, or
+    all up to the root, with ``up`` null.  Only rows that are not there yet
+    take part in the next round.  Messages on or below a cycle never get
+    there; the rounds end when no path can be longer."""
+    now = write_and_read(linked.select("node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("n")),
+                         "chat-round")
+    most, rounds, there = now.count(), [], now.where("up is null")
+    while True:
+        going = now.where("up is not null")
+        if 1 << len(rounds) > most or going.isEmpty():
+            return rounds, there
+        rounds.append(going)
+        above = there.unionByName(going).select(F.col("node").alias("__node"), F.col("up").alias("__up"),
+                                                F.col("total").alias("__total"), F.col("n").alias("__n"))
+        now = write_and_read(going.join(above, F.col("up") == F.col("__node")).select(
+            "node", F.col("__up").alias("up"), (F.col("total") + F.col("__total")).alias("total"),
+            (F.col("n") + F.col("__n")).alias("n")), "chat-round")
+        there = there.unionByName(now.where("up is null"))
+
+
+def _chosen(linked: DataFrame, there: DataFrame, branches: int | None) -> DataFrame:
     """(path, tree, branch, score, n): the best leaves of every tree.  The
     window keeps ``branches`` rows of a tree in every task before it shuffles."""
     parents = linked.where("up is not null").select(F.col("up").alias("__up")).distinct()
     leaves = (linked.join(parents, F.col("node") == F.col("__up"), "left_anti").select("node", "tree", "key")
-              .join(last.where("up is null").select("node", "total", "n"), "node"))
+              .join(there.select("node", "total", "n"), "node"))
     w = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("n"), F.asc_nulls_last("key"), "node")
     ranked = leaves.withColumn("branch", F.row_number().over(w))
     if branches is not None:
@@ -134,16 +139,16 @@ def _chosen(linked: DataFrame, last: DataFrame, branches: int | None) -> DataFra
 def _members(chosen: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     """(path, node, pos) of every message of the chosen branches, ``pos``
     counted from the leaf: stretches are halved along the jumps of the rounds,
-    longest first."""
+    longest first; shorter ones wait for their round."""
     out = chosen.select("path", F.col("path").alias("node"), F.lit(0).cast("long").alias("pos"), F.col("n").alias("span"))
-    for k in reversed(range(len(rounds) - 1)):
+    for k in reversed(range(len(rounds))):
         step = 1 << k
-        jump = rounds[k].where("up is not null").select(F.col("node").alias("__node"), F.col("up").alias("__up"))
-        wide = F.col("span") > step
-        near = F.struct("node", "pos", F.least("span", F.lit(step).cast("long")).alias("span"))
+        jump = rounds[k].select(F.col("node").alias("__node"), F.col("up").alias("__up"))
+        near = F.struct("node", "pos", F.lit(step).cast("long").alias("span"))
         far = F.struct(F.col("__up").alias("node"), (F.col("pos") + step).alias("pos"), (F.col("span") - step).alias("span"))
-        out = out.join(jump, wide & (F.col("node") == F.col("__node")), "left").select(
-            "path", F.inline(F.when(wide, F.array(near, far)).otherwise(F.array(near))))
+        halves = out.where(F.col("span") > step).join(jump, F.col("node") == F.col("__node")).select(
+            "path", F.inline(F.array(near, far)))
+        out = write_and_read(out.where(F.col("span") <= step).unionByName(halves), "chat-stretches")
     return out.select("path", "node", "pos")
 
 
@@ -194,8 +199,8 @@ def format_trees(messages: DataFrame, tree: str = "conv_id", key: str = "message
     own = messages.select(*[F.col(f"`{c}`") for c in dict.fromkeys((tree, key, parent, *([score] if score else []), role, text))])
     rows = write_and_read(own.withColumn("node", F.monotonically_increasing_id()), "chat-messages")
     linked = write_and_read(_linked(rows, tree, key, parent, score), "chat-links")
-    rounds = _rounds(linked)
-    chosen = write_and_read(_chosen(linked, rounds[-1], branches), "chat-branches")
+    rounds, there = _rounds(linked)
+    chosen = write_and_read(_chosen(linked, there, branches), "chat-branches")
     said = rows.select("node", F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     turns = _members(chosen, rounds).join(said, "node").repartition("path").sortWithinPartitions("path", F.desc("pos"))
     chats = turns.select("path", "role", "text").mapInArrow(
