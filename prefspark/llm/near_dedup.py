@@ -6,10 +6,11 @@ sampling draws signatures whose values agree with a probability equal to the
 weighted Jaccard similarity; bands of them propose pairs; the weighted
 Jaccard similarity itself, of the whole texts, decides at 0.8.
 
-Equal texts are one vertex from the start.  Within a bucket of a band first
-only links to one member are verified; what those leave unconnected is
-verified in full, between the classes of a bucket.  So the classes are those
-of all proposed pairs, without listing the pairs inside a class.
+Equal texts are one vertex from the start.  The buckets of the bands tie
+texts together to components of candidates; a component (a bucket, where the
+component is very large) is cut into blocks, and every pair of blocks is a
+tile: one task's work, compared as sparse arrays.  A tile returns a spanning
+forest of its links, so no list of pairs is ever made and no link is lost.
 
 The frequency factor is ``log(1 + 1 / (0.1 + f))`` over its value at f = 0,
 for the share ``f`` of documents that hold a shingle; it matters for frequent
@@ -40,6 +41,10 @@ SMOOTHING = 0.1
 SEED = 77
 #: Shingles gathered before local counts are taken.
 CHUNK_SHINGLES = 1 << 20
+#: Texts and shingles of a block at most (on average), blocks of a component above which its buckets are taken.
+TILE, TILE_SHINGLES, LARGE = 512, 1 << 19, 32
+#: Features are compared as matrix columns from 1 / DENSE of all pairs on, COLUMNS at a time, else PAIRS at a time.
+DENSE, COLUMNS, PAIRS = 64, 4096, 1 << 22
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -95,24 +100,28 @@ class Weights:
     def __init__(self, frequent: np.ndarray, factor: np.ndarray):
         self.frequent, self.factor = frequent, factor
 
+    def factors(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.frequent) or not len(h):
+            return np.ones(len(h))
+        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == h, self.factor[at], 1.0)
+
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(sorted distinct shingle hashes, weights) of a text."""
         h, n = np.unique(shingles(text), return_counts=True)
-        w = n.astype(np.float64)
-        if len(self.frequent) and len(h):
-            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-            w = np.where(self.frequent[at] == h, w * self.factor[at], w)
-        return h, w
-
+        return h, n * self.factors(h)
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity; 0 where there are no shingles."""
-    total = a[1].sum() + b[1].sum()
-    if not total:
-        return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(a[1][i], b[1][j]).sum()
-    return float(shared / (total - shared))
+    def features(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, weights) of a set whose common part with another text's
+        set weighs what the smaller weights of their shingles add up to: the
+        t-th repetition of a shingle is a feature of its own."""
+        h, n = np.unique(shingles(text), return_counts=True)
+        f = self.factors(h)
+        if len(h) and n.max() > 1:
+            again = np.repeat(np.arange(len(h)), n)
+            turn = (np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+            h, f = np.where(turn > 0, mix64(h[again] ^ (turn * _MIX[0])), h[again]), f[again]
+        return h, f
 
 
 def _gamma_quantiles(bits: int) -> np.ndarray:
@@ -261,33 +270,196 @@ def sketches(docs: DataFrame, weights) -> DataFrame:
         "row", F.monotonically_increasing_id())
 
 
-def needed_texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(v, text), once each, of the vertices in ``pairs``.  A filter of fixed
+def needed_texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(v, text), once each, of the vertices ``ids`` (v).  A filter of fixed
     size keeps most other texts out of the shuffle."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("__v")).distinct()
-    wanted = reps.join(ids, F.col("v") == F.col("__v"), "left_semi").select(F.col("v").alias("__v"), "rep")
+    wanted = reps.join(ids.select(F.col("v").alias("__v")), F.col("v") == F.col("__v")).select("__v", F.col("first.doc_id").alias("rep"))
     texts = docs.select("doc_id", F.md5("text").alias("v"), "text").where("text is not null")
-    texts = may_be_listed(texts, "v", bloom_blocks(ids, "__v")).where("maybe")
+    texts = may_be_listed(texts, "v", bloom_blocks(ids, "v")).where("maybe")
     texts = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("v") == F.col("__v")))
     return texts.select("v", "text").dropDuplicates(["v"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, weights, similar: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = weights.value.of
-        last, known = None, None
-        for batch in batches:
-            keep = []
-            for a, left, right in zip(batch.column(0).to_pylist(), _texts(batch.column(2)), _texts(batch.column(3))):
-                if a != last:
-                    last, known = a, of(left)
-                keep.append(similarity(known, of(right)) >= similar - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-    texts = write_and_read(needed_texts(docs, reps, pairs), "texts")
-    both = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+class Block:
+    """Texts of a tile's side: names, weights, band keys and features."""
+
+    def __init__(self):
+        self.v, self.keys, self.h, self.f = [], [], [], []
+
+    def add(self, v: str, keys, features: tuple[np.ndarray, np.ndarray]) -> None:
+        self.v.append(v)
+        self.keys.append(keys)
+        self.h.append(features[0])
+        self.f.append(features[1])
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, weight, text) of every feature."""
+        return np.concatenate(self.h), np.concatenate(self.f), np.repeat(np.arange(len(self.h)), [len(x) for x in self.h])
+
+
+def shared_weight(a: Block, b: Block) -> np.ndarray:
+    """The weight of the common features of every text of a and of b:
+    features held by many texts as a matrix product, the others pair by pair."""
+    ha, fa, ta = a.flat()
+    hb, _, tb = (ha, fa, ta) if a is b else b.flat()
+    na, nb = len(a.v), len(b.v)
+    common = np.unique(ha) if a is b else np.intersect1d(ha, hb)
+    out = np.zeros(na * nb)
+    if not len(common):
+        return out.reshape(na, nb)
+
+    def placed(h, t):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        keep = np.flatnonzero(common[at] == h)
+        keep = keep[np.argsort(at[keep], kind="stable")]
+        return at[keep], t[keep], keep
+    ca, ta, keep = placed(ha, ta)
+    cb, tb, _ = (ca, ta, keep) if a is b else placed(hb, tb)
+    f = np.ones(len(common))
+    f[ca] = fa[keep]
+    dfa, dfb = np.bincount(ca, minlength=len(common)), np.bincount(cb, minlength=len(common))
+    dense = dfa * dfb * DENSE >= na * nb
+    if a is b:
+        dense &= dfa > 1
+        rare = ~dense & (dfa > 1)
+    else:
+        rare = ~dense
+    columns = np.flatnonzero(dense)
+    for lo in range(0, len(columns), COLUMNS):
+        part = columns[lo:lo + COLUMNS]
+        at = np.full(len(common), -1)
+        at[part] = np.arange(len(part))
+        left, right = np.zeros((na, len(part))), np.zeros((nb, len(part)))
+        take = at[ca] >= 0
+        left[ta[take], at[ca[take]]] = 1
+        take = at[cb] >= 0
+        right[tb[take], at[cb[take]]] = 1
+        out += ((left * f[part]) @ right.T).ravel()
+    start = np.cumsum(dfb) - dfb
+    entries = np.flatnonzero(rare[ca])
+    ends = np.cumsum(dfb[ca[entries]])
+    lo = 0
+    while lo < len(entries):  # so many pairs at a time as fit
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        part = entries[lo:hi]
+        n = dfb[ca[part]]
+        near = np.repeat(part, n)
+        far = np.arange(len(near)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[ca[part]], n)
+        out += np.bincount(ta[near] * nb + tb[far], f[ca[near]], na * nb)
+        lo = hi
+    return out.reshape(na, nb)
+
+
+def linked(a: Block, b: Block, similar: float = SIMILARITY) -> np.ndarray:
+    """Which texts of a and b share a band key and are similar enough."""
+    wa, wb = (np.array([x.sum() for x in side.f]) for side in (a, b))
+    shared = shared_weight(a, b)
+    out = shared >= (similar - 1e-9) * (wa[:, None] + wb[None, :] - shared)
+    ka, kb = np.array(a.keys), np.array(b.keys)
+    near = np.zeros(out.shape, bool)
+    for j in range(ka.shape[1]):
+        near |= ka[:, j][:, None] == kb[:, j][None, :]
+    out &= near
+    if a is b:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def forest(a: Block, b: Block, links: np.ndarray) -> list[tuple[str, str]]:
+    """(text, least text of its component) for the components that the links
+    make among the texts of a tile."""
+    names = a.v if a is b else a.v + b.v
+    free = np.ones(len(names), bool)
+    free[:len(a.v)] &= links.any(axis=1)
+    if a is not b:
+        free[len(a.v):] = links.any(axis=0)
+    out = []
+    while free.any():
+        part, todo = [], [int(free.argmax())]
+        free[todo[0]] = False
+        while todo:
+            at = todo.pop()
+            part.append(names[at])
+            if a is b:
+                more = np.flatnonzero(links[at] & free)
+            elif at < len(a.v):
+                more = np.flatnonzero(links[at] & free[len(a.v):]) + len(a.v)
+            else:
+                more = np.flatnonzero(links[:, at - len(a.v)] & free[:len(a.v)])
+            free[more] = False
+            todo += more.tolist()
+        least = min(part)
+        out += [(v, least) for v in part if v != least]
+    return out
+
+
+def tile_links(batches: Iterator[pa.RecordBatch], weights: Weights, similar: float) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, i, j, side, v, keys, text), the rows of a tile side by
+    side, to the forests of the tiles' links (a, b)."""
+    at, sides, out = None, {}, []
+
+    def edges():
+        i, j = at[1], at[2]
+        if i in sides and j in sides and (i != j or len(sides[i].v) > 1):
+            return forest(sides[i], sides[j], linked(sides[i], sides[j], similar))
+        return []
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["a", "b"])
+    for batch in batches:
+        unit, i, j, side, v = (c.to_pylist() for c in batch.columns[:5])
+        keys = batch.column(5).flatten().to_numpy().reshape(len(v), -1) if len(v) else []
+        for k, text in enumerate(_texts(batch.column(6))):
+            tile = unit[k], i[k], j[k]
+            if tile != at:
+                if at is not None:
+                    out += edges()
+                at, sides = tile, {}
+            sides.setdefault(side[k], Block()).add(v[k], keys[k], weights.features(text))
+        if len(out) > 1 << 14:
+            yield batch_of(out)
+            out = []
+    if at is not None:
+        out += edges()
+    yield batch_of(out)
+
+
+def tiles(members: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(unit, i, j, side, v): which texts meet in which tile.
+
+    A unit is a component of candidates, or, where that would have more than
+    ``LARGE`` blocks, each of its buckets; its texts are dealt by hash to
+    blocks of at most about ``TILE`` texts or ``TILE_SHINGLES`` shingles, and
+    a tile is a pair of blocks.
+    """
+    texts = members.select("v").distinct().join(reps.select("v", "weight"), "v").join(roots, F.col("v") == F.col("u"), "left")
+    texts = texts.select("v", "weight", F.coalesce("root", "v").alias("root"))
+
+    def blocks(rows: DataFrame, unit: str) -> DataFrame:
+        need = F.greatest(F.count(F.lit(1)) / TILE, F.sum("weight") / TILE_SHINGLES)
+        return rows.groupBy(F.col(unit).alias("__unit")).agg(F.ceil(need).cast("int").alias("blocks"))
+    parts = blocks(texts, "root")
+    sized = write_and_read(texts.join(parts, F.col("root") == F.col("__unit")).select("v", "weight", "root", "blocks"), "texts-units")
+    small = sized.where(F.col("blocks") <= LARGE).select("v", F.col("root").alias("unit"), "blocks")
+    large = (sized.where(F.col("blocks") > LARGE).select(F.col("v").alias("__v"), "weight")
+             .join(members.select("v", "key"), F.col("v") == F.col("__v")))
+    large = large.select("v", "weight", F.concat(F.lit("bucket "), F.col("key").cast("string")).alias("unit"))
+    large = large.join(blocks(large, "unit"), F.col("unit") == F.col("__unit")).select("v", "unit", "blocks")
+    all_ = small.unionByName(large).withColumn("side", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+    met = all_.select("v", "unit", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select("unit", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "v")
+
+
+def verified(members: DataFrame, docs: DataFrame, reps: DataFrame, weights, similar: float = SIMILARITY) -> DataFrame:
+    """(a, b): a spanning forest of the links of every tile."""
+    ends = members.where("v <> lead").select(F.col("v").alias("a"), F.col("lead").alias("b"))
+    held = write_and_read(tiles(members, reps, components(ends)), "tiles")
+    ids = members.select("v").distinct()
+    texts = needed_texts(docs, reps, ids).join(reps.select(F.col("v").alias("__r"), "keys"), F.col("v") == F.col("__r"))
+    rows = held.join(texts.select(F.col("v").alias("__t"), "keys", "text"), F.col("v") == F.col("__t"))
+    rows = rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    return rows.select("unit", "i", "j", "side", "v", "keys", "text").mapInArrow(
+        lambda b: tile_links(b, weights.value, similar), "a string, b string")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -320,21 +492,6 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("u", F.col("w").alias("root"))
 
 
-def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return (members.join(roots, members["v"] == roots["u"], "left")
-            .select("key", "band", "v", "weight", "degree", F.coalesce("root", "v").alias("label")))
-
-
-def _near(similar: float):
-    """No similarity above the ratio of the total weights is possible."""
-    return F.least("wa", "wb") >= (similar - 1e-9) * F.greatest("wa", "wb")
-
-
-def _pairs(rows: DataFrame, similar: float) -> DataFrame:
-    return (rows.where("a <> b").where(_near(similar))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-
 def _first_row() -> F.Column:
     """The row with the least doc_id, null last; of equal ones any."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -347,47 +504,11 @@ def _classified(docs: DataFrame, similar: float) -> DataFrame:
     sketch = write_and_read(sketches(docs, weights), "sketches")
     reps = sketch.where("v is not null").groupBy("v").agg(
         _first_row().alias("first"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
-    reps = write_and_read(reps.withColumn("rep", F.col("first.doc_id")), "reps")
-    members = reps.select("v", "weight", F.posexplode("keys").alias("band", "key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = write_and_read(members.join(sizes, "key"), "members")
-    # the member that meets most others leads its buckets: the text that the others are copies of
-    degree = members.groupBy("v").agg(F.sum("n").alias("degree"))
-    members = members.drop("n").join(degree, "v")
-    lead = members.groupBy("key").agg(F.max(F.struct("degree", "v", "weight")).alias("lead"))
-    members = write_and_read(members.join(lead, "key"), "members")
-    tried = write_and_read(_pairs(members.select(F.col("lead.v").alias("a"), F.col("v").alias("b"),
-                                                 F.col("lead.weight").alias("wa"), F.col("weight").alias("wb")),
-                                  similar), "pairs")
-    links = write_and_read(verified(tried, docs, reps, weights, similar), "links")
-    roots = components(links)
-    for last in (False, True):
-        rows = _labelled(members, roots)
-        sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("k"))
-        mixed = mixed.where("k > 1").select("key", F.col("top.label").alias("most"))
-        rows = write_and_read(rows.join(mixed, "key"), "mixed")
-        if last:  # every link between classes of a bucket, in the first bucket that a pair shares
-            rows = write_and_read(rows.join(reps.select("v", "keys"), "v"), "mixed")
-            left = rows.where("label <> most").select("key", "band", *[F.col(x).alias(y) for x, y in (
-                ("v", "a"), ("weight", "wa"), ("label", "la"), ("keys", "ka"), ("most", "most"))])
-            right = rows.select("key", *[F.col(x).alias(y) for x, y in (
-                ("v", "b"), ("weight", "wb"), ("label", "lb"), ("keys", "kb"))])
-            same = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), F.lit(True))
-            cand = left.join(right, "key").where(
-                (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("most")) | (F.col("a") < F.col("b")))
-                & _near(similar) & (same == F.col("band") + 1))
-        else:  # the leader of the rest against the others
-            lead = rows.where("label <> most").groupBy("key").agg(
-                F.max(F.struct("degree", "v", "weight", "label")).alias("lead"))
-            cand = rows.join(lead, "key").where("label <> lead.label").select(
-                F.col("lead.v").alias("a"), F.col("v").alias("b"),
-                F.col("lead.weight").alias("wa"), F.col("weight").alias("wb"))
-        cand = write_and_read(_pairs(cand, similar).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(cand)
-        links = links.unionByName(write_and_read(verified(cand, docs, reps, weights, similar), "links"))
-        roots = components(roots.select(F.col("u").alias("a"), F.col("root").alias("b"))
-                           .unionByName(links.select("a", "b")))
+    reps = write_and_read(reps, "reps")
+    members = reps.select("v", F.explode("keys").alias("key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lead")).where("n > 1").drop("n")
+    members = write_and_read(members.join(buckets, "key"), "members")
+    roots = components(verified(members, docs, reps, weights, similar))
     classes = reps.select("v", "first").join(roots, F.col("v") == F.col("u"), "left")
     classes = classes.select("v", "first", F.coalesce("root", "v").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("first"))

@@ -89,6 +89,44 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
 
 
+def test_tiles_of_any_size_give_the_same_classes(spark, monkeypatch):
+    """A family just around the limit, cut into components, small blocks and
+    single buckets: no link is lost or made up."""
+    base = prose(8, 160)
+    texts = [base] + [noisy(base, i, 1 + i % 5) for i in range(90)] + [prose(100 + i, 50) for i in range(20)] + ["a b " * 40, "a b " * 45]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def classes():
+        return {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(df).collect()}
+    whole = classes()
+    assert max(list(whole.values()).count(c) for c in whole.values()) > 20
+    monkeypatch.setattr(near_dedup, "TILE", 7)
+    assert classes() == whole
+    monkeypatch.setattr(near_dedup, "LARGE", 2)
+    assert classes() == whole
+
+
+def test_shared_weights_in_every_way(monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words[:rng.choice([2, 6, 12])]) for _ in range(rng.randint(1, 40))) for _ in range(30)]
+    weights = near_dedup.Weights(*(lambda h: (h, np.linspace(0.3, 0.9, len(h))))(
+        np.unique(near_dedup.shingles(texts[0].encode()))))
+    bags = [dict(zip(*(x.tolist() for x in weights.of(t.encode())))) for t in texts]
+    for dense, columns, pairs in ((64, 4096, 1 << 22), (0.5, 3, 5), (10**9, 7, 5)):
+        for name, value in (("DENSE", dense), ("COLUMNS", columns), ("PAIRS", pairs)):
+            monkeypatch.setattr(near_dedup, name, value)
+        a, b = near_dedup.Block(), near_dedup.Block()
+        for i, t in enumerate(texts):
+            (a if i < 12 else b).add(str(i), np.array([0]), weights.features(t.encode()))
+        for x, y, left, right in ((a, a, bags[:12], bags[:12]), (a, b, bags[:12], bags[12:])):
+            got = near_dedup.shared_weight(x, y)
+            for i, p in enumerate(left):
+                for j, q in enumerate(right):
+                    if x is not y or i != j:
+                        assert got[i, j] == pytest.approx(sum(min(p[h], q[h]) for h in p.keys() & q.keys()), abs=1e-9)
+
+
 def test_near_duplicate_edge_cases(spark, edge_docs, no_docs):
     out = near_dedup.near_duplicate_classes(edge_docs).collect()
     assert len(out) == edge_docs.count()
