@@ -23,13 +23,14 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 #: Element classes of the HTML standard, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
 UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas "
-                   "svg math datalist param meta link base".split())
+                   "datalist param meta link base rp desc defs metadata annotation annotation-xml".split())
 HEAD_ONLY = frozenset("title script style template noscript meta link base".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu fieldset".split())
 BLOCKS = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form "
@@ -52,8 +53,13 @@ CLOSED_BY = {
     "body": ({"head"}, set()),
 }
 WALLS = frozenset("table td th caption template html".split())
-#: Greatest spans of the standard; columns wider than ALIGN are not padded.
-COLSPAN, ROWSPAN, ALIGN = 1000, 65534, 80
+#: Elements whose end tag may stand inside a block that they began outside of.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: Greatest spans of the standard.
+COLSPAN, ROWSPAN = 1000, 65534
+#: Blanks that align a table are at most this many for a character of it, and
+#: PADDING more; in a table that needs more, cells over ALIGN do not widen columns.
+BLANKS, PADDING, ALIGN = 16, 1 << 16, 80
 #: Open elements at most: as in browsers, one more becomes a sibling instead.
 DEPTH = 512
 
@@ -124,43 +130,54 @@ class Grid:
 
     def __init__(self):
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.taken: dict[int, int] = {}
-        self.column = 0
+        self.spans: list[tuple[int, int, int]] = []  # first column, end, last row, by first column
+        self.column = self.next = 0
 
     def row(self) -> None:
         self.rows.append([])
-        self.column = 0
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1}
+        self.column = self.next = 0
+        self.spans = [x for x in self.spans if x[2] >= len(self.rows)]
 
     def cell(self, lines: list[str], columns: int, rows: int) -> None:
         if not self.rows:
             self.row()
-        while self.column in self.taken:
-            self.column += 1
+        spans = self.spans
+        while self.next < len(spans) and spans[self.next][0] <= self.column:
+            self.column = max(self.column, spans[self.next][1])
+            self.next += 1
         self.rows[-1].append((self.column, columns, lines))
         if rows > 1:
-            for c in range(self.column, self.column + columns):
-                self.taken[c] = rows
+            spans.insert(self.next, (self.column, self.column + columns, len(self.rows) + rows - 1))
+            self.next += 1
         self.column += columns
 
-    def layout(self) -> Iterator[str]:
-        width: dict[int, int] = {}
+    def widths(self, at: dict[int, int], most: int | None) -> list[int]:
+        width = [0] * len(at)
         for row in self.rows:
             for column, columns, lines in row:
                 w = max(map(len, lines), default=0)
-                if columns == 1 and w <= ALIGN:
-                    width[column] = max(width.get(column, 0), w)
+                if columns == 1 and (most is None or w <= most):
+                    width[at[column]] = max(width[at[column]], w)
+        return width
+
+    def layout(self) -> Iterator[str]:
+        """Lines of the table; columns in which no cell begins take no room."""
+        at = {c: i for i, c in enumerate(sorted({column for row in self.rows for column, *_ in row}))}
+        width = self.widths(at, None)
+        size = sum(len(x) for row in self.rows for *_, lines in row for x in lines)
+        high = sum(max((len(lines) for *_, lines in row), default=0) for row in self.rows)
+        if high * sum(width) > PADDING + BLANKS * size:
+            width = self.widths(at, ALIGN)
         for row in self.rows:
             for i in range(max((len(lines) for *_, lines in row), default=0)):
-                out, at = "", 0
+                out, done = [], 0
                 for column, _, lines in row:
-                    while at < column:
-                        out, at = out.ljust(len(out) + width.get(at, 0)) + "  ", at + 1
+                    place = at[column]
+                    out += [" " * (w + 2) for w in width[done:place]]
                     text = lines[i] if i < len(lines) else ""
-                    out += text
-                    out += " " * max(0, width.get(column, 0) - len(text)) + "  "
-                    at = column + 1
-                yield out.rstrip()
+                    out.append(text.ljust(width[place]) + "  ")
+                    done = place + 1
+                yield "".join(out).rstrip()
 
 
 class Renderer:
@@ -168,6 +185,7 @@ class Renderer:
 
     def __init__(self):
         self.open: list[tuple[str, dict]] = []
+        self.shown = [True]  # of the page and every open element: whether its own text can be seen
         self.flows = [Flow()]
         self.grids: list[tuple[Grid, int]] = []
         self.lists: list[list] = []
@@ -224,9 +242,37 @@ class Renderer:
         elif tag == "p" and not any(t == "p" for t, _ in self.open):
             if not self.hidden:
                 self.flows[-1].block(1)
-        else:
+        elif tag in FORMATTING:
+            self.end_formatting(tag)
+        elif tag in BLOCKS or tag in WALLS or tag == "button":
             self.close(HEADINGS if tag in HEADINGS else {tag},
                        frozenset() if tag in ("table", "html", "body") else WALLS - {tag})
+        else:  # no other element ends from inside a block
+            self.close({tag}, WALLS | BLOCKS)
+
+    def end_formatting(self, tag: str) -> None:
+        """As the standard's adoption rule: blocks that began inside the
+        element stay open when it ends; what follows in them is outside it."""
+        for i in range(len(self.open) - 1, -1, -1):
+            name = self.open[i][0]
+            if name == tag:
+                break
+            if name in WALLS:
+                return
+        else:
+            return
+        above = self.open[i + 1:]
+        if not any(name in BLOCKS for name, _ in above):
+            self.close({tag}, frozenset())
+        elif self.hidden > len(above):  # the element may be what hides them: they begin anew
+            while len(self.open) > i:
+                self.pop()
+            for name, attrs in above:
+                self.push(name, attrs)
+        else:
+            del self.open[i], self.shown[i + 1]
+            for k in range(i, len(self.open)):
+                self.shown[k + 1] = self.sees(*self.open[k], self.shown[k])
 
     # rendering
 
@@ -237,9 +283,19 @@ class Renderer:
             return True
         return "style" in attrs and bool(_HIDING.search(attrs["style"]))
 
+    @staticmethod
+    def sees(tag: str, attrs: dict, above: bool) -> bool:
+        """Visibility is inherited until a style says otherwise; a drawing
+        shows the text of its text elements only."""
+        if tag in ("svg", "text", "foreignobject"):
+            above = tag != "svg"
+        found = _VISIBILITY.findall(attrs["style"]) if "style" in attrs else ()
+        return found[-1].lower() == "visible" if found else above
+
     def push(self, tag: str, attrs: dict) -> None:
         if len(self.open) >= DEPTH:
             self.pop()
+        self.shown.append(self.sees(tag, attrs, self.shown[-1]))
         if self.hidden or self.unseen(tag, attrs):
             self.hidden += 1
             self.open.append((tag, attrs))
@@ -267,16 +323,17 @@ class Renderer:
         elif tag == "pre":
             self.pre += 1
             self.after_pre = True
-        elif tag == "q":
+        elif tag == "q" and self.shown[-1]:
             flow.inline('"')
 
     @staticmethod
     def number(attrs: dict, name: str, default: int, most: int) -> int:
         value = attrs.get(name, "").strip()
-        return min(int(value), most) if value.isdecimal() and len(value) < 12 else default
+        return max(-most, min(int(value), most)) if re.fullmatch("[+-]?[0-9]{1,11}", value) else default
 
     def pop(self) -> None:
         tag, attrs = self.open.pop()
+        shown = self.shown.pop()
         if self.hidden:
             self.hidden -= 1
             return
@@ -306,7 +363,7 @@ class Renderer:
             flow.indents.pop()
         elif tag == "pre":
             self.pre -= 1
-        elif tag == "q":
+        elif tag == "q" and shown:
             flow.inline('"')
         if tag in BLOCKS:
             flow.block(1 if tag in SPACED and not (tag in ("ul", "ol") and self.lists) else 0)
@@ -318,13 +375,13 @@ class Renderer:
         elif not self.hidden and not self.unseen(tag, attrs):
             if tag == "br":
                 self.flows[-1].forced_break()
-            elif tag == "input" and attrs.get("type", "").lower() in ("submit", "button", "reset"):
+            elif tag == "input" and self.shown[-1] and attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 self.flows[-1].inline(attrs.get("value", ""))
 
     def text(self, text: str) -> None:
         if self.open and self.open[-1][0] == "head" and text.strip():
             self.pop()
-        if self.hidden or not text:
+        if self.hidden or not text or not self.shown[-1]:
             return
         if self.open and self.open[-1][0] == "details" and "open" not in self.open[-1][1]:
             return
@@ -374,8 +431,12 @@ class Renderer:
                     lower = html.translate(_LOWER)
                 stop = lower.find(f"</{tag}", at)
                 stop = n if stop < 0 else stop
-                if tag == "textarea":
+                if tag == "textarea":  # keeps its line ends
+                    self.pre += 1
+                    self.after_pre = True
                     self.text(html[at:stop])
+                    self.after_pre = False
+                    self.pre -= 1
                 self.close({tag}, frozenset())
                 stop = html.find(">", stop)
                 at = n if stop < 0 else stop + 1
@@ -391,7 +452,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def visible_text(html: str | None) -> str:
-    """All text that a browser would show; the empty string for null."""
+    """All text that a browser would show; the empty string for null.
+    Reversed lists are numbered upwards."""
     return Renderer().page(html) if html else ""
 
 
