@@ -6,6 +6,10 @@ untouched, so exact hits of the pieces (one automaton over all of them) give
 every place worth a look; Myers' bit-parallel distance over the text around
 it decides.  Texts are compared in lower case with runs of white space as
 one space.
+
+Items under ``SHORT`` characters, whose budget is 2 at most, would be found
+inside other words; they count only where the passage begins and ends at word
+boundaries.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 from prefspark.llm.common import table
 
 RATE = 0.08
-#: Items with fewer characters cannot be told from ordinary text.
-MIN_CHARS = 32
+#: Items with fewer characters are matched between word boundaries.
+SHORT = 32
 #: Bytes of item text in one automaton; larger benchmarks take several passes.
 BLOCK_BYTES = 4 << 20
 
@@ -56,14 +60,43 @@ def best_match(pattern: str, masks: dict[str, int], text: str) -> int:
     return best
 
 
+def boundary(text: str, at: int) -> bool:
+    return not (0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum())
+
+
+def distance(a: str, b: str) -> int:
+    """Edit distance of two short texts."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def best_between_words(item: str, text: str, starts, budget: int) -> int:
+    """Least distance, or budget + 1, between the item and a passage that
+    begins at most ``budget`` characters from one of ``starts`` and lies
+    between word boundaries."""
+    best = budget + 1
+    for a in sorted({a for s in starts for a in range(max(0, s - budget), s + budget + 1)}):
+        if a < len(text) and boundary(text, a):
+            for b in range(a + max(1, len(item) - budget), min(len(text), a + len(item) + budget) + 1):
+                if boundary(text, b):
+                    best = min(best, distance(item, text[a:b]))
+        if best == 0:
+            break
+    return best
+
+
 class Matcher:
     """All items of one block, ready to search texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float, short: int):
         import ahocorasick
 
-        self.items = [(i, normal(t)) for i, t in items]
-        self.items = [(i, t) for i, t in self.items if len(t) >= min_chars]
+        self.items, self.short = [(i, normal(t)) for i, t in items], short
+        self.items = [(i, t) for i, t in self.items if t]
         self.budget = [int(len(t) * rate) for _, t in self.items]
         self.masks: list[dict[str, int] | None] = [None] * len(self.items)
         places = defaultdict(list)
@@ -99,6 +132,9 @@ class Matcher:
         for n, places in starts.items():
             item, e = self.items[n][1], self.budget[n]
             best, lo, hi = e + 1, None, None
+            if len(item) < self.short:
+                best = best_between_words(item, text, places, e)
+                places = ()
             for s in [*sorted(places), None]:  # windows that overlap are searched as one
                 if lo is not None and (s is None or s - e > hi):
                     best = min(best, best_match(item, self.masks_of(n), text[max(0, lo):hi]))
@@ -116,12 +152,12 @@ class Matcher:
 _matchers: dict[tuple, Matcher] = {}
 
 
-def _matcher(shared, key: tuple, rate: float, min_chars: int) -> Matcher:
+def _matcher(shared, key: tuple, rate: float, short: int) -> Matcher:
     """One matcher per benchmark block and Python worker."""
     if key not in _matchers:
         if len(_matchers) >= 2:
             _matchers.clear()
-        _matchers[key] = Matcher(shared.value, rate, min_chars)
+        _matchers[key] = Matcher(shared.value, rate, short)
     return _matchers[key]
 
 
@@ -136,7 +172,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
         yield sorted(((r.item_id, r.text) for r in part.toLocalIterator()), key=repr)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT,
                block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, item_id, distance): documents that hold a passage within
     the item's error budget, with the least distance.  A narrow step over the
@@ -151,10 +187,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
     schema = f"`{id_col}` {kind}, item_id {item}, distance int"
     out = None
     for items in _blocks(benchmark, block_bytes):
-        shared, key = spark.sparkContext.broadcast(items), (hash(tuple(items)), rate, min_chars)
+        shared, key = spark.sparkContext.broadcast(items), (hash(tuple(items)), rate, short)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared, key, rate, min_chars)
+            matcher = _matcher(shared, key, rate, short)
             for batch in batches:
                 rows = [(i, *hit) for i, t in enumerate(batch.column(1)) if t.is_valid
                         for hit in matcher.search(t.as_py())]
@@ -172,15 +208,20 @@ def item_type(name: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32()}.get(name, pa.string())
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS,
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without any leaked passage, with all their columns."""
+    """The documents without any leaked passage, with all their columns.
+
+    Null and empty texts hold no passage and stay; rows are judged each by
+    itself, whatever their ids; texts are searched whole; an empty benchmark
+    drops nothing; other columns may have any name.
+    """
     spark, at = docs.sparkSession, docs.columns.index("text")
     for items in _blocks(benchmark, block_bytes):
-        shared, key = spark.sparkContext.broadcast(items), (hash(tuple(items)), rate, min_chars)
+        shared, key = spark.sparkContext.broadcast(items), (hash(tuple(items)), rate, short)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared, key, rate, min_chars)
+            matcher = _matcher(shared, key, rate, short)
             for batch in batches:
                 yield batch.filter(pa.array([not (t.is_valid and matcher.search(t.as_py(), first=True))
                                              for t in batch.column(at)], pa.bool_()))
