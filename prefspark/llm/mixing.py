@@ -128,7 +128,9 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED)
                     yield pd.DataFrame({"rank": np.full(count, r.rank, np.int32), "block": index,
                                         "pass": (number // r.n_blocks).astype(np.int32),
                                         "shard": np.full(count, r.grp * GROUP + i, np.int64)})
-    return jobs.repartition(F.col("rank"), F.col("grp")).mapInPandas(run, "rank int, block long, pass int, shard long")
+    # with a number, as the planner would merge the few small rows to one task, which then made every draw
+    tasks = 4 * sources.sparkSession.sparkContext.defaultParallelism
+    return jobs.repartition(tasks, "rank", "grp").mapInPandas(run, "rank int, block long, pass int, shard long")
 
 
 def packed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: float = PASSES, block: int = BLOCK
@@ -179,8 +181,11 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes
 
     A document appears once per pass that drew any of its words, with the
     words drawn in that pass (its text unchanged if all were) and n_chars, if
-    there is such a column, of the new text.  Documents without a drawn word
-    are gone.
+    there is such a column, of the new text.  Documents without a drawn word,
+    null and empty texts among them, are gone.  A null source is a source of
+    its own; rows that repeat id, source and text are documents of their own;
+    texts of any length are cut by blocks; an empty table stays empty; other
+    columns may have any name and come through as they are.
     """
     placed, sources = packed(docs, weights, share, passes, block)
     drawn = slots(sources, shard_slots, seed).select("rank", "block", "pass")
@@ -192,7 +197,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes
     # rows alike in id, source and text are told apart by a number
     same = ["doc_id", "source", "text_hash"]
     per_doc = per_doc.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("offset")))
-    full = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("source"),
+    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"), F.col("source"),
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     full = full.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
     right = per_doc.select(*[F.col(c).alias(f"__{c}") for c in (*same, "copy")], F.explode("passes").alias("_take"))
