@@ -210,14 +210,16 @@ def rate_documents(docs: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    The model is fitted first; the filter is then a narrow step over the
-    documents, without a shuffle of the texts.
+    Rows and votes are written once; the model is fitted on the votes alone,
+    and the filter is a narrow step without a shuffle of the texts.  Null and
+    empty texts fail the base rules and go; rows that repeat or have null ids
+    are judged each by itself, equal texts alike; texts of any length are
+    counted whole; an empty table gives no rows; other columns may have any
+    name.
     """
-    model = fit(flat_counts(docs).select(*votes()))
-    work = [c for c in docs.columns]
-    row = docs.select(F.struct(*[F.col(c) for c in work]).alias("_row"), F.col("text"))
-    kept = judged(flat_counts(row, "_row").select("*", *votes()), model).where("kept")
-    return kept.select("_row.*")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    rated = write_and_read(flat_counts(row, "_row").select("*", *votes()), "rated")
+    return judged(rated, fit(rated)).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
