@@ -43,6 +43,8 @@ SEED = 77
 CHUNK_SHINGLES = 1 << 20
 #: Texts and shingles of a block at most (on average), blocks of a component above which its buckets are taken.
 TILE, TILE_SHINGLES, LARGE = 512, 1 << 19, 32
+#: Begins the names of units that are buckets; other units have a text's digest.
+BUCKET = "bucket "
 #: Features are compared as matrix columns from 1 / DENSE of all pairs on, COLUMNS at a time, else PAIRS at a time.
 DENSE, COLUMNS, PAIRS = 64, 4096, 1 << 22
 
@@ -395,17 +397,17 @@ def forest(a: Block, b: Block, links: np.ndarray) -> list[tuple[str, str]]:
 
 def tile_links(batches: Iterator[pa.RecordBatch], weights: Weights, similar: float) -> Iterator[pa.RecordBatch]:
     """Rows (unit, i, j, side, v, keys, text), the rows of a tile side by
-    side, to the forests of the tiles' links (a, b)."""
+    side, to the forests of the tiles' links (unit, a, b)."""
     at, sides, out = None, {}, []
 
     def edges():
         i, j = at[1], at[2]
         if i in sides and j in sides and (i != j or len(sides[i].v) > 1):
-            return forest(sides[i], sides[j], linked(sides[i], sides[j], similar))
+            return [(at[0], *e) for e in forest(sides[i], sides[j], linked(sides[i], sides[j], similar))]
         return []
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["unit", "a", "b"])
     for batch in batches:
         unit, i, j, side, v = (c.to_pylist() for c in batch.columns[:5])
         keys = batch.column(5).flatten().to_numpy().reshape(len(v), -1) if len(v) else []
@@ -443,7 +445,7 @@ def tiles(members: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     small = sized.where(F.col("blocks") <= LARGE).select("v", F.col("root").alias("unit"), "blocks")
     large = (sized.where(F.col("blocks") > LARGE).select(F.col("v").alias("__v"), "weight")
              .join(members.select("v", "key"), F.col("v") == F.col("__v")))
-    large = large.select("v", "weight", F.concat(F.lit("bucket "), F.col("key").cast("string")).alias("unit"))
+    large = large.select("v", "weight", F.concat(F.lit(BUCKET), F.col("key").cast("string")).alias("unit"))
     large = large.join(blocks(large, "unit"), F.col("unit") == F.col("__unit")).select("v", "unit", "blocks")
     all_ = small.unionByName(large).withColumn("side", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
     met = all_.select("v", "unit", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -451,15 +453,17 @@ def tiles(members: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def verified(members: DataFrame, docs: DataFrame, reps: DataFrame, weights, similar: float = SIMILARITY) -> DataFrame:
-    """(a, b): a spanning forest of the links of every tile."""
+    """(unit, bucket, a, b): a spanning forest of the links of every tile;
+    ``bucket`` tells units that are buckets from whole components."""
     ends = members.where("v <> lead").select(F.col("v").alias("a"), F.col("lead").alias("b"))
     held = write_and_read(tiles(members, reps, components(ends)), "tiles")
     ids = members.select("v").distinct()
     texts = needed_texts(docs, reps, ids).join(reps.select(F.col("v").alias("__r"), "keys"), F.col("v") == F.col("__r"))
     rows = held.join(texts.select(F.col("v").alias("__t"), "keys", "text"), F.col("v") == F.col("__t"))
     rows = rows.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
-    return rows.select("unit", "i", "j", "side", "v", "keys", "text").mapInArrow(
-        lambda b: tile_links(b, weights.value, similar), "a string, b string")
+    links = rows.select("unit", "i", "j", "side", "v", "keys", "text").mapInArrow(
+        lambda b: tile_links(b, weights.value, similar), "unit string, a string, b string")
+    return write_and_read(links.withColumn("bucket", F.col("unit").startswith(BUCKET)), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -467,31 +471,65 @@ def components(edges: DataFrame) -> DataFrame:
     least vertices of their components.
 
     Large-star and small-star steps alternate on the written edge table until
-    it no longer changes; every step is an aggregation and a join.
+    it is a forest of stars; every step is an aggregation and a join.
     """
     now = write_and_read(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w"))
                          .where("u <> w").distinct(), "edges")
 
-    def state(e):
-        r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-    before = state(now)
-    while before[0]:
+    def stars(e):
+        """No vertex has two edges up, or one up and one down."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(F.col("w").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 - down").where("up > 0").isEmpty()
+    while not stars(now):
         both = now.unionByName(now.select(F.col("w").alias("u"), F.col("u").alias("w")))
         least = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w"))
-        large = large.where("u <> w").distinct()
+        large = both.join(least, "u").where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w")
         low = large.groupBy("u").agg(F.min("w").alias("m"))
         small = (large.join(low, "u").where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("w"))
                  .unionByName(low.select("u", F.col("m").alias("w"))).distinct())
         now = write_and_read(small, "edges")
-        after = state(now)
-        if after == before:
-            break
-        before = after
     return now.select("u", F.col("w").alias("root"))
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, a, b), the edges of a unit side by side, to (u, root)."""
+    unit, up, out = None, {}, []
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["u", "root"])
+    for batch in batches:
+        for name, a, b in zip(*(c.to_pylist() for c in batch.columns[:3])):
+            if name != unit:
+                out += [(x, top(x)) for x in up if up[x] != x]
+                unit, up = name, {}
+                if len(out) > 1 << 14:
+                    yield batch_of(out)
+                    out = []
+            x, y = top(up.setdefault(a, a)), top(up.setdefault(b, b))
+            up[max(x, y)] = min(x, y)
+    yield batch_of(out + [(x, top(x)) for x in up if up[x] != x])
+
+
+def united(links: DataFrame) -> DataFrame:
+    """(u, root) from the tiles' forests (unit, a, b).
+
+    The texts of a component are all in its unit, and a unit has at most
+    ``LARGE`` blocks and so a bounded number of edges: each is united in one
+    task.  Edges of components cut into their buckets are united by joins.
+    """
+    whole = links.where("not bucket").repartition("unit").sortWithinPartitions("unit").select("unit", "a", "b")
+    out = whole.mapInArrow(_united, "u string, root string")
+    cut = links.where("bucket")
+    return out if cut.isEmpty() else out.unionByName(components(cut.select("a", "b")))
+
+
 def _first_row() -> F.Column:
     """The row with the least doc_id, null last; of equal ones any."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -508,7 +546,7 @@ def _classified(docs: DataFrame, similar: float) -> DataFrame:
     members = reps.select("v", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lead")).where("n > 1").drop("n")
     members = write_and_read(members.join(buckets, "key"), "members")
-    roots = components(verified(members, docs, reps, weights, similar))
+    roots = united(verified(members, docs, reps, weights, similar))
     classes = reps.select("v", "first").join(roots, F.col("v") == F.col("u"), "left")
     classes = classes.select("v", "first", F.coalesce("root", "v").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("first"))
@@ -542,24 +580,24 @@ def keep_one(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
 
     Rows are matched by doc_id and text, nulls included.  Of rows that repeat
     both, the one with the least digest of all columns stays; every row with
-    a null text stays.
+    a null text stays.  Other columns may have any name and come through as
+    they are; an empty table stays empty.
     """
     rows = write_and_read(_classified(docs, similar).where("v is not null").groupBy("doc_id", "v").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 or not kept"), "gone")
 
     def of(listed: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        listed = listed.select(F.col("doc_id").alias("__doc"), F.col("v").alias("__gone"))
-        return side.join(listed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc"))
-                         & (F.col("__v") == F.col("__gone")), how)
-    texts = docs.where("text is not null").withColumn("__v", F.md5("text"))
-    out = docs.where("text is null").unionByName(of(rows, texts, "left_anti").drop("__v"))
+        listed = listed.select(F.col("doc_id").alias("doc"), F.col("v").alias("gone"))
+        return side.join(listed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("gone")), how)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", F.md5("text").alias("v"))
+    texts = packed.where("v is not null")
+    out = packed.where("v is null").select("whole.*").unionByName(of(rows, texts, "left_anti").select("whole.*"))
     again = rows.where("kept")  # their rows are all gone so far
     if again.isEmpty():
         return out
-    texts = texts.select("doc_id", "__v", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
-    texts = may_be_listed(texts, "__v", bloom_blocks(again, "v")).where("maybe")
-    texts = texts.groupBy("doc_id", "__v").agg(F.min_by("__whole", F.md5(F.to_json("__whole"))).alias("__whole"))
-    return out.unionByName(of(again, texts, "left_semi").select("__whole.*"))
+    texts = may_be_listed(texts, "v", bloom_blocks(again, "v")).where("maybe")
+    texts = texts.groupBy("doc_id", "v").agg(F.min_by("whole", F.md5(F.to_json("whole"))).alias("whole"))
+    return out.unionByName(of(again, texts, "left_semi").select("whole.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
