@@ -9,6 +9,8 @@ scores in place, as packed ``array<double>`` columns in head-id order.
 * ``method="arrow"`` (default): Arrow batches, one numpy matrix product per
   batch against a broadcast head matrix.  Head sets larger than
   ``max_broadcast_bytes`` are split into blocks, one broadcast each.
+* ``score_heads_tiled``: a block matrix product for head sets that do not fit
+  the driver; head blocks are rows of a table, nothing is broadcast.
 * ``method="native"``: the head matrix as a plan literal and built-in
   ``transform``/``aggregate`` expressions; for small head sets.
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefspark.functions.vectors import dot
+from prefspark.session import write_and_read
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 DEFAULT_MAX_LITERAL_BYTES = 4 * 1024 * 1024
@@ -64,54 +67,80 @@ def collect_heads(heads: DataFrame, id_col: str = "head_id", w_col: str = "w",
     return HeadMatrix(ids, w)
 
 
-def list_matrix(column) -> np.ndarray:
-    """An Arrow list column of equal-length vectors as one (n, d) double
-    matrix, from its flat buffer (no Python object per row)."""
+def vector_rows(column, d: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, usable): the usable vectors of an Arrow list column as rows of
+    doubles, from its flat buffer (no Python object per row), and which rows
+    they are.  A vector is usable when neither it nor an element of it is
+    null and it has ``d`` elements (by default as many as the first)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
-    if n == 0:
-        return np.zeros((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if len(flat) % n or column.null_count:
-        raise ValueError("vectors must be present and of one length")
-    return flat.reshape(n, -1).astype(np.float64, copy=False)
+    usable = np.ones(n, bool) if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False)
+    lengths = np.diff(column.offsets.to_numpy()) * usable
+    if d is None:
+        d = int(lengths[usable][0]) if usable.any() else 0
+    flat = column.flatten()  # without what null rows may hold
+    if flat.null_count:
+        row = np.repeat(np.arange(n), lengths)
+        usable = usable & (np.bincount(row[flat.is_null().to_numpy(zero_copy_only=False)], minlength=n) == 0)
+    usable = usable & (lengths == d)
+    values = flat.to_numpy(zero_copy_only=False)
+    if not usable.all():
+        values = values[np.repeat(usable, lengths)]
+    return values.reshape(int(usable.sum()), d).astype(np.float64, copy=False), usable
+
+
+def list_matrix(column) -> np.ndarray:
+    """An Arrow list column as one (n, d) double matrix; raises unless every
+    vector is present, whole and as long as the first."""
+    x, usable = vector_rows(column)
+    if not usable.all():
+        raise ValueError("vectors must be present, without nulls and of one length")
+    return x
 
 
-def list_column(matrix: np.ndarray):
-    """An (n, h) matrix as an Arrow list column over its flat buffer."""
+def list_column(matrix: np.ndarray, usable: np.ndarray | None = None):
+    """An (n, h) matrix as an Arrow list column over its flat buffer; with
+    ``usable``, its rows go to the places that are, the others are null."""
     n, h = matrix.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * h), pa.array(matrix.reshape(-1)))
+    if usable is None or usable.all():
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * h), pa.array(matrix.reshape(-1)))
+    ends = np.concatenate(([0], np.cumsum(usable))).astype(np.int32) * np.int32(h)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.reshape(-1)), mask=pa.array(~usable))
 
 
 def _block_udf(bc):
-    """An Arrow UDF scoring one side against one broadcast block of heads."""
+    """An Arrow UDF scoring one side against one broadcast block of heads;
+    vectors that are null, hold a null or have another length get null."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def block_scores(v: pa.Array) -> pa.Array:
-        m = bc.value
-        return list_column(list_matrix(v) @ m if len(v) else np.zeros((0, m.shape[1])))
+        m, shift = bc.value
+        x, usable = vector_rows(v, m.shape[0])
+        return list_column((x if shift is None else x - shift) @ m, usable)
 
     return block_scores
 
 
-def _arrow_scores(vec: Column, hm: HeadMatrix, spark, max_bytes: int) -> Column:
+def _arrow_scores(vec: Column, hm: HeadMatrix, spark, max_bytes: int, shift=None) -> Column:
     """Packed scores of one side via Arrow batches and numpy matmul."""
     d = hm.w.shape[1]
     rows_per_block = max(1, max_bytes // max(1, d * 8))
     blocks = []
     for start in range(0, len(hm.ids), rows_per_block):
-        bc = spark.sparkContext.broadcast(hm.w[start:start + rows_per_block].T.copy())
+        bc = spark.sparkContext.broadcast((hm.w[start:start + rows_per_block].T.copy(), shift))
         blocks.append(_block_udf(bc)(vec))
     return blocks[0] if len(blocks) == 1 else F.concat(*blocks)
 
 
 def score_column(vec: Column, hm: HeadMatrix, spark, method: str = "arrow",
-                 max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> Column:
-    """Packed ``w . v`` of one vector column under every row of ``hm``."""
+                 max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES, shift=None) -> Column:
+    """Packed ``w . v`` of one vector column under every row of ``hm``, or
+    ``w . (v - shift)`` (Arrow only)."""
     if method == "native":
         if hm.nbytes > DEFAULT_MAX_LITERAL_BYTES:
             raise ValueError(f"method 'native' takes head sets up to {DEFAULT_MAX_LITERAL_BYTES} bytes")
         return _native_scores(vec, hm)
-    return _arrow_scores(vec, hm, spark, max_broadcast_bytes)
+    return _arrow_scores(vec, hm, spark, max_broadcast_bytes, shift)
 
 
 def _native_scores(vec: Column, hm: HeadMatrix) -> Column:
@@ -145,11 +174,13 @@ def score_heads_packed(pairs: DataFrame, heads: DataFrame | HeadMatrix,
 
 
 def explode_scores(packed: DataFrame, head_ids: list[int], keep: list[str] | None = None) -> DataFrame:
-    """Packed scores -> long rows ``(..., head_id, s_chosen, s_rejected)``."""
+    """Packed scores -> long rows ``(..., head_id, s_chosen, s_rejected)``; a
+    side without scores has null under every head."""
     keep = keep if keep is not None else [c for c in packed.columns if c not in ("sc", "sr")]
     ids = F.lit([int(i) for i in head_ids]).cast("array<bigint>")
-    z = F.arrays_zip(ids.alias("head_id"), F.col("sc").alias("s_chosen"),
-                     F.col("sr").alias("s_rejected"))
+    none = F.array_repeat(F.lit(None).cast("double"), len(head_ids))
+    z = F.arrays_zip(ids.alias("head_id"), F.coalesce("sc", none).alias("s_chosen"),
+                     F.coalesce("sr", none).alias("s_rejected"))
     return packed.select(*keep, F.inline(z))
 
 
@@ -170,6 +201,46 @@ def score_delta(scores: DataFrame) -> DataFrame:
     return scores.withColumn("s_delta", F.col("s_chosen") - F.col("s_rejected"))
 
 
+def score_heads_tiled(pairs: DataFrame, heads: DataFrame, key: str = "pair_id", chosen: str = "chosen",
+                      rejected: str = "rejected", head_rows: int = 1024, pair_rows: int = 4096) -> DataFrame:
+    """G1 for head sets of any size: ``(key, block, head_ids, sc, sr)``, one
+    row per pair and block of heads.
+
+    A block matrix product with two-dimensional tiles.  Heads are numbered in
+    id order and cut into blocks of about ``head_rows``, pairs are dealt to
+    blocks of about ``pair_rows``; a tile is one block of each, joined by a
+    cogroup, so a task holds ``head_rows + pair_rows`` vectors whatever the
+    sizes of the tables.  Nothing is collected and nothing broadcast.  Pairs
+    are sent once per block of heads, heads once per block of pairs: with
+    ``collect_heads`` possible, ``score_heads_packed`` is the cheaper way.
+    Null, ragged and incomplete vectors get null scores; rows that repeat the
+    key stay rows of their own; an empty table gives no rows.
+    """
+    w = heads.select(F.col("head_id").cast("long").alias("head_id"), F.col("w").cast("array<double>").alias("w"))
+    n_heads, n_pairs = w.count(), pairs.count()
+    head_blocks, pair_blocks = max(1, -(-n_heads // head_rows)), max(1, -(-n_pairs // pair_rows))
+    # written, so that every reader sees the same ranges
+    tiles = write_and_read(w.repartitionByRange(head_blocks, "head_id").withColumn("block", F.spark_partition_id()), "head-blocks")
+    tiles = tiles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(pair_blocks - 1))))
+    sent = (pairs.select(F.col(key).alias("key"), F.col(chosen).alias("c"), F.col(rejected).alias("r"))
+            .withColumn("part", F.pmod(F.xxhash64("key", "c", "r"), F.lit(pair_blocks)).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(head_blocks - 1)))))
+
+    def product(vectors: pa.Table, rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["head_id"].to_numpy(), kind="stable")
+        m, n = list_matrix(rows["w"])[order].T if len(rows) else np.zeros((0, 0)), len(vectors)
+        out = {"key": vectors["key"], "block": vectors["block"],
+               "head_ids": pa.array([rows["head_id"].to_numpy()[order].tolist()] * n, pa.list_(pa.int64()))}
+        for name, column in (("sc", "c"), ("sr", "r")):
+            x, usable = vector_rows(vectors[column], m.shape[0]) if n else (np.zeros((0, m.shape[0])), np.zeros(0, bool))
+            out[name] = list_column(x @ m, usable)
+        return pa.table(out)
+    kind = dict(pairs.dtypes)[key]
+    out = sent.groupBy("part", "block").cogroup(tiles.groupBy("part", "block")).applyInArrow(
+        product, f"key {kind}, block int, head_ids array<bigint>, sc array<double>, sr array<double>")
+    return out.where(F.size("head_ids") > 0).withColumnRenamed("key", key)
+
+
 def pack_scores(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Long scores -> one row per pair with ``head_ids``, ``sc``, ``sr`` arrays.
 

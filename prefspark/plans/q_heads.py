@@ -89,6 +89,16 @@ def h2_pca_components(spark, sf):
     return _pca_frame(spark, sf)
 
 
+@query("h2_pca_krylov", _pca_sql(
+    f"SELECT component, {W_SQL}, {RATIO_SQL}, {VARIANCE_SQL} FROM pca GROUP BY component"))
+def h2_pca_krylov(spark, sf):
+    """The same directions without a d x d matrix: block Krylov and a QR tree."""
+    comp = hd.fit_pca(_diffs(spark, sf), N_PCA, method="krylov").components_frame(spark)
+    return comp.select("component", _r("w", 6).alias("w"),
+                       F.round("explained_variance_ratio", 9).alias("explained_variance_ratio"),
+                       F.round("explained_variance", 9).alias("explained_variance"))
+
+
 @query("h3_pca_full", f"""
 WITH {ELEMS_SQL}
 SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 9) + 0.0 AS rebuilt
@@ -122,6 +132,19 @@ def h6_covariance(spark, sf):
     return c.select("i", "j", F.round("cov", 9).alias("cov"))
 
 
+OFFSET = 1e6
+
+
+@query("h6_covariance_offset", f"""
+WITH {ELEMS_SQL}
+SELECT a.i, b.i AS j, round(covar_samp(a.x + {OFFSET}, b.x + {OFFSET}), 7) + 0.0 AS cov
+FROM e a JOIN e b ON a.pair_id = b.pair_id AND b.i >= a.i GROUP BY a.i, b.i""")
+def h6_covariance_offset(spark, sf):
+    """Covariance of vectors whose mean is far larger than their spread."""
+    far = _diffs(spark, sf).select("pair_id", F.transform("diff", lambda x: x + F.lit(OFFSET)).alias("diff"))
+    return hd.covariance(far).select("i", "j", F.round("cov", 7).alias("cov"))
+
+
 @query("h7_total_variance", f"""
 WITH {ELEMS_SQL}
 SELECT round(sum(v), 9) AS total_variance FROM (SELECT i, var_samp(x) AS v FROM e GROUP BY i) t""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefspark.operators import losses
-from prefspark.operators.scoring import score_delta, score_heads_packed, single_head_score
+from prefspark.operators.scoring import score_delta, score_heads_packed, score_heads_tiled, single_head_score
 from prefspark.plans import fixtures as fx
 from prefspark.plans.registry import query
 
@@ -34,6 +34,18 @@ def g1_score_heads_native(spark, sf):
     return _rounded_scores(fx.scores(spark, sf, method="native"))
 
 
+@query("g1_score_heads_tiled", """
+SELECT pair_id, head_id, round(s_chosen, 6) + 0.0 AS s_chosen, round(s_rejected, 6) + 0.0 AS s_rejected
+FROM fx_scores""")
+def g1_score_heads_tiled(spark, sf):
+    """The block matrix product, in blocks small enough that there are several of both sides."""
+    tiles = score_heads_tiled(fx.vec_pairs(spark, sf), fx.heads(spark, sf), head_rows=6, pair_rows=100)
+    z = F.arrays_zip(F.col("head_ids").alias("head_id"), F.col("sc").alias("s_chosen"), F.col("sr").alias("s_rejected"))
+    rows = tiles.select("pair_id", F.inline(z))
+    return rows.select("pair_id", "head_id", F.round("s_chosen", R6).alias("s_chosen"),
+                       F.round("s_rejected", R6).alias("s_rejected"))
+
+
 @query("g2_score_heads_packed", """
 SELECT pair_id, list(round(s_chosen, 6) + 0.0 ORDER BY head_id) AS sc,
        list(round(s_rejected, 6) + 0.0 ORDER BY head_id) AS sr
