@@ -13,15 +13,14 @@ Scale notes
   pair table is never multiplied by the number of heads; every pair is
   scored once and the packed scores are written for the three readers.
 * Sampling never ranks a whole group in one task.  A seeded md5 value ``u``
-  orders the rows; rows above a per-group threshold (expected
-  ``k + 8 sqrt(k) + 16`` survivors) are dropped before the window, and any
-  (seed, group) left with fewer than ``min(k, n)`` survivors has its
-  threshold widened and is checked again, so the result is exactly the k
-  smallest ``u``.
-* Small tables (group sizes, candidates, sample, statistics, weights) are
-  checkpointed and broadcast only behind a bound derived from counted
-  inputs; the final re-scoring is one Arrow pass with size-checked
-  per-group coefficient tensors.
+  orders the rows; every task keeps the k smallest of each (seed, group) in a
+  bottom-k sketch, and the sketches merge to exactly the k smallest of all,
+  in one read of the keys.
+* Small tables (sketches, sample, statistics, weights) are written and
+  broadcast only behind a bound derived from counted inputs; the final
+  re-scoring is one Arrow pass with size-checked per-group coefficient
+  tensors.  Tensors beyond the limit are not broadcast: salted blocks of a
+  group's pairs meet blocks of its coefficients in a cogroup.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -94,112 +93,103 @@ def attach_category(pairs: DataFrame, section_map: Mapping, subset: str = "subse
 
 
 # ---------------------------------------------------------------- A5
-def group_sizes(meta: DataFrame, grp: str = "grp") -> DataFrame:
-    return meta.filter(F.col(grp).isNotNull()).groupBy(grp).agg(F.count(F.lit(1)).alias("_n"))
+SKETCH = "grp {grp}, seed int, n bigint, u bigint, pair_id bigint"
 
 
-def _threshold(k: int) -> Column:
-    keep = k + 8 * math.sqrt(k) + 16
-    return F.when(F.col("_n") <= F.lit(keep), F.lit(U_RANGE)).otherwise(
-        F.ceil(F.lit(keep * U_RANGE) / F.col("_n")).cast("bigint"))
+def _sketch_batches(k: int, seeds: list[int], schema_names: Sequence[str]):
+    """Rows (pair_id, grp, u of every seed) to a task's bottom-k sketch: per
+    group a row with its count (seed null) and, per seed, the k rows with the
+    smallest (u, pair_id)."""
+    import numpy as np
+    import pyarrow as pa
 
+    def run(batches):
+        groups, names = {}, []  # group -> [count, u (seeds, <= k), ids (seeds, <= k)]
+        kind = pa.null()
+        for batch in batches:
+            if not len(batch):
+                continue
+            kind = batch.column(1).type
+            codes = batch.column(1).dictionary_encode()
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            u = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), len(seeds))
+            at = codes.indices.to_numpy(zero_copy_only=False)
+            for code, name in enumerate(codes.dictionary.to_pylist()):
+                own = np.flatnonzero(at == code)
+                held = groups.get(name)
+                if held is None:
+                    held = groups[name] = [0, [np.empty(0, np.int64)] * len(seeds), [np.empty(0, np.int64)] * len(seeds)]
+                held[0] += len(own)
+                most = np.array([x[-1] if len(x) == k else U_RANGE for x in held[1]])
+                mine = u[own]
+                for s in np.flatnonzero((mine <= most).any(axis=0)):
+                    pick = own[mine[:, s] <= most[s]]
+                    us, rows = np.concatenate((held[1][s], u[pick, s])), np.concatenate((held[2][s], ids[pick]))
+                    first = np.lexsort((rows, us))[:k]
+                    held[1][s], held[2][s] = us[first], rows[first]
+        for name, (count, us, rows) in groups.items():
+            n = [len(x) for x in us]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([name] * (1 + sum(n)), kind),
+                pa.array([None, *np.repeat(np.array(seeds, np.int32), n).tolist()], pa.int32()),
+                pa.array([count] + [None] * sum(n), pa.int64()),
+                pa.array([None, *np.concatenate(us).tolist()], pa.int64()),
+                pa.array([None, *np.concatenate(rows).tolist()], pa.int64())], list(schema_names))
+    return run
 
-WIDEN = 16
-MAX_ROUNDS = 10
+
+def bottom_k(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: str = "grp", key: str = "pair_id") -> DataFrame:
+    """The written bottom-k sketches of all tasks, from one read of the keys:
+    ``(grp, seed, n, u, pair_id)`` with k rows at most for each task, group
+    and seed, and a row with the count ``n`` (seed null) for each task and
+    group.  The hashes are made by the JVM, the heaps kept in numpy."""
+    seed_list = _seeds(seeds)
+    rows = meta.filter(F.col(grp).isNotNull()).select(F.col(key).cast("bigint").alias("pair_id"), F.col(grp).alias("grp"))
+    u = F.array(*[md5_uniform(F.col("pair_id"), F.lit(s)) for s in seed_list])
+    schema = SKETCH.format(grp=dict(rows.dtypes)["grp"])
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    return write_and_read(rows.select("pair_id", "grp", u.alias("u")).mapInArrow(_sketch_batches(k, seed_list, names), schema),
+                          "sketch")
 
 
-def _candidates(base: DataFrame, widen: DataFrame | None, bound: int | None = None) -> DataFrame:
-    """Rows under their (seed, group) threshold, widened where ``widen``
-    (at most seeds x groups rows) holds a multiplier."""
-    if widen is None:
-        return base.filter(F.col("_u") < F.col("_t"))
-    j = base.join(checked_broadcast(widen, bound), ["seed", "grp"], "left")
-    t = F.least(F.col("_t").cast("double") * F.coalesce(F.col("_m"), F.lit(1.0)), F.lit(float(U_RANGE)))
-    return j.filter(F.col("_u").cast("double") < t).drop("_m")
+def sketch_sizes(sketch: DataFrame) -> DataFrame:
+    """``(grp, _n)``: rows of every group."""
+    return sketch.filter(F.col("seed").isNull()).groupBy("grp").agg(F.sum("n").alias("_n"))
 
 
 def sample_per_group(meta: DataFrame, k: int, seeds: int | Sequence[int], grp: str = "grp",
-                     key: str = "pair_id", n_groups: int | None = None,
-                     sizes: DataFrame | None = None) -> DataFrame:
+                     key: str = "pair_id") -> DataFrame:
     """A5: exactly k rows per (seed, group) -> ``(seed, grp, slot, pair_id)``.
 
     Groups with n >= k: the k rows with the smallest ``md5(key|seed)``
     (ties by key), slot = rank.  Groups with n < k: k draws with
     replacement, slot j takes the row of rank ``md5(grp|seed|j) % n + 1``.
-    Rows with a null group are never sampled.
+    Rows with a null group are never sampled; an empty table gives no rows.
     """
-    return sample_per_group_multi(meta, [k], seeds, grp, key, n_groups, sizes).drop("k")
+    return sample_per_group_multi(meta, [k], seeds, grp, key).drop("k")
 
 
 def sample_per_group_multi(meta: DataFrame, ks: Sequence[int], seeds: int | Sequence[int],
-                           grp: str = "grp", key: str = "pair_id", n_groups: int | None = None,
-                           sizes: DataFrame | None = None) -> DataFrame:
+                           grp: str = "grp", key: str = "pair_id", sketch: DataFrame | None = None) -> DataFrame:
     """A5 for several k at once -> ``(k, seed, grp, slot, pair_id)``.
 
-    Only rows under a per-group threshold (set for the largest k; the
-    thresholds grow with k, so its candidates hold the k smallest for every
-    smaller k) reach the ranking window, in one pass over pairs x seeds.  A
-    (seed, group) left with fewer than min(k, n) candidates gets its
-    threshold multiplied by 16 and is checked again (a small driver loop on
-    the short keys only), so every sample is exactly the k smallest while no
-    window ever holds more than a bounded candidate set.
+    The sketches (``bottom_k``, made for the largest k) hold the k smallest
+    for every smaller k.  Their merge ranks (tasks x k) rows of a (seed,
+    group) at most, and keeps k of them in every task before it shuffles.
     """
     ks = sorted({int(k) for k in ks})
     k_max = ks[-1]
-    if sizes is None:
-        sizes = materialise_small(group_sizes(meta, grp))
-    if n_groups is None:
-        n_groups = sizes.count()
-    seed_list = _seeds(seeds)
-    sizes = checked_broadcast(sizes.withColumnRenamed(grp, "grp"), n_groups)
-    base = (meta.filter(F.col(grp).isNotNull()).select(F.col(key).alias("pair_id"), F.col(grp).alias("grp"))
-            .join(sizes, "grp")
-            .select("pair_id", "grp", "_n", seed_column(seed_list).alias("seed"))
-            .withColumn("_u", md5_uniform(F.col("pair_id"), F.col("seed")))
-            .withColumn("_t", _threshold(k_max)))
-    grid = sizes.select("grp", "_n", seed_column(seed_list).alias("seed"))
-    # one pass over pairs x seeds; the candidates are a bounded set
-    rows = materialise_small(_candidates(base, None))
-    keys_bound = n_groups * len(seed_list)      # short / widen tables hold at most this many keys
-    widen = None
-    for _ in range(MAX_ROUNDS):
-        got = rows.groupBy("seed", "grp").agg(F.count(F.lit(1)).alias("_c"))
-        short = (grid.join(got, ["seed", "grp"], "left")
-                 .filter(F.coalesce(F.col("_c"), F.lit(0)) < F.least(F.lit(k_max), F.col("_n")))
-                 .select("seed", "grp"))
-        if short.isEmpty():
-            break
-        short = materialise_small(short)
-        grown = short.select("seed", "grp", F.lit(float(WIDEN)).alias("_g"))
-        if widen is None:
-            widen = materialise_small(grown.withColumnRenamed("_g", "_m"))
-        else:
-            widen = materialise_small(
-                widen.join(grown, ["seed", "grp"], "full")
-                .select("seed", "grp", (F.coalesce("_m", F.lit(1.0)) * F.coalesce("_g", F.lit(1.0))).alias("_m")))
-        # only the short keys are scanned again, with their widened thresholds
-        short_b = checked_broadcast(short, keys_bound)
-        more = _candidates(base.join(short_b, ["seed", "grp"], "left_semi"), widen, keys_bound)
-        rows = materialise_small(rows.join(short_b, ["seed", "grp"], "left_anti").unionByName(more))
-    else:  # not reached: the threshold covers the full range before
-        raise RuntimeError("the sample of some group stayed short")
-    w = Window.partitionBy("seed", "grp").orderBy("_u", "pair_id")
-    ranked = rows.withColumn("_rk", F.row_number().over(w)).filter(
-        (F.col("_rk") <= k_max) | (F.col("_n") < k_max))
-    out = None
-    for k in ks:
-        plain = ranked.filter((F.col("_n") >= k) & (F.col("_rk") <= k)).select(
-            F.lit(k).alias("k"), "seed", "grp", F.col("_rk").alias("slot"), "pair_id")
-        draws = (grid.filter(F.col("_n") < k)
-                 .select("grp", "_n", "seed", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot"))
-                 .withColumn("_rk", (md5_uniform(F.col("grp"), F.col("seed"), F.col("slot")) % F.col("_n") + 1)
-                             .cast("int")))
-        small = ranked.filter(F.col("_n") < k).select("seed", "grp", "_rk", "pair_id")
-        drawn = draws.join(small, ["seed", "grp", "_rk"]).select(F.lit(k).alias("k"), "seed", "grp", "slot",
-                                                                  "pair_id")
-        part = plain.unionByName(drawn)
-        out = part if out is None else out.unionByName(part)
-    return materialise_small(out.withColumn("k", F.col("k").cast("int")).withColumn("slot", F.col("slot").cast("int")))
+    sketch = bottom_k(meta, k_max, seeds, grp, key) if sketch is None else sketch
+    order = Window.partitionBy("seed", "grp").orderBy("u", "pair_id")
+    best = sketch.filter(F.col("seed").isNotNull()).withColumn("_rk", F.row_number().over(order)).filter(F.col("_rk") <= k_max)
+    best = best.groupBy("seed", "grp").agg(F.sort_array(F.collect_list(F.struct("_rk", "pair_id"))).alias("_best"))
+    best = best.join(sketch_sizes(sketch), "grp")
+    best = best.select("seed", "grp", "_n", "_best", F.explode(F.array(*[F.lit(k).cast("int") for k in ks])).alias("k"))
+    slots = best.select("k", "seed", "grp", "_n", "_best", F.explode(F.sequence(F.lit(1).cast("int"), F.col("k"))).alias("slot"))
+    drawn = (md5_uniform(F.col("grp"), F.col("seed"), F.col("slot")) % F.col("_n") + 1).cast("int")
+    rank = F.when(F.col("_n") < F.col("k"), drawn).otherwise(F.col("slot"))
+    rows = slots.select("k", "seed", "grp", "slot", F.get(F.col("_best.pair_id"), rank - 1).alias("pair_id"))
+    return write_and_read(rows, "sample")
 
 
 # ---------------------------------------------------------------- A6-A8
@@ -311,29 +301,19 @@ def apply_weights(packed: DataFrame, stats: DataFrame, weights: DataFrame,
 
 
 MAX_COEF_BYTES = 512 * 1024 * 1024
+#: Pairs of a salted group, on average.
+PAIR_ROWS = 4096
 
 
-def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], head_ids: list[int] | None,
-                  cfg: Sequence[str], max_bytes: int, mode: str, rows_bound: int | None = None):
+def _folded(rows, configs: list[tuple], seeds: list[int], ids: list[int], cfg: Sequence[str], mode: str) -> dict:
     """Per group, the weights folded into one linear map: ``A`` (C*S, H) and
     ``b`` (C*S,) with ``agg = s @ A.T - b``.  For the normalised form
     ``A = w / std`` and ``b = sum_h mean * w / std``, which is
     ``sum_h (s - mean) / std * w`` rearranged; for raw scores and deltas
     ``A = w`` and ``b = 0``.  Heads outside a configuration's set get weight
-    0.  The size (rows x heads x 3 doubles) is checked *before* the rows are
-    pulled to the driver."""
+    0."""
     import numpy as np
-    coef = coefficients(stats, weights, cfg)
-    n_rows = coef.count() if rows_bound is None else rows_bound
-    n_heads = len(head_ids) if head_ids is not None else stats.select("head_id").distinct().count()
-    if n_rows * max(n_heads, 1) * 3 * 8 > max_bytes:
-        raise ValueError("coefficient tensors exceed the broadcast limit; use apply_weights (native)")
-    rows = coef.collect()
-    if not rows:
-        return {}, []
-    ids = head_ids if head_ids is not None else sorted({int(h) for r in rows for h in r["_ids"]})
     hpos = {h: i for i, h in enumerate(ids)}
-    configs = sorted({tuple(r[c] for c in cfg) for r in rows})
     cpos = {c: i for i, c in enumerate(configs)}
     spos = {sd: i for i, sd in enumerate(seeds)}
     n_cs = len(configs) * len(seeds)
@@ -349,7 +329,96 @@ def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], head_i
             b[row] = float(np.sum(np.asarray(r["_m"], dtype=np.float64) * w / sd))
         else:
             a[row, cols] = w
-    return out, configs
+    return out
+
+
+def _coef_tensors(stats: DataFrame, weights: DataFrame, seeds: list[int], head_ids: list[int] | None,
+                  cfg: Sequence[str], max_bytes: int, mode: str, rows_bound: int | None = None):
+    """The folded maps of every group on the driver.  The size (rows x heads
+    x 3 doubles) is checked *before* the rows are pulled."""
+    coef = coefficients(stats, weights, cfg)
+    n_rows = coef.count() if rows_bound is None else rows_bound
+    n_heads = len(head_ids) if head_ids is not None else stats.select("head_id").distinct().count()
+    if n_rows * max(n_heads, 1) * 3 * 8 > max_bytes:
+        raise ValueError("coefficient tensors exceed the broadcast limit")
+    rows = coef.collect()
+    if not rows:
+        return {}, []
+    ids = head_ids if head_ids is not None else sorted({int(h) for r in rows for h in r["_ids"]})
+    configs = sorted({tuple(r[c] for c in cfg) for r in rows})
+    return _folded(rows, configs, seeds, ids, cfg, mode), configs
+
+
+class _Given:
+    """A value in the place of a broadcast variable."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def _cogrouped(packed: DataFrame, stats: DataFrame, weights: DataFrame, seeds: list[int], head_ids: list[int] | None,
+               cfg: list[str], keep: list[str], mode: str, block_bytes: int, pair_rows: int, run_of, schema: str) -> DataFrame:
+    """A11-A13 without a broadcast: ``run_of(coefficients, configs, seeds)``
+    over cogroups of salted pair groups with blocks of their weights.
+
+    A group's pairs are dealt to salts of about ``pair_rows``, its
+    coefficients to blocks of about ``block_bytes``; a task holds one of each.
+    Pairs are sent once per block.  Groups without weights, and null ones,
+    meet the list of (configuration, seed) alone and so keep 0.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    names = [*cfg, "seed"]
+    ids = head_ids if head_ids is not None else sorted(
+        r.head_id for r in stats.select("head_id").distinct().toLocalIterator())  # H numbers
+    coef = coefficients(stats, weights, cfg)
+    grid = weights.select(*names).distinct()
+    n_grid = grid.count()
+    blocks = max(1, -(-n_grid * max(len(ids), 1) * 24 // block_bytes))
+    block = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")
+    sizes = packed.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(F.col("grp").alias("_g"), F.ceil(F.col("_n") / pair_rows).cast("int").alias("_salts"))
+    same = F.col("grp").eqNullSafe(F.col("_g"))
+    # every (group, configuration, seed), with weights where there are any
+    every = sizes.select(F.col("_g").alias("grp"), "_salts").join(F.broadcast(grid))  # a few rows: configurations x seeds
+    of = coef.select(F.col("grp").alias("_cg"), *[F.col(n).alias(f"_c_{n}") for n in names], "_ids", "_m", "_s", "_w")
+    cond = F.col("grp").eqNullSafe(F.col("_cg"))
+    for n in names:
+        cond = cond & F.col(n).eqNullSafe(F.col(f"_c_{n}"))
+    right = every.join(of, cond, "left").select("grp", "_salts", *names, "_ids", "_m", "_s", "_w")
+    right = right.withColumn("_block", block).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    left = packed.select("pair_id", "grp", *keep, "sc", "sr").join(sizes, same).withColumn(
+        "_salt", F.pmod(F.xxhash64("pair_id", F.lit(7)), "_salts").cast("int")).drop("_g", "_salts")
+    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    result = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+        import pandas as pd
+        rows = rows.to_pylist()
+        done = []
+        for config in sorted({tuple(r[c] for c in cfg) for r in rows}):
+            own = [r for r in rows if tuple(r[c] for c in cfg) == config]
+            some = sorted(r["seed"] for r in own)
+            folded = _folded([r for r in own if r["_ids"] is not None], [config], some, ids, cfg, mode)
+            done += run_of(_Given(folded), [config], some)(iter([pairs.to_pandas()]))
+        return pa.Table.from_pandas(pd.concat(done), schema=result, preserve_index=False) if done else result.empty_table()
+    return left.groupBy("grp", "_block", "_salt").cogroup(right.groupBy("grp", "_block", "_salt")).applyInArrow(run, schema)
+
+
+def _score_matrices(pdf):
+    """(sc, sr, whole): the packed scores as matrices; rows without scores on
+    a side are zeros and not ``whole``."""
+    import numpy as np
+    sc, sr = pdf["sc"].to_numpy(), pdf["sr"].to_numpy()
+    whole = np.array([x is not None and y is not None for x, y in zip(sc, sr)], bool)
+    if whole.all():
+        return np.stack(sc), np.stack(sr), whole
+    width = max((len(x) for x in sc[whole]), default=0)
+    out = np.zeros((2, len(pdf), width))
+    if whole.any():
+        out[0, whole], out[1, whole] = np.stack(sc[whole]), np.stack(sr[whole])
+    return out[0], out[1], whole
 
 
 def _apply_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], keep: list[str], mode: str):
@@ -363,15 +432,14 @@ def _apply_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], k
             n = len(pdf)
             if n == 0:
                 continue
-            sc_ = np.stack(pdf["sc"].to_numpy())
-            sr_ = np.stack(pdf["sr"].to_numpy())
+            sc_, sr_, whole = _score_matrices(pdf)
             agg_c = np.zeros((n, n_c * n_s))
             agg_r = np.zeros((n, n_c * n_s))
             grp = pdf["grp"].to_numpy()
             for g in pd.unique(grp):
                 if g is None or (isinstance(g, float) and np.isnan(g)) or g not in coef:
                     continue
-                idx = np.nonzero(grp == g)[0]
+                idx = np.nonzero((grp == g) & whole)[0]
                 a, b = coef[g]
                 if mode == "delta":
                     agg_c[idx] = (sc_[idx] - sr_[idx]) @ a.T
@@ -399,16 +467,22 @@ def apply_weights_arrow(packed: DataFrame, stats: DataFrame, weights: DataFrame,
                         seeds: int | Sequence[int], mode: str = "normalised",
                         keep: Sequence[str] = (), max_bytes: int = MAX_COEF_BYTES,
                         cfg: Sequence[str] = (), head_ids: list[int] | None = None,
-                        rows_bound: int | None = None) -> DataFrame:
+                        rows_bound: int | None = None, pair_rows: int = PAIR_ROWS) -> DataFrame:
     """A11/A12/A13 on Arrow batches: per group the weights are folded into a
     (configurations x seeds, heads) matrix, broadcast once (size-checked),
     and every pair is re-scored for all configurations and seeds with one
     BLAS matrix product per group present in the batch (memory per batch:
     rows x configurations x seeds).  Same rule and output as
-    ``apply_weights``, plus the configuration columns ``cfg``."""
+    ``apply_weights``, plus the configuration columns ``cfg``.  Coefficients
+    above ``max_bytes`` are broadcast in blocks of seeds; where those of one
+    seed alone are above it, pairs and coefficients meet in cogroups."""
     seed_list = _seeds(seeds)
     cfg = list(cfg)
     blocks = _seed_blocks(stats, weights, seed_list, head_ids, max_bytes, rows_bound)
+    if blocks is None:
+        fields = _agg_fields(packed, weights, cfg, keep, mode)
+        return _cogrouped(packed, stats, weights, seed_list, head_ids, cfg, list(keep), mode, max_bytes, pair_rows,
+                          lambda bc, configs, some: _apply_batches(bc, some, configs, cfg, list(keep), mode), fields)
     if len(blocks) > 1:
         return reduce(DataFrame.unionByName, [apply_weights_arrow(
             packed, stats.where(F.col("seed").isin(b)), weights.where(F.col("seed").isin(b)), b, mode, keep, max_bytes,
@@ -418,26 +492,32 @@ def apply_weights_arrow(packed: DataFrame, stats: DataFrame, weights: DataFrame,
         configs = [()]
     bc = packed.sparkSession.sparkContext.broadcast(coef)
     keep = list(keep)
-    types = {**dict(packed.dtypes), **dict(weights.dtypes)}
-    fields = [f"{c} {types[c]}" for c in cfg] + ["seed int", "pair_id bigint"]
-    fields += [f"{c} {types[c]}" for c in keep]
-    fields += ["agg_delta double"] if mode == "delta" else ["agg_chosen double", "agg_rejected double"]
     src = packed.select("pair_id", "grp", *keep, "sc", "sr")
-    return src.mapInPandas(_apply_batches(bc, seed_list, configs, cfg, keep, mode), ", ".join(fields))
+    return src.mapInPandas(_apply_batches(bc, seed_list, configs, cfg, keep, mode), _agg_fields(packed, weights, cfg, keep, mode))
+
+
+def _agg_fields(packed: DataFrame, weights: DataFrame, cfg: Sequence[str], keep: Sequence[str], mode: str) -> str:
+    types = {**dict(packed.dtypes), **dict(weights.dtypes)}
+    fields = [f"{c} {types[c]}" for c in cfg] + ["seed int", "pair_id bigint"] + [f"{c} {types[c]}" for c in keep]
+    return ", ".join(fields + (["agg_delta double"] if mode == "delta" else ["agg_chosen double", "agg_rejected double"]))
 
 
-def _seed_blocks(stats, weights, seeds: list[int], head_ids, max_bytes: int, rows_bound: int | None) -> list[list[int]]:
+def _seed_blocks(stats, weights, seeds: list[int], head_ids, max_bytes: int, rows_bound: int | None) -> list[list[int]] | None:
     """The seeds in blocks whose coefficient tensors stay within
-    ``max_bytes``; each block is a pass of its own over the packed scores."""
+    ``max_bytes``; each block is a pass of its own over the packed scores.
+    None when one seed's coefficients are too large already."""
     rows = weights.select("seed", "grp", *[c for c in CONFIG if c in weights.columns]).distinct().count() \
         if rows_bound is None else rows_bound
     heads = len(head_ids) if head_ids is not None else stats.select("head_id").distinct().count()
-    n = min(len(seeds), -(-rows * max(heads, 1) * 24 // max_bytes)) or 1
+    need = rows * max(heads, 1) * 24
+    if -(-need // max(len(seeds), 1)) > max_bytes:
+        return None
+    n = min(len(seeds), -(-need // max_bytes)) or 1
     size = -(-len(seeds) // n)
     return [seeds[i:i + size] for i in range(0, len(seeds), size)]
 
 
-def _count_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], by: str, mode: str):
+def _count_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], by: str, mode: str, margin: float):
     import numpy as np
     import pandas as pd
 
@@ -447,17 +527,18 @@ def _count_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], b
         for pdf in batches:
             if not len(pdf):
                 continue
-            sc_, sr_ = np.stack(pdf["sc"].to_numpy()), np.stack(pdf["sr"].to_numpy())
+            sc_, sr_, whole = _score_matrices(pdf)
             won = np.zeros((len(pdf), width), dtype=bool)
             codes, groups = pd.factorize(pdf["grp"])
             for i, g in enumerate(groups):
                 if g in coef:
-                    idx = np.flatnonzero(codes == i)
+                    idx = np.flatnonzero((codes == i) & whole)
                     a, b = coef[g]
                     if mode == "delta":
-                        won[idx] = (sc_[idx] - sr_[idx]) @ a.T >= ev.WIN_MARGIN
+                        ahead = (sc_[idx] - sr_[idx]) @ a.T
                     else:
-                        won[idx] = (sc_[idx] @ a.T - b) - (sr_[idx] @ a.T - b) >= ev.WIN_MARGIN
+                        ahead = (sc_[idx] @ a.T - b) - (sr_[idx] @ a.T - b)
+                    won[idx] = (ahead > 0) & (ahead >= margin)
             codes, values = pd.factorize(pdf[by])
             for i, value in [*enumerate(values), (-1, None)]:
                 idx = np.flatnonzero(codes == i)
@@ -474,30 +555,35 @@ def _count_batches(bc, seeds: list[int], configs: list[tuple], cfg: list[str], b
 
 def win_counts(packed: DataFrame, stats: DataFrame, weights: DataFrame, seeds: int | Sequence[int], by: str,
                mode: str = "normalised", max_bytes: int = MAX_COEF_BYTES, cfg: Sequence[str] = (),
-               head_ids: list[int] | None = None, rows_bound: int | None = None) -> DataFrame:
+               head_ids: list[int] | None = None, rows_bound: int | None = None, margin: float = ev.WIN_MARGIN,
+               pair_rows: int = PAIR_ROWS) -> DataFrame:
     """Wins and pairs per (configuration, seed, ``by``): the metrics' form of
     A11-A13.  Pairs are re-scored and compared inside the Arrow batch; a task
     emits one row per configuration, seed and value of ``by``, whatever the
     number of its pairs."""
     seed_list, cfg = _seeds(seeds), list(cfg)
+    types = {**dict(packed.dtypes), **dict(weights.dtypes)}
+    fields = ", ".join([*[f"{c} {types[c]}" for c in cfg], "seed int", f"{by} {types[by]}", "wins bigint", "n bigint"])
     blocks = _seed_blocks(stats, weights, seed_list, head_ids, max_bytes, rows_bound)
-    if len(blocks) > 1:
+    if blocks is None:
+        part = _cogrouped(packed, stats, weights, seed_list, head_ids, cfg, [by] if by != "grp" else [], mode, max_bytes,
+                          pair_rows, lambda bc, configs, some: _count_batches(bc, some, configs, cfg, by, mode, margin), fields)
+    elif len(blocks) > 1:
         return reduce(DataFrame.unionByName, [win_counts(
             packed, stats.where(F.col("seed").isin(b)), weights.where(F.col("seed").isin(b)), b, by, mode, max_bytes,
-            cfg, head_ids, rows_bound and -(-rows_bound * len(b) // len(seed_list))) for b in blocks])
-    coef, configs = _coef_tensors(stats, weights, seed_list, head_ids, cfg, max_bytes, mode, rows_bound)
-    bc = packed.sparkSession.sparkContext.broadcast(coef)
-    types = {**dict(packed.dtypes), **dict(weights.dtypes)}
-    fields = [*[f"{c} {types[c]}" for c in cfg], "seed int", f"{by} {types[by]}", "wins bigint", "n bigint"]
-    src = packed.select("grp", *([by] if by != "grp" else []), "sc", "sr")
-    part = src.mapInPandas(_count_batches(bc, seed_list, configs if cfg else [()], cfg, by, mode), ", ".join(fields))
+            cfg, head_ids, rows_bound and -(-rows_bound * len(b) // len(seed_list)), margin) for b in blocks])
+    else:
+        coef, configs = _coef_tensors(stats, weights, seed_list, head_ids, cfg, max_bytes, mode, rows_bound)
+        bc = packed.sparkSession.sparkContext.broadcast(coef)
+        src = packed.select("grp", *([by] if by != "grp" else []), "sc", "sr")
+        part = src.mapInPandas(_count_batches(bc, seed_list, configs if cfg else [()], cfg, by, mode, margin), fields)
     return part.groupBy(*cfg, "seed", by).agg(F.sum("wins").alias("wins"), F.sum("n").alias("n"))
 
 
-def with_agg_win(agg: DataFrame) -> DataFrame:
+def with_agg_win(agg: DataFrame, margin: float = ev.WIN_MARGIN) -> DataFrame:
     if "agg_delta" in agg.columns:
-        return agg.withColumn("win", ev.win_delta("agg_delta"))
-    return agg.withColumn("win", ev.win("agg_chosen", "agg_rejected"))
+        return agg.withColumn("win", ev.win_delta("agg_delta", margin))
+    return agg.withColumn("win", ev.win("agg_chosen", "agg_rejected", margin))
 
 
 # ---------------------------------------------------------------- A14-A17
@@ -614,9 +700,14 @@ class Adaptation:
     stats: DataFrame
     loss: DataFrame
     weights: DataFrame
-    agg: DataFrame
+    rescored: Callable[[], DataFrame]
     wins: Callable[[str], DataFrame]
 
+    @cached_property
+    def agg(self) -> DataFrame:
+        """A row per pair, seed and configuration; planned when first asked for."""
+        return self.rescored()
+
 
 def adapt_from_vectors(pairs: DataFrame, heads, k: int, seeds: int | Sequence[int] = 20,
                        temperature: float = 1.0, mode: str = "normalised", keep: Sequence[str] = (),
@@ -631,7 +722,8 @@ CONFIG = ("num_heads", "k", "temperature")
 
 def adapt_grid_packed(packed: DataFrame, head_ids: list[int], head_sets: Mapping[int, Sequence[int]] | None,
                       ks: Sequence[int], temperatures: Sequence[float], seeds: int | Sequence[int] = 20,
-                      mode: str = "normalised", keep: Sequence[str] = (), uniform: bool = False) -> Adaptation:
+                      mode: str = "normalised", keep: Sequence[str] = (), uniform: bool = False,
+                      max_bytes: int = MAX_COEF_BYTES) -> Adaptation:
     """A18 on packed scores: every configuration (head subset x k x
     temperature) and every seed in the same jobs, with the configuration as
     columns.
@@ -645,16 +737,15 @@ def adapt_grid_packed(packed: DataFrame, head_ids: list[int], head_sets: Mapping
     head_sets = head_sets or {len(head_ids): list(head_ids)}
     seed_list = _seeds(seeds)
     spark = packed.sparkSession
-    meta = packed.select("pair_id", "grp")
-    sizes = materialise_small(group_sizes(meta))
-    n_groups = sizes.count()
-    sample = sample_per_group_multi(meta, ks, seed_list, n_groups=n_groups, sizes=sizes)
+    sketch = bottom_k(packed.select("pair_id", "grp"), max(ks), seed_list)
+    n_groups = sketch.filter(F.col("seed").isNull()).select("grp").distinct().count()
+    sample = sample_per_group_multi(packed, ks, seed_list, sketch=sketch)
     bound = n_groups * len(seed_list) * int(sum(ks))
     hmap = spark.createDataFrame([(int(n), int(h)) for n, hs in head_sets.items() for h in hs],
                                  "num_heads int, head_id bigint")
     # head-set map: configurations x heads rows, a constant of the call
     sampled = sampled_values(sample, packed, head_ids, bound, cfg=["k"]).join(F.broadcast(hmap), "head_id")
-    sampled = materialise_small(sampled)
+    sampled = write_and_read(sampled, "sampled")
     cfg = ["num_heads", "k"]
     stats = group_head_stats(sampled, cfg)
     temps = F.explode(F.array(*[F.lit(float(t)) for t in temperatures])).alias("temperature")
@@ -663,17 +754,21 @@ def adapt_grid_packed(packed: DataFrame, head_ids: list[int], head_sets: Mapping
     weights = uniform_weights(loss, cfg_t) if uniform else softmax_weights(loss, "temperature", cfg_t)
     # statistics and weights side by side in one small materialised table
     keys = [*cfg, "seed", "grp", "head_id"]
-    both = materialise_small(weights.join(stats, keys))
+    both = write_and_read(weights.join(stats, keys), "weights")
     stats = both.filter(F.col("temperature") == F.lit(float(temperatures[0]))).select(*keys, "mean", "std")
     weights = both.select(*cfg_t, "seed", "grp", "head_id", "weight")
     n_configs = len(head_sets) * len(ks) * len(temperatures)
-    agg = apply_weights_arrow(packed, both.select(*cfg_t, "seed", "grp", "head_id", "mean", "std"), weights,
-                              seed_list, mode, keep, cfg=cfg_t, head_ids=list(head_ids),
-                              rows_bound=n_groups * n_configs * len(seed_list))
+    rows_bound = n_groups * n_configs * len(seed_list)
+    coef = both.select(*cfg_t, "seed", "grp", "head_id", "mean", "std")
+
+    def rescored() -> DataFrame:
+        return apply_weights_arrow(packed, coef, weights, seed_list, mode, keep, max_bytes, cfg=cfg_t, head_ids=list(head_ids),
+                                   rows_bound=rows_bound)
+
     def wins(by: str) -> DataFrame:
-        return win_counts(packed, both.select(*cfg_t, "seed", "grp", "head_id", "mean", "std"), weights, seed_list, by,
-                          mode, cfg=cfg_t, head_ids=list(head_ids), rows_bound=n_groups * n_configs * len(seed_list))
-    return Adaptation(sample, sampled, stats, loss, weights, agg, wins)
+        return win_counts(packed, coef, weights, seed_list, by, mode, max_bytes, cfg=cfg_t, head_ids=list(head_ids),
+                          rows_bound=rows_bound)
+    return Adaptation(sample, sampled, stats, loss, weights, rescored, wins)
 
 
 def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] | None,
@@ -700,7 +795,7 @@ def adapt_grid(pairs: DataFrame, heads, head_sets: Mapping[int, Sequence[int]] |
 
 def _single(g: Adaptation) -> Adaptation:
     drop = lambda df: df.drop(*[c for c in CONFIG if c in df.columns])
-    return Adaptation(drop(g.sample), drop(g.sampled), drop(g.stats), drop(g.loss), drop(g.weights), drop(g.agg),
+    return Adaptation(drop(g.sample), drop(g.sampled), drop(g.stats), drop(g.loss), drop(g.weights), lambda: drop(g.agg),
                       lambda by: drop(g.wins(by)))
 
 

@@ -39,8 +39,9 @@ def win_delta(delta: Column | str, margin: float = WIN_MARGIN) -> Column:
     return F.when((d > 0) & (d >= margin), 1).otherwise(0)
 
 
-def with_win(scores: DataFrame, chosen: str = "s_chosen", rejected: str = "s_rejected") -> DataFrame:
-    return scores.withColumn("win", win(chosen, rejected))
+def with_win(scores: DataFrame, chosen: str = "s_chosen", rejected: str = "s_rejected",
+             margin: float = WIN_MARGIN) -> DataFrame:
+    return scores.withColumn("win", win(chosen, rejected, margin))
 
 
 def subset_accuracy(scored: DataFrame, keys: list[str] | None = None,

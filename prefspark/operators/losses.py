@@ -40,16 +40,19 @@ def pair_loss(scores: DataFrame, loss_type: str = "origin", keys: list[str] | No
 
 
 def argmax_accuracy(scores: DataFrame, keys: list[str] | None = None,
-                    c: str = "s_chosen", r: str = "s_rejected") -> DataFrame:
-    """L4: share of pairs with c >= r (a tie counts as correct)."""
+                    c: str = "s_chosen", r: str = "s_rejected", margin: float = WIN_MARGIN) -> DataFrame:
+    """L4: share of pairs with c >= r (a tie, a difference below ``margin``,
+    counts as correct)."""
     keys = keys if keys is not None else ["head_id"]
-    ok = F.when(_d(c, r) > -WIN_MARGIN, 1.0).otherwise(0.0)
+    d = _d(c, r)
+    ok = F.when((d >= 0) | (d > -margin), 1.0).otherwise(0.0)
     return scores.groupBy(*keys).agg(F.avg(ok).alias("accuracy"))
 
 
-def win_flag(c: str = "s_chosen", r: str = "s_rejected") -> Column:
-    """1 iff c > r strictly (a tie is 0)."""
-    return F.when(_d(c, r) >= WIN_MARGIN, 1).otherwise(0)
+def win_flag(c: str = "s_chosen", r: str = "s_rejected", margin: float = WIN_MARGIN) -> Column:
+    """1 iff c > r strictly (a tie, a difference below ``margin``, is 0)."""
+    d = _d(c, r)
+    return F.when((d > 0) & (d >= margin), 1).otherwise(0)
 
 
 def pair_logits(c: str = "s_chosen", r: str = "s_rejected", decimals: int = 4) -> Column:

@@ -220,16 +220,48 @@ def _brute_sample(meta_rows, k, seeds):
     return out
 
 
-def test_sampling_is_exact_topk_with_threshold_and_fallback(spark, monkeypatch):
-    meta = _meta(spark, {"hot": 3000, "mid": 40, "small": 3, "one": 1})
+@pytest.mark.parametrize("parts", [1, 4, 23])
+def test_sampling_is_exact_topk_however_the_keys_are_dealt(spark, parts):
+    meta = _meta(spark, {"hot": 3000, "mid": 40, "small": 3, "one": 1}).repartition(parts)
     rows = [(r.pair_id, r.grp) for r in meta.collect()]
-    want = _brute_sample(rows, 5, [0, 1, 2])
     got = {(r.seed, r.grp, r.slot, r.pair_id) for r in ad.sample_per_group(meta, 5, [0, 1, 2]).collect()}
-    assert got == want
-    # force the threshold far too low: every (seed, group) falls back to a full ranking
-    monkeypatch.setattr(ad, "_threshold", lambda k: F.when(F.col("_n") <= 1, F.lit(ad.U_RANGE)).otherwise(F.lit(1)))
-    got2 = {(r.seed, r.grp, r.slot, r.pair_id) for r in ad.sample_per_group(meta, 5, [0, 1, 2]).collect()}
-    assert got2 == want
+    assert got == _brute_sample(rows, 5, [0, 1, 2])
+    sketch = ad.bottom_k(meta, 5, [0, 1, 2])
+    assert sketch.where("seed is not null").count() <= parts * 3 * 4 * 5  # no task keeps more
+    assert {r.grp: r._n for r in ad.sketch_sizes(sketch).collect()} == {"hot": 3000, "mid": 40, "small": 3, "one": 1}
+    assert ad.sample_per_group(meta.limit(0), 5, 2).count() == 0
+
+
+def test_sample_groups_may_have_any_type(spark):
+    rows = [(i, i % 3) for i in range(60)]
+    for kind in ("int", "bigint", "string", "date"):
+        meta = spark.createDataFrame(rows, "pair_id bigint, g int").withColumn(
+            "grp", F.col("g").cast(kind) if kind != "date" else F.date_add(F.lit("2020-01-01").cast("date"), F.col("g")))
+        s = ad.sample_per_group(meta, 4, 2)
+        assert dict(s.dtypes)["grp"] == kind and s.count() == 24
+
+
+@pytest.mark.parametrize("mode", ["normalised", "raw", "delta"])
+def test_cogrouped_weights_equal_broadcast_weights(spark, mode):
+    """Coefficients above the limit for one seed alone: pairs of a salted hot
+    group, of a null group and without scores meet the weights in cogroups."""
+    pairs, heads = fx.vec_pairs(spark, SF_SMALL), fx.heads(spark, SF_SMALL)
+    grouped = ad.attach_category(pairs, fx.SECTION_MAP).withColumn(
+        "grp", F.when(F.col("pair_id") % 11 == 0, None).otherwise(F.col("grp")))
+    packed, ids = sc.score_heads_packed(grouped, heads)
+    packed = packed.withColumn("sc", F.when(F.col("pair_id") % 13 != 0, F.col("sc")))
+    packed = ad.materialise_table(packed.select("pair_id", "grp", "subset", "sc", "sr"))
+    sets = {4: ids[:4], len(ids): ids}
+    args = (packed, ids, sets, [3, 5], [0.5, 1.0], 3, mode, ["subset"])
+    plain, tight = ad.adapt_grid_packed(*args), ad.adapt_grid_packed(*args, max_bytes=4000)
+    columns = plain.agg.columns
+    rows = [{tuple(r[c] for c in (*ad.CONFIG, "seed", "pair_id", "subset")): tuple(
+        round(r[c], 9) for c in columns if c.startswith("agg")) for r in a.agg.select(*columns).collect()} for a in (plain, tight)]
+    assert rows[0] == rows[1] and len(rows[0]) == packed.count() * 8 * 3
+    assert any(None is not v and v[0] == 0 for v in rows[0].values())
+    assert "CoGroup" in tight.agg._jdf.queryExecution().executedPlan().toString()
+    wins = [sorted(map(tuple, a.wins("subset").select(*ad.CONFIG, "seed", "subset", "wins", "n").collect())) for a in (plain, tight)]
+    assert wins[0] == wins[1]
 
 
 def test_sample_has_exactly_k_per_group_and_drops_null_groups(spark):
