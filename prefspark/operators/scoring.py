@@ -55,13 +55,15 @@ def collect_heads(heads: DataFrame, id_col: str = "head_id", w_col: str = "w",
     The head table is a model (H x d), not data: it does not grow with the
     number of pairs.  The check refuses a head set that would not fit.
     """
+    heads = write_and_read(heads.select(id_col, w_col), "heads")  # made once, then measured and fetched
     stats = heads.agg(F.count(F.lit(1)).alias("n"),
                       F.max(F.size(w_col)).alias("d")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
     if n > MAX_HEADS or n * d * 8 > max_bytes:
         raise ValueError(f"head set of {n} x {d} doubles exceeds {max_bytes} bytes")
     rows = heads.select(F.col(id_col).cast("long").alias("i"),
-                        F.col(w_col).cast("array<double>").alias("w")).orderBy("i").collect()
+                        F.col(w_col).cast("array<double>").alias("w")).collect()
+    rows.sort(key=lambda r: r["i"])
     ids = [int(r["i"]) for r in rows]
     w = np.array([r["w"] for r in rows], dtype=np.float64).reshape(len(rows), d)
     return HeadMatrix(ids, w)
