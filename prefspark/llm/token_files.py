@@ -170,6 +170,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and
     ids_crc32 of every document, from the files alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # reading needs no encoder: a worker that wrote before lets go of what it kept
         for batch in batches:
             for row in batch.to_pylist():
                 ids, stops = _read(row)
@@ -190,7 +191,13 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_output(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
-    """Write the token files and return what they hold per document."""
+    """Write the token files and return what they hold per document.
+
+    Null and empty texts are the end id alone; null doc_ids come first; rows
+    that repeat an id are documents of their own; texts of any length are
+    encoded whole; an empty table writes no segment and returns no rows;
+    other columns are not read.
+    """
     path = path or scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer)
     return digests(docs.sparkSession, path)
