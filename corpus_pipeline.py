@@ -24,25 +24,30 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; null and empty texts go, all columns stay (``quality.keep_documents``)."""
     return quality.keep_documents(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every near-duplicate class; rows with a null text stay (``near_dedup.keep_one``)."""
     ship_library(spark)
     return near_dedup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``; null and empty texts stay (``decontaminate.drop_leaks``)."""
     ship_library(spark)
     return leaks.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to their targets; documents without a drawn word go (``mixing.mix_documents``)."""
     ship_library(spark)
     return mixing.mix_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back as digests; a null text is the end id (``token_files.token_output``)."""
     import public_tokenizers
     ship_library(spark)
     return token_files.token_output(docs, public_tokenizers.path(TOKENIZER))
@@ -63,7 +68,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and
-    read again by the next."""
+    read again by the next.  An empty table passes through every stage;
+    repeated rows are documents of their own until the near-duplicates go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = write_and_read(stage(spark, docs, sf_dir), name)
