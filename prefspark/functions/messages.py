@@ -32,8 +32,8 @@ TEMPLATES = {
         "generation": "<|start_header_id|>assistant<|end_header_id|>\n\n",
     },
 }
-# Whitespace stripped by Python's str.strip() for ASCII text.
-_WS = "[ \\t\\n\\r\\f\\x0B]"
+# Whitespace that Python's str.strip() strips (fixed values).
+_WS = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
 def message(role: ColumnOrName, content: ColumnOrName) -> Column:
@@ -42,8 +42,8 @@ def message(role: ColumnOrName, content: ColumnOrName) -> Column:
 
 
 def py_strip(s: ColumnOrName) -> Column:
-    """Python ``str.strip()`` on ASCII whitespace (Spark ``trim`` only strips spaces)."""
-    return F.regexp_replace(_c(s), f"^{_WS}+|{_WS}+$", "")
+    """Python ``str.strip()`` (Spark ``trim`` only strips spaces)."""
+    return F.regexp_replace(_c(s), f"\\A{_WS}+|{_WS}+\\z", "")
 
 
 def is_consistent_pair(chosen: ColumnOrName, rejected: ColumnOrName) -> Column:

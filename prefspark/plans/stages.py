@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +31,17 @@ from prefspark.sources import readers as rd
 from prefspark.sources import writers as wr
 
 
-def _missing(pairs: DataFrame, read_done: Callable[[], DataFrame]) -> DataFrame:
-    """The pairs that a sink does not hold yet (all, before its first write).
-    Every sink is asked for its own, so a run that stopped between two sinks
-    completes the second."""
-    try:
-        return wr.missing_pairs(pairs, read_done())
-    except AnalysisException:  # nothing written yet
+def _missing(pairs: DataFrame, path: str, read_done: Callable[[], DataFrame]) -> DataFrame:
+    """The pairs that the sink at ``path`` does not hold yet (all, before its
+    first write).  Every sink is asked for its own, so a run that stopped
+    between two sinks completes the second.  Only a path that is not there, or
+    without files, counts as not written: any other fault is raised."""
+    spark = pairs.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder) or not any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(folder)):
         return pairs
+    return wr.missing_pairs(pairs, read_done())
 
 
 def extract(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_path: str,
@@ -54,7 +56,7 @@ def extract(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_p
     skipped, so a rerun resumes.  With ``manifest_path`` the prompt / answer
     texts and the vector key are written as the manifest (K2).  Returns the
     pair-vector table as read back."""
-    texts = _missing(pairs, lambda: rd.read_embeddings(spark, out_path)).select("*", msg.render_chat("chosen", family).alias("chosen_text"),
+    texts = _missing(pairs, out_path, lambda: rd.read_embeddings(spark, out_path)).select("*", msg.render_chat("chosen", family).alias("chosen_text"),
                         msg.render_chat("rejected", family).alias("rejected_text"))
     if max_len is not None:
         texts = texts.filter((F.length("chosen_text") <= max_len) & (F.length("rejected_text") <= max_len))
@@ -62,7 +64,7 @@ def extract(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_p
     keep = [c for c in ("subset", "task_id", "source", "margin") if c in pairs.columns]
     wr.write_embeddings(vecs.select("pair_id", *keep, "chosen", "rejected"), out_path, n_buckets, mode="append")
     if manifest_path is not None:
-        rest = _missing(pairs, lambda: rd.read_manifest(spark, manifest_path).select(
+        rest = _missing(pairs, manifest_path, lambda: rd.read_manifest(spark, manifest_path).select(
             F.col("pair_id").cast("bigint").alias("pair_id")))
         if max_len is not None:  # the pairs that have vectors, as written
             rest = rest.join(rd.read_embeddings(spark, out_path).select("pair_id"), "pair_id", "left_semi")
@@ -99,12 +101,12 @@ def evaluate(vectors: DataFrame, heads: DataFrame, section_map: Mapping | None =
              out_path: str | None = None) -> dict[str, DataFrame]:
     """Stage 3a.  Per-head subset accuracy; with a section map the section
     scores and overall; with ``n_tasks`` the task accuracies.  With
-    ``out_path`` the scores and accuracies are written (K5, K9) and the
-    results come from the written scores; ``adapt_from_scores`` reads them."""
+    ``out_path`` the scores and accuracies are written (K5, K9), replacing
+    those of an earlier run, and the results come from the written scores; ``adapt_from_scores`` reads them."""
     keep = [c for c in ("pair_id", "subset", "task_id") if c in vectors.columns]
     scored = ev.with_win(score_heads(vectors, heads, keep=keep))
     if out_path is not None:
-        scored.write.parquet(f"{out_path}/scores")
+        scored.write.mode("overwrite").parquet(f"{out_path}/scores")
         scored = vectors.sparkSession.read.parquet(f"{out_path}/scores")
     out = {"subset_accuracy": ev.subset_accuracy(scored)}
     if section_map is not None:
@@ -114,7 +116,7 @@ def evaluate(vectors: DataFrame, heads: DataFrame, section_map: Mapping | None =
     if n_tasks is not None:
         out["task_accuracy"] = ev.task_accuracy(scored, n_tasks)
     if out_path is not None:
-        out.get("task_accuracy", out["subset_accuracy"]).write.parquet(f"{out_path}/accuracy")
+        out.get("task_accuracy", out["subset_accuracy"]).write.mode("overwrite").parquet(f"{out_path}/accuracy")
         wr.write_subset_accuracy(out["subset_accuracy"], f"{out_path}/subset_accuracy")
     return out
 

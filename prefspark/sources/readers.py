@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,16 +111,39 @@ def resolve_paths(manifest: DataFrame, vectors: DataFrame, old_prefix: str, new_
     return j.select(*manifest.columns, *found)
 
 
-#: How the manifest CSV tells null from the empty string and keeps blanks and
-#: line ends of texts (fixed values of the format).
+#: How the manifest CSV tells null from the empty string and keeps blanks
+#: (fixed values of the format).
 MANIFEST_OPTIONS = {"header": True, "quote": '"', "escape": '"', "nullValue": "\\N",
                     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+#: What stands in a cell for a backslash and for line ends, in the order of
+#: writing; a text never holds a bare backslash, so ``\\N`` is null alone.
+MANIFEST_ESCAPES = (("\\", "\\b"), ("\n", "\\n"), ("\r", "\\r"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def manifest_cell(text: Column) -> Column:
+    """A text on one line."""
+    for plain, cell in MANIFEST_ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(cell))
+    return text
+
+
+def manifest_text(cell: Column) -> Column:
+    """The text of a cell."""
+    for plain, escaped in reversed(MANIFEST_ESCAPES):
+        cell = F.replace(cell, F.lit(escaped), F.lit(plain))
+    return cell
+
+
+def read_manifest(spark: SparkSession, path: str, escaped: bool = True) -> DataFrame:
     """Manifest CSV (prompts, chosen/rejected responses, vector path,
-    optional task id).  Texts come back as they were written; ``\\N`` is null."""
-    return spark.read.options(**MANIFEST_OPTIONS).option("multiLine", True).csv(path)
+    optional task id).  Texts come back as they were written; ``\\N`` is null.
+    A record is a line, so large files are split among tasks.  ``escaped=False``
+    reads manifests whose quoted cells hold line ends as they are (one task a
+    file)."""
+    if not escaped:
+        return spark.read.options(**MANIFEST_OPTIONS).option("multiLine", True).csv(path)
+    rows = spark.read.options(**MANIFEST_OPTIONS).csv(path)
+    return rows.select(*[manifest_text(F.col(c)).alias(c) for c in rows.columns])
 
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:

@@ -9,38 +9,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prefspark.sources.readers import MANIFEST_OPTIONS
+from prefspark.sources.readers import MANIFEST_OPTIONS, manifest_cell
 
 N_BUCKETS_DEFAULT = 64
 
 
-def _dealt(df: DataFrame, folder: str, files: int, groups: int) -> DataFrame:
+#: Bytes of a file wanted, and of a row of scores as JSON (about).
+FILE_BYTES, SCORE_BYTES = 128 << 20, 128
+
+
+def _dealt(df: DataFrame, folder: str, files: int | None, groups: int, row_bytes: int) -> DataFrame:
     """Rows of a folder in ``files`` tasks, whatever the number of input
-    tasks: at most ``files`` files per folder."""
-    salt = F.pmod(F.xxhash64("pair_id"), F.lit(files))
-    return df.repartition(groups * files, F.col(folder), salt).sortWithinPartitions(folder, "pair_id")
+    tasks; without a number, in as many as its counted rows need for files of
+    about ``FILE_BYTES``, so a folder with a third of all rows gets many files
+    and a small one gets one."""
+    if files is not None:
+        salt = F.pmod(F.xxhash64("pair_id"), F.lit(files))
+        return df.repartition(groups * files, F.col(folder), salt).sortWithinPartitions(folder, "pair_id")
+    need = F.ceil(F.count(F.lit(1)) * row_bytes / FILE_BYTES).cast("int")
+    sizes = df.groupBy(F.col(folder).alias("_folder")).agg(need.alias("_files"))  # a row for each folder
+    sizes = sizes.withColumn("_from", F.sum("_files").over(Window.orderBy("_folder")) - F.col("_files"))
+    n = int(sizes.agg(F.sum("_files")).first()[0] or 1)
+    rows = df.join(F.broadcast(sizes), F.col(folder).eqNullSafe(F.col("_folder")))
+    task = (F.col("_from") + F.pmod(F.xxhash64("pair_id"), F.col("_files"))).cast("int")
+    return rows.repartitionById(n, task).sortWithinPartitions(folder, "pair_id").drop("_folder", "_files", "_from")
 
 
 def write_embeddings(df: DataFrame, path: str, n_buckets: int = N_BUCKETS_DEFAULT,
-                     mode: str = "overwrite", files_per_bucket: int = 1) -> None:
+                     mode: str = "overwrite", files_per_bucket: int | None = None) -> None:
     """K1: pair vectors keyed by ``pair_id``, split into ``pmod(pair_id, n)``
     bucket folders so a reader can prune by key.  One shuffle deals each
-    bucket to ``files_per_bucket`` tasks (choose it as the bucket's size over
-    the file size wanted), so the number of files does not depend on the
+    bucket to ``files_per_bucket`` tasks, or, without a number, to as many as
+    its counted rows need, so the number of files does not depend on the
     number of input tasks; files are sorted by ``pair_id``, so row-group
     statistics let filters skip data inside a file."""
+    first = df.select(F.size("chosen").alias("d")).where("d > 0").first() if files_per_bucket is None else None
+    width = 64 + 16 * (first.d if first else 1)  # two vectors of doubles
     keyed = df.withColumn("bucket", F.pmod(F.col("pair_id"), F.lit(n_buckets)).cast("int"))
-    _dealt(keyed, "bucket", files_per_bucket, n_buckets).write.mode(mode).partitionBy("bucket").parquet(path)
+    _dealt(keyed, "bucket", files_per_bucket, n_buckets, width).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def write_manifest(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: prompt, answers, key of the vector and task id (if any), as CSV."""
+    """K2: prompt, answers, key of the vector and task id (if any), as CSV with
+    a record on each line (line ends and backslashes of texts escaped)."""
     cols = [c for c in ("pair_id", "prompts", "chosen_responses", "rejected_responses", "cls_emb", "task_ids")
             if c in df.columns]
-    df.select(*cols).write.mode(mode).options(**MANIFEST_OPTIONS).csv(path)
+    texts = {c for c, kind in df.dtypes if kind == "string"}
+    df.select(*[manifest_cell(F.col(c)).alias(c) if c in texts else F.col(c) for c in cols]).write.mode(mode).options(
+        **MANIFEST_OPTIONS).csv(path)
 
 
 def write_heads(heads: DataFrame, path: str, original: DataFrame | None = None,
@@ -54,13 +73,13 @@ def write_heads(heads: DataFrame, path: str, original: DataFrame | None = None,
 
 
 def write_head_scores(scores: DataFrame, path: str, mode: str = "overwrite", n_heads: int = 64,
-                      files_per_head: int = 1) -> None:
+                      files_per_head: int | None = None) -> None:
     """K4: per-head scores, one folder per head, JSON lines (replaces old
-    output).  One shuffle deals a head's rows to ``files_per_head`` tasks, so
-    there are at most that many files per head; ``n_heads`` sizes the
-    shuffle."""
+    output).  One shuffle deals a head's rows to ``files_per_head`` tasks, or,
+    without a number, to as many as its counted rows need; ``n_heads`` sizes
+    the shuffle for a given number."""
     rows = scores.select("head_id", "pair_id", "subset", "s_chosen", "s_rejected")
-    _dealt(rows, "head_id", files_per_head, n_heads).write.mode(mode).partitionBy("head_id").json(path)
+    _dealt(rows, "head_id", files_per_head, n_heads, SCORE_BYTES).write.mode(mode).partitionBy("head_id").json(path)
 
 
 def write_combined_scores(scores: DataFrame, accuracy: DataFrame, path: str, mode: str = "overwrite") -> None:
