@@ -27,7 +27,8 @@ from prefspark.session import scratch_path
 
 END_ID = 0
 SEGMENT_IDS = 8 << 20
-MEMO = 400_000
+MEMO = 200_000
+JOINED = 512  # new pieces in one call of the library
 
 SCHEMA = ("file int, segment int, n_ids long, doc_ids array<long>, lengths array<int>, sizes array<int>, "
           "checksums array<long>, blocks binary")
@@ -38,8 +39,9 @@ class TextEncoder:
     library.
 
     The library splits a text before each single space that stands between
-    other characters, so such pieces are encoded once by the library and
-    their ids kept; texts with other spacing or special strings are encoded
+    other characters, so such pieces are encoded once and their ids kept; new
+    pieces go to the library ``JOINED`` at a time, and the ids are cut where
+    their bytes end.  Texts with other spacing or special strings are encoded
     whole.  What is kept is bounded (two generations of ``MEMO`` pieces) and
     does not change the ids.
     """
@@ -51,8 +53,12 @@ class TextEncoder:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must be below 65536")
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.uncut = re.compile("|".join([" \\s", "\\s ", "\\A ", "\\s\\Z", "\\A\\Z", *special]))
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.spaced = [s for s in special if " " in s]
+        self.width = np.zeros(1 << 16, np.int64)  # bytes of an id: a character of a byte-level token is a byte
+        for token, number in self.library.get_vocab().items():
+            self.width[number] = len(token)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -60,28 +66,46 @@ class TextEncoder:
         return [np.array(e.ids, "<u2").tobytes()
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def after_space(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space before it."""
+        groups = [pieces[at:at + JOINED] for at in range(0, len(pieces), JOINED)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self.whole([" " + " ".join(g) for g in groups])):
+            ends = self.width[np.frombuffer(ids, "<u2")].cumsum()
+            wanted = np.cumsum([1 + len(p.encode()) for p in group])
+            last = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
+            if ends[-1] == wanted[-1] and (ends[last] == wanted).all():
+                stops = (2 * (last + 1)).tolist()
+                out.extend(ids[a:b] for a, b in zip([0, *stops], stops))
+            else:  # not a byte-level file
+                out.extend(self.whole([" " + p for p in group]))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.uncut.search(t) else t.split(" ") for t in texts]
+        cut = [t.split(" ") for t in texts]
         if len(self.young) >= MEMO:  # keep what was used since the last time
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        starts = iter(self.whole([pieces[0] for pieces in cut if pieces]))
         seen: set[str] = set()
         for pieces in cut:
-            if pieces:
-                seen.update(pieces[1:])
-        new = []
+            seen.update(pieces[1:])
+        new, odd = [], set()
         for p in seen:
             if p not in young:
                 known = old.get(p)
-                if known is None:
-                    new.append(p)
-                else:
+                if known is not None:
                     young[p] = known
-        young.update(zip(new, self.whole([" " + p for p in new])))
+                elif p and p == p.strip() and not self.special.search(p):
+                    new.append(p)
+                else:  # beside other blanks, or with a special string
+                    odd.add(p)
+        young.update(zip(new, self.after_space(new)))
+        uncut = [not pieces[0] or pieces[0][-1].isspace() or bool(self.special.search(pieces[0]))
+                 or not odd.isdisjoint(pieces[1:]) or any(s in t for s in self.spaced) for t, pieces in zip(texts, cut)]
         get = young.__getitem__
-        rest = iter(self.whole([t for t, pieces in zip(texts, cut) if pieces is None]))
-        return [next(rest) if pieces is None else next(starts) + b"".join(map(get, pieces[1:])) for pieces in cut]
+        starts = iter(self.whole([pieces[0] for pieces, no in zip(cut, uncut) if not no]))
+        rest = iter(self.whole([t for t, no in zip(texts, uncut) if no]))
+        return [next(rest) if no else next(starts) + b"".join(map(get, pieces[1:])) for pieces, no in zip(cut, uncut)]
 
 
 _encoders: dict[str, TextEncoder] = {}

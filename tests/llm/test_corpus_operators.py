@@ -278,6 +278,15 @@ def test_coder_round_trip():
     assert one == two  # a block does not depend on the one before it
 
 
+@pytest.mark.parametrize("text", [
+    "", " ", "a", "a ", " a", "a  b", "a\n b", "a \nb", "a b\n", "\na b", "a<|endoftext|>b c", "x <|endoftext|> y",
+    "a\u00a0b c", "a \u00a0b", "\u3000 a", "e \u0301x", "\x1c a b", "a\x85 b", "it's don't 12 34 !! ?", "a\tb c", "a b\t"])
+def test_pieces_as_the_library_splits_them(byte_tokenizer, text):
+    encoder = token_files.TextEncoder(byte_tokenizer)
+    many = [text, f"x {text} y", f"{text}{text} z", prose(len(text), 700)]
+    assert encoder.encode(many) == encoder.whole(many) == encoder.encode(many)
+
+
 def test_text_encoder_against_the_library(byte_tokenizer, monkeypatch):
     from tokenizers import Tokenizer
     library, encoder = Tokenizer.from_file(byte_tokenizer), token_files.TextEncoder(byte_tokenizer)
