@@ -26,7 +26,8 @@ from prefspark.operators import encode as en
 from prefspark.operators import evaluate as ev
 from prefspark.operators import heads as hd
 from prefspark.operators import pairs as pr
-from prefspark.operators.scoring import pack_scores, score_heads
+from prefspark.operators.scoring import explode_scores, pack_scores, score_heads_packed
+from prefspark.session import path_exists
 from prefspark.sources import readers as rd
 from prefspark.sources import writers as wr
 
@@ -102,12 +103,14 @@ def evaluate(vectors: DataFrame, heads: DataFrame, section_map: Mapping | None =
     """Stage 3a.  Per-head subset accuracy; with a section map the section
     scores and overall; with ``n_tasks`` the task accuracies.  With
     ``out_path`` the scores and accuracies are written (K5, K9), replacing
-    those of an earlier run, and the results come from the written scores; ``adapt_from_scores`` reads them."""
+    those of an earlier run, and the results come from the written scores (one
+    packed row per pair); ``adapt_from_scores`` reads them without a shuffle of pairs."""
     keep = [c for c in ("pair_id", "subset", "task_id") if c in vectors.columns]
-    scored = ev.with_win(score_heads(vectors, heads, keep=keep))
+    packed, ids = score_heads_packed(vectors.select(*keep, "chosen", "rejected"), heads)
     if out_path is not None:
-        scored.write.mode("overwrite").parquet(f"{out_path}/scores")
-        scored = vectors.sparkSession.read.parquet(f"{out_path}/scores")
+        wr.write_packed_scores(packed, ids, out_path)
+        packed, ids = rd.read_packed_scores(vectors.sparkSession, out_path)
+    scored = ev.with_win(explode_scores(packed, ids, keep))
     out = {"subset_accuracy": ev.subset_accuracy(scored)}
     if section_map is not None:
         if counts is None:
@@ -143,16 +146,29 @@ def adapt_from_scores(spark: SparkSession, scores_path: str, head_sets: Mapping[
                       section_map: Mapping | None = None, counts: Mapping | None = None,
                       n_tasks: int | None = None, mode: str = "normalised",
                       out_path: str | None = None, group_by: str | None = None) -> dict[str, DataFrame]:
-    """Stage 3b on the scores that ``evaluate`` wrote, instead of vectors."""
-    scores, _ = rd.read_combined_scores(spark, scores_path)
-    keep = [c for c in ("subset", "task_id") if c in scores.columns]
-    ids = sorted(r.head_id for r in scores.select("head_id").distinct().toLocalIterator())  # one per head
-    packed = _grouped(pack_scores(scores, ["pair_id", *keep]), section_map, counts, n_tasks, group_by)
-    packed = ad.materialise_table(packed.select("pair_id", "grp", *keep, "sc", "sr"))
+    """Stage 3b on written scores, instead of vectors: the packed rows that
+    ``evaluate`` leaves are read as they are (no shuffle of pairs, no second
+    copy); long rows of ``write_combined_scores`` are packed first, by one
+    shuffle on the pair."""
+    packed, ids, keep = handed_over(spark, scores_path, section_map, counts, n_tasks, group_by)
     a = ad.adapt_grid_packed(packed, ids, head_sets, ks, temperatures, seeds, mode, keep)
     return _report(a, section_map, counts, n_tasks, out_path)
 
 
+def handed_over(spark: SparkSession, path: str, section_map: Mapping | None = None, counts: Mapping | None = None,
+                n_tasks: int | None = None, group_by: str | None = None) -> tuple[DataFrame, list[int], list[str]]:
+    """Packed pairs with their group, the head ids and the kept columns, from
+    the scores at ``path``."""
+    long = path_exists(spark, f"{path}/scores")
+    scores, ids = (rd.read_combined_scores(spark, path)[0], []) if long else rd.read_packed_scores(spark, path)
+    keep = [c for c in ("subset", "task_id") if c in scores.columns]
+    if long:
+        ids = sorted(r.head_id for r in scores.select("head_id").distinct().toLocalIterator())  # one per head
+        scores = pack_scores(scores, ["pair_id", *keep])
+    packed = _grouped(scores, section_map, counts, n_tasks, group_by).select("pair_id", "grp", *keep, "sc", "sr")
+    return ad.materialise_table(packed) if long else packed, ids, keep
+
+
 def _grouped(pairs: DataFrame, section_map, counts, n_tasks, group_by) -> DataFrame:
     """Add ``grp``; raises when the report's constants are missing."""
     if section_map is not None and counts is None:

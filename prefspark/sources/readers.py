@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from prefspark.operators.adapt import checked_broadcast
 from prefspark.operators.pairs import with_pair_id
+from prefspark.operators.scoring import explode_scores
+from prefspark.session import path_exists
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 MESSAGES = T.ArrayType(MESSAGE)
@@ -211,10 +213,21 @@ def read_combined_scores_object(spark: SparkSession, path: str) -> DataFrame:
         F.col("x.t").alias("subset"), F.col("x.c").alias("s_chosen"), F.col("x.r").alias("s_rejected"))
 
 
+def read_packed_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, list[int]]:
+    """S7 (hand-over form written by ``write_packed_scores``): one row per pair
+    and the head ids in the order of its arrays (a row a head)."""
+    order = spark.read.schema("position int, head_id bigint").parquet(f"{folder}/packed_heads").orderBy("position")
+    return spark.read.parquet(f"{folder}/packed"), [r.head_id for r in order.toLocalIterator()]
+
+
 def read_combined_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """S7 (split layout written by ``write_combined_scores``): scores and
-    per-head accuracies."""
-    scores = spark.read.parquet(f"{folder}/scores")
+    """Scores and per-head accuracies, from the long rows that
+    ``write_combined_scores`` leaves or, where there are none, from the packed
+    ones of ``write_packed_scores`` (exploded in place, no shuffle)."""
+    if path_exists(spark, f"{folder}/scores"):
+        scores = spark.read.parquet(f"{folder}/scores")
+    else:
+        scores = explode_scores(*read_packed_scores(spark, folder))
     acc = spark.read.parquet(f"{folder}/accuracy")
     return scores, acc
 

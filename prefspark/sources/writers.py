@@ -7,11 +7,12 @@ the caller chooses (on a cluster: a shared folder).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prefspark.session import path_exists, remove_path
 from prefspark.sources.readers import MANIFEST_OPTIONS, manifest_cell
 
 N_BUCKETS_DEFAULT = 64
@@ -84,11 +85,29 @@ def write_head_scores(scores: DataFrame, path: str, mode: str = "overwrite", n_h
 
 def write_combined_scores(scores: DataFrame, accuracy: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K5: the combined result as two tables: scores per (head, pair) and
-    per-head accuracies (overall and per task)."""
+    per-head accuracies (overall and per task).  Overwriting replaces packed
+    scores at the path too: a folder holds one form."""
+    if mode == "overwrite":
+        remove_path(scores.sparkSession, f"{path}/packed")
     scores.write.mode(mode).parquet(f"{path}/scores")
     accuracy.write.mode(mode).parquet(f"{path}/accuracy")
 
 
+def write_packed_scores(packed: DataFrame, head_ids: Sequence[int], path: str, mode: str = "overwrite") -> None:
+    """K5, hand-over form: one row per pair with ``sc`` / ``sr`` in the order of
+    ``head_ids``, and the order as a table of its own, written first.  A pair
+    stays one row from scoring to adaptation, so neither side shuffles pairs;
+    ``read_combined_scores`` gives the long rows.  Null scores stay null, other
+    columns are kept, an empty table gives an empty one.  Overwriting replaces
+    long rows at the path too: a folder holds one form."""
+    spark = packed.sparkSession
+    if mode == "overwrite":
+        remove_path(spark, f"{path}/scores")
+    order = spark.createDataFrame(list(enumerate(map(int, head_ids))), "position int, head_id bigint")
+    order.coalesce(1).write.mode(mode).parquet(f"{path}/packed_heads")
+    packed.write.mode(mode).parquet(f"{path}/packed")
+
+
 def write_subset_accuracy(acc: DataFrame, path: str, as_object: bool = False, mode: str = "overwrite") -> None:
     """K9: per-head subset accuracies.  Default: JSON lines; ``as_object``:
     one sorted JSON object per head (``{subset: accuracy}``), grouped by head
@@ -118,7 +137,6 @@ def materialise_once(spark: SparkSession, path: str, builder: Callable[[], DataF
     """K8: reuse the finished table at ``path``; build and write it when it is
     missing or lacks the success mark that Spark's committer leaves last (an
     aborted write, or one whose parts were removed with its mark)."""
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         builder().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -88,3 +88,42 @@ def test_resume_does_not_take_faults_for_a_first_run(spark):
     vecs.withColumnRenamed("pair_id", "id").withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(other)
     with pytest.raises(Exception, match="pair_id"):
         stages.extract(spark, pairs, en.hashing_encoder(8), other, n_buckets=2)
+
+
+def test_scores_are_handed_over_without_a_shuffle_of_pairs(spark):
+    """Packed scores reach the adaptation with no exchange but the broadcast
+    of the section map; long rows give the same report, and a folder that is
+    written again holds only the form written last."""
+    vectors, heads = fx.vec_pairs(spark, SF_SMALL), fx.heads(spark, SF_SMALL)
+    how = {"section_map": fx.SECTION_MAP, "counts": fx.EXAMPLE_COUNTS}
+    path, other = scratch_path(spark, "handed-over"), scratch_path(spark, "handed-long")
+
+    def report(at):
+        rows = stages.adapt_from_scores(spark, at, None, [3], seeds=2, **how)["statistics"].collect()
+        return sorted((r.metric, round(r.mean, 9), round(r.std, 9)) for r in rows)
+    stages.evaluate(vectors, heads, n_tasks=fx.N_TASKS, out_path=path)
+    packed, ids, _ = stages.handed_over(spark, path, **how)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "") and "Sort" not in plan
+    scores, accuracy = rd.read_combined_scores(spark, path)
+    assert ids == list(range(2 * fx.N_COMPONENTS)) and accuracy.count() > 0
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    wr.write_combined_scores(scores, accuracy, other)
+    want = report(path)
+    assert len(want) > 0 and report(other) == want
+    assert rd.read_combined_scores(spark, other)[0].exceptAll(scores).count() == 0
+    stages.evaluate(vectors, heads.filter("head_id < 4"), n_tasks=fx.N_TASKS, out_path=other)
+    assert {r[0] for r in rd.read_combined_scores(spark, other)[0].select("head_id").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_packed_hand_over_of_edge_rows(spark):
+    """Null scores and repeated rows stay; an empty table is an empty one."""
+    rows = [(1, [1.0, 2.0], [0.0, 1.0]), (1, [1.0, 2.0], [0.0, 1.0]), (None, None, [3.0, 4.0])]
+    packed = spark.createDataFrame(rows, "pair_id long, sc array<double>, sr array<double>")
+    path = scratch_path(spark, "packed-edges")
+    wr.write_packed_scores(packed, [7, 9], path)
+    back, ids = rd.read_packed_scores(spark, path)
+    assert ids == [7, 9] and sorted(map(repr, back.collect())) == sorted(map(repr, packed.collect()))
+    wr.write_packed_scores(packed.limit(0), [7, 9], path)
+    assert rd.read_packed_scores(spark, path)[0].count() == 0
