@@ -12,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,34 @@ def embed_pairs(df: DataFrame, make_encoder: Callable[[], PredictFn],
     return df.withColumn(out[0], enc(F.col(texts[0]))).withColumn(out[1], enc(F.col(texts[1])))
 
 
+def token_ids(text: Column, make_tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Column:
+    """Ids of a text by a user-supplied tokenizer, made once per worker and
+    given Arrow batches; null texts are empty."""
+    made: list = []
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(make_tokenizer())
+        return pa.array(made[0]([t or "" for t in texts.to_pylist()]), pa.list_(pa.int32()))
+    return ids(text)
+
+
+def hidden_at(ids: Column, positions: Column, make_encoder: Callable) -> Column:
+    """Hidden states of a sequence at the asked positions, in their order, by
+    ``make_encoder()`` (``lists of ids, lists of positions -> one (positions,
+    d) array a sequence``); positions asked for nothing give an empty array."""
+    made: list = []
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+    def states(sequences: pa.Array, at: pa.Array) -> pa.Array:
+        if not made:
+            made.append(make_encoder())
+        return pa.array([np.asarray(h, np.float32).tolist() for h in made[0](sequences.to_pylist(), at.to_pylist())],
+                        pa.list_(pa.list_(pa.float32())))
+    return states(ids, positions)
+
+
 def hashing_encoder(dim: int = 64) -> Callable[[], PredictFn]:
     """A small deterministic stand-in encoder for tests and fixtures: signed
     hashed counts of every space-separated token of the whole text.  Token t

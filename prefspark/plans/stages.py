@@ -17,10 +17,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefspark.functions import messages as msg
+from prefspark.functions import tokens as tok
 from prefspark.operators import adapt as ad
 from prefspark.operators import encode as en
 from prefspark.operators import evaluate as ev
@@ -79,6 +80,47 @@ def extract(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_p
     return rd.read_embeddings(spark, out_path).drop("bucket")
 
 
+def extract_tokens(spark: SparkSession, pairs: DataFrame, make_tokenizer: Callable, make_encoder: Callable,
+                   out_path: str, max_tokens: int, family: str = "gemma2", truncation: str | None = None,
+                   boundary: bool = False, n_buckets: int = 64) -> DataFrame:
+    """Stage 1 on token ids, for encoders whose length rules count tokens.
+
+    Both sides are rendered for ``family`` and tokenized whole.  With
+    ``truncation`` ("right" or "left") sequences keep their first or last
+    ``max_tokens`` ids; without, pairs with a longer side are left out (P14).
+    With ``boundary`` the end of the prompt is looked for in the chosen ids
+    (the family's marker, as kept after truncation), pairs where it is not
+    below ``max_tokens`` are left out (P15), and ``prompt_prev`` and
+    ``prompt_last`` are the states around it (null where the marker starts
+    the sequence) beside those of the last tokens in ``chosen`` and
+    ``rejected``: the four slots of a pair.  A pair with an empty sequence has
+    null vectors there.  Pairs in ``out_path`` are skipped, so a rerun
+    resumes.  Returns the table as read back."""
+    todo = _missing(pairs, out_path, lambda: rd.read_embeddings(spark, out_path))
+    sides = ("chosen", "rejected")
+    rows = todo.select("*", *[en.token_ids(msg.render_chat(s, family), make_tokenizer).alias(f"_{s}_ids") for s in sides])
+    if truncation is None:
+        rows = pr.filter_max_len(rows, "_chosen_ids", "_rejected_ids", max_tokens)
+    else:
+        rows = rows.withColumns({f"_{s}_ids": tok.truncate(f"_{s}_ids", max_tokens, truncation) for s in sides})
+    p = F.lit(0)
+    if boundary:
+        rows = rows.withColumn("_p", tok.prompt_length("_chosen_ids", family))
+        rows, p = pr.filter_prompt_len(rows, "_p", max_tokens)[0], F.col("_p")
+
+    def last(s: str) -> Column:
+        n = F.size(f"_{s}_ids")
+        return F.when(n > 0, F.array(n - 1)).otherwise(F.array().cast("array<int>"))
+    around = F.when(p >= 1, F.array(p - 1, p)).otherwise(F.array()).cast("array<int>")
+    rows = rows.withColumns({"_c": en.hidden_at(F.col("_chosen_ids"), F.concat(last("chosen"), around), make_encoder),
+                             "_r": en.hidden_at(F.col("_rejected_ids"), last("rejected"), make_encoder)})
+    slots = [F.get("_c", F.lit(1)).alias("prompt_prev"), F.get("_c", F.lit(2)).alias("prompt_last")] if boundary else []
+    keep = [c for c in ("subset", "task_id", "source", "margin") if c in pairs.columns]
+    vecs = rows.select("pair_id", *keep, F.get("_c", F.lit(0)).alias("chosen"), F.get("_r", F.lit(0)).alias("rejected"), *slots)
+    wr.write_embeddings(vecs, out_path, n_buckets, mode="append")
+    return spark.read.schema(vecs.schema).parquet(out_path).drop("bucket")  # an empty table leaves no file to read a schema from
+
+
 @dataclass
 class Decomposition:
     pca: hd.PCAResult
