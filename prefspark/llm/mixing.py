@@ -1,12 +1,13 @@
 """Mixing sources to target weights.
 
 The words of each source, in doc_id order, are packed into blocks of a fixed
-length.  A source's target gives the number of blocks to draw from it; the
-draws are dealt over output shards by multinomial draws (halving the shard
-range by binomials down to a group of shards, then one multinomial within
-the group), so every shard's counts follow from the seed alone and a
-source's counts add up to its total.  The draws of a source are numbered in
-shard order and mapped through a pseudorandom permutation of its blocks, one
+length.  A source's target gives the number of blocks to draw from it.  Every
+output shard draws the multinomial counts of its slots over the sources, each
+in proportion to its draws; the counts follow from the seed, the shard and the
+sources alone.  The slots of a source are numbered in shard order.  The few
+beyond a source's draws go, one for one, to the sources that came out short, so
+every shard keeps its length and every source meets its target.  Slots are
+mapped through a pseudorandom permutation of the source's blocks, one
 permutation per pass, and joined to the blocks by (source, index).
 """
 
@@ -26,7 +27,9 @@ SHARE = 1.5
 PASSES = 2
 BLOCK = 128
 SHARD_SLOTS = 8192
-GROUP = 16
+GROUP = 16  # shards a row stands for before its slots are made
+BINS = 4096  # bins of draws at least
+RUN_SLOTS = 1 << 20  # slots permuted at once
 SEED = 20240607
 
 
@@ -60,22 +63,6 @@ def permuted(index: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def group_draws(total: int, n_shards: int, group: int, key: tuple[int, ...]) -> tuple[int, np.ndarray]:
-    """Draws of one source in a group of shards: (draws before the group,
-    counts of the group's shards)."""
-    lo, hi, before = 0, -(-n_shards // GROUP), 0
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        shards_left, shards = (mid - lo) * GROUP, min(hi * GROUP, n_shards) - lo * GROUP
-        left = int(np.random.default_rng((*key, lo, hi)).binomial(total, shards_left / shards)) if total else 0
-        if group < mid:
-            total, hi = left, mid
-        else:
-            before, total, lo = before + left, total - left, mid
-    n = min((lo + 1) * GROUP, n_shards) - lo * GROUP
-    return before, np.random.default_rng((*key, lo, hi)).multinomial(total, np.full(n, 1 / n))
-
-
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: float = PASSES) -> DataFrame:
     """source, rank, source_size, target: one row per source.
 
@@ -105,32 +92,76 @@ def with_draws(sources: DataFrame, block: int, passes: float) -> DataFrame:
     return sources.withColumns({"n_blocks": n.cast("long"), "draws": F.floor(draws).cast("long")})
 
 
-def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """All draws: rank, block, pass, shard.  One task row is a source and a
-    group of shards, so a large source is many rows."""
-    total = F.sum("draws").over(Window.partitionBy(F.lit(0)))
-    shards = F.greatest(F.ceil(total / shard_slots), F.lit(1)).cast("long")
-    jobs = sources.where("draws > 0").withColumn("shards", shards).select(
-        "rank", "n_blocks", "draws", "shards", F.explode(F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / GROUP)
-                                                                   .cast("int"))).alias("grp"))
+def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """shard, rank, count: the multinomial counts of every shard's slots.
+
+    A slot's hash falls on one of all draws, and the source that holds this
+    draw gets the slot.  Sources and slots meet in bins of draws, about four a
+    source at the least, so no slot is compared with all sources.
+    """
+    everything = Window.partitionBy(F.lit(0))
+    upto = F.sum("draws").over(Window.orderBy("rank"))
+    given = sources.where("draws > 0").select(
+        "rank", (upto - F.col("draws")).alias("lo"), upto.alias("hi"), F.sum("draws").over(everything).alias("total"),
+        F.count(F.lit(1)).over(everything).alias("n"))
+    given = given.withColumn("width", F.ceil(F.col("total") / (BINS + 4 * F.col("n"))).cast("long"))
+    bins = given.select("rank", "lo", "hi", F.explode(F.expr("sequence(lo div width, (hi - 1) div width)")).alias("bin"))
+    slot = given.agg(F.max("total").alias("total"), F.max("width").alias("width"))
+    slot = slot.withColumn("shards", F.ceil(F.col("total") / shard_slots).cast("long"))
+    slot = slot.select("*", F.explode(F.expr(f"sequence(0L, (shards - 1) div {GROUP})")).alias("grp"))
+    # with a number, as the planner would merge the few small rows to one task, which then made every draw
+    slot = slot.repartition(4 * sources.sparkSession.sparkContext.defaultParallelism, "grp")
+    slot = slot.select("*", F.explode(F.expr(f"sequence(grp * {GROUP}, least((grp + 1) * {GROUP}, shards) - 1)")).alias("shard"))
+    slot = slot.select("*", F.explode(F.expr(
+        f"sequence(0L, least({shard_slots}L, total - shard * {shard_slots}) - 1)")).alias("slot"))
+    slot = slot.select("shard", "width", F.pmod(F.xxhash64(F.lit(seed).cast("long"), "shard", "slot"), "total").alias("at"))
+    slot = slot.withColumn("bin", F.expr("at div width"))
+    held = (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
+    return slot.join(bins, "bin").where(held).groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("count"))
+
+
+def slot_runs(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """rank, n_blocks, shard, first, n: runs of a source's slot numbers, which
+    add up to exactly ``draws`` of every source and ``shard_slots`` of every
+    shard (the last one takes the rest)."""
+    counts = running_total(shard_counts(sources, shard_slots, seed), ["rank"], ["shard"], "count", "start")
+    got = counts.groupBy(F.col("rank").alias("_rank")).agg(F.sum("count").alias("got"))
+    all_got = sources.where("draws > 0").join(got, F.col("rank") == F.col("_rank"), "left")
+    all_got = all_got.select("rank", "n_blocks", "draws", F.coalesce("got", F.lit(0)).alias("got"))
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # one row a source
+    all_got = all_got.withColumns({"over": F.greatest(F.col("got") - F.col("draws"), F.lit(0)),
+                                   "short": F.greatest(F.col("draws") - F.col("got"), F.lit(0))})
+    all_got = all_got.withColumns({"over_at": F.coalesce(F.sum("over").over(before), F.lit(0)),
+                                   "short_at": F.coalesce(F.sum("short").over(before), F.lit(0))})
+    runs = counts.join(all_got.select("rank", "n_blocks", "draws", "over_at"), "rank")
+    runs = runs.withColumn("n", F.greatest(F.least(F.col("draws") - F.col("start"), F.col("count")), F.lit(0)))
+    own = runs.where("n > 0").select("rank", "n_blocks", "shard", F.col("start").alias("first"), "n")
+    spare = runs.where("n < count").select("shard", F.explode(F.expr(
+        "sequence(over_at + greatest(start - draws, 0), over_at + start + count - draws - 1)")).alias("unit"))
+    wanted = all_got.where("short > 0").select("rank", "n_blocks", "got", "short_at", F.explode(
+        F.expr("sequence(short_at, short_at + short - 1)")).alias("unit"))
+    moved = spare.join(wanted, "unit").select("rank", "n_blocks", "shard", F.expr("got + unit - short_at").alias("first"),
+                                              F.lit(1).cast("long").alias("n"))
+    return own.unionByName(moved)
+
 
+def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """All draws: rank, block, pass, shard.  A run holds one shard's slots of a
+    source at most, so a large source is many runs."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for r in frame.itertuples(index=False):
-                at, counts = group_draws(r.draws, r.shards, r.grp, (seed, r.rank))
-                for i, count in enumerate(counts):
-                    number = np.arange(at, at + count)
-                    at += count
-                    index = np.empty(count, np.int64)
-                    for p in np.unique(number // r.n_blocks):
-                        own = number // r.n_blocks == p
-                        index[own] = permuted(number[own] % r.n_blocks, r.n_blocks, (seed, r.rank, int(p)))
-                    yield pd.DataFrame({"rank": np.full(count, r.rank, np.int32), "block": index,
-                                        "pass": (number // r.n_blocks).astype(np.int32),
-                                        "shard": np.full(count, r.grp * GROUP + i, np.int64)})
-    # with a number, as the planner would merge the few small rows to one task, which then made every draw
+            for (rank, _), part in frame.groupby(["rank", frame.n.cumsum() // RUN_SLOTS]):
+                n, blocks = part.n.to_numpy(), int(part.n_blocks.iloc[0])
+                number = np.repeat(part["first"].to_numpy() - np.cumsum(n) + n, n) + np.arange(n.sum())
+                turn = number // blocks
+                index = np.empty(len(number), np.int64)
+                for p in np.unique(turn):
+                    index[turn == p] = permuted(number[turn == p] % blocks, blocks, (seed, int(rank), int(p)))
+                yield pd.DataFrame({"rank": np.full(len(number), rank, np.int32), "block": index,
+                                    "pass": turn.astype(np.int32), "shard": np.repeat(part.shard.to_numpy(), n)})
     tasks = 4 * sources.sparkSession.sparkContext.defaultParallelism
-    return jobs.repartition(tasks, "rank", "grp").mapInPandas(run, "rank int, block long, pass int, shard long")
+    return slot_runs(sources, shard_slots, seed).repartition(tasks, "rank", "shard").mapInPandas(
+        run, "rank int, block long, pass int, shard long")
 
 
 def packed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: float = PASSES, block: int = BLOCK

@@ -2,10 +2,12 @@
 
 import itertools
 import random
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from prefspark.llm import decontaminate, id_coder, mixing, near_dedup, quality, token_files
@@ -244,18 +246,71 @@ def test_mix_targets_and_words(spark, edge_docs, no_docs):
     assert mixing.mix_documents(edge_docs).columns == edge_docs.columns
 
 
-def test_draws_are_dealt_once():
-    for total, shards in ((0, 1), (1000, 1), (5000, 37), (90000, 200)):
-        at = 0
-        for g in range(-(-shards // mixing.GROUP)):
-            before, counts = mixing.group_draws(total, shards, g, (1, 2))
-            assert before == at and len(counts) == min(mixing.GROUP, shards - g * mixing.GROUP)
-            at += counts.sum()
-        assert at == total
+def brute_slots(draws, blocks, shard_slots, seed=mixing.SEED):
+    """(shard, source, block, pass) of every slot, one slot after the other:
+    each hash picks one of all draws; slots beyond a source's draws go, in
+    order of source and shard, to the sources that came out short."""
+    owner = [i for i, n in enumerate(draws) for _ in range(n)]
+    got, spare = [[] for _ in draws], []
+    for at in range(len(owner)):
+        h = 42
+        for v in (seed, at // shard_slots, at % shard_slots):
+            h = xxhash.xxh64(struct.pack("<q", v), seed=h).intdigest()
+        got[owner[(h - (h >> 63 << 64)) % len(owner)]].append(at // shard_slots)
+    for shards, n in zip(got, draws):
+        spare += shards[n:]
+        del shards[n:]
+    for shards, n in zip(got, draws):
+        while len(shards) < n:
+            shards.append(spare.pop(0))
+    assert not spare
+    out = []
+    for i, (shards, n) in enumerate(zip(got, blocks)):
+        for number, shard in enumerate(shards):
+            turn = number // n
+            out.append((shard, i, int(mixing.permuted(np.array([number % n]), n, (seed, i, turn))[0]), turn))
+    return sorted(out)
+
+
+def test_draws_of_shards_over_sources(spark):
+    for draws, blocks in (((700, 5, 1, 0, 294), (350, 9, 1, 3, 200)), ((1,), (1,)), ((0, 0), (4, 1))):
+        sources = spark.createDataFrame([(i, n, d) for i, (n, d) in enumerate(zip(blocks, draws))],
+                                        "rank int, n_blocks long, draws long")
+        got = mixing.slots(sources, 64).select("shard", "rank", "block", "pass")
+        assert sorted(map(tuple, got.collect())) == brute_slots(draws, blocks, 64)
+        lengths = {r.shard: r["count"] for r in got.groupBy("shard").count().collect()}
+        assert lengths == {s: min(64, sum(draws) - 64 * s) for s in range(-(-sum(draws) // 64))}
+    assert mixing.slots(sources.limit(0)).count() == 0
     for n in (1, 2, 3, 17, 256, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, (5,))) == list(range(n))
 
 
+def test_counts_of_shards_are_multinomial(spark):
+    sources = spark.createDataFrame([(0, 1, 30000), (1, 1, 60000), (2, 1, 10000)], "rank int, n_blocks long, draws long")
+    counts = mixing.shard_counts(sources, 100).groupBy("shard").pivot("rank", [0, 1, 2]).sum("count").fillna(0).toPandas()
+    p = np.array([0.3, 0.6, 0.1])
+    have = counts[["0", "1", "2"]].to_numpy()
+    assert len(have) == 1000 and (have.sum(1) == 100).all()
+    assert have.mean(0) == pytest.approx(100 * p, rel=0.03)
+    assert np.cov(have.T) == pytest.approx(100 * (np.diag(p) - np.outer(p, p)), rel=0.25, abs=1.5)
+
+
+def test_taken_equals_brute_force(spark, edge_docs):
+    rng = random.Random(3)
+    rows = [doc(i, prose(i, rng.randint(0, 90)) if i % 13 else None, rng.choice(["a", "a", "a", "b", "z", None])) for i in range(150)]
+    got = {r.doc_id: r.taken for r in mixing.mix_sizes(spark.createDataFrame(rows, edge_docs.schema), block=16, shard_slots=32).collect()}
+    names = ["a", "b", "z", None]
+    streams = [[r[0] for r in sorted(rows, key=lambda r: r[0]) if r[3] == s for _ in (r[1] or "").split()] for s in names]
+    target = water_level([len(s) for s in streams])
+    blocks = [-(-len(s) // 16) for s in streams]
+    draws = [int(min(round(t * n / max(len(s), 1)), 2 * n)) for s, t, n in zip(streams, target, blocks)]
+    want = {r[0]: 0 for r in rows}
+    for _, i, block, _ in brute_slots(draws, blocks, 32):
+        for d in streams[i][16 * block:16 * block + 16]:
+            want[d] += 1
+    assert got == want
+
+
 # token files
 
 def test_coder_round_trip():
