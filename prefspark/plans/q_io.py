@@ -17,6 +17,7 @@ from prefspark.plans import fixtures as fx
 from prefspark.plans.q_adapt import K_SECTION, adapt_sql, board_sql, STATS_SELECT, W
 from prefspark.plans.registry import query, rnd
 from prefspark.session import scratch_path
+from prefspark.sources import objects as ob
 from prefspark.sources import readers as rd
 from prefspark.sources import writers as wr
 from prefspark.streaming.incremental import score_new_pairs
@@ -124,6 +125,21 @@ def s6_read_head_scores(spark, sf):
                     F.round("s_rejected", 6).alias("s_rejected"))
 
 
+@query("s6_read_head_score_objects", """
+SELECT head_id, CAST(row_number() OVER (PARTITION BY head_id ORDER BY pair_id) - 1 AS BIGINT) AS pair_index,
+       CAST(pair_id AS VARCHAR) AS id, 'set "' || CAST(subset AS VARCHAR) || '",' AS subset,
+       round(s_chosen, 6) + 0.0 AS s_chosen, round(s_rejected, 6) + 0.0 AS s_rejected
+FROM fx_scores""")
+def s6_read_head_score_objects(spark, sf):
+    """One object a head, written and read as lines."""
+    path = scratch_path(spark, "head-objects")
+    named = fx.scores(spark, sf).withColumn("subset", F.concat(F.lit('set "'), F.col("subset").cast("string"), F.lit('",')))
+    ob.write_head_score_objects(named, path)
+    s = ob.read_head_score_objects(spark, path)
+    return s.select("head_id", "pair_index", "id", "subset", F.round("s_chosen", 6).alias("s_chosen"),
+                    F.round("s_rejected", 6).alias("s_rejected"))
+
+
 WIN_SQL = "CASE WHEN round(s_chosen - s_rejected, 9) > 0 THEN 1 ELSE 0 END"
 
 
@@ -155,6 +171,20 @@ def s7_combined_score_positions(spark, sf):
                        F.round("s_rejected", 6).alias("s_rejected"))
 
 
+@query("s7_read_combined_score_object", """
+SELECT head_id, CAST(row_number() OVER (PARTITION BY head_id ORDER BY pair_id) - 1 AS BIGINT) AS pair_index,
+       CAST(task_id AS INTEGER) AS subset, round(s_chosen, 6) + 0.0 AS s_chosen, round(s_rejected, 6) + 0.0 AS s_rejected
+FROM fx_scores""")
+def s7_read_combined_score_object(spark, sf):
+    """One object with all heads, written and read as lines."""
+    path = scratch_path(spark, "combined-object")
+    s = ev.with_win(fx.scores(spark, sf))
+    ob.write_combined_score_object(s, ev.task_accuracy(s, fx.N_TASKS), path)
+    back = ob.read_combined_score_pieces(spark, path)
+    return back.select("head_id", "pair_index", "subset", F.round("s_chosen", 6).alias("s_chosen"),
+                       F.round("s_rejected", 6).alias("s_rejected"))
+
+
 @query("s8_read_heads", """
 SELECT name, CAST(row_number() OVER (ORDER BY CASE WHEN name = 'extra-head' THEN 1 ELSE 0 END, head_id) - 1 AS BIGINT)
        AS head_id, component, sign
