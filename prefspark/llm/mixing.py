@@ -30,6 +30,7 @@ SHARD_SLOTS = 8192
 GROUP = 16  # shards a row stands for before its slots are made
 BINS = 4096  # bins of draws at least
 RUN_SLOTS = 1 << 20  # slots permuted at once
+MAX_BROADCAST = 64 << 20
 SEED = 20240607
 
 
@@ -92,6 +93,12 @@ def with_draws(sources: DataFrame, block: int, passes: float) -> DataFrame:
     return sources.withColumns({"n_blocks": n.cast("long"), "draws": F.floor(draws).cast("long")})
 
 
+def small_side(rows: DataFrame, width: int) -> DataFrame:
+    """Broadcast ``rows`` of ``width`` bytes if their counted size allows it;
+    else they are sorted and merged."""
+    return rows.hint("broadcast" if rows.count() * width <= MAX_BROADCAST else "merge")
+
+
 def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """shard, rank, count: the multinomial counts of every shard's slots.
 
@@ -117,7 +124,8 @@ def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
     slot = slot.select("shard", "width", F.pmod(F.xxhash64(F.lit(seed).cast("long"), "shard", "slot"), "total").alias("at"))
     slot = slot.withColumn("bin", F.expr("at div width"))
     held = (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
-    return slot.join(bins, "bin").where(held).groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("count"))
+    # all slots come from one row, so the planner would take them for the small side
+    return slot.join(small_side(bins, 5 * 8), "bin").where(held).groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("count"))
 
 
 def slot_runs(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -140,7 +148,7 @@ def slot_runs(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SE
         "sequence(over_at + greatest(start - draws, 0), over_at + start + count - draws - 1)")).alias("unit"))
     wanted = all_got.where("short > 0").select("rank", "n_blocks", "got", "short_at", F.explode(
         F.expr("sequence(short_at, short_at + short - 1)")).alias("unit"))
-    moved = spare.join(wanted, "unit").select("rank", "n_blocks", "shard", F.expr("got + unit - short_at").alias("first"),
+    moved = spare.join(wanted.hint("merge"), "unit").select("rank", "n_blocks", "shard", F.expr("got + unit - short_at").alias("first"),
                                               F.lit(1).cast("long").alias("n"))
     return own.unionByName(moved)
 
