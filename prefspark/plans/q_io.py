@@ -299,6 +299,34 @@ def k7_missing_pairs(spark, sf):
     return wr.missing_pairs(p.select("pair_id"), rd.read_embeddings(spark, path))
 
 
+@query("k7_committed_runs", """
+SELECT pair_id, subset, CASE WHEN pair_id % 3 = 0 THEN 0 ELSE 1 END AS run, 'prompt ' || CAST(pair_id AS VARCHAR) AS prompts
+FROM fx_vec_pairs""")
+def k7_committed_runs(spark, sf):
+    """Two sinks in runs: a third of the pairs, a run that breaks between its
+    sinks, and the rest; a reader sees both sinks of the finished ones."""
+    path = scratch_path(spark, "runs")
+    p = fx.vec_pairs(spark, sf)
+
+    def sinks(df, broken=False):
+        def texts(folder):
+            if broken:
+                raise InterruptedError
+            wr.write_manifest(df.select("pair_id", F.concat(F.lit("prompt "), F.col("pair_id").cast("string")).alias("prompts")), folder)
+        return {"vectors": lambda folder: wr.write_embeddings(df, folder, n_buckets=4), "manifest": texts}
+
+    def read(name, reader):
+        return wr.read_runs(spark, path, name, lambda folder: reader(spark, folder))
+    wr.append_run(spark, path, sinks(p.filter(F.col("pair_id") % 3 == 0)))
+    try:
+        wr.append_run(spark, path, sinks(p.filter(F.col("pair_id") % 3 == 1), broken=True))
+    except InterruptedError:
+        pass
+    wr.append_run(spark, path, sinks(p.join(read("vectors", rd.read_embeddings).select("pair_id"), "pair_id", "left_anti")))
+    texts = read("manifest", rd.read_manifest).select(F.col("pair_id").cast("bigint").alias("pair_id"), "run", "prompts")
+    return read("vectors", rd.read_embeddings).join(texts, ["pair_id", "run"]).select("pair_id", "subset", "run", "prompts")
+
+
 @query("k7_incremental_scoring_stream", """
 SELECT pair_id, subset, head_id, round(s_chosen, 6) + 0.0 AS s_chosen, round(s_rejected, 6) + 0.0 AS s_rejected
 FROM fx_scores""")

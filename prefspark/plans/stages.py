@@ -70,16 +70,56 @@ def extract(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_p
             F.col("pair_id").cast("bigint").alias("pair_id")))
         if max_len is not None:  # the pairs that have vectors, as written
             rest = rest.join(rd.read_embeddings(spark, out_path).select("pair_id"), "pair_id", "left_semi")
-        split = pr.split_pair(rest.select("pair_id", *[c for c in ("task_id",) if c in pairs.columns],
-                                           "chosen", "rejected"))
-        man = split.select("pair_id", F.col("prompt").alias("prompts"), F.col("chosen").alias("chosen_responses"),
-                           F.col("rejected").alias("rejected_responses"),
-                           F.concat(F.lit(out_path.rstrip("/") + "#"), F.col("pair_id").cast("string")).alias("cls_emb"),
-                           *[F.col("task_id").alias("task_ids")] * ("task_id" in pairs.columns))
-        wr.write_manifest(man, manifest_path, mode="append")
+        wr.write_manifest(_manifest(rest, out_path), manifest_path, mode="append")
     return rd.read_embeddings(spark, out_path).drop("bucket")
 
 
+def _manifest(pairs: DataFrame, vectors_path: str) -> DataFrame:
+    """The manifest rows (K2) of message pairs whose vectors are at a path."""
+    tasks = [c for c in ("task_id",) if c in pairs.columns]
+    split = pr.split_pair(pairs.select("pair_id", *tasks, "chosen", "rejected"))
+    return split.select("pair_id", F.col("prompt").alias("prompts"), F.col("chosen").alias("chosen_responses"),
+                        F.col("rejected").alias("rejected_responses"),
+                        F.concat(F.lit(vectors_path.rstrip("/") + "#"), F.col("pair_id").cast("string")).alias("cls_emb"),
+                        *[F.col(c).alias("task_ids") for c in tasks])
+
+
+def extract_run(spark: SparkSession, pairs: DataFrame, make_encoder: Callable, out_path: str,
+                family: str = "gemma2", max_len: int | None = None, n_buckets: int = 64,
+                batch_size: int = 64) -> tuple[DataFrame, DataFrame] | None:
+    """Stage 1 with vectors and manifest visible together: ``extract`` of the
+    pairs that no committed run holds, as one run of ``writers.append_run``.
+
+    The manifest is written for the pairs whose vectors the run has written.
+    A run killed at any point shows nothing and is done again by the next
+    call.  Without a new pair there is no run.  Returns (vectors, manifest) of
+    all committed runs with their ``run``, None if there is none.
+    """
+    def vectors() -> DataFrame | None:
+        return wr.read_runs(spark, out_path, "vectors", lambda p: rd.read_embeddings(spark, p))
+    done = vectors()
+    todo = pairs if done is None else wr.missing_pairs(pairs, done)
+    todo = todo.select("*", *[msg.render_chat(s, family).alias(f"{s}_text") for s in ("chosen", "rejected")])
+    if max_len is not None:
+        todo = todo.filter((F.length("chosen_text") <= max_len) & (F.length("rejected_text") <= max_len))
+    if not todo.isEmpty():
+        keep = [c for c in ("subset", "task_id", "source", "margin") if c in pairs.columns]
+        written = []
+
+        def write_vectors(path: str) -> None:
+            vecs = en.embed_pairs(todo, make_encoder, batch_size=batch_size)
+            wr.write_embeddings(vecs.select("pair_id", *keep, "chosen", "rejected"), path, n_buckets)
+            written.append(path)
+
+        def write_texts(path: str) -> None:
+            own = rd.read_embeddings(spark, written[0]).select("pair_id").distinct()
+            wr.write_manifest(_manifest(pairs.join(own, "pair_id", "left_semi"), written[0]), path)
+        wr.append_run(spark, out_path, {"vectors": write_vectors, "manifest": write_texts})
+    if (out := vectors()) is None:
+        return None
+    return out.drop("bucket"), wr.read_runs(spark, out_path, "manifest", lambda p: rd.read_manifest(spark, p))
+
+
 def extract_tokens(spark: SparkSession, pairs: DataFrame, make_tokenizer: Callable, make_encoder: Callable,
                    out_path: str, max_tokens: int, family: str = "gemma2", truncation: str | None = None,
                    boundary: bool = False, n_buckets: int = 64) -> DataFrame:

@@ -4,8 +4,7 @@ Every reader returns a DataFrame with an explicit schema.  The reference's
 single-object layouts (one JSON object per head holding every pair, one
 JSON object holding every head) are read as they are; such a file is one
 record and so one task; ``objects.py`` reads and writes indented ones in
-pieces, and the writers in ``writers.py`` default
-to row-per-pair layouts that split.
+pieces, and the writers in ``writers.py`` default to row-per-pair layouts.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ the caller chooses (on a cluster: a shared folder).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -133,6 +133,52 @@ def missing_pairs(all_pairs: DataFrame, done: DataFrame, key: str = "pair_id") -
     return all_pairs.join(done.select(key).distinct(), key, "left_anti")
 
 
+def _commits(spark: SparkSession, out_path: str):
+    """The folder of commit marks and its file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out_path.rstrip('/')}/_commits")
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def committed_runs(spark: SparkSession, out_path: str) -> list[int]:
+    """K7: the numbers of the runs that ``append_run`` finished, ascending."""
+    folder, files = _commits(spark, out_path)
+    if not files.exists(folder):
+        return []
+    return sorted(int(f.getPath().getName().removeprefix("run-")) for f in files.listStatus(folder))
+
+
+def append_run(spark: SparkSession, out_path: str, sinks: Mapping[str, Callable[[str], None]]) -> int:
+    """K7 with several sinks: every sink writes its folder ``<name>/run=<n>``,
+    then one mark commits them all; its number is returned.
+
+    Readers (``read_runs``) see the sinks of committed runs alone, so a run
+    that was killed between two sinks, or inside one, shows nothing, and the
+    next run takes its number and replaces what it left.  The mark is an empty
+    file made only if it is not there: of two writers with one number the
+    second raises (their data would mix: let one writer run at a time).
+    """
+    done = committed_runs(spark, out_path)
+    run = done[-1] + 1 if done else 0
+    root = out_path.rstrip("/")
+    for name in sinks:  # all leftovers first, so that no sink sees another's
+        remove_path(spark, f"{root}/{name}/run={run}")
+    for name, write in sinks.items():
+        write(f"{root}/{name}/run={run}")
+    folder, files = _commits(spark, out_path)
+    files.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"run-{run}"), False).close()
+    return run
+
+
+def read_runs(spark: SparkSession, out_path: str, name: str, read: Callable[[str], DataFrame]) -> DataFrame | None:
+    """The rows of a sink over all committed runs, with ``run``; None before
+    the first.  ``read`` reads one run's folder."""
+    out = None
+    for run in committed_runs(spark, out_path):
+        rows = read(f"{out_path.rstrip('/')}/{name}/run={run}").withColumn("run", F.lit(run))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def materialise_once(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
     """K8: reuse the finished table at ``path``; build and write it when it is
     missing or lacks the success mark that Spark's committer leaves last (an

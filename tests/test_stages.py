@@ -55,6 +55,47 @@ def test_a_sink_that_was_missed_is_completed(spark):
     assert rd.read_manifest(spark, man).count() == n
 
 
+def test_killed_runs_show_nothing_and_are_done_again(spark, monkeypatch):
+    """Killed inside the first sink, between the sinks and before the mark:
+    the rerun equals a clean run; later pairs are a run of their own."""
+    from prefspark.sources import writers as wr
+    pairs = fx.msg_pairs(spark, SF_SMALL).withColumn("task_id", (F.col("pair_id") % 2).cast("int"))
+    some, encoder = pairs.filter("pair_id % 3 > 0"), en.hashing_encoder(8)
+
+    def rows(tables):
+        return [sorted(map(repr, t.drop("run", "cls_emb").collect())) for t in tables]
+
+    def run(data, out):
+        return stages.extract_run(spark, data, encoder, out, n_buckets=2)
+
+    out, clean = scratch_path(spark, "runs"), scratch_path(spark, "runs-clean")
+    assert run(some.limit(0), out) is None and wr.committed_runs(spark, out) == []
+    for broken in ("write_manifest", "write_embeddings", "_commits"):
+        whole = getattr(wr, broken)
+        calls = []
+
+        def killed(*args, **kwargs):
+            calls.append(1)
+            if broken == "_commits" and len(calls) < 3:  # read twice before the mark is set
+                return whole(*args, **kwargs)
+            if broken != "_commits":
+                whole(*args, **kwargs)  # what it wrote stays behind
+            raise InterruptedError
+        monkeypatch.setattr(wr, broken, killed)
+        with pytest.raises(InterruptedError):
+            run(some if broken != "write_embeddings" else pairs, out)
+        monkeypatch.undo()
+        assert wr.committed_runs(spark, out) == []
+    got, want = rows(run(some, out)), rows(run(some, clean))
+    assert got == want and len(got[0]) == len(got[1]) == some.count()
+    vectors, manifest = run(pairs, out)
+    assert wr.committed_runs(spark, out) == [0, 1]
+    assert vectors.select("pair_id").distinct().count() == vectors.count() == manifest.count() == pairs.count()
+    assert {r.run for r in vectors.filter("pair_id % 3 > 0").select("run").distinct().collect()} == {0}
+    run(pairs, out)
+    assert wr.committed_runs(spark, out) == [0, 1]      # nothing new, no run
+
+
 def test_missing_constants_raise(spark):
     vecs = fx.vec_pairs(spark, SF_SMALL)
     with pytest.raises(ValueError):
