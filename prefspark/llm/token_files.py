@@ -29,6 +29,8 @@ END_ID = 0
 SEGMENT_IDS = 8 << 20
 MEMO = 200_000
 JOINED = 512  # new pieces in one call of the library
+_LINE = re.compile(r"\n(?=\S)(?<=\S\n)")  # a single line feed
+_END = re.compile(r"(?<=[A-Za-z0-9])[!-/:-@\[-`{-~]+$(?!\n)")  # punctuation after a word
 
 SCHEMA = ("file int, segment int, n_ids long, doc_ids array<long>, lengths array<int>, sizes array<int>, "
           "checksums array<long>, blocks binary")
@@ -38,12 +40,14 @@ class TextEncoder:
     """Ids of whole texts for a byte-level tokenizer file of the tokenizers
     library.
 
-    The library splits a text before each single space that stands between
-    other characters, so such pieces are encoded once and their ids kept; new
-    pieces go to the library ``JOINED`` at a time, and the ids are cut where
-    their bytes end.  Texts with other spacing or special strings are encoded
-    whole.  What is kept is bounded (two generations of ``MEMO`` pieces) and
-    does not change the ids.
+    The library splits a text before each single space or line feed that
+    stands between other characters, so such pieces are encoded once and
+    their ids kept; it also splits before closing punctuation, so a new piece
+    that ends with some is a known one with a known end, or is encoded
+    without it.  New pieces go to the library ``JOINED`` at a time, and the
+    ids are cut where their bytes end.  Texts with other spacing or special
+    strings are encoded whole.  What is kept is bounded (two generations of
+    ``MEMO`` pieces) and does not change the ids.
     """
 
     def __init__(self, path: str):
@@ -55,54 +59,81 @@ class TextEncoder:
             raise ValueError("ids must be below 65536")
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
-        self.spaced = [s for s in special if " " in s]
+        self.spaced = [s for s in special if " " in s or "\n" in s]
         self.width = np.zeros(1 << 16, np.int64)  # bytes of an id: a character of a byte-level token is a byte
         for token, number in self.library.get_vocab().items():
             self.width[number] = len(token)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes()
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def after_space(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece with a space before it."""
-        groups = [pieces[at:at + JOINED] for at in range(0, len(pieces), JOINED)]
+    def between(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with its blank before it."""
+        spelt = [p if p[0] == "\n" else " " + p for p in pieces]
+        groups = [spelt[at:at + JOINED] for at in range(0, len(spelt), JOINED)]
         out: list[bytes] = []
-        for group, ids in zip(groups, self.whole([" " + " ".join(g) for g in groups])):
+        for group, ids in zip(groups, self.whole(["".join(g) for g in groups])):
             ends = self.width[np.frombuffer(ids, "<u2")].cumsum()
-            wanted = np.cumsum([1 + len(p.encode()) for p in group])
+            wanted = np.cumsum([len(p.encode()) for p in group])
             last = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
             if ends[-1] == wanted[-1] and (ends[last] == wanted).all():
                 stops = (2 * (last + 1)).tolist()
                 out.extend(ids[a:b] for a, b in zip([0, *stops], stops))
             else:  # not a byte-level file
-                out.extend(self.whole([" " + p for p in group]))
+                out.extend(self.whole(group))
         return out
 
+    def learn(self, pieces: set[str]) -> set[str]:
+        """Keep the ids of pieces; those that must not be cut are returned."""
+        young, old = self.young, self.old
+        new: dict[str, None] = {}
+        ended, odd = [], set()
+        for p in pieces:
+            known = old.get(p)
+            if known is not None:
+                young[p] = known
+                continue
+            body = p[1:] if p[:1] == "\n" else p
+            if not body or body != body.strip() or self.special.search(p):  # beside other blanks, or a special string
+                odd.add(p)
+                continue
+            end = _END.search(p)
+            if not end:
+                new[p] = None
+                continue
+            word, end = p[:end.start()], end.group()
+            ended.append((p, word, end))
+            if word not in young and word not in new:
+                known = old.get(word)
+                if known is not None:
+                    young[word] = known
+                else:
+                    new[word] = None
+        young.update(zip(new, self.between(list(new))))
+        missing = list({end for _, _, end in ended if end not in self.ends})
+        if len(self.ends) + len(missing) > MEMO:
+            self.ends = {}
+            missing = list({end for _, _, end in ended})
+        self.ends.update(zip(missing, self.whole(missing)))
+        young.update([(p, young[word] + self.ends[end]) for p, word, end in ended])
+        return odd
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
+        cut = [_LINE.sub(" \n", t).split(" ") for t in texts]
         if len(self.young) >= MEMO:  # keep what was used since the last time
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
         seen: set[str] = set()
         for pieces in cut:
             seen.update(pieces[1:])
-        new, odd = [], set()
-        for p in seen:
-            if p not in young:
-                known = old.get(p)
-                if known is not None:
-                    young[p] = known
-                elif p and p == p.strip() and not self.special.search(p):
-                    new.append(p)
-                else:  # beside other blanks, or with a special string
-                    odd.add(p)
-        young.update(zip(new, self.after_space(new)))
+        odd = self.learn(seen.difference(self.young))
         uncut = [not pieces[0] or pieces[0][-1].isspace() or bool(self.special.search(pieces[0]))
-                 or not odd.isdisjoint(pieces[1:]) or any(s in t for s in self.spaced) for t, pieces in zip(texts, cut)]
-        get = young.__getitem__
+                 or not odd.isdisjoint(pieces[1:]) or " \n" in t or any(s in t for s in self.spaced)
+                 for t, pieces in zip(texts, cut)]
+        get = self.young.__getitem__
         starts = iter(self.whole([pieces[0] for pieces, no in zip(cut, uncut) if not no]))
         rest = iter(self.whole([t for t, no in zip(texts, uncut) if no]))
         return [next(rest) if no else next(starts) + b"".join(map(get, pieces[1:])) for pieces, no in zip(cut, uncut)]
@@ -146,7 +177,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             for at in range(0, len(batch), 256):
                 some = batch.slice(at, 256)
                 for doc, part in zip(some.column(0).to_pylist(),
-                                     encode([t.as_py() or "" for t in some.column(1)])):
+                                     encode([t or "" for t in some.column(1).to_pylist()])):
                     ids.append(doc)
                     parts.append(part + end)
                     size += len(part) // 2 + 1

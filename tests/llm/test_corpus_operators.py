@@ -333,6 +333,58 @@ def test_coder_round_trip():
     assert one == two  # a block does not depend on the one before it
 
 
+def test_coder_carries_and_widths():
+    encoder = id_coder._Encoder(3, 8)
+    encoder.words[:, :3], encoder.size[:] = [[5, 0xFFFFFFFF, 0xFFFFFFFF], [5, 7, 9], [5, 7, 0xFFFFFFFF]], 3
+    low, _ = encoder.narrow(np.array([2**64 - 1, 2**64 - 8, 0], np.uint64), np.full(3, 4, np.uint64),
+                            np.full(3, 1, np.uint64), np.ones(3, np.uint64))
+    assert low.tolist() == [3, 2**64 - 4, 4]
+    assert encoder.words[:, :3].tolist() == [[6, 0, 0], [5, 7, 9], [5, 7, 0xFFFFFFFF]]
+    model, rng = id_coder._Model(1), np.random.default_rng(3)
+    for symbols in (np.zeros(5000, int), np.full(5000, 15), rng.integers(0, 16, 5000)):
+        for symbol in symbols:
+            rows = np.array([4])
+            model.learn_place(rows, model.place(rows), np.array([symbol]))
+        widths = np.diff([*model.places[4].tolist(), id_coder._PLACES])
+        assert model.places[4, 0] == 0 and widths.min() >= 1
+
+
+def test_coder_hands_over_no_broken_block():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate((rng.zipf(1.3, 900) % 50000, rng.integers(0, 65536, 300), np.arange(65536)[::-700]))
+    blocks, crcs = id_coder.encode(ids, 500)
+    assert (id_coder.decode(blocks, crcs, len(ids), 500) == ids).all()
+    for i in range(60):
+        broken = bytearray(blocks[1])
+        broken[rng.integers(0, len(broken) - 8)] ^= 1 << rng.integers(0, 8)
+        with pytest.raises(ValueError):
+            id_coder.decode([blocks[0], bytes(broken), *blocks[2:]], crcs, len(ids), 500)
+    for cut in (0, 4, len(blocks[1]) // 8 * 4):
+        with pytest.raises(ValueError):
+            id_coder.decode([blocks[0], blocks[1][:cut], *blocks[2:]], crcs, len(ids), 500)
+
+
+def test_known_words_do_not_go_to_the_library_again(byte_tokenizer):
+    encoder = token_files.TextEncoder(byte_tokenizer)
+    first, second = "x alpha beta.\nGamma delta,", "x alpha, beta;\nGamma. delta\nGamma beta"
+    asked, whole = [], encoder.whole
+    encoder.whole = lambda texts: asked.extend(texts) or whole(texts)
+    assert encoder.encode([first]) == whole([first])
+    asked.clear()
+    assert encoder.encode([second]) == whole([second])
+    assert sorted(set(asked)) == [";", "x"]
+
+
+@pytest.mark.parametrize("text", [
+    "a\nb", "a\n\nb c", "a\n\n\nb", "a \nb", "a\n b", "a\n", "\na", "\n", "a b\nc d\n", "a\r\nb c", "a.\nB it's.\n'tis",
+    "x a'", "x a's", "x a.' b", "x .a. b.", "x 1.5, 2.", "x é. é", "x a.\u0301 b", "x a.\u00a0", "x (a) [b] {c}", "x a.\tb",
+    "a.<|endoftext|>\nb", "x a<|endoftext|> b", "x a. <|endoftext|>\nb.", "\x1c\nb", "a\n\x85b", "a\n\u3000b c."])
+def test_lines_and_ends_as_the_library_splits_them(byte_tokenizer, text):
+    encoder = token_files.TextEncoder(byte_tokenizer)
+    many = [text, f"x {text} y", f"x\n{text}\ny.", f"{text}{text} z", prose(len(text), 300)]
+    assert encoder.encode(many) == encoder.whole(many) == encoder.encode(many[::-1])[::-1]
+
+
 @pytest.mark.parametrize("text", [
     "", " ", "a", "a ", " a", "a  b", "a\n b", "a \nb", "a b\n", "\na b", "a<|endoftext|>b c", "x <|endoftext|> y",
     "a\u00a0b c", "a \u00a0b", "\u3000 a", "e \u0301x", "\x1c a b", "a\x85 b", "it's don't 12 34 !! ?", "a\tb c", "a b\t"])
